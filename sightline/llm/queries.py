@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
+from .compression_quality import fold, quality_scores, train
+from .license_scan import license_scan
+from .pii import KINDS, base_digest, count_kind, pii_spans
 from .token_counts import token_counts
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections").withColumnRenamed("id", "doc_id")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [count_kind("base", k).alias(f"n_{k}") for k in KINDS]
+    found = pii_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(base_digest("base"), 256).alias("base_sha256"), base_digest("spans").alias("spans"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -21,9 +34,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(fold(F.col("doc_id")) != 1))
+    return quality_scores(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_token_counts": op7_token_counts}
+QUERIES = {"op1_license_scan": op1_license_scan, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts}
 ORACLES: dict[str, str] = {}
