@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .common import table
 from .compression_quality import fold, quality_scores, train
+from .decontaminate import find_leaks
 from .license_scan import license_scan
 from .pii import KINDS, base_digest, count_kind, pii_spans
+from .perplexity import perplexity_quality
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import joined, secret_spans
 from .token_counts import token_counts
 
 
@@ -45,5 +49,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts}
+def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("lang")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[count_kind("base", k).alias(f"n_{k}") for k in SECRET_KINDS[:3]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
