@@ -1,0 +1,27 @@
+"""Connected components of an edge table, by least labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of edges (a long, b long); the label is the least node of its component.
+
+    Each round takes the least label among a node and its neighbours, then the
+    label of that label; the number of rounds grows with the logarithm of the
+    longest path. Rounds are written to the shared folder. No edges give no rows.
+    """
+    both = materialize(edges.select("a", "b").where("a <> b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        new = materialize(lower.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "labels")
+        labels = new.select("node", "label")
+        if new.where("label <> old").isEmpty():
+            return labels

@@ -12,6 +12,7 @@ from .compression_quality import fold, quality_scores, train
 from .decontaminate import find_leaks
 from .license_scan import license_scan
 from .pii import KINDS, base_digest, count_kind, pii_spans
+from .near_duplicates import near_duplicates
 from .perplexity import perplexity_quality
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import joined, secret_spans
@@ -22,6 +23,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections").withColumnRenamed("id", "doc_id")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("first")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count_kind("base", k).alias(f"n_{k}") for k in KINDS]
     found = pii_spans(table(spark, sf_dir, "documents"))
@@ -62,5 +67,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
