@@ -14,6 +14,7 @@ from .license_scan import license_scan
 from .pii import KINDS, base_digest, count_kind, pii_spans
 from .near_duplicates import near_duplicates
 from .perplexity import perplexity_quality
+from .repeats import repeated_spans
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import joined, secret_spans
 from .token_counts import token_counts
@@ -33,6 +34,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(base_digest("base"), 256).alias("base_sha256"), base_digest("spans").alias("spans"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"), keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -67,5 +74,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
