@@ -89,9 +89,24 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
     return df.mapInArrow(run, schema)
 
 
+def filter_text(df: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of df whose texts (column ``text`` of a slice, null as empty) are to stay, with all columns as they are."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pc.fill_null(batch.column(place).cast(pa.string()), "")
+            mask: list[bool] = []
+            for part in slices(pa.RecordBatch.from_arrays([text], names=["text"])):
+                mask += keep(part)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def span_text(spans: list[tuple[int, int, str, int]]) -> str:
     """spans: (start, kind order, kind, end) -> 'kind:start:end,...' by start, then kind."""
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(spans))
 
 
-__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "span_text", "pc"]
+__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "filter_text", "span_text", "pc"]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_field, map_text, materialize, pick
+from .common import filter_text, id_field, map_text, materialize, pick
 
 #: At most so many labelled rows of either class are read for fitting; the rows with the lowest hash of their id.
 SAMPLE = 1500
@@ -136,6 +136,15 @@ def quality_scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
     return map_text(pick(df, id_col, text_col), run, schema)
 
 
+def keep_good(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df that are predicted good, with all their columns; null texts count as empty ones."""
+
+    def good(rows: pa.RecordBatch) -> list[bool]:
+        return [score_of(model, feature(t.encode(), model.good, model.bad, model.usual)) >= 0.5 for t in rows.column("text").to_pylist()]
+
+    return filter_text(df, text_col, good)
+
+
 def fold(id_col):
     """crc32 of the id as text, mod 3; 1 is held out."""
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(3))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import id_field, map_text, pick
+from .common import filter_text, id_field, map_text, pick
 
 #: Edits allowed, as a share of an item's characters; pieces are never shorter than LEAST_PIECE.
 ERROR_RATE, LEAST_PIECE = 0.05, 16
@@ -174,4 +174,17 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     return found if found is not None else df.sparkSession.createDataFrame([], schema)
 
 
-__all__ = ["find_leaks", "normal", "budget"]
+def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of df that hold no item within its budget, with all their columns; see find_leaks."""
+    for block in _blocks(items, item_id_col, item_text_col):
+        held = df.sparkSession.sparkContext.broadcast(tuple(dict.fromkeys(text for _, text in block)))
+
+        def clean(rows: pa.RecordBatch, held=held) -> list[bool]:
+            matcher = _matcher(held.value, rate)
+            return [not matcher.match(normal(t)) for t in rows.column("text").to_pylist()]
+
+        df = filter_text(df, text_col, clean)
+    return df
+
+
+__all__ = ["find_leaks", "drop_leaks", "normal", "budget"]

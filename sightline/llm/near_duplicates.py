@@ -216,7 +216,7 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, keys: bool = False) -> DataFrame:
     """One row for each row of df: id, class_id, copy_id, n_copies, n_links, first.
 
     ``copy_id`` is the least id of the rows with the same text, ``n_copies``
@@ -227,7 +227,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fewer than ``words`` of them is one shingle. Null, empty and wordless texts
     equal no other and have no links. Null ids stay as rows and count as
     highest; repeated rows are copies of each other; an empty table gives an
-    empty table; other columns of df are not read.
+    empty table; other columns of df are not read. ``keys`` adds the two hashes
+    of the text that rows were compared by.
     """
     docs = pick(df, id_col, text_col).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(7), "text")})
     signed = _signatures(docs, *choose_bands(threshold, recall), words)
@@ -256,4 +257,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = copies.join(parts, "rep", "left").join(links, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     least = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min_by("rep", F.struct(F.col("copy_id").isNull(), "copy_id", "rep")).alias("first_rep"))
     classes = classes.join(least, "label").select("ka", "kb", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first_rep") == F.col("rep")).alias("__leads"), F.col("rep").alias("__rep"))
-    return signed.select("row", "id", "ka", "kb").join(classes, ["ka", "kb"]).select("id", "class_id", "copy_id", "n_copies", "n_links", (F.col("__leads") & (F.col("row") == F.col("__rep"))).alias("first"))
+    return signed.select("row", "id", "ka", "kb").join(classes, ["ka", "kb"]).select("id", "class_id", "copy_id", "n_copies", "n_links", (F.col("__leads") & (F.col("row") == F.col("__rep"))).alias("first"), *(["ka", "kb"] if keys else []))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """df with one row of each class of near duplicates, all columns as they are; see near_duplicates for the classes and which row is first."""
+    found = near_duplicates(df, id_col, text_col, words, threshold, recall, keys=True)
+    by_key = materialize(found.groupBy("id", "ka", "kb").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"), "dropped")
+    keyed = df.withColumns({"__ka": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__kb": F.xxhash64(F.lit(7), F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+
+    def same(keys: DataFrame):
+        return (keyed["__ka"] == keys["ka"]) & (keyed["__kb"] == keys["kb"]) & keyed[id_col].eqNullSafe(keys["id"])
+
+    gone, repeated = by_key.where("not stays"), by_key.where("stays")
+    kept = keyed.join(gone, same(gone), "left_anti")
+    if not repeated.isEmpty():  # rows that repeat id and text: one of them stays
+        once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__ka", "__kb"])
+        kept = keyed.join(by_key, same(by_key), "left_anti").unionAll(once)
+    return kept.select(*df.columns)

@@ -128,6 +128,17 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))).otherwise(text)
 
 
+def redact_secrets(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """df with its secrets replaced by a mark, and the column of sizes (if df has it) set anew where a text changed."""
+    found = secret_spans(df, text_col, "__spans", "__base_spans")
+    hit = F.size("__spans") > 0
+    clean = found.withColumn("__text", F.when(hit, redact(F.col(text_col).cast("string"), F.col("__spans"))))
+    columns = {text_col: F.when(hit, F.col("__text")).otherwise(F.col(text_col).cast("string"))}
+    if size_col in df.columns:
+        columns[size_col] = F.when(hit, F.length("__text").cast(df.schema[size_col].dataType)).otherwise(F.col(size_col))
+    return clean.withColumns(columns).select(*df.columns)
+
+
 def joined(spans: str) -> Column:
     """'kind:start:end' of an array of spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
