@@ -1,6 +1,8 @@
-"""Registry of the queries over the test tables and of their SQL."""
+"""All queries over the test tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["QUERIES", "ORACLES"]
