@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, pick, slices
+from .common import flag_possible, materialize, pick, slices
 from .graph import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -243,8 +243,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_blocks = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     of_row = member.groupBy("row").agg(F.collect_set("group").alias("groups"))  # as many as there are bands at most
     wanted = of_row.join(copies.select(F.col("rep").alias("row"), "ka", "kb", F.col("rep_id").alias("id")), "row")
-    same_id = docs["id"].eqNullSafe(wanted["id"])
-    texts = docs.join(wanted, (docs["ka"] == wanted["ka"]) & (docs["kb"] == wanted["kb"]) & same_id).select("row", "text")
+    wanted = materialize(wanted, "wanted")
+    likely = flag_possible(docs, wanted, "ka").where("__maybe").drop("__maybe")  # most texts have no candidate and are not shuffled
+    same_id = likely["id"].eqNullSafe(wanted["id"])
+    texts = likely.join(wanted, (likely["ka"] == wanted["ka"]) & (likely["kb"] == wanted["kb"]) & same_id).select("row", "text")
     sets = _shingle_sets(texts, words)
     placed = member.join(n_blocks, "group").withColumn("block", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
@@ -266,12 +268,14 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     by_key = materialize(found.groupBy("id", "ka", "kb").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"), "dropped")
     keyed = df.withColumns({"__ka": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__kb": F.xxhash64(F.lit(7), F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
 
-    def same(keys: DataFrame):
+    def same(keys: DataFrame):  # of keyed as it is when called
         return (keyed["__ka"] == keys["ka"]) & (keyed["__kb"] == keys["kb"]) & keyed[id_col].eqNullSafe(keys["id"])
 
-    gone, repeated = by_key.where("not stays"), by_key.where("stays")
-    kept = keyed.join(gone, same(gone), "left_anti")
+    # rows whose hash is not among the dropped ones stay where they are; only the others are shuffled
+    flagged = flag_possible(keyed, by_key.withColumnRenamed("ka", "__ka"), "__ka")
+    kept, keyed = flagged.where("not __maybe").drop("__maybe"), flagged.where("__maybe").drop("__maybe")
+    repeated = by_key.where("stays")
+    kept = kept.unionAll(keyed.join(by_key, same(by_key), "left_anti"))
     if not repeated.isEmpty():  # rows that repeat id and text: one of them stays
-        once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__ka", "__kb"])
-        kept = keyed.join(by_key, same(by_key), "left_anti").unionAll(once)
+        kept = kept.unionAll(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__ka", "__kb"]))
     return kept.select(*df.columns)
