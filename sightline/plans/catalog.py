@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crawl_queries, search_queries, text_queries  # noqa: F401
+from . import crawl_queries, page_queries, search_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
