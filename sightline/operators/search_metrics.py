@@ -95,7 +95,7 @@ def cannibals(folded: DataFrame, least: int = 10, worst: float = 20.0) -> DataFr
     rivals = ranked.where("rn > 1").where(stands)
     rest = rivals.groupBy("query").agg(F.count("*").alias("n"), F.sum("impressions").alias("more"), F.min_by("position", "rn").alias("next_position"))
     out = top.join(rest, "query")
-    return out.select("query", F.col("top_page").alias("page"), (F.col("n") + 1).alias("pages"), (F.col("top_impressions") + F.col("more")).alias("total_impressions"), F.round(F.abs(F.col("next_position") - F.col("top_position")), 1).alias("spread"))
+    return out.select("query", F.col("top_page").alias("page"), (F.col("n") + 1).alias("pages"), (F.col("top_impressions") + F.col("more")).alias("total_impressions"), F.round(F.round(F.abs(F.col("next_position") - F.col("top_position")), 2), 1).alias("spread"))
 
 
 def overlapping(events: DataFrame, start: str, end: str) -> DataFrame:

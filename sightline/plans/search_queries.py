@@ -78,7 +78,7 @@ def o5(spark, sf_dir):
 
 @query("A9_W5_cannibals", """WITH r AS (SELECT l_partkey AS query, l_suppkey AS page, count(*) AS impressions, round(avg(l_quantity), 2) AS position FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY impressions DESC, page) AS rn FROM r WHERE impressions >= 2),
 t AS (SELECT * FROM k WHERE rn = 1 AND position <= 30 AND position > 0), v AS (SELECT query, count(*) AS n, sum(impressions) AS more, min_by(position, rn) AS nxt FROM k WHERE rn > 1 AND position <= 30 AND position > 0 GROUP BY 1)
-SELECT CAST(query AS VARCHAR) AS query, page, n + 1 AS pages, CAST(t.impressions + more AS BIGINT) AS total_impressions, round(abs(nxt - position), 1) AS spread FROM t JOIN v USING (query)""")
+SELECT CAST(query AS VARCHAR) AS query, page, n + 1 AS pages, CAST(t.impressions + more AS BIGINT) AS total_impressions, round(round(abs(nxt - position), 2), 1) AS spread FROM t JOIN v USING (query)""")
 def a9(spark, sf_dir):
     """lineitem stands in: part as query, supplier as page, quantity as position."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("query"), F.col("l_suppkey").alias("page"), F.lit(0.0).alias("clicks"), F.lit(1.0).alias("impressions"), F.col("l_quantity").alias("position"))
