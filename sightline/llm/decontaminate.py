@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import filter_text, id_field, map_text, pick
 
 #: Edits allowed, as a share of an item's characters; pieces are never shorter than LEAST_PIECE.
-ERROR_RATE, LEAST_PIECE = 0.05, 16
+ERROR_RATE, LEAST_PIECE = 0.1, 14
 #: Items (and their characters) that are searched for in one pass over the texts; more take more passes.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

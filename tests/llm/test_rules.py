@@ -10,7 +10,7 @@ import numpy as np
 
 from sightline.llm import perplexity as P
 from sightline.llm import secrets as S
-from sightline.llm.decontaminate import Matcher, budget, find_leaks, myers, masks, normal, pieces
+from sightline.llm.decontaminate import ERROR_RATE, Matcher, budget, find_leaks, myers, masks, normal, pieces
 from sightline.llm.queries import op8_perplexity, op9_secrets, op10_decontaminate
 
 SF = "/root/testdata/sf0.001"
@@ -152,7 +152,7 @@ def test_myers_and_pigeonhole():
         assert "".join(p for _, p in pieces(item, k)) == item
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]
     items = tuple(normal(" ".join(rng.choice(words) + str(rng.randint(0, 99)) for _ in range(rng.randint(3, 40)))) for _ in range(12))
-    matcher = Matcher(items, 0.05)
+    matcher = Matcher(items, ERROR_RATE)
     for _ in range(150):
         n = rng.randrange(len(items))
         edited = list(items[n])
