@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder and read back."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir() + "/sightline-shared"
-    path = f"{root.rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of edges (a, b); the label is the least node that can be reached."""
+    """(node, label) of all nodes of edges (a, b); the label is the least node that can be reached.
+
+    Each round takes the least label of a node and its neighbours, then that
+    label's own; rounds grow with the logarithm of the longest path and are
+    written to the shared folder. No edges give no rows.
+    """
     pairs = edges.where("a <> b")
-    both = written(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = materialize(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    state = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         seen = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = state.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         far = state.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = written(lower.join(far, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "labels")
+        step = materialize(lower.join(far, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "labels")
         state = step.select("node", "label")
         if step.where("label <> old").isEmpty():
             return state

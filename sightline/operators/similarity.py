@@ -70,11 +70,11 @@ def template_groups(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE,
     return all_docs.groupBy("signature").agg(F.count("*").alias("documents")).where("documents > 1")
 
 
-def stock_phrases(draft: DataFrame, corpus: DataFrame, id_col: str, text_col: str, n: int = PHRASE) -> DataFrame:
-    """(phrase, n_docs): phrases of the draft that stand in at least max(2, half of the corpus, rounded up) documents."""
+def stock_phrases(draft: DataFrame, corpus: DataFrame, id_col: str, text_col: str, n: int = PHRASE, share: float = 0.5) -> DataFrame:
+    """(phrase, n_docs): phrases of the draft that stand in at least max(2, that share of the corpus, rounded up) documents."""
     own = phrases(draft, id_col, text_col, n).select("phrase").distinct()
     shared = phrases(corpus, id_col, text_col, n).join(own, "phrase").groupBy("phrase").agg(F.countDistinct("id").alias("n_docs"))
-    majority = corpus.agg(F.greatest(F.lit(2), F.ceil(F.count("*") / 2)).alias("majority"))
+    majority = corpus.agg(F.greatest(F.lit(2), F.ceil(F.count("*") * share)).alias("majority"))
     return shared.crossJoin(F.broadcast(majority)).where("n_docs >= majority").drop("majority")
 
 

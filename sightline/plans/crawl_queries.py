@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
 import json
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..operators import crawl as C
 from ..operators import referrers as R
 from ..operators.registry_bots import ASSET, BOTS, CATEGORIES, OPERATORS
 from ..sources import logs as L
+from ..sources.shared import shared_root
 from .registry import Rows, query, table
 
 AGENTS = Rows(
@@ -97,21 +96,21 @@ def s5(spark, sf_dir):
 @query("S1_S2_read_logs")
 def s1(spark, sf_dir):
     """Lines of a plain and a gzipped log, by list and by pattern; written here first (rows only)."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="logs-")
+    root = shared_root(spark)
     spark.createDataFrame([(x,) for x in COMBINED], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/logs/plain")
     spark.createDataFrame([(x,) for x in STRUCTURED], "value string").coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{root}/logs/packed")
     return L.parsed(L.read_lines(spark, [f"{root}/logs/packed", f"{root}/logs/plain/*.txt"])).select("read", "ip", "uri", "status")
 
 
 #: events stands in for a log: event type as crawler, user as address, value as size, ts as time, k of props as path.
-EVENTS = "e AS (SELECT CASE event_type WHEN 'signup' THEN 'gptbot' WHEN 'error' THEN 'bingbot' WHEN 'click' THEN 'googlebot' WHEN 'view' THEN 'Mozilla' ELSE 'other spider' END AS ua, 'ip' || CAST(user_id AS VARCHAR) AS ip, '/s' || CAST(user_id % 7 AS VARCHAR) || '/p' || (props->>'k') || CASE WHEN user_id % 5 = 0 THEN '.png' ELSE '' END AS uri, CAST(CASE WHEN user_id % 11 = 0 THEN 404 ELSE 200 END AS INTEGER) AS status, CAST(floor(value * 1000) AS BIGINT) AS size, ts FROM events), k AS (SELECT *, " + KEY + " AS key FROM e), b AS (SELECT *, " + CATEGORY + " AS category, " + OPERATOR + " AS operator FROM k WHERE key IS NOT NULL)"
+EVENTS = "e AS (SELECT CASE event_type WHEN 'signup' THEN 'gptbot' WHEN 'error' THEN 'bingbot' WHEN 'click' THEN 'googlebot' WHEN 'view' THEN 'Mozilla' ELSE 'other spider' END AS ua, 'ip' || CAST(user_id AS VARCHAR) AS ip, '/s' || CAST(user_id % 7 AS VARCHAR) || '/p' || (props->>'k') || CASE WHEN user_id % 5 = 0 THEN '.png' ELSE '' END AS uri, CAST(CASE WHEN value < 5 THEN 404 ELSE 200 END AS INTEGER) AS status, CAST(floor(value * 1000) AS BIGINT) AS size, ts FROM events), k AS (SELECT *, " + KEY + " AS key FROM e), b AS (SELECT *, " + CATEGORY + " AS category, " + OPERATOR + " AS operator FROM k WHERE key IS NOT NULL)"
 
 
 def records(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ua = F.when(F.col("event_type") == "signup", "gptbot").when(F.col("event_type") == "error", "bingbot").when(F.col("event_type") == "click", "googlebot").when(F.col("event_type") == "view", "Mozilla").otherwise("other spider")
     uri = F.concat(F.lit("/s"), (F.col("user_id") % 7).cast("string"), F.lit("/p"), F.get_json_object("props", "$.k"), F.when(F.col("user_id") % 5 == 0, ".png").otherwise(""))
-    return e.select(ua.alias("ua"), F.concat(F.lit("ip"), F.col("user_id").cast("string")).alias("ip"), uri.alias("uri"), F.when(F.col("user_id") % 11 == 0, 404).otherwise(200).alias("status"), F.floor(F.col("value") * 1000).cast("long").alias("size"), "ts", F.lit(True).alias("read"))
+    return e.select(ua.alias("ua"), F.concat(F.lit("ip"), F.col("user_id").cast("string")).alias("ip"), uri.alias("uri"), F.when(F.col("value") < 5, 404).otherwise(200).alias("status"), F.floor(F.col("value") * 1000).cast("long").alias("size"), "ts", F.lit(True).alias("read"))
 
 
 @query("A1_A2_crawl_budget", f"""WITH {EVENTS}, g AS (SELECT key, count(*) AS hits, sum(size) AS bytes, count(DISTINCT split_part(uri, '?', 1)) AS unique_urls, count(DISTINCT ip) AS distinct_ips, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (regexp_matches(uri, '{ASSET}')) AS assets, count(*) FILTER (status >= 400) AS errors, min(ts) AS first_seen, max(ts) AS last_seen FROM b GROUP BY 1)
@@ -195,11 +194,11 @@ def r18_control(spark, sf_dir):
     return C.verify(RESOLVED.df(spark), control=False)
 
 
-@query("J7_sitemap_gap", f"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages), c AS (SELECT DISTINCT path FROM p WHERE page_id % 3 <> 0), s AS (SELECT DISTINCT path FROM p WHERE page_id % 4 <> 0)
+@query("J7_sitemap_gap", f"""WITH p AS (SELECT url LIKE 'https%' AS secure, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages), c AS (SELECT DISTINCT path FROM p WHERE secure), s AS (SELECT DISTINCT path FROM p WHERE NOT secure)
 SELECT path, 'never_crawled' AS state FROM s WHERE path NOT IN (SELECT path FROM c) UNION ALL SELECT path, 'not_in_sitemap' FROM c WHERE path NOT IN (SELECT path FROM s) AND NOT regexp_matches(path, '{ASSET}') UNION ALL SELECT path, 'crawled' FROM s WHERE path IN (SELECT path FROM c)""")
 def j7(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1).alias("path"))
-    return C.sitemap_gap(p.where("page_id % 3 <> 0"), p.where("page_id % 4 <> 0"))
+    p = table(spark, sf_dir, "pages").select(F.col("url").startswith("https").alias("secure"), F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1).alias("path"))
+    return C.sitemap_gap(p.where("secure"), p.where("not secure"))
 
 
 SITEMAP = Rows("id bigint, body string", [(1, "<urlset><url><loc> https://a.b/x </loc></url><url><loc>https://a.b/de/y</loc></url></urlset>"), (2, "<sitemapindex><sitemap><loc>https://a.b/s1.xml</loc></sitemap></sitemapindex>"), (3, "<html>no</html>")])

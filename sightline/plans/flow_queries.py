@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import search_metrics as M
 from ..sources import tables as T
+from ..sources.shared import shared_root
 from ..streaming import streams as ST
 from .registry import Rows, query, table
 
 
 def _folder(spark, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="flow-")
-    return f"{root.rstrip('/')}/flow/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/flow/{label}-{uuid.uuid4().hex}"
 
 
 BODIES = Rows("src bigint, body string", [(1, '{"rows": [{"keys": ["https://a.b/x"], "clicks": 1, "impressions": 10, "position": 2.5}]}'), (2, '[{"keys": ["q"], "page": "https://a.b/y", "clicks": 2, "impressions": 20, "position": 3}]'), (3, '{"results": [{"query": "z", "clicks": 0, "impressions": 5, "position": null}]}'), (4, "broken"), (5, '{"other": 1}')])
@@ -40,8 +39,8 @@ def s8(spark, sf_dir):
     """Rows of events appended in two runs, one of them with a bad line, and read back."""
     path = _folder(spark, "ranks")
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("keyword"), F.floor("value").cast("int").alias("position"), F.lit("u").alias("url"), F.lit("p").alias("provider"), F.col("ts").cast("string").alias("checked_at"))
-    T.append_rows(e.where("position % 2 = 0"), path)
-    T.append_rows(e.where("position % 2 <> 0"), path)
+    T.append_rows(e.where("position >= 50"), path)
+    T.append_rows(e.where("position < 50"), path)
     spark.createDataFrame([("{bad",), ("",)], "value string").coalesce(1).write.mode("append").text(path)
     return T.read_appended(spark, path).groupBy("keyword").agg(F.count("*").alias("rows"))
 

@@ -258,9 +258,9 @@ def f20(spark, sf_dir):
     return QUEUE.df(spark).select("id", S.coerced_status(go, t, s, "semi", False).alias("semi"), S.coerced_status(go, t, s, "auto", True).alias("auto"))
 
 
-@query("F21_age_flags", "WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders), a AS (SELECT o_orderkey, day, CAST(greatest(date_diff('day', CAST(day AS DATE), DATE '1998-08-02'), 0) AS INTEGER) AS x FROM d) SELECT o_orderkey, CASE WHEN day IS NOT NULL THEN x END AS age, day IS NOT NULL AND x >= 21 AS settled, day IS NOT NULL AND x > 14 AS stale FROM a")
+@query("F21_age_flags", "WITH d AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders), a AS (SELECT o_orderkey, day, CAST(greatest(date_diff('day', CAST(day AS DATE), DATE '1998-08-02'), 0) AS INTEGER) AS x FROM d) SELECT o_orderkey, CASE WHEN day IS NOT NULL THEN x END AS age, day IS NOT NULL AND x >= 21 AS settled, day IS NOT NULL AND x > 14 AS stale FROM a")
 def f21(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
     out = S.age_flags(d, "1998-08-02")
     return out.select("o_orderkey", F.when(F.col("day").isNotNull(), F.col("age")).alias("age"), "settled", "stale")
 
@@ -357,9 +357,9 @@ def a30(spark, sf_dir):
     return SITES.df(spark).select("id", S.composite(F.col("days"), F.col("pages"), F.col("impressions"), F.col("clicks")).alias("rating"))
 
 
-@query("A31_W4_year_trend", "WITH d AS (SELECT user_id AS key, CAST(ts AS DATE) AS \"at\", CASE WHEN user_id % 6 = 0 THEN NULL ELSE count(*) / 4 END AS value FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY \"at\" DESC) AS rn FROM d WHERE value IS NOT NULL), j AS (SELECT DISTINCT d.key, round(a.value - b.value, 2) AS delta FROM d LEFT JOIN k a ON a.key = d.key AND a.rn = 1 LEFT JOIN k b ON b.key = d.key AND b.rn = 13) SELECT key, delta, CASE WHEN delta > 0.05 THEN 'rising' WHEN delta < -0.05 THEN 'falling' WHEN delta IS NOT NULL THEN 'flat' END AS direction FROM j")
+@query("A31_W4_year_trend", "WITH d AS (SELECT user_id AS key, CAST(ts AS DATE) AS \"at\", CASE WHEN count(*) FILTER (event_type = 'click') > 0 THEN count(*) / 4 END AS value FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY \"at\" DESC) AS rn FROM d WHERE value IS NOT NULL), j AS (SELECT DISTINCT d.key, round(a.value - b.value, 2) AS delta FROM d LEFT JOIN k a ON a.key = d.key AND a.rn = 1 LEFT JOIN k b ON b.key = d.key AND b.rn = 13) SELECT key, delta, CASE WHEN delta > 0.05 THEN 'rising' WHEN delta < -0.05 THEN 'falling' WHEN delta IS NOT NULL THEN 'flat' END AS direction FROM j")
 def a31(spark, sf_dir):
-    d = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("at")).agg(F.when(F.col("key") % 6 != 0, F.count("*") / 4).alias("value"))
+    d = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("at")).agg(F.when(F.count_if(F.col("event_type") == "click") > 0, F.count("*") / 4).alias("value"))
     return S.year_trend(d)
 
 
@@ -415,9 +415,9 @@ def a45(spark, sf_dir):
     return S.last_reading_sum(table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("entity"), "value", F.col("event_id").alias("ord"))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("F28_pending_batches", "WITH t AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 <> 0 AND url LIKE 'http%') SELECT url, CAST(floor((row_number() OVER (ORDER BY url) - 1) / 50) AS BIGINT) AS batch FROM t")
+@query("F28_pending_batches", "WITH t AS (SELECT DISTINCT url FROM pages WHERE url NOT LIKE '%#%' AND url LIKE 'http%') SELECT url, CAST(floor((row_number() OVER (ORDER BY url) - 1) / 50) AS BIGINT) AS batch FROM t")
 def f28(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("url", F.when(F.col("page_id") % 3 == 0, "sent").alias("stamp"))
+    p = table(spark, sf_dir, "pages").select("url", F.when(F.col("url").contains("#"), "sent").alias("stamp"))
     return S.pending_batches(p, 50)
 
 
@@ -483,11 +483,11 @@ def o8(spark, sf_dir):
     return table(spark, sf_dir, "documents").orderBy("n_chars", "doc_id").limit(20).select("doc_id", "n_chars")
 
 
-@query("SET_union_distinct", "WITH u AS (SELECT url, page_id AS ord FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, page_id + 100000 FROM pages) SELECT url, min(ord) AS ord FROM u GROUP BY 1")
+@query("SET_union_distinct", "WITH u AS (SELECT url, page_id AS ord FROM pages WHERE url LIKE 'https%' UNION ALL SELECT url, page_id + 100000 FROM pages) SELECT url, min(ord) AS ord FROM u GROUP BY 1")
 def set_union(spark, sf_dir):
     """Candidates of two lists, each once, at its first place."""
     p = table(spark, sf_dir, "pages")
-    both = p.where("page_id % 2 = 0").select("url", F.col("page_id").alias("ord")).unionAll(p.select("url", (F.col("page_id") + 100000).alias("ord")))
+    both = p.where("url like 'https%'").select("url", F.col("page_id").alias("ord")).unionAll(p.select("url", (F.col("page_id") + 100000).alias("ord")))
     return both.groupBy("url").agg(F.min("ord").alias("ord"))
 
 

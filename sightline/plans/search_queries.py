@@ -99,23 +99,23 @@ def j3_events(spark, sf_dir):
     return M.in_intervals(days, CALENDAR.df(spark)).select("day", "n", "name")
 
 
-@query("F11_F12_O3_bands", "WITH t AS (SELECT user_id, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE round(avg(value) / 3, 1) END AS position, count(*) AS impressions, count(*) FILTER (event_type = 'click') / count(*) AS ctr FROM events GROUP BY 1), b AS (SELECT *, CASE WHEN position IS NULL THEN 'unknown' WHEN position <= 3 THEN 'top3' WHEN position <= 10 THEN 'page1' WHEN position <= 20 THEN 'striking-distance' WHEN position <= 50 THEN 'page3-5' ELSE 'deep' END AS band FROM t) SELECT user_id, position, band, CAST(list_position(['striking-distance', 'page3-5', 'page1', 'top3', 'deep', 'unknown'], band) - 1 AS INTEGER) AS ordinal, coalesce(position <= 10 AND position <> 0 AND impressions >= 100 AND ctr < 0.02, false) AS low_ctr FROM b")
+@query("F11_F12_O3_bands", "WITH t AS (SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'signup') = 0 THEN NULL ELSE round(avg(value) / 3, 1) END AS position, count(*) AS impressions, count(*) FILTER (event_type = 'click') / count(*) AS ctr FROM events GROUP BY 1), b AS (SELECT *, CASE WHEN position IS NULL THEN 'unknown' WHEN position <= 3 THEN 'top3' WHEN position <= 10 THEN 'page1' WHEN position <= 20 THEN 'striking-distance' WHEN position <= 50 THEN 'page3-5' ELSE 'deep' END AS band FROM t) SELECT user_id, position, band, CAST(list_position(['striking-distance', 'page3-5', 'page1', 'top3', 'deep', 'unknown'], band) - 1 AS INTEGER) AS ordinal, coalesce(position <= 10 AND position <> 0 AND impressions >= 100 AND ctr < 0.02, false) AS low_ctr FROM b")
 def f11(spark, sf_dir):
-    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(F.count("*") % 7 != 0, F.round(F.avg("value") / 3, 1)).alias("position"), F.count("*").alias("impressions"), (F.count_if(F.col("event_type") == "click") / F.count("*")).alias("ctr"))
+    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(F.count_if(F.col("event_type") == "signup") != 0, F.round(F.avg("value") / 3, 1)).alias("position"), F.count("*").alias("impressions"), (F.count_if(F.col("event_type") == "click") / F.count("*")).alias("ctr"))
     b = t.withColumn("band", M.band(F.col("position")))
     return b.select("user_id", "position", "band", M.band_rank(F.col("band")).alias("ordinal"), M.low_ctr(F.col("position"), F.col("impressions"), F.col("ctr")).alias("low_ctr"))
 
 
-#: lineitem and orders stand in for two snapshots: nation as keyword, brand as domain, line number as position.
-_SNAP = """s AS (SELECT o_orderdate < TIMESTAMP '1995-06-01' AS early, n_name AS keyword, p_brand AS domain, l_linenumber AS position, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 40 = 1),
+#: lineitem and orders stand in for two snapshots: customer as keyword, brand as domain, line number as position.
+_SNAP = """s AS (SELECT o_orderdate < TIMESTAMP '1995-06-01' AS early, c_name AS keyword, p_brand AS domain, l_linenumber AS position, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
 b AS (SELECT keyword, domain, max_by(position, ord) AS position FROM s WHERE early GROUP BY 1, 2), a AS (SELECT keyword, domain, max_by(position, ord) AS position FROM s WHERE NOT early GROUP BY 1, 2),
 m AS (SELECT keyword, domain, CASE WHEN b.position IS NOT NULL AND a.position IS NOT NULL THEN 'held' WHEN a.position IS NOT NULL THEN 'entrant' ELSE 'exit' END AS state, a.position - b.position AS move FROM b FULL JOIN a USING (keyword, domain) WHERE keyword IN (SELECT keyword FROM a) AND keyword IN (SELECT keyword FROM b))"""
 
 
 def snapshots(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    s = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).where("o_orderkey % 40 = 1")
-    s = s.select((F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz")).alias("early"), F.col("n_name").alias("keyword"), F.col("p_brand").alias("domain"), F.col("l_linenumber").alias("position"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    s = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    s = s.select((F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz")).alias("early"), F.col("c_name").alias("keyword"), F.col("p_brand").alias("domain"), F.col("l_linenumber").alias("position"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return s.where("early"), s.where("not early")
 
 
@@ -223,11 +223,11 @@ def a44_all(spark, sf_dir):
     return K.shared_by_all(m, r)
 
 
-@query("A44_part_clusters", """WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS keyword, l_partkey AS url FROM lineitem WHERE l_quantity >= 49), e AS (SELECT a.keyword AS a, b.keyword AS b FROM u a JOIN u b USING (url) WHERE a.keyword < b.keyword GROUP BY 1, 2), bth AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+@query("A44_part_clusters", """WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS keyword, l_partkey AS url FROM lineitem), e AS (SELECT a.keyword AS a, b.keyword AS b FROM u a JOIN u b USING (url) WHERE a.keyword < b.keyword GROUP BY 1, 2 HAVING count(*) >= 2), bth AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT DISTINCT a AS node, a AS other FROM bth UNION SELECT reach.node, bth.b FROM reach JOIN bth ON bth.a = reach.other) SELECT node, min(other) AS label FROM reach GROUP BY 1""")
 def a44_parts(spark, sf_dir):
-    """Components over the orders that share parts among bulk lines."""
+    """Components over the orders that share two parts or more."""
     from ..functions.graph import components
 
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("keyword"), F.col("l_partkey").cast("string").alias("url"))
-    return components(K.shared_results(rows, 1).select("a", "b"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("keyword"), F.col("l_partkey").cast("string").alias("url"))
+    return components(K.shared_results(rows, 2).select("a", "b"))

@@ -68,15 +68,12 @@ def a17(spark, sf_dir):
     return S.template_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("A18_stock_phrases", f"""WITH w AS MATERIALIZED (SELECT doc_id, source, {TOKENS} AS words FROM documents WHERE source IN ('src0', 'src1')),
-d AS (SELECT DISTINCT unnest({_shingles('words', 5)}) AS phrase FROM w WHERE source = 'src1'),
-c AS (SELECT doc_id, unnest({_shingles('words', 5)}) AS phrase FROM w WHERE source = 'src0')
+@query("A18_stock_phrases", f"""WITH b AS MATERIALIZED (SELECT {TOKENS} AS words FROM benchmark), w AS MATERIALIZED (SELECT doc_id, {TOKENS} AS words FROM documents),
+d AS (SELECT DISTINCT unnest({_shingles('words', 5)}) AS phrase FROM b), c AS (SELECT doc_id, unnest({_shingles('words', 5)}) AS phrase FROM w)
 SELECT phrase, count(DISTINCT doc_id) AS n_docs FROM c JOIN d USING (phrase) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""")
 def a18(spark, sf_dir):
-    """Phrases of one source that at least two documents of another hold (the rule's floor)."""
-    docs = table(spark, sf_dir, "documents")
-    own = S.phrases(docs.where("source = 'src1'"), "doc_id", "text").select("phrase").distinct()
-    return S.phrases(docs.where("source = 'src0'"), "doc_id", "text").join(own, "phrase").groupBy("phrase").agg(F.countDistinct("id").alias("n_docs")).where("n_docs >= 2")
+    """Phrases of the benchmark that at least two documents hold (the rule's floor)."""
+    return S.stock_phrases(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), table(spark, sf_dir, "documents"), "doc_id", "text", share=0.0)
 
 
 @query("J8_document_pairs", f"""WITH w AS MATERIALIZED (SELECT min(doc_id) AS doc_id, {TOKENS} AS words FROM documents GROUP BY text),
