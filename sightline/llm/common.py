@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..sources.shared import materialize, shared_root
 
 #: Text bytes that one step of a Python operator holds at a time; a longer text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bits of the bitmap that flag_possible broadcasts.
 FILTER_BITS = 26
 
@@ -90,13 +90,13 @@ def filter_text(df: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], l
 
 
 def flag_possible(df: DataFrame, keys: DataFrame, column: str, flag: str = "__maybe") -> DataFrame:
-    """df with a boolean: false where the 64-bit hash in ``column`` is surely not among those of keys.
+    """df with a boolean: false where the value of ``column`` is surely not among those of keys.
 
     The keys become a bitmap of FILTER_BITS bits, in rows of 4 KB: a broadcast
     of at most 8 MB whatever their number. Where it fills up it only stops
     saving; the exact join that follows decides.
     """
-    slot = lambda frame: F.pmod(frame[column], F.lit(1 << FILTER_BITS)) + 1
+    slot = lambda frame: F.pmod(F.xxhash64(frame[column]), F.lit(1 << FILTER_BITS)) + 1
     bitmap = keys.groupBy(F.bitmap_bucket_number(slot(keys)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(keys))).alias("__bits"))
     joined = df.withColumn("__slot", slot(df)).join(F.broadcast(bitmap), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
     place = F.bitmap_bit_position("__slot").cast("int")
@@ -105,9 +105,4 @@ def flag_possible(df: DataFrame, keys: DataFrame, column: str, flag: str = "__ma
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__slot", "__bucket", "__bits")
 
 
-def span_text(spans: list[tuple[int, int, str, int]]) -> str:
-    """spans: (start, kind order, kind, end) -> 'kind:start:end,...' by start, then kind."""
-    return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(spans))
-
-
-__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "filter_text", "flag_possible", "span_text", "pc"]
+__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "filter_text", "flag_possible", "pc"]

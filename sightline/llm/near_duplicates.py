@@ -234,9 +234,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = _signatures(docs, *choose_bands(threshold, recall), words)
     copies = materialize(signed.groupBy("ka", "kb").agg(F.min("row").alias("rep"), F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.min_by("id", "row").alias("rep_id")), "copies")
 
-    keys = signed.join(copies.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    member = materialize(keys.join(buckets, "key").select("row", "centre").distinct(), "members")
+    # rows that only repeat a text drop out; bands of rows that surely do not are not shuffled for that
+    repeats = materialize(signed.select("row", "ka", "kb").join(copies.where("n_copies > 1").select("ka", "kb", "rep"), ["ka", "kb"]).where("row <> rep").select("row"), "repeats")
+    flagged = flag_possible(signed.select("row", "bands"), repeats, "row")
+    firsts = flagged.where("not __maybe").drop("__maybe").unionAll(flagged.where("__maybe").drop("__maybe").join(repeats, "row", "left_anti"))
+    keys = firsts.select("row", F.explode("bands").alias("key"))
+    buckets = materialize(keys.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "buckets")
+    # nearly all band hashes stand once and stay where they are
+    met = flag_possible(keys, buckets, "key").where("__maybe").drop("__maybe")
+    member = materialize(met.join(buckets, "key").select("row", "centre").distinct(), "members")
     passed = member.groupBy(F.col("row").alias("centre")).agg(F.min("centre").alias("group"))
     member = materialize(member.join(passed, "centre").select("row", "group").distinct(), "groups")
 

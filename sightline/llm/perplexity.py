@@ -78,7 +78,7 @@ def count_ngrams(df: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=4 << 20):
                 gram, _ = packed(rows.column("text").to_pylist())
                 if len(gram):
                     total = np.zeros(1 << (BITS * ORDER), np.int32) if total is None else total
@@ -210,7 +210,7 @@ def perplexity_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     longs = [T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     schema = T.StructType([id_field(df, id_col), T.StructField("lang", T.StringType()), *longs, T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType())])
-    scored = materialize(map_text(docs, run, schema), "perplexity")
+    scored = materialize(map_text(docs, run, schema, limit=4 << 20), "perplexity")
     rate = F.col("bits") / F.col("chars")
     bands = scored.where("chars > 0").groupBy(F.coalesce("lang", F.lit("")).alias("__lang"), F.col("lang").isNull().alias("__none")).agg(F.percentile_approx(rate, [0.25, 0.5, 0.75], 10000).alias("__q"))
     bands = materialize(bands, "bands")
