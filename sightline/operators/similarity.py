@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, shingles, tokenize
+from ..sources.shared import spread
 
 PHRASE, OPENING = 5, 6
 
 
 def phrases(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE) -> DataFrame:
     """(id, phrase): the distinct n-word runs of each text."""
-    return df.select(F.col(id_col).alias("id"), F.explode(shingles(tokenize(text_col), n)).alias("phrase"))
+    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return texts.select("id", F.explode(shingles(tokenize("text"), n)).alias("phrase"))
 
 
 def document_frequency(of: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def unique_ratio(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, rar
     A phrase is rare that stands in at most max(1, floor(documents * share)) of
     them. Phrases meet by a hash of 128 bits, so that no text is shuffled.
     """
-    own = df.select(F.col(id_col).alias("id"), F.explode(shingles(tokenize(text_col), n)).alias("phrase")).select("id", F.xxhash64("phrase").alias("a"), F.xxhash64(F.lit(1), "phrase").alias("b"))
+    own = phrases(df, id_col, text_col, n).select("id", F.xxhash64("phrase").alias("a"), F.xxhash64(F.lit(1), "phrase").alias("b"))
     documents = df.where(F.size(tokenize(text_col)) >= n).agg(F.greatest(F.lit(1), F.floor(F.count("*") * rare_share)).alias("limit"))
     counts = own.groupBy("a", "b").agg(F.count("*").alias("df"))
     joined = own.join(counts, ["a", "b"]).crossJoin(F.broadcast(documents))  # one row

@@ -107,7 +107,7 @@ PROFILES = Rows(
 _HSTOP = "[" + ", ".join(f"'{w}'" for w in M.HEADING_STOP) + "]"
 
 
-@query("A22_subtopics", f"WITH {PROFILES.sql('p')}, v AS (SELECT * FROM p WHERE ok AND NOT ugc), w AS (SELECT url, unnest(list_distinct(list_filter(regexp_extract_all(lower(array_to_string(headings, ' | ')), '[a-z][a-z0-9''\\-]{{2,}}'), lambda x: NOT list_contains({_HSTOP}, x)))) AS subtopic FROM v), n AS (SELECT count(*) AS n FROM v) SELECT subtopic, count(*) AS covered_by, round(count(*) / n, 2) AS share, count(*) >= greatest(2, (n + 1) // 2) AS contract FROM w, n GROUP BY subtopic, n")
+@query("A22_T19_subtopics", f"WITH {PROFILES.sql('p')}, v AS (SELECT * FROM p WHERE ok AND NOT ugc), w AS (SELECT url, unnest(list_distinct(list_filter(regexp_extract_all(lower(array_to_string(headings, ' | ')), '[a-z][a-z0-9''\\-]{{2,}}'), lambda x: NOT list_contains({_HSTOP}, x)))) AS subtopic FROM v), n AS (SELECT count(*) AS n FROM v) SELECT subtopic, count(*) AS covered_by, round(count(*) / n, 2) AS share, count(*) >= greatest(2, (n + 1) // 2) AS contract FROM w, n GROUP BY subtopic, n")
 def a22(spark, sf_dir):
     return M.subtopics(PROFILES.df(spark))
 

@@ -69,7 +69,7 @@ def a10(spark, sf_dir):
     return M.verdict_counts(M.compare(*periods(spark, sf_dir)))
 
 
-@query("O5_most_lost", f"WITH {_PERIODS}, {_compare_sql('pp', 'cc', 'page', 'false', 10)} SELECT page, impressions_before - impressions_after AS lost FROM v WHERE verdict IN ('decay', 'demand_drop') ORDER BY lost DESC, page LIMIT 5")
+@query("O5_O9_most_lost", f"WITH {_PERIODS}, {_compare_sql('pp', 'cc', 'page', 'false', 10)} SELECT page, impressions_before - impressions_after AS lost FROM v WHERE verdict IN ('decay', 'demand_drop') ORDER BY lost DESC, page LIMIT 5")
 def o5(spark, sf_dir):
     """O5, O9: a top-k report."""
     v = M.compare(*periods(spark, sf_dir)).where(F.col("verdict").isin("decay", "demand_drop"))

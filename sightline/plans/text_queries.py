@@ -29,7 +29,7 @@ def _ratios(spark, sf_dir):
     return S.unique_ratio(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("corpus_tiers", f"WITH {RATIOS} SELECT doc_id, n_phrases, n_rare, unique_ratio FROM r")
+@query("A14_corpus_tiers", f"WITH {RATIOS} SELECT doc_id, n_phrases, n_rare, unique_ratio FROM r")
 def corpus_tiers(spark, sf_dir):
     """A14: share of rare phrases of each document."""
     return _ratios(spark, sf_dir).withColumnRenamed("id", "doc_id")
@@ -44,7 +44,7 @@ ORDERED = "o AS (SELECT unique_ratio, row_number() OVER (ORDER BY unique_ratio)
 PICKS = "max(unique_ratio) FILTER (i = floor(n * 0.5)) AS median, max(unique_ratio) FILTER (i = floor(n * 0.1)) AS p10, max(unique_ratio) FILTER (i = floor(n * 0.9)) AS p90"
 
 
-@query("A15_distribution", f"WITH {RATIOS}, {ORDERED} SELECT max(n) AS n, round(avg(unique_ratio), 4) AS mean, {PICKS} FROM o")
+@query("A15_W8_distribution", f"WITH {RATIOS}, {ORDERED} SELECT max(n) AS n, round(avg(unique_ratio), 4) AS mean, {PICKS} FROM o")
 def a15(spark, sf_dir):
     """A15, W8: order statistics of the ratios."""
     return S.distribution(_ratios(spark, sf_dir), "unique_ratio")

@@ -26,3 +26,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(spark)}/sightline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a small input, by the optimizer's estimate.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input of few partitions dealt out to all cores, before work that is heavy for each row.
+
+    A small file of one row group is otherwise read, and worked on, by one
+    task. Larger inputs stay as they are: they have partitions enough, and
+    their rows are not shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
