@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.shared import materialize, shared_root
+from ..sources.shared import materialize, shared_root, spread
 
 #: Text bytes that one step of a Python operator holds at a time; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -25,7 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Only the columns an operator reads, as ``id``, ``text`` and the others by their names; null text is empty."""
+    """Only the columns an operator reads, as ``id``, ``text`` and the others by their names; null text is empty; a small table is dealt out to all cores."""
+    return spread(columns(df, id_col, text_col, *more))
+
+
+def columns(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """As pick, with the rows where and in the order they are."""
     return df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *[df[c] for c in more])
 
 
@@ -105,4 +110,4 @@ def flag_possible(df: DataFrame, keys: DataFrame, column: str, flag: str = "__ma
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__slot", "__bucket", "__bits")
 
 
-__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "filter_text", "flag_possible", "pc"]
+__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "columns", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "filter_text", "flag_possible", "pc"]

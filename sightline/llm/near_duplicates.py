@@ -33,8 +33,8 @@ from .common import flag_possible, materialize, pick, slices
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Most hash functions that a signature may have.
 MOST_HASHES = 128
-#: Rows of a block; a task of the verification holds two blocks.
-BLOCK = 200
+#: Rows and shingles of a block, about; a task of the verification holds two blocks.
+BLOCK, BLOCK_GRAMS = 800, 400_000
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -98,7 +98,7 @@ def band_hashes(texts: list[str], bands: int, rows: int, words: int = WORDS) ->
 
 def _signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """A row number for each text, its keys of equality and its band hashes; written once."""
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def _signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame
                 # a text without words equals no other
                 ka = np.where(counts > 0, part.column("ka").to_numpy(zero_copy_only=False), row)
                 kb = np.where(counts > 0, part.column("kb").to_numpy(zero_copy_only=False), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(row), part.column("id"), pa.array(ka), pa.array(kb), pa.array(keys, arrow[4].type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(row), part.column("id"), pa.array(ka), pa.array(kb), pa.array(counts), pa.array(keys, arrow[5].type)], schema=arrow)
                 number += part.num_rows
 
     return materialize(docs.mapInArrow(run, schema), "signatures")
@@ -232,23 +232,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = pick(df, id_col, text_col).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(7), "text")})
     signed = _signatures(docs, *choose_bands(threshold, recall), words)
-    copies = materialize(signed.groupBy("ka", "kb").agg(F.min("row").alias("rep"), F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.min_by("id", "row").alias("rep_id")), "copies")
+    copies = materialize(signed.groupBy("ka", "kb").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("rep"), F.min("id").alias("copy_id"), F.count("*").alias("n_copies")), "copies")
 
     # rows that only repeat a text drop out; bands of rows that surely do not are not shuffled for that
     repeats = materialize(signed.select("row", "ka", "kb").join(copies.where("n_copies > 1").select("ka", "kb", "rep"), ["ka", "kb"]).where("row <> rep").select("row"), "repeats")
-    flagged = flag_possible(signed.select("row", "bands"), repeats, "row")
+    flagged = flag_possible(signed.select("row", "n", "bands"), repeats, "row")
     firsts = flagged.where("not __maybe").drop("__maybe").unionAll(flagged.where("__maybe").drop("__maybe").join(repeats, "row", "left_anti"))
-    keys = firsts.select("row", F.explode("bands").alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "buckets")
+    keys = firsts.select("row", "n", F.explode("bands").alias("key"))
+    buckets = materialize(keys.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("c")).where("c > 1").select("key", "centre"), "buckets")
     # nearly all band hashes stand once and stay where they are
     met = flag_possible(keys, buckets, "key").where("__maybe").drop("__maybe")
-    member = materialize(met.join(buckets, "key").select("row", "centre").distinct(), "members")
+    member = materialize(met.join(buckets, "key").select("row", "n", "centre").distinct(), "members")
     passed = member.groupBy(F.col("row").alias("centre")).agg(F.min("centre").alias("group"))
-    member = materialize(member.join(passed, "centre").select("row", "group").distinct(), "groups")
+    member = materialize(member.join(passed, "centre").select("row", "n", "group").distinct(), "groups")
 
-    n_blocks = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    n_blocks = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
     of_row = member.groupBy("row").agg(F.collect_set("group").alias("groups"))  # as many as there are bands at most
-    wanted = of_row.join(copies.select(F.col("rep").alias("row"), "ka", "kb", F.col("rep_id").alias("id")), "row")
+    wanted = of_row.join(copies.select(F.col("rep").alias("row"), "ka", "kb", F.col("copy_id").alias("id")), "row")
     wanted = materialize(wanted, "wanted")
     likely = flag_possible(docs, wanted, "ka").where("__maybe").drop("__maybe")  # most texts have no candidate and are not shuffled
     same_id = likely["id"].eqNullSafe(wanted["id"])

@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+
 from .bpe import bpe_encode
 from .common import table
 from .compression_quality import fold, quality_scores, train
@@ -66,7 +68,7 @@ def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", *[count_kind("base", k).alias(f"n_{k}") for k in SECRET_KINDS[:3]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 

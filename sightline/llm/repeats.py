@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .anchors import digests, pieces
-from .common import bytes_of, materialize, pick, slices
+from .common import bytes_of, columns, materialize, slices
 from .suffixes import repeats
 
 LENGTH = 400
@@ -89,7 +89,7 @@ def _scan(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 else:
                     settled = again
                 cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
-                columns: dict[str, list] = {"own": [], "anchor": [], "piece": [], "lo": [], "n": []}
+                lists: dict[str, list] = {"own": [], "anchor": [], "piece": [], "lo": [], "n": []}
                 signed_anchor, signed_piece = anchor.view(np.int64), piece.view(np.int64)
                 for i in range(part.num_rows):
                     s = slice(cuts[i], cuts[i + 1])
@@ -100,14 +100,14 @@ def _scan(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
                             merged[-1] = (merged[-1][0], merged[-1][1] + k)
                         else:
                             merged.append((x, k))
-                    columns["own"].append([{"lo": x, "n": k} for x, k in merged])
+                    lists["own"].append([{"lo": x, "n": k} for x, k in merged])
                     left = ~again[s]
                     for name, values in (("anchor", signed_anchor), ("piece", signed_piece), ("lo", lo), ("n", n)):
-                        columns[name].append(values[s][left])
+                        lists[name].append(values[s][left])
                 size = np.diff(offsets)
                 shas = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 fixed = [pa.array(np.arange(number, number + part.num_rows)), part.column("id"), part.column("ka"), part.column("kb"), pa.array(size), pa.array(shas)]
-                yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(columns[f.name], f.type) for f in list(arrow)[6:]]], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(lists[f.name], f.type) for f in list(arrow)[6:]]], schema=arrow)
                 number += part.num_rows
 
     return materialize(docs.mapInArrow(run, schema), "windows")
@@ -177,9 +177,9 @@ def _counted(found: DataFrame, length: int, later_only: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "bytes", 1 << 18):
-                columns = [part.column(c).to_pylist() for c in ("anchor", "piece", "row", "lo", "n", "bytes")]
+                values = [part.column(c).to_pylist() for c in ("anchor", "piece", "row", "lo", "n", "bytes")]
                 out: list[tuple] = []
-                for a, p, row, lo, n, raw in zip(*columns, strict=True):
+                for a, p, row, lo, n, raw in zip(*values, strict=True):
                     for k in range(n):
                         h = xxhash.xxh3_128_digest(raw[k : k + length])
                         out.append((a, p, row, lo, k, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
@@ -205,7 +205,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null ids are kept; an empty table gives an empty table; other columns of df
     are not read.
     """
-    docs = pick(df, id_col, text_col).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(7), "text")})
+    docs = columns(df, id_col, text_col).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(7), "text")})
     scanned = _scan(docs, length, keep_first)
     each = scanned.select("row", F.inline(F.arrays_zip("anchor", "piece", "lo", "n")))
     shared = each.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("piece") != F.max("piece")).alias("mixed")).where("c > 1").select("anchor", "mixed")
