@@ -242,7 +242,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = materialize(keys.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("c")).where("c > 1").select("key", "centre"), "buckets")
     # nearly all band hashes stand once and stay where they are
     met = flag_possible(keys, buckets, "key").where("__maybe").drop("__maybe")
-    member = materialize(met.join(buckets, "key").select("row", "n", "centre").distinct(), "members")
+    member = materialize(met.join(buckets.hint("merge"), "key").select("row", "n", "centre").distinct(), "members")
     passed = member.groupBy(F.col("row").alias("centre")).agg(F.min("centre").alias("group"))
     member = materialize(member.join(passed, "centre").select("row", "n", "group").distinct(), "groups")
 
@@ -252,12 +252,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = materialize(wanted, "wanted")
     likely = flag_possible(docs, wanted, "ka").where("__maybe").drop("__maybe")  # most texts have no candidate and are not shuffled
     same_id = likely["id"].eqNullSafe(wanted["id"])
-    texts = likely.join(wanted, (likely["ka"] == wanted["ka"]) & (likely["kb"] == wanted["kb"]) & same_id).select("row", "text")
+    texts = likely.join(wanted.hint("merge"), (likely["ka"] == wanted["ka"]) & (likely["kb"] == wanted["kb"]) & same_id).select("row", "text")
     sets = _shingle_sets(texts, words)
     placed = member.join(n_blocks, "group").withColumn("block", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     placed = placed.select("row", "group", "block", other).select("row", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    blocks = placed.join(of_row, "row").join(sets, "row").repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    # the plan is the same at every size: a small side is not broadcast only where the input is small
+    blocks = placed.join(of_row, "row").join(sets.hint("merge"), "row").repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
     found = materialize(_verified(blocks, threshold), "links")
 
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
