@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item with an error budget of ``k`` edits is cut into ``k + 1`` pieces: a
-copy with at most ``k`` edits holds at least one piece unchanged. All pieces are
-found at once by an Aho-Corasick automaton; around each hit the item's edit
-distance to the text is verified by Myers' bit-parallel algorithm. Items and
+A test item with an error budget of ``k`` edits is cut into ``k + 2`` pieces: a
+copy with at most ``k`` edits holds at least two pieces unchanged, shifted against
+each other by at most ``k``. All pieces are found at once by an Aho-Corasick
+automaton; around each such pair the item's edit distance to the text is
+verified by Myers' bit-parallel algorithm. Items and
 texts are compared as lower-cased words with one blank between them.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import filter_text, id_field, map_text, pick
 
-#: Edits allowed, as a share of an item's characters; pieces are never shorter than LEAST_PIECE.
-ERROR_RATE, LEAST_PIECE = 0.1, 14
+#: Edits allowed, as a share of an item's characters; below 1.
+ERROR_RATE = 0.1
 #: Items (and their characters) that are searched for in one pass over the texts; more take more passes.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -33,7 +34,12 @@ def normal(text: str) -> str:
 
 
 def budget(size: int, rate: float = ERROR_RATE) -> int:
-    return max(0, min(int(size * rate), size // LEAST_PIECE - 1))
+    return int(size * rate)
+
+
+def needed(size: int, errors: int) -> int:
+    """Pieces that must stand unchanged: two, where the item has edits and characters enough."""
+    return 2 if 0 < errors <= size - 2 else 1
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -79,7 +85,7 @@ class Matcher:
         self.masks: dict[int, dict[str, int]] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(items):
-            for at, piece in pieces(item, self.errors[n]):
+            for at, piece in pieces(item, self.errors[n] + needed(len(item), self.errors[n]) - 1):
                 places.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
@@ -91,15 +97,35 @@ class Matcher:
         """Items that the text holds, with their least distances."""
         if not self.items or not text:
             return {}
-        starts: dict[int, list[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for end, (size, found) in self.automaton.iter(text):
             for n, at in found:
-                starts.setdefault(n, []).append(end + 1 - size - at)
+                hits.setdefault(n, []).append((end + 1 - size - at, at))
         out = {}
-        for n, at in starts.items():
-            best = self.verify(n, sorted(set(at)), text)
-            if best <= self.errors[n]:
-                out[n] = best
+        for n, places in hits.items():
+            starts = self.agreed(n, sorted(places))
+            if starts:
+                best = self.verify(n, starts, text)
+                if best <= self.errors[n]:
+                    out[n] = best
+        return out
+
+    def agreed(self, n: int, places: list[tuple[int, int]]) -> list[int]:
+        """The starts that enough different pieces give, within the budget before each."""
+        errors = self.errors[n]
+        least = needed(len(self.items[n]), errors)
+        near: dict[int, int] = {}
+        out, low = [], 0
+        for start, at in places:
+            near[at] = near.get(at, 0) + 1
+            while places[low][0] < start - errors:
+                old = places[low][1]
+                near[old] -= 1
+                if not near[old]:
+                    del near[old]
+                low += 1
+            if len(near) >= least and (not out or out[-1] != start):
+                out.append(start)
         return out
 
     def verify(self, n: int, starts: list[int], text: str) -> int:

@@ -164,6 +164,25 @@ def test_myers_and_pigeonhole():
         assert matcher.match(text) == want
 
 
+def test_whole_budget():
+    """A tenth of an item's characters, by plain numbers: 8 edits of 82 characters, 38 of 386."""
+    assert [budget(n) for n in (9, 40, 82, 100, 200, 386)] == [0, 4, 8, 10, 20, 38]
+    rng = random.Random(6)
+    item = normal("which of the seven rivers in the northern valley freezes first in a cold december")
+    changed = item.replace("northern", "sunlit")
+    assert 5 <= distance(item, changed) <= 8 and Matcher((item,), ERROR_RATE).match("before" + changed + "after") == {0: distance(item, changed)}
+    for size in (30, 82, 150):
+        items = tuple("".join(rng.choice("abcdefgh ") for _ in range(size)) for _ in range(4))
+        matcher = Matcher(items, ERROR_RATE)
+        for n in range(4):
+            for edits in range(size // 10 + 3):
+                edited = list(items[n])
+                for at in sorted(rng.sample(range(size), edits), reverse=True):
+                    edited[at : at + 1] = rng.choice([[], ["q"], [edited[at], "q"]])
+                text = " zzz " * rng.randint(0, 9) + "".join(edited) + " yyy" * rng.randint(0, 9)
+                assert matcher.match(text) == {i: d for i, x in enumerate(items) if (d := distance(x, text)) <= size // 10}
+
+
 def test_leaks(spark):
     docs = spark.createDataFrame([(1, "Before. The QUICK brown fox, jumps over the lazy dog tonight! after", 7), (2, None, 7), (None, "the quick brown fox jumps over the lazy dog tonight", 7), (3, "", 7), (1, "clean", 7)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(5, "the quick brown fox jumped over the lazy dog tonight", 1), (5, None, 1), (6, "...", 1), (None, "clean", 1)], "item_id long, text string, id int")
