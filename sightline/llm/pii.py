@@ -1,9 +1,9 @@
 """Personal data: direct identifiers, and terms that disclose them.
 
 Direct identifiers are found by pattern. Around each of them the nearest words
-are its context. Over the whole corpus, ``p(entity | term)`` is the number of
-distinct contexts of the entity that hold the term over the number of documents
-that hold the term; the information a term reveals is
+are its context. For each term that stands in a context of the entity somewhere,
+``p(entity | term)`` is the number of documents that hold both, at any distance,
+over the number of documents that hold the term; the information a term reveals is
 ``log2(p(entity | term) / p(entity))`` bits of the entity's
 ``-log2 p(entity)``. Terms above the thresholds are generalised (kind ``gen``)
 or removed (kind ``del``) where they stand in the entity's context.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, pick, slices
+from .common import flag_possible, materialize, pick, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an identifier that make its context, and the characters they are looked for in.
 NEAR_WORDS, NEAR_CHARS = 8, 160
-#: A term must stand in so many distinct contexts of the entity.
+#: A term must stand in so many documents with the entity.
 SUPPORT = 3
 #: p(entity | term) from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.5, 0.9
@@ -93,42 +94,58 @@ def term_hashes(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if words else np.zeros(0, np.int64)
 
 
-def contexts(text: str, base: list[tuple[int, int, str, int]]) -> list[dict]:
-    """The terms near each identifier: entity, context, term (its text), start, end."""
+def entity_key(text: str, span: tuple[int, int, str, int]) -> int:
+    start, _, kind, end = span
+    return _key(f"{kind}:{text[start:end].lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', text[start:end])}")
+
+
+def free_words(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[str, int, int]]:
+    """(lower-cased word, start, end) of the words that no identifier touches, in order."""
+    found, at, covered = [], 0, 0
+    for m in _WORD.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            covered = max(covered, base[at][3])
+            at += 1
+        if m.start() >= covered:
+            found.append((m[0].lower(), m.start(), m.end()))
+    return found
+
+
+def contexts(words: list[tuple[str, int, int]], base: list[tuple[int, int, str, int]]) -> list[list[int]]:
+    """The places among the words of those near each identifier."""
+    starts, ends = [w[1] for w in words], [w[2] for w in words]
     found = []
-    for start, _, kind, end in base:
-        value = text[start:end].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[start:end])
-        low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        # a word cut by the edge of the look-out is left out
-        before = [(m[0], low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:start]) if low == 0 or m.start()][-NEAR_WORDS:]
-        after = [(m[0], end + m.start(), end + m.end()) for m in _WORD.finditer(text[end:high]) if high == len(text) or end + m.end() < high][:NEAR_WORDS]
-        near = [(w.lower(), a, b) for w, a, b in (*before, *after) if not any(a < e and s < b for s, _, _, e in base)]
-        if near:
-            entity, context = _key(f"{kind}:{value}"), _key(" ".join(w for w, _, _ in near))
-            found += [{"entity": entity, "context": context, "term": w, "start": a, "end": b} for w, a, b in near if len(w) > 2]
+    for start, _, _, end in base:
+        # words that reach out of the look-out are left out
+        before = range(max(bisect_left(starts, start - NEAR_CHARS), bisect_left(starts, start) - NEAR_WORDS), bisect_left(starts, start))
+        after = range(bisect_left(starts, end), min(bisect_right(ends, end + NEAR_CHARS), bisect_left(starts, end) + NEAR_WORDS))
+        found.append([k for k in (*before, *after) if len(words[k][0]) > 2])
     return found
 
 
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each row of df: a row number, id, base spans and context terms; written once."""
+    """One row for each row of df: a row number, id, base spans, its entities, the terms near each and the words of texts with identifiers; written once."""
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind_order", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
-    near = T.StructType([T.StructField("entity", T.LongType()), T.StructField("context", T.LongType()), T.StructField("term", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("base", T.ArrayType(span)), T.StructField("near", T.ArrayType(near))])
+    word = T.StructType([T.StructField("term", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("base", T.ArrayType(span)), T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), *word.fields]))), T.StructField("words", T.ArrayType(word))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for rows in slices(batch):
-                base, near_terms = [], []
+                base, entities, near, places = [], [], [], []
                 for text in rows.column("text").to_pylist():
                     found = find_base(text)
                     base.append([dict(zip(("start", "kind_order", "kind", "end"), x, strict=True)) for x in found])
-                    near_terms.append(contexts(text, found) if found else [])
-                flat = [x for y in near_terms for x in y]
-                for x, h in zip(flat, term_hashes([x["term"] for x in flat]).tolist(), strict=True):
-                    x["term"] = h
-                yield pa.RecordBatch.from_arrays([pa.array(range(number, number + rows.num_rows), pa.int64()), rows.column("id"), pa.array(base, arrow[2].type), pa.array(near_terms, arrow[3].type)], schema=arrow)
+                    words = free_words(text, found) if found else []
+                    terms = term_hashes([w for w, _, _ in words]).tolist()
+                    keys = [entity_key(text, x) for x in found]
+                    entities.append(sorted(set(keys)))
+                    near.append([{"entity": e, "term": terms[k], "start": words[k][1], "end": words[k][2]} for e, at in zip(keys, contexts(words, found), strict=True) for k in at])
+                    places.append([{"term": t, "start": a, "end": b} for t, (w, a, b) in zip(terms, words, strict=True) if len(w) > 2])
+                columns = [pa.array(range(number, number + rows.num_rows), pa.int64()), rows.column("id"), *(pa.array(x, f.type) for x, f in zip((base, entities, near, places), list(arrow)[2:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                 number += rows.num_rows
 
     return materialize(pick(df, id_col, text_col).mapInArrow(run, schema), "pii")
@@ -161,18 +178,29 @@ def document_frequency(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
-def disclosing_terms(scanned: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+def held_together(scanned: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+    """(row, entity, term, n_entity, n_docs): documents that hold an entity and a term that stands near it in one of them.
+
+    Only where n_docs, the documents with the term, is small enough against
+    n_entity, those with the entity, for the thresholds to be reached at all.
+    """
+    of_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = scanned.select(F.inline("near")).select("entity", "term").distinct()
+    able = materialize(near.join(of_entity, "entity").join(document_frequency(df, text_col), "term").where(F.col("n_entity") >= GENERALISE * F.col("n_docs")), "pii_able")
+    words = scanned.where(F.size("words") > 0).select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    words = flag_possible(words, able, "term").where("__maybe").drop("__maybe")
+    rows = scanned.select("row", F.explode("entities").alias("entity"))
+    return materialize(words.join(able, "term").join(rows, ["row", "entity"], "left_semi"), "pii_both")
+
+
+def disclosing_terms(both: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, term, kind) of the terms that reveal an entity beyond the thresholds."""
-    near = scanned.select("row", F.inline("near")).select("row", "entity", "context", "term")
-    support = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    of_entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    support = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_docs").alias("n_docs")).where(F.col("n_both") >= SUPPORT)
     total = scanned.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_all"))
-    p = F.least(F.col("n_both") / F.col("n_docs"), F.lit(1.0))
-    whole = -F.log2(F.least(F.col("n_entity") / F.col("n_all"), F.lit(1.0)))
+    p = F.col("n_both") / F.col("n_docs")
+    whole = -F.log2(F.col("n_entity") / F.col("n_all"))
     return (
-        support.join(document_frequency(df, text_col), "term")
-        .join(of_entity, "entity")
-        .crossJoin(F.broadcast(total))  # one row
+        support.crossJoin(F.broadcast(total))  # one row
         .where((p >= GENERALISE) & (whole > 0) & (whole + F.log2(p) >= REVEALED * whole))
         .select("entity", "term", F.when(p >= REMOVE, "del").otherwise("gen").alias("kind"))
     )
@@ -186,7 +214,8 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty table gives an empty table; other columns of df are not read.
     """
     scanned = scan(df, id_col, text_col)
-    terms = disclosing_terms(scanned, df, text_col)
+    both = held_together(scanned, df, text_col)
+    terms = disclosing_terms(both, scanned)
     hits = scanned.select("row", F.inline("near")).join(terms, ["entity", "term"]).select("row", F.struct("start", F.when(F.col("kind") == "gen", 4).otherwise(5).alias("kind_order"), "kind", "end").alias("span"))
     added = hits.groupBy("row").agg(F.collect_set("span").alias("added"))
     return scanned.join(added, "row", "left").select("id", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(scanned.schema["base"].dataType)))).alias("spans"))

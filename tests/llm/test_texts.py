@@ -100,6 +100,26 @@ def test_pii_terms(spark):
     assert pii.pii_spans(df.limit(0)).count() == 0
 
 
+def marked(spark, texts):
+    """(kind, word) of the disclosing terms of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.id: [(s.kind, texts[r.id][s.start : s.end]) for s in r.spans if s.kind in ("gen", "del")] for r in pii.pii_spans(df).collect()}
+
+
+PLAIN = [f"nothing but common words stands here {i}" for i in range(60)]
+
+
+def test_pii_copies(spark):
+    """Copies of a record count on both sides: what stands only beside one identifier discloses it, however often it is copied."""
+    records = [f"common words bluefinch {w} spy@x.org" for w in ("here", "stands", "nothing")]
+    got = marked(spark, [r for r in records for _ in range(20)] + PLAIN)
+    assert all(got[i] == [("del", "bluefinch")] for i in range(60)) and not any(got[i] for i in range(60, 120))
+    # a term is counted where it stands with the identifier at any distance
+    far = "bluefinch " + "common words stands here " * 12 + "spy@x.org"
+    got = marked(spark, ["bluefinch spy@x.org", *[far] * 12] + PLAIN)
+    assert ("del", "bluefinch") in got[0]
+
+
 def test_quality(spark):
     docs, labels = documents(spark, "/root/testdata/sf0.01"), {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = op6_quality(spark, "/root/testdata/sf0.01").collect()
