@@ -3,7 +3,8 @@
 Direct identifiers are found by pattern. Around each of them the nearest words
 are its context. For each term that stands in a context of the entity somewhere,
 ``p(entity | term)`` is the number of documents that hold both, at any distance,
-over the number of documents that hold the term; the information a term reveals is
+over the number of documents that hold the term, drawn a little to ``p(entity)``, so
+that terms seen once count too, but with care; the information a term reveals is
 ``log2(p(entity | term) / p(entity))`` bits of the entity's
 ``-log2 p(entity)``. Terms above the thresholds are generalised (kind ``gen``)
 or removed (kind ``del``) where they stand in the entity's context.
@@ -30,8 +31,8 @@ from .common import flag_possible, materialize, pick, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an identifier that make its context, and the characters they are looked for in.
 NEAR_WORDS, NEAR_CHARS = 8, 160
-#: A term must stand in so many documents with the entity.
-SUPPORT = 3
+#: p(entity | term) is drawn to p(entity) as if so many more documents held the term: one document gives about 1/2.
+PRIOR_DOCS = 1
 #: p(entity | term) from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.5, 0.9
 #: Share of the entity's information that a term must reveal.
@@ -186,7 +187,7 @@ def held_together(scanned: DataFrame, df: DataFrame, text_col: str) -> DataFrame
     """
     of_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     near = scanned.select(F.inline("near")).select("entity", "term").distinct()
-    able = materialize(near.join(of_entity, "entity").join(document_frequency(df, text_col), "term").where(F.col("n_entity") >= GENERALISE * F.col("n_docs")), "pii_able")
+    able = materialize(near.join(of_entity, "entity").join(document_frequency(df, text_col), "term").where(F.col("n_entity") >= GENERALISE * F.col("n_docs") - (1 - GENERALISE) * PRIOR_DOCS), "pii_able")
     words = scanned.where(F.size("words") > 0).select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
     words = flag_possible(words, able, "term").where("__maybe").drop("__maybe")
     rows = scanned.select("row", F.explode("entities").alias("entity"))
@@ -195,10 +196,11 @@ def held_together(scanned: DataFrame, df: DataFrame, text_col: str) -> DataFrame
 
 def disclosing_terms(both: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, term, kind) of the terms that reveal an entity beyond the thresholds."""
-    support = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_docs").alias("n_docs")).where(F.col("n_both") >= SUPPORT)
+    support = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_docs").alias("n_docs"))
     total = scanned.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_all"))
-    p = F.col("n_both") / F.col("n_docs")
-    whole = -F.log2(F.col("n_entity") / F.col("n_all"))
+    usual = F.col("n_entity") / F.col("n_all")
+    p = (F.col("n_both") + PRIOR_DOCS * usual) / (F.col("n_docs") + PRIOR_DOCS)
+    whole = -F.log2(usual)
     return (
         support.crossJoin(F.broadcast(total))  # one row
         .where((p >= GENERALISE) & (whole > 0) & (whole + F.log2(p) >= REVEALED * whole))

@@ -120,6 +120,14 @@ def test_pii_copies(spark):
     assert ("del", "bluefinch") in got[0]
 
 
+def test_pii_rare(spark):
+    """Identifiers that stand in one or two documents, and one record in many copies: their terms are judged; common words are not marked."""
+    once, twice, copied = "common words lindqvist here one@x.org", "common words okonkwo here two@x.org", "common words tamarisk here three@x.org"
+    got = marked(spark, [once, twice, f"{twice} stands"] + [copied] * 20 + PLAIN)
+    assert got[0] == [("gen", "lindqvist")] and got[1] == got[2] == [("gen", "okonkwo")]
+    assert all(got[i] == [("del", "tamarisk")] for i in range(3, 23)) and not any(got[i] for i in range(23, 83))
+
+
 def test_quality(spark):
     docs, labels = documents(spark, "/root/testdata/sf0.01"), {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = op6_quality(spark, "/root/testdata/sf0.01").collect()
