@@ -7,7 +7,7 @@ over the number of documents that hold the term, drawn a little to ``p(entity)``
 that terms seen once count too, but with care; the information a term reveals is
 ``log2(p(entity | term) / p(entity))`` bits of the entity's
 ``-log2 p(entity)``. Terms above the thresholds are generalised (kind ``gen``)
-or removed (kind ``del``) where they stand in the entity's context.
+or removed (kind ``del``) at all their places in the documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each row of df: a row number, id, base spans, its entities, the terms near each and the words of texts with identifiers; written once."""
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind_order", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
     word = T.StructType([T.StructField("term", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("base", T.ArrayType(span)), T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), *word.fields]))), T.StructField("words", T.ArrayType(word))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("base", T.ArrayType(span)), T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType())]))), T.StructField("words", T.ArrayType(word))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     terms = term_hashes([w for w, _, _ in words]).tolist()
                     keys = [entity_key(text, x) for x in found]
                     entities.append(sorted(set(keys)))
-                    near.append([{"entity": e, "term": terms[k], "start": words[k][1], "end": words[k][2]} for e, at in zip(keys, contexts(words, found), strict=True) for k in at])
+                    near.append([{"entity": e, "term": t} for e, t in {(e, terms[k]) for e, at in zip(keys, contexts(words, found), strict=True) for k in at}])
                     places.append([{"term": t, "start": a, "end": b} for t, (w, a, b) in zip(terms, words, strict=True) if len(w) > 2])
                 columns = [pa.array(range(number, number + rows.num_rows), pa.int64()), rows.column("id"), *(pa.array(x, f.type) for x, f in zip((base, entities, near, places), list(arrow)[2:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -186,7 +186,7 @@ def held_together(scanned: DataFrame, df: DataFrame, text_col: str) -> DataFrame
     n_entity, those with the entity, for the thresholds to be reached at all.
     """
     of_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = scanned.select(F.inline("near")).select("entity", "term").distinct()
+    near = scanned.select(F.inline("near")).distinct()
     able = materialize(near.join(of_entity, "entity").join(document_frequency(df, text_col), "term").where(F.col("n_entity") >= GENERALISE * F.col("n_docs") - (1 - GENERALISE) * PRIOR_DOCS), "pii_able")
     words = scanned.where(F.size("words") > 0).select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
     words = flag_possible(words, able, "term").where("__maybe").drop("__maybe")
@@ -218,9 +218,14 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scanned = scan(df, id_col, text_col)
     both = held_together(scanned, df, text_col)
     terms = disclosing_terms(both, scanned)
-    hits = scanned.select("row", F.inline("near")).join(terms, ["entity", "term"]).select("row", F.struct("start", F.when(F.col("kind") == "gen", 4).otherwise(5).alias("kind_order"), "kind", "end").alias("span"))
-    added = hits.groupBy("row").agg(F.collect_set("span").alias("added"))
-    return scanned.join(added, "row", "left").select("id", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(scanned.schema["base"].dataType)))).alias("spans"))
+    # a term that discloses two identifiers of a text, and is to be removed for one, is removed
+    kinds = both.join(terms, ["entity", "term"]).groupBy("row", "term").agg((F.max(F.col("kind") == "del")).alias("away"))
+    of_row = kinds.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "away"))).alias("away"))
+    joined = scanned.select("row", "id", "base", "words").join(of_row, "row", "left")
+    held = F.filter("words", lambda w: F.map_contains_key("away", w["term"]))
+    away = lambda w: F.element_at("away", w["term"])
+    added = F.transform(held, lambda w: F.struct(w["start"].alias("start"), F.when(away(w), 5).otherwise(4).alias("kind_order"), F.when(away(w), "del").otherwise("gen").alias("kind"), w["end"].alias("end")))
+    return joined.select("id", "base", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(scanned.schema["base"].dataType)))).alias("spans"))
 
 
 def pii_sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

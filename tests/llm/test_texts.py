@@ -128,6 +128,15 @@ def test_pii_rare(spark):
     assert all(got[i] == [("del", "tamarisk")] for i in range(3, 23)) and not any(got[i] for i in range(23, 83))
 
 
+def test_pii_far_places(spark):
+    """All places of a disclosing term in the documents that hold its identifier, however far off; none in others."""
+    gap = "common words stands here " * 40
+    far, other = f"sandpiper {gap} four@x.org {gap} sandpiper common", "sandpiper common words"
+    got = marked(spark, ["here sandpiper four@x.org", far, far] + ["sandpiper four@x.org"] * 20 + [other] + PLAIN)
+    assert got[0] == [("del", "sandpiper")] and got[1] == got[2] == [("del", "sandpiper")] * 2
+    assert not any(got[i] for i in range(23, 84))
+
+
 def test_quality(spark):
     docs, labels = documents(spark, "/root/testdata/sf0.01"), {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = op6_quality(spark, "/root/testdata/sf0.01").collect()
