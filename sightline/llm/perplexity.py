@@ -23,7 +23,7 @@ from .common import id_field, map_text, materialize, pick, slices
 
 ORDER, BITS, SYMBOLS = 4, 6, 56
 #: The band reaches so many interquartile ranges beyond the quartiles of the bits per character.
-BAND = 3.0
+BAND = 2.0
 #: The narrowest interquartile range that counts, in bits per character.
 LEAST_SPREAD = 0.05
 #: A text counts as if so many more characters at its language's median followed.

@@ -79,6 +79,21 @@ def test_perplexity_query(spark):
     assert P.perplexity_quality(odd.limit(0)).count() == 0
 
 
+def test_perplexity_rejects(spark):
+    """Most bad text of both directions is rejected, too predictable and too odd; nearly all good text stays."""
+    at = "/root/testdata/sf0.1"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = [r for r in P.perplexity_quality(spark.read.parquet(f"{at}/documents.parquet")).collect() if not r.base_failed]
+    middle = {lang: np.median([r.perplexity for r in rows if r.lang == lang]) for lang in {r.lang for r in rows}}
+    good = [r.kept for r in rows if quality.get(r.id) == 1]
+    bad = [r for r in rows if quality.get(r.id) == 0]
+    assert sum(good) / len(good) > 0.98
+    assert sum(not r.kept for r in bad) / len(bad) > 0.6
+    for side in (1, -1):
+        found = [r for r in bad if side * (r.perplexity - middle[r.lang]) > 0]
+        assert found and sum(not r.kept for r in found) / len(found) > 0.5
+
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
