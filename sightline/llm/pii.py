@@ -1,20 +1,20 @@
 """Personal data: direct identifiers, and terms that disclose them.
 
-Direct identifiers are found by pattern. Around each of them the nearest words
-are its context. For each term that stands in a context of the entity somewhere,
-``p(entity | term)`` is the number of documents that hold both, at any distance,
-over the number of documents that hold the term, drawn a little to ``p(entity)``, so
-that terms seen once count too, but with care; the information a term reveals is
-``log2(p(entity | term) / p(entity))`` bits of the entity's
-``-log2 p(entity)``. Terms above the thresholds are generalised (kind ``gen``)
-or removed (kind ``del``) at all their places in the documents that hold the entity.
+Direct identifiers are found by pattern. Identifiers that stand in exactly the
+same documents are protected as one entity. For each term that stands in a
+document with the entity, at any distance, ``p(entity | term)`` is the number of
+documents that hold both over the number of documents that hold the term, drawn
+a little to ``p(entity)``, so that terms seen once count too, but with care; the
+information a term reveals is ``log2(p(entity | term) / p(entity))`` bits of the
+entity's ``-log2 p(entity)``. Terms above the thresholds are generalised (kind
+``gen``) or removed (kind ``del``) at all their places in the documents that hold
+the entity. All counts are of documents, over the whole corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,8 +29,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import flag_possible, materialize, pick, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an identifier that make its context, and the characters they are looked for in.
-NEAR_WORDS, NEAR_CHARS = 8, 160
 #: p(entity | term) is drawn to p(entity) as if so many more documents held the term: one document gives about 1/2.
 PRIOR_DOCS = 1
 #: p(entity | term) from which a term is generalised, and removed.
@@ -112,48 +110,33 @@ def free_words(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[s
     return found
 
 
-def contexts(words: list[tuple[str, int, int]], base: list[tuple[int, int, str, int]]) -> list[list[int]]:
-    """The places among the words of those near each identifier."""
-    starts, ends = [w[1] for w in words], [w[2] for w in words]
-    found = []
-    for start, _, _, end in base:
-        # words that reach out of the look-out are left out
-        before = range(max(bisect_left(starts, start - NEAR_CHARS), bisect_left(starts, start) - NEAR_WORDS), bisect_left(starts, start))
-        after = range(bisect_left(starts, end), min(bisect_right(ends, end + NEAR_CHARS), bisect_left(starts, end) + NEAR_WORDS))
-        found.append([k for k in (*before, *after) if len(words[k][0]) > 2])
-    return found
-
-
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each row of df: a row number, id, base spans, its entities, the terms near each and the words of texts with identifiers; written once."""
+    """One row for each row of df: a row number, id, base spans, identifiers, and the words of texts with identifiers; written once."""
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind_order", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())])
     word = T.StructType([T.StructField("term", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("base", T.ArrayType(span)), T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("near", T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.LongType())]))), T.StructField("words", T.ArrayType(word))])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("base", T.ArrayType(span)), T.StructField("identifiers", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(word))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for rows in slices(batch):
-                base, entities, near, places = [], [], [], []
+                base, identifiers, places = [], [], []
                 for text in rows.column("text").to_pylist():
                     found = find_base(text)
                     base.append([dict(zip(("start", "kind_order", "kind", "end"), x, strict=True)) for x in found])
                     words = free_words(text, found) if found else []
-                    terms = term_hashes([w for w, _, _ in words]).tolist()
-                    keys = [entity_key(text, x) for x in found]
-                    entities.append(sorted(set(keys)))
-                    near.append([{"entity": e, "term": t} for e, t in {(e, terms[k]) for e, at in zip(keys, contexts(words, found), strict=True) for k in at}])
-                    places.append([{"term": t, "start": a, "end": b} for t, (w, a, b) in zip(terms, words, strict=True) if len(w) > 2])
-                columns = [pa.array(range(number, number + rows.num_rows), pa.int64()), rows.column("id"), *(pa.array(x, f.type) for x, f in zip((base, entities, near, places), list(arrow)[2:], strict=True))]
+                    identifiers.append(sorted({entity_key(text, x) for x in found}))
+                    places.append([{"term": t, "start": a, "end": b} for t, (_, a, b) in zip(term_hashes([w for w, _, _ in words]).tolist(), words, strict=True)])
+                columns = [pa.array(range(number, number + rows.num_rows), pa.int64()), rows.column("id"), *(pa.array(x, f.type) for x, f in zip((base, identifiers, places), list(arrow)[2:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                 number += rows.num_rows
 
     return materialize(pick(df, id_col, text_col).mapInArrow(run, schema), "pii")
 
 
-def document_frequency(df: DataFrame, text_col: str) -> DataFrame:
-    """(term, n_docs) for every word of every text; tasks send sums, not words."""
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(term, n): documents that hold each word, as sums that each task made of some of its texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -167,7 +150,7 @@ def document_frequency(df: DataFrame, text_col: str) -> DataFrame:
             for rows in slices(batch):
                 words: list[str] = []
                 for text in rows.column("text").to_pylist():
-                    words += {w for w in text.lower().encode().translate(_WORD_BYTES).decode().split(" ") if len(w) > 2}
+                    words += set(text.lower().encode().translate(_WORD_BYTES).decode().split(" "))
                 held.append(term_hashes(words))
                 size += len(words)
                 if size > 4_000_000:
@@ -176,22 +159,37 @@ def document_frequency(df: DataFrame, text_col: str) -> DataFrame:
         if size:
             yield flush()
 
-    return df.select(F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
+    return df.select(F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).mapInArrow(run, "term long, n long")
+
+
+def entities(scanned: DataFrame) -> DataFrame:
+    """(row, entity, n_entity): the entities of each row, and the documents that hold them.
+
+    Identifiers are one entity if as many documents hold them, with the same
+    two exclusive-or sums of 64-bit hashes of their row numbers.
+    """
+    each = scanned.select("row", F.explode("identifiers").alias("identifier"))
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"x{k}") for k in (1, 2)]
+    held = each.groupBy("identifier").agg(F.count("*").alias("n_entity"), *sums)
+    return materialize(each.join(held, "identifier").select("row", F.xxhash64("n_entity", "x1", "x2").alias("entity"), "n_entity").distinct(), "pii_entities")
 
 
 def held_together(scanned: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
-    """(row, entity, term, n_entity, n_docs): documents that hold an entity and a term that stands near it in one of them.
+    """(row, entity, term, n_entity, n_docs): documents that hold an entity and a term.
 
     Only where n_docs, the documents with the term, is small enough against
-    n_entity, those with the entity, for the thresholds to be reached at all.
+    n_entity, those with the entity, for the thresholds to be reached at all:
+    both stand together in n_entity documents at most.
     """
-    of_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = scanned.select(F.inline("near")).distinct()
-    able = materialize(near.join(of_entity, "entity").join(document_frequency(df, text_col), "term").where(F.col("n_entity") >= GENERALISE * F.col("n_docs") - (1 - GENERALISE) * PRIOR_DOCS), "pii_able")
+    of_row = entities(scanned)
     words = scanned.where(F.size("words") > 0).select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
-    words = flag_possible(words, able, "term").where("__maybe").drop("__maybe")
-    rows = scanned.select("row", F.explode("entities").alias("entity"))
-    return materialize(words.join(able, "term").join(rows, ["row", "entity"], "left_semi"), "pii_both")
+    # only words of texts with identifiers are counted, and of them only those rare enough for some entity are looked up
+    counted = flag_possible(word_counts(df, text_col), words, "term").where("__maybe").groupBy("term").agg(F.sum("n").alias("n_docs"))
+    most = of_row.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("most"))  # one row
+    enough = lambda n: n >= GENERALISE * F.col("n_docs") - (1 - GENERALISE) * PRIOR_DOCS
+    rare = materialize(counted.crossJoin(F.broadcast(most)).where(enough(F.col("most"))).select("term", "n_docs"), "pii_rare")
+    near = flag_possible(words, rare, "term").where("__maybe").drop("__maybe").join(rare.hint("merge"), "term")
+    return materialize(near.join(of_row.hint("merge"), "row").where(enough(F.col("n_entity"))).select("row", "entity", "term", "n_entity", "n_docs"), "pii_both")
 
 
 def disclosing_terms(both: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -228,8 +226,14 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return joined.select("id", "base", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(scanned.schema["base"].dataType)))).alias("spans"))
 
 
+def general(term: str) -> str:
+    """The class that stands for a term: number, code (letters and digits), name (with a capital) or word."""
+    digits = sum(c.isdigit() for c in term)
+    return "<number>" if digits == len(term) else "<code>" if digits else "<name>" if term != term.lower() else "<word>"
+
+
 def pii_sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with identifiers replaced by ``<kind>``, revealing terms by ``<term>``, or taken out; ids must be unique.
+    """df with identifiers replaced by ``<kind>``, and revealing terms by what general() gives, or taken out; ids must be unique.
 
     Rows with a null id keep their text, as do null texts.
     """
@@ -243,7 +247,7 @@ def pii_sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 parts, last = [], 0
                 for s in found:
                     if s["start"] >= last:
-                        parts += [t[last : s["start"]], "" if s["kind"] == "del" else "<term>" if s["kind"] == "gen" else f"<{s['kind']}>"]
+                        parts += [t[last : s["start"]], "" if s["kind"] == "del" else general(t[s["start"] : s["end"]]) if s["kind"] == "gen" else f"<{s['kind']}>"]
                     last = max(last, s["end"])
                 t = "".join(parts) + t[last:]
             out.append(t)

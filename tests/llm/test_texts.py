@@ -1,9 +1,11 @@
 """Brute-force versions of the base parts of the license, personal-data and quality operators."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 from sightline.llm import pii
 from sightline.llm.compression_quality import fit, quality_scores, train
@@ -137,6 +139,56 @@ def test_pii_far_places(spark):
     assert not any(got[i] for i in range(23, 84))
 
 
+def plain_spans(texts):
+    """All spans of each text: base ones and disclosing terms, by counting documents one by one."""
+    base = [plain_pii(t) for t in texts]
+    words = []
+    for t, found in zip(texts, base, strict=True):
+        words.append([(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") if not any(a < m.end() and m.start() < b for a, _, _, b in found)])
+    whole = [set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())) for t in texts]
+    holders = {}
+    for i, (t, found) in enumerate(zip(texts, base, strict=True)):
+        for a, _, kind, b in found:
+            holders.setdefault((kind, t[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])), set()).add(i)
+    n_docs = Counter(w for x in whole for w in x)
+    marks = [{} for _ in texts]
+    for docs in {frozenset(x) for x in holders.values()}:
+        both = Counter(w for i in docs for w in {x for x, _, _ in words[i]})
+        usual = len(docs) / len(texts)
+        for w, n in both.items():
+            p = (n + usual) / (n_docs[w] + 1)
+            if p >= 0.5 and usual < 1 and math.log2(p / usual) >= 0.5 * -math.log2(usual):
+                for i in docs:
+                    marks[i][w] = marks[i].get(w, False) or p >= 0.9
+    out = []
+    for found, own, mark in zip(base, words, marks, strict=True):
+        more = [(a, 5, "del", b) if mark[w] else (a, 4, "gen", b) for w, a, b in own if w in mark]
+        out.append(sorted(found + more))
+    return out
+
+
+def test_pii_spans(spark):
+    """All spans against counting one by one, on the small table and on planted records; short words and far places included."""
+    rng = random.Random(9)
+    texts = list(documents(spark).values()) + [None, "", "spy@x.org"]
+    for i in range(120):
+        who = rng.randrange(12)
+        line = [f"n{who}", "ä", str(who), "Q"][: rng.randint(1, 4)] + rng.choices(["the", "of", "case", "x", "7", "file"], k=rng.randint(0, 30))
+        rng.shuffle(line)
+        texts.append(" ".join(line) + rng.choice(["", f" p{who}@corp.com", f" p{who}@corp.com +1 555 010 {1000 + who}", f" 10.0.0.{who}", " info@corp.com"]))
+    texts += [f"kestrel wrote about case {i} zed@corp.com" for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: [(s.start, s.kind_order, s.kind, s.end) for s in r.spans] for r in pii.pii_spans(df).collect()}
+    want = dict(enumerate(plain_spans(texts)))
+    assert got == want
+    kinds = Counter(k for x in want.values() for _, _, k, _ in x)
+    assert kinds["gen"] > 20 and kinds["del"] >= 12
+
+
+def test_pii_general():
+    assert [pii.general(x) for x in ("2024", "a1", "Ångström", "word", "日本")] == ["<number>", "<code>", "<name>", "<word>", "<word>"]
+
+
 def test_quality(spark):
     docs, labels = documents(spark, "/root/testdata/sf0.01"), {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = op6_quality(spark, "/root/testdata/sf0.01").collect()
