@@ -13,6 +13,10 @@ import numpy as np
 import xxhash
 
 KEY = 128
+#: Window starts that are worked on at a time; longer texts are cut there, with their windows whole.
+CHUNK = 1 << 18
+#: Bits of a place in a chunk. Where hashes agree in all others, the leftmost counts, whatever the size of the data.
+PLACE_BITS = 31
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -31,7 +35,7 @@ _CACHE: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     held = _CACHE.get("powers")
     if held is None or len(held[0]) < n:
-        held = _CACHE["powers"] = _powers(max(n, 1 << 20))
+        held = _CACHE["powers"] = _powers(max(n, CHUNK + (CHUNK >> 2)))
     return held[0][:n], held[1][:n]
 
 
@@ -63,13 +67,21 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int, key: int = KEY) -
     """Pieces of texts that stand one after the other in ``data``.
 
     Of each piece: its text, first start and number of starts (both in the
-    text), anchor's distance from the first start, and anchor's hash.
+    text), anchor's distance from the first start, and anchor's hash. A single
+    text that is longer than CHUNK is cut into chunks that overlap by a window.
     """
     none = np.zeros(0, np.int64)
+    if len(offsets) == 2 and len(data) > CHUNK + window:
+        found = []
+        for low in range(0, len(data) - window + 1, CHUNK):
+            part = data[low : low + CHUNK + window - 1]
+            text, lo, *rest = pieces(part, np.array([0, len(part)]), window, key)
+            found.append((text, lo + low, *rest))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     if not len(data) or np.diff(offsets).max(initial=0) < window:
         return none, none, none, none, np.zeros(0, np.uint64)
     h = rolling(data, key)
-    bits = np.uint64(max(20, int(len(data)).bit_length()))
+    bits = np.uint64(PLACE_BITS)
     least = sliding_least((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), window - key + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     sizes = np.diff(offsets)

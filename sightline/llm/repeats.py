@@ -9,8 +9,10 @@
    anchor, are laid one after the other, and the suffix order of their windows
    gives common prefixes, previous and next smaller positions and so the longest
    previous factor of each; a factor of ``length`` marks a repeat.
-4. An anchor with more than ``most`` different pieces is not brought into one
-   task: its windows are counted by a 128-bit hash of their bytes instead.
+4. The pieces of an anchor that has more than ``most`` of them, and would not
+   fit a task, are cut on into single windows. Equal windows are one class, as
+   equal pieces are; different ones of one length hold no repeat of each other,
+   so there is nothing left to put into suffix order.
 5. Marked windows come together by text.
 """
 
@@ -21,15 +23,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .anchors import digests, pieces
-from .common import bytes_of, columns, materialize, slices
+from .anchors import CHUNK, digests, pieces
+from .common import bytes_of, columns, flag_possible, materialize, slices
 from .suffixes import repeats
 
 LENGTH = 400
@@ -62,55 +63,42 @@ def union(ranges: Iterable[tuple[int, int]], reach: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def _scan(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Of each text: row number, keys, size, digest, starts of windows that its own pieces repeat, and its different pieces; written once."""
-    whole = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("own", _RANGES)]
-    schema = T.StructType([*whole, *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("anchor", "piece")], *[T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("lo", "n")]])
+def _scan(docs: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written once, in one table of flat rows: of each text row number, keys, size and digest; its different pieces; and its windows that its own pieces repeat."""
+    whole = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.StringType())]
+    piece_fields = [T.StructField("anchor", T.LongType()), T.StructField("piece", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType())]
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *whole, *piece_fields])
     arrow = to_arrow_schema(schema)
 
+    def flat(part: int, size: int, **values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, part, np.int32)), *[x if isinstance(x := values.get(f.name), pa.Array) else pa.nulls(size, f.type) if x is None else pa.array(x, f.type) for f in list(arrow)[1:]]], schema=arrow)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=CHUNK):
                 data, offsets = bytes_of(part.column("text"))
-                raw = data.tobytes()
+                raw = memoryview(data)
                 text, lo, n, distance, anchor = pieces(data, offsets, length)
                 piece = digests(raw, offsets[text] + lo, n, distance, length)
+                shas = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield flat(0, part.num_rows, row=np.arange(number, number + part.num_rows), id=part.column("id"), ka=part.column("ka"), kb=part.column("kb"), n_bytes=np.diff(offsets), sha=shas)
                 # repeats of a piece within its text are settled here
                 order = np.lexsort([lo, piece, anchor, text])
                 again = np.zeros(len(order), bool)
-                if len(order) > 1:
-                    a, b = order[1:], order[:-1]
-                    same = (text[a] == text[b]) & (anchor[a] == anchor[b]) & (piece[a] == piece[b])
-                    again[a[same]] = True
-                    settled = again.copy()
-                    if not keep_first:
-                        settled[b[same]] = True
-                else:
-                    settled = again
-                cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
-                lists: dict[str, list] = {"own": [], "anchor": [], "piece": [], "lo": [], "n": []}
-                signed_anchor, signed_piece = anchor.view(np.int64), piece.view(np.int64)
-                for i in range(part.num_rows):
-                    s = slice(cuts[i], cuts[i + 1])
-                    own = settled[s]
-                    merged: list[tuple[int, int]] = []
-                    for x, k in zip(lo[s][own].tolist(), n[s][own].tolist(), strict=True):
-                        if merged and merged[-1][0] + merged[-1][1] == x:
-                            merged[-1] = (merged[-1][0], merged[-1][1] + k)
-                        else:
-                            merged.append((x, k))
-                    lists["own"].append([{"lo": x, "n": k} for x, k in merged])
-                    left = ~again[s]
-                    for name, values in (("anchor", signed_anchor), ("piece", signed_piece), ("lo", lo), ("n", n)):
-                        lists[name].append(values[s][left])
-                size = np.diff(offsets)
-                shas = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                fixed = [pa.array(np.arange(number, number + part.num_rows)), part.column("id"), part.column("ka"), part.column("kb"), pa.array(size), pa.array(shas)]
-                yield pa.RecordBatch.from_arrays([*fixed, *[pa.array(lists[f.name], f.type) for f in list(arrow)[6:]]], schema=arrow)
+                a, b = order[1:], order[:-1]
+                same = (text[a] == text[b]) & (anchor[a] == anchor[b]) & (piece[a] == piece[b])
+                again[a[same]] = True
+                settled = again.copy()
+                if not keep_first:
+                    settled[b[same]] = True
+                for kind, rows in ((1, ~again), (2, settled)):
+                    if rows.any():
+                        yield flat(kind, int(rows.sum()), row=text[rows] + number, lo=lo[rows], n=n[rows], **({"anchor": anchor.view(np.int64)[rows], "piece": piece.view(np.int64)[rows]} if kind == 1 else {}))
                 number += part.num_rows
 
-    return materialize(docs.mapInArrow(run, schema), "windows")
+    table = materialize(docs.mapInArrow(run, schema), "windows")
+    return table.where("part = 0").select(*[f.name for f in whole]), table.where("part = 1").select("row", *[f.name for f in piece_fields]), table.where("part = 2").select("row", "lo", "n")
 
 
 def _piece_bytes(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -172,23 +160,31 @@ def _compared(found: DataFrame, length: int, later_only: bool) -> DataFrame:
 
 
 def _counted(found: DataFrame, length: int, later_only: bool) -> DataFrame:
-    """As _compared, for anchors with very many pieces: windows are counted by hash; no anchor meets in one task."""
+    """As _compared, for anchors with very many pieces: their windows are classes of their own; no anchor meets in one task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "bytes", 1 << 18):
-                values = [part.column(c).to_pylist() for c in ("anchor", "piece", "row", "lo", "n", "bytes")]
-                out: list[tuple] = []
-                for a, p, row, lo, n, raw in zip(*values, strict=True):
-                    for k in range(n):
-                        h = xxhash.xxh3_128_digest(raw[k : k + length])
-                        out.append((a, p, row, lo, k, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2, strict=True)], names=["anchor", "piece", "row", "lo", "k", "ha", "hb"])
+                data, offsets = bytes_of(part.column("bytes"))
+                n = part.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.repeat(np.arange(len(n)), n)
+                k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                low = offsets[of] + k
+                # equal windows have equal digests, by two seeds of a 64-bit hash over their words of eight bytes
+                words = np.lib.stride_tricks.sliding_window_view(data, 8).view(np.uint64).ravel() if len(data) >= 8 else np.zeros(0, np.uint64)
+                h = [np.zeros(len(low), np.uint64), np.full(len(low), 0x632BE59BD9B4E019, np.uint64)]
+                for at in range(0, length, 8):
+                    word = words[low + at]
+                    for i, factor in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
+                        h[i] = (h[i] ^ word) * np.uint64(factor)
+                        h[i] ^= h[i] >> np.uint64(29 + 3 * i)
+                row = part.column("row").to_numpy(zero_copy_only=False)[of]
+                yield pa.RecordBatch.from_arrays([part.column("anchor").take(pa.array(of)), part.column("piece").take(pa.array(of)), pa.array(row), part.column("lo").take(pa.array(of)), pa.array(k.astype(np.int32)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64))], names=["anchor", "piece", "row", "lo", "k", "ha", "hb"])
 
     windows = found.mapInArrow(run, "anchor long, piece long, row long, lo int, k int, ha long, hb long")
-    more = windows.groupBy("ha", "hb").agg(F.min(F.struct("row", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    hits = windows.join(more, ["ha", "hb"])
+    more = materialize(windows.groupBy("ha", "hb").agg(F.min(F.struct("row", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
+    # most windows hold something of their own text and stand once: they stay where they are
+    hits = flag_possible(windows, more, "ha").where("__maybe").drop("__maybe").join(more, ["ha", "hb"])
     if later_only:
         hits = hits.where(F.struct("row", "lo") > F.col("first"))
     return hits.groupBy("anchor", "piece").agg(F.collect_list(F.struct(F.col("k").alias("lo"), F.lit(1).alias("n"))).alias("ranges"))
@@ -206,10 +202,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are not read.
     """
     docs = columns(df, id_col, text_col).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(7), "text")})
-    scanned = _scan(docs, length, keep_first)
-    each = scanned.select("row", F.inline(F.arrays_zip("anchor", "piece", "lo", "n")))
-    shared = each.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("piece") != F.max("piece")).alias("mixed")).where("c > 1").select("anchor", "mixed")
-    hits = materialize(each.join(shared, "anchor"), "hits")
+    scanned, each, own = _scan(docs, length, keep_first)
+    shared = materialize(each.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("piece") != F.max("piece")).alias("mixed")).where("c > 1").select("anchor", "mixed"), "shared")
+    # most anchors stand once and are not shuffled again
+    hits = materialize(flag_possible(each, shared, "anchor").where("__maybe").drop("__maybe").join(shared.hint("merge"), "anchor"), "hits")
 
     classes = hits.groupBy("anchor", "piece").agg(F.count("*").alias("c"), F.min(F.struct("row", "lo", "n")).alias("first"), F.first("mixed").alias("mixed"))
     classes = materialize(classes, "classes")
@@ -217,24 +213,25 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_anchors = classes.where("mixed").groupBy("anchor").agg(F.count("*").alias("n_pieces"), F.min("c").alias("least"))
     if not keep_first:
         open_anchors = open_anchors.where("least = 1")
-    wanted = classes.join(open_anchors, "anchor").select("anchor", "piece", "first.*", (F.col("n_pieces") > most).alias("big"))
-    rows = hits.where("mixed").select("row").distinct().join(scanned.select("row", "id", "ka", "kb"), "row")
-    texts = docs.join(rows, (docs["ka"] == rows["ka"]) & (docs["kb"] == rows["kb"]) & docs["id"].eqNullSafe(rows["id"])).select("row", "text")
+    open_anchors = materialize(open_anchors, "open")
+    wanted = classes.where("mixed").join(open_anchors, "anchor").select("anchor", "piece", "first.*", (F.col("n_pieces") > most).alias("big"))
+    rows = materialize(hits.where("mixed").select("row").distinct().join(scanned.select("row", "id", "ka", "kb"), "row"), "rows")
+    likely = flag_possible(docs, rows, "ka").where("__maybe").drop("__maybe")
+    texts = likely.join(rows.hint("merge"), (likely["ka"] == rows["ka"]) & (likely["kb"] == rows["kb"]) & likely["id"].eqNullSafe(rows["id"])).select("row", "text")
     texts = materialize(texts, "texts")
     found = _piece_bytes(wanted, texts, length)
     small = _compared(found.where("not big").drop("big").repartition("anchor").sortWithinPartitions("anchor"), length, keep_first)
-    if wanted.where("big").isEmpty():
+    if open_anchors.where(F.col("n_pieces") > most).isEmpty():
         parts = small
     else:
         parts = small.unionAll(_counted(found.where("big").drop("big"), length, keep_first))
     parts = materialize(parts, "parts")
 
-    whole = classes.where("c > 1").select("anchor", "piece", F.col("first.row").alias("first_row"))
+    whole = classes.where("c > 1").select("anchor", "piece", F.col("first.row").alias("first_row"), F.col("first.lo").alias("first_lo"))
     full = hits.join(whole, ["anchor", "piece"])
     if keep_first:
-        full = full.where("row <> first_row")
+        full = full.where("row <> first_row or lo <> first_lo")
     partial = hits.join(parts, ["anchor", "piece"]).select("row", "lo", F.explode("ranges").alias("r")).select("row", (F.col("lo") + F.col("r.lo")).alias("lo"), F.col("r.n").alias("n"))
-    own = scanned.select("row", F.inline("own"))
     marked = full.select("row", "lo", "n").unionAll(partial).unionAll(own).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
     marked = marked.join(scanned.select("row", "id", "ka", "kb", "n_bytes"), "row")
 

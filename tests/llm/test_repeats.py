@@ -97,6 +97,32 @@ def test_against_all_windows(spark):
         assert got == want
 
 
+def test_very_long_text(spark):
+    """A text of several chunks beside short ones: the same anchors, repeats within it, across chunks and with others."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    p, q = prose(120), prose(100)
+    long = prose(20000) + p + prose(20000) + q + prose(3000) + p
+    assert len(long) > anchors.CHUNK
+    texts = [prose(60), long, "x " + p + " y", q, prose(90) + q[10:]]
+    for keep_first in (False, True):
+        got = {r.id: (r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256) for r in repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), keep_first=keep_first).collect()}
+        assert got == dict(enumerate(plain(texts, 400, keep_first))) and got[1][1]
+
+
+def test_chunks_cut_alike():
+    """Windows have the same anchors in a long text's chunks as in short data."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 3, anchors.CHUNK + 5000).astype(np.uint8)
+    text, lo, n, distance, h = anchors.pieces(data, np.array([0, len(data)]), 400)
+    assert n.sum() == len(data) - 399 and np.array_equal(lo[1:], lo[:-1] + n[:-1])
+    at = np.repeat(lo + distance, n)
+    for start in (0, anchors.CHUNK - 300, anchors.CHUNK + 100):
+        part = anchors.pieces(data[start : start + 900], np.array([0, 900]), 400)
+        assert np.array_equal(np.repeat(part[1] + part[3], part[2]) + start, at[start : start + 501])
+
+
 def test_odd_rows(spark):
     long = "word " * 100
     df = spark.createDataFrame([(None, long), (1, None), (1, long), (1, long), (2, "")], "doc_id long, text string")
