@@ -6,7 +6,7 @@ import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
 
-from sightline.llm.bpe import bpe_encode, codec
+from sightline.llm.bpe import TreeCodec, bpe_encode, codec
 from sightline.llm.queries import op5_bpe, op7_token_counts
 from sightline.llm.token_counts import merger, token_counts
 
@@ -45,6 +45,52 @@ def test_counts_equal_library():
     assert merger(P.path("byte_bpe_50k.json")).count(texts) == want
 
 
+def odd_words(rng, n):
+    pools = ["abc", "etaoinshrdlu", "0123456789", "aA", "的是不éß", "==--__", "ab", "a", "abcdefghijklmnopqrstuvwxyz"]
+    return ["".join(rng.choice(pool) for _ in range(rng.randint(1, 400))) for pool in (rng.choice(pools) for _ in range(n))]
+
+
+def test_joins_within_words():
+    """Words cut at every few bytes and joined again, by the library's ids."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codes = [TreeCodec(ranks, P.PATTERN, leaf, word_leaf) for leaf, word_leaf in ((1, 1), (7, 3), (64, 16))]
+    for text in odd_words(random.Random(3), 300):
+        want = own.encode_ordinary(text)
+        assert all(code.encode(text) == want for code in codes)
+
+
+def test_other_patterns():
+    """Stable cuts are those of one pattern; any other is encoded rightly without them."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    for pattern in (r"\w+|\W+", r"[a-z .,]+|[^a-z .,]+", r"(?s:.)", r"\S+\s*|\s+"):
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        code = TreeCodec(ranks, pattern, 16, 8)
+        for text in hard_texts()[:40]:
+            assert code.encode(text[:800]) == own.encode_ordinary(text[:800])
+
+
+def test_very_long_words():
+    """Words of a megabyte: by round trip and, for their beginnings, by the libraries."""
+    rng = random.Random(4)
+    own, ranks = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    code, count = codec(RANKS, P.PATTERN), merger(P.path("byte_bpe_50k.json")).count
+    for pool in ("abcdefghijklmnopqrstuvwxyz", "a", "!"):
+        word = "".join(rng.choice(pool) for _ in range(1 << 20))
+        ids = code.encode(word)
+        begin = library.encode_ordinary(word[:20000])
+        assert code.decode(ids) == word.encode() and ids[: len(begin) // 2] == begin[: len(begin) // 2]
+        assert count([word])[0] > 0 and count([word[:20000]]) == [len(own.encode(word[:20000], add_special_tokens=False).ids)]
+
+
+def test_counts_of_joined_words():
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    words, count = odd_words(random.Random(5), 600), merger(P.path("byte_bpe_50k.json"))
+    want = [len(x.ids) for x in own.encode_batch(words, add_special_tokens=False)]
+    assert count.count(words) == want and [count.count_long(w.encode()) for w in words] == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "a b", "y"), (2, "", "z"), (1, None, "x")], "doc_id long, text string, n_tokens string")
     got = token_counts(df, P.path("byte_bpe_50k.json")).collect()
