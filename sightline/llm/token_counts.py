@@ -5,6 +5,13 @@ the number of the pre-token each belongs to. In each round every sequence
 finds its lowest-ranked neighbouring pair, and all sequences merge theirs at
 once; a sequence without a mergeable pair is finished, and its surviving
 symbols are its token count.
+
+A long pre-token would take a round for nearly each of its symbols, over all of
+them. It is cut into short sequences that merge in the same arrays; then
+neighbours are joined, all pairs at once, by merging a window of symbols around
+their border again. A sequence of symbols is the right one if and only if each
+two neighbours are what their bytes merge to, so a window is wide enough once
+the pairs at its ends are.
 """
 
 from __future__ import annotations
@@ -20,8 +27,10 @@ from pyspark.sql import types as T
 
 from .common import id_field, map_text, pc, pick
 
-#: Counts of pre-tokens a worker remembers between slices.
-CACHE = 400_000
+#: Counts of pre-tokens of at most LONG bytes that a worker remembers between slices.
+CACHE, LONG = 400_000, 96
+#: Bytes of the sequences that longer pre-tokens are cut into, and symbols of either side in a window at first.
+PART, FIRST_SYMBOLS = 32, 2
 NO_RANK = np.int32(2**31 - 1)
 #: The pattern of the tokenizer's byte-level splitter (fixed by its format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -88,9 +97,11 @@ class RankMerger:
         self.hints = special
         self.split = regex.compile(SPLIT)
         self.known: dict[str, int] = {}
+        letters = {x: i for i, x in enumerate(byte_letters())}
+        self.bytes_of = {i: bytes(letters[c] for c in x) for x, i in vocab.items() if all(c in letters for c in x)}
 
-    def merge(self, sequences: list[bytes]) -> np.ndarray:
-        """Surviving symbols of each sequence."""
+    def merge(self, sequences: list[bytes], survivors: list | None = None) -> np.ndarray:
+        """How many symbols of each sequence survive; ``survivors`` gets (symbols, sequences they belong to) as these finish."""
         sizes = np.array([len(x) for x in sequences], np.int64)
         counts = sizes.copy()
         symbol = self.first[np.frombuffer(b"".join(sequences), np.uint8)]
@@ -104,6 +115,9 @@ class RankMerger:
             done = lowest == NO_RANK
             counts[owner[starts[done]]] = spans[done]
             best = np.repeat(lowest, spans)
+            if survivors is not None and done.any():
+                over = best == NO_RANK
+                survivors.append((symbol[over], owner[over]))
             hit = (rank == best) & (best != NO_RANK)
             at = np.flatnonzero(hit)
             if not len(at):
@@ -119,14 +133,62 @@ class RankMerger:
         else:
             if len(symbol):
                 counts[owner[0]] = 1
+                if survivors is not None:
+                    survivors.append((symbol, owner))
         return counts
 
-    def learn(self, words: set[str]) -> None:
+    def symbols(self, sequences: list[bytes]) -> list[list[int]]:
+        """The surviving symbols of each sequence."""
+        found: list = []
+        counts = self.merge(sequences, found)
+        if not found:
+            return [[] for _ in sequences]
+        symbol, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+        flat = symbol[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(counts).tolist()
+        return [flat[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
+
+    def raw(self, symbols: list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in symbols])
+
+    def count_long(self, raw: bytes) -> int:
+        """Symbols that survive of a long pre-token."""
+        parts = self.symbols([raw[i : i + PART] for i in range(0, len(raw), PART)])
+        while len(parts) > 1:
+            parts = self.join(parts[::2], parts[1::2]) + parts[len(parts) - len(parts) % 2 :]
+        return len(parts[0])
+
+    def join(self, lefts: list[list[int]], rights: list[list[int]]) -> list[list[int]]:
+        """The symbols of each left and right together."""
+        out: list = [None] * len(rights)
+        wide = {i: (FIRST_SYMBOLS, FIRST_SYMBOLS) for i in range(len(rights))}
+        while wide:
+            wide = {i: (min(a, len(lefts[i])), min(b, len(rights[i]))) for i, (a, b) in wide.items()}
+            windows = self.symbols([self.raw(lefts[i][len(lefts[i]) - a :] + rights[i][:b]) for i, (a, b) in wide.items()])
+            ends = []
+            for (i, (a, b)), window in zip(wide.items(), windows, strict=True):
+                ends.append([lefts[i][len(lefts[i]) - a - 1], window[0]] if a < len(lefts[i]) else [])
+                ends.append([window[-1], rights[i][b]] if b < len(rights[i]) else [])
+            stand = [not x or x == y for x, y in zip(ends, self.symbols([self.raw(x) for x in ends]), strict=True)]
+            again = {}
+            for k, ((i, (a, b)), window) in enumerate(zip(wide.items(), windows, strict=True)):
+                if stand[2 * k] and stand[2 * k + 1]:
+                    out[i] = lefts[i][: len(lefts[i]) - a] + window + rights[i][b:]
+                else:
+                    again[i] = (a if stand[2 * k] else 2 * a, b if stand[2 * k + 1] else 2 * b)
+            wide = again
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, int]:
+        """Remembers the counts of the words; the counts of long ones are returned."""
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
         new = [x for x in words if x not in self.known]
-        if new:
-            self.known.update(zip(new, self.merge([x.encode() for x in new]).tolist(), strict=True))
+        raw = [x.encode() for x in new]
+        short = [k for k, x in enumerate(raw) if len(x) <= LONG]
+        if short:
+            self.known.update(zip([new[k] for k in short], self.merge([raw[k] for k in short]).tolist(), strict=True))
+        return {x: self.count_long(r) for x, r in zip(new, raw, strict=True) if len(r) > LONG} if len(short) < len(new) else {}
 
     def count(self, texts: list[str]) -> list[int]:
         parts, extra = [], []
@@ -138,8 +200,10 @@ class RankMerger:
             else:
                 extra.append(0)
                 parts.append(self.split.findall(text))
-        self.learn({w for x in parts for w in x})
+        long = self.learn({w for x in parts for w in x})
         known = self.known
+        if long:
+            return [n + sum([known[w] if w in known else long[w] for w in x]) for n, x in zip(extra, parts, strict=True)]
         return [n + sum([known[w] for w in x]) for n, x in zip(extra, parts, strict=True)]
 
 
