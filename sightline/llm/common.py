@@ -110,4 +110,21 @@ def flag_possible(df: DataFrame, keys: DataFrame, column: str, flag: str = "__ma
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__slot", "__bucket", "__bits")
 
 
-__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "columns", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "filter_text", "flag_possible", "pc"]
+#: Rows of a key from which joins spread it, and the parts it is spread over.
+HOT_ROWS, SALTS = 512, 32
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, salt_by: str) -> DataFrame:
+    """The inner join of left with right, which has one row for each value of ``on``.
+
+    Rows of left whose key is in hot (which has the column ``on[0]``, written
+    before) are dealt out over SALTS tasks by ``salt_by``, and right's row of the key
+    goes to each of them. Both sides tell hot keys by the same bitmap.
+    """
+    l, r = flag_possible(left, hot, on[0], "__hot"), flag_possible(right, hot, on[0], "__hot")
+    l = l.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    r = r.withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return l.join(r.hint("merge"), [*on, "__salt"]).drop("__salt")
+
+
+__all__ = ["SLICE_BYTES", "table", "shared_root", "materialize", "pick", "columns", "id_field", "offsets_of", "bytes_of", "slices", "map_text", "filter_text", "flag_possible", "hot_join", "HOT_ROWS", "pc"]

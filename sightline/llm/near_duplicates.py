@@ -12,6 +12,11 @@
    several groups counts in the least of them only.
 5. Tasks send the number of links of each row and one tree of links for each
    connected part, never all pairs; parts become classes as connected components.
+6. Where only classes are asked for, a group of several blocks is first held
+   against its least row. Rows linked to it are connected already; only pairs
+   with a row that is not are compared, so that a family of m copies costs m
+   comparisons and not their square. Numbers of links need all of them.
+7. Joins by keys that many rows share deal these rows out over several tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.graph import components
-from .common import flag_possible, materialize, pick, slices
+from .common import HOT_ROWS, flag_possible, hot_join, materialize, pick, slices
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Most hash functions that a signature may have.
@@ -216,35 +221,87 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, keys: bool = False) -> DataFrame:
+def _near_star(placed: DataFrame, threshold: float) -> DataFrame:
+    """(row, group, grams, linked) of rows (row, group, grams, star, star_grams): whether each is as similar to the star."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for mine, other in zip(batch.column("grams"), batch.column("star_grams"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, other))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "group", "star", "grams")] + [pa.array(linked, pa.bool_())], names=["row", "group", "star", "grams", "linked"])
+
+    return placed.select("row", "group", "star", "grams", "star_grams").mapInArrow(run, "row long, group long, star long, grams binary, linked boolean")
+
+
+def _paired(placed: DataFrame) -> DataFrame:
+    """placed (with block, n_blocks, n_open) once for each pair of blocks low <= high it is part of, low being below n_open."""
+    other = F.sequence(F.lit(0), F.when(F.col("block") < F.col("n_open"), F.col("n_blocks")).otherwise(F.col("n_open")) - 1)
+    return placed.withColumn("other", F.explode(other)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+
+
+def _pairs_of_all(member: DataFrame, of_row: DataFrame, sets: DataFrame, n_blocks: DataFrame) -> DataFrame:
+    """Rows with their sets, for each pair of blocks of their groups."""
+    hot = materialize(n_blocks.where("n_blocks > 1"), "hot-groups")
+    placed = hot_join(member.select("row", "group"), n_blocks, ["group"], hot, "row").withColumns({"block": F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int"), "n_open": F.col("n_blocks")})
+    # the plan is the same at every size: a small side is not broadcast only where the input is small
+    return _paired(placed).join(of_row, "row").join(sets.hint("merge"), "row")
+
+
+def _pairs_with_open(member: DataFrame, of_row: DataFrame, sets: DataFrame, n_blocks: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """As _pairs_of_all for groups of one block; of larger ones, pairs with rows that are not linked to the star; and the links to stars."""
+    sets = materialize(sets, "sets")
+    large = materialize(n_blocks.where("n_blocks > 1"), "hot-groups")
+    inside = member.join(n_blocks.where("n_blocks = 1"), "group").select("row", "group")
+    small = inside.withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)}).join(of_row, "row").join(sets.hint("merge"), "row")
+    if large.isEmpty():
+        return small, None
+    rows = materialize(hot_join(member.select("row", "group"), large.select("group"), ["group"], large, "row"), "large-groups")
+    stars = rows.groupBy("group").agg(F.min("row").alias("star")).join(sets.select(F.col("row").alias("star"), F.col("grams").alias("star_grams")), "star")
+    held = materialize(_near_star(hot_join(rows.join(sets.hint("merge"), "row"), stars, ["group"], large, "row"), threshold), "near-star")
+    count = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.length("grams") / 8)), F.lit(0)) / BLOCK_GRAMS)).cast("int")
+    sizes = materialize(held.groupBy("group").agg(count(~F.col("linked")).alias("n_open"), count(F.col("linked")).alias("n_linked")).where("n_open > 0").withColumn("n_blocks", F.col("n_open") + F.col("n_linked")), "open")
+    placed = hot_join(held, sizes, ["group"], sizes, "row")
+    block = F.when(F.col("linked"), F.col("n_open") + F.pmod(F.xxhash64("row"), F.greatest("n_linked", F.lit(1)))).otherwise(F.pmod(F.xxhash64("row"), F.col("n_open")))
+    again = _paired(placed.withColumn("block", block.cast("int"))).join(of_row, "row")
+    columns = ["row", "group", "block", "low", "high", "groups", "grams"]
+    return small.select(*columns).unionAll(again.select(*columns)), held.where("linked and row <> star").select(F.col("row").alias("a"), F.col("star").alias("b"), F.lit(0).cast("long").alias("n"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, keys: bool = False, links: bool = True) -> DataFrame:
     """One row for each row of df: id, class_id, copy_id, n_copies, n_links, first.
 
     ``copy_id`` is the least id of the rows with the same text, ``n_copies``
     their number; ``n_links`` counts the *different* texts whose word shingles
-    have a Jaccard similarity of at least ``threshold``; ``class_id`` is the
-    least id of the rows that copies and links connect. ``first`` marks one row
-    of each class. Words are lower-cased runs of letters and digits; a text with
+    have a Jaccard similarity of at least ``threshold`` (null without ``links``,
+    which spares large families the comparison of all their pairs); ``class_id``
+    is the least id of the rows that copies and links connect. ``first`` marks one
+    row of each class. Words are lower-cased runs of letters and digits; a text with
     fewer than ``words`` of them is one shingle. Null, empty and wordless texts
     equal no other and have no links. Null ids stay as rows and count as
     highest; repeated rows are copies of each other; an empty table gives an
     empty table; other columns of df are not read. ``keys`` adds the two hashes
-    of the text that rows were compared by.
+    of the text that rows were compared by, ``ka`` and ``kb``.
     """
     docs = pick(df, id_col, text_col).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(7), "text")})
     signed = _signatures(docs, *choose_bands(threshold, recall), words)
     copies = materialize(signed.groupBy("ka", "kb").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("rep"), F.min("id").alias("copy_id"), F.count("*").alias("n_copies")), "copies")
+    often = materialize(copies.where(F.col("n_copies") >= HOT_ROWS).select("ka"), "often")
 
     # rows that only repeat a text drop out; bands of rows that surely do not are not shuffled for that
-    repeats = materialize(signed.select("row", "ka", "kb").join(copies.where("n_copies > 1").select("ka", "kb", "rep"), ["ka", "kb"]).where("row <> rep").select("row"), "repeats")
+    repeats = materialize(hot_join(signed.select("row", "ka", "kb"), copies.where("n_copies > 1").select("ka", "kb", "rep"), ["ka", "kb"], often, "row").where("row <> rep").select("row"), "repeats")
     flagged = flag_possible(signed.select("row", "n", "bands"), repeats, "row")
     firsts = flagged.where("not __maybe").drop("__maybe").unionAll(flagged.where("__maybe").drop("__maybe").join(repeats, "row", "left_anti"))
-    keys = firsts.select("row", "n", F.explode("bands").alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("c")).where("c > 1").select("key", "centre"), "buckets")
+    banded = firsts.select("row", "n", F.explode("bands").alias("key"))
+    buckets = materialize(banded.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("c")).where("c > 1"), "buckets")
     # nearly all band hashes stand once and stay where they are
-    met = flag_possible(keys, buckets, "key").where("__maybe").drop("__maybe")
-    member = materialize(met.join(buckets.hint("merge"), "key").select("row", "n", "centre").distinct(), "members")
+    met = flag_possible(banded, buckets, "key").where("__maybe").drop("__maybe")
+    member = materialize(hot_join(met, buckets.select("key", "centre"), ["key"], buckets.where(F.col("c") >= HOT_ROWS), "row").select("row", "n", "centre").distinct(), "members")
     passed = member.groupBy(F.col("row").alias("centre")).agg(F.min("centre").alias("group"))
-    member = materialize(member.join(passed, "centre").select("row", "n", "group").distinct(), "groups")
+    large = materialize(member.groupBy("centre").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_ROWS), "hot-centres")
+    member = materialize(hot_join(member, passed, ["centre"], large, "row").select("row", "n", "group").distinct(), "groups")
 
     n_blocks = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
     of_row = member.groupBy("row").agg(F.collect_set("group").alias("groups"))  # as many as there are bands at most
@@ -254,24 +311,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same_id = likely["id"].eqNullSafe(wanted["id"])
     texts = likely.join(wanted.hint("merge"), (likely["ka"] == wanted["ka"]) & (likely["kb"] == wanted["kb"]) & same_id).select("row", "text")
     sets = _shingle_sets(texts, words)
-    placed = member.join(n_blocks, "group").withColumn("block", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    placed = placed.select("row", "group", "block", other).select("row", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    # the plan is the same at every size: a small side is not broadcast only where the input is small
-    blocks = placed.join(of_row, "row").join(sets.hint("merge"), "row").repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
-    found = materialize(_verified(blocks, threshold), "links")
-
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    stars = None
+    if links:
+        blocks = _pairs_of_all(member, of_row, sets, n_blocks)
+    else:
+        blocks, stars = _pairs_with_open(member, of_row, sets, materialize(n_blocks, "blocks"), threshold)
+    found = _verified(blocks.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high"), threshold)
+    found = materialize(found if stars is None else found.unionAll(stars), "links")
+
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     parts = components(found.where("b is not null")).select(F.col("node").alias("rep"), "label")
-    classes = copies.join(parts, "rep", "left").join(links, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    least = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min_by("rep", F.struct(F.col("copy_id").isNull(), "copy_id", "rep")).alias("first_rep"))
-    classes = classes.join(least, "label").select("ka", "kb", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first_rep") == F.col("rep")).alias("__leads"), F.col("rep").alias("__rep"))
-    return signed.select("row", "id", "ka", "kb").join(classes, ["ka", "kb"]).select("id", "class_id", "copy_id", "n_copies", "n_links", (F.col("__leads") & (F.col("row") == F.col("__rep"))).alias("first"), *(["ka", "kb"] if keys else []))
+    classes = copies.join(parts, "rep", "left").join(counts, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    least = classes.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.min_by("rep", F.struct(F.col("copy_id").isNull(), "copy_id", "rep")).alias("first_rep"), F.count("*").alias("c"))
+    least, classes = materialize(least, "classes"), materialize(classes, "labelled")
+    classes = hot_join(classes, least.drop("c"), ["label"], least.where(F.col("c") >= HOT_ROWS), "rep").select("ka", "kb", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first_rep") == F.col("rep")).alias("__leads"), F.col("rep").alias("__rep"))
+    n_links = F.col("n_links") if links else F.lit(None).cast("long")
+    joined = hot_join(signed.select("row", "id", "ka", "kb"), classes, ["ka", "kb"], often, "row")
+    return joined.select("id", "class_id", "copy_id", "n_copies", n_links.alias("n_links"), (F.col("__leads") & (F.col("row") == F.col("__rep"))).alias("first"), *(["ka", "kb"] if keys else []))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """df with one row of each class of near duplicates, all columns as they are; see near_duplicates for the classes and which row is first."""
-    found = near_duplicates(df, id_col, text_col, words, threshold, recall, keys=True)
+    found = near_duplicates(df, id_col, text_col, words, threshold, recall, keys=True, links=False)
     by_key = materialize(found.groupBy("id", "ka", "kb").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"), "dropped")
     keyed = df.withColumns({"__ka": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__kb": F.xxhash64(F.lit(7), F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
 

@@ -1,7 +1,7 @@
 import random
 
 from sightline.functions.graph import components
-from sightline.llm.near_duplicates import choose_bands, intersections, near_duplicates, shingles
+from sightline.llm.near_duplicates import choose_bands, drop_near_duplicates, intersections, near_duplicates, shingles
 from sightline.llm.queries import op2_near_duplicates
 
 
@@ -91,6 +91,23 @@ def test_against_all_pairs(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_large_families(spark):
+    """Families of several blocks, with and without numbers of links, against all pairs; some rows are not linked to the least one."""
+    rng = random.Random(21)
+    texts = family(rng, 1900, 60, 4) + family(rng, 40, 30, 2) + ["copied " * 3 + " ".join(f"c{i}" for i in range(30))] * 1500
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = {d: (c, n) for d, c, n in plain(rows)}
+    found = near_duplicates(df)
+    assert found.columns == ["id", "class_id", "copy_id", "n_copies", "n_links", "first"]
+    got = {r.id: (r.class_id, r.n_links) for r in found.collect()}
+    assert got == want and len({c for c, _ in want.values()}) > 5
+    classes = {r.id: (r.class_id, r.n_links) for r in near_duplicates(df, links=False).collect()}
+    assert classes == {d: (c, None) for d, (c, _) in want.items()}
+    assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == sorted({c for c, _ in want.values()})
+
+
 def test_long_paths(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -100,5 +117,7 @@ def test_long_paths(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = sorted((r.doc_id, r.class_id, r.n_links) for r in op2_near_duplicates(spark, sf).collect())
+    found = op2_near_duplicates(spark, sf)
+    assert found.columns == ["doc_id", "class_id", "copy_id", "n_copies", "n_links"]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in found.collect())
     assert got == sorted(plain(rows))
