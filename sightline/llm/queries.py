@@ -13,6 +13,7 @@ from .common import table
 from .compression_quality import fold, quality_scores, train
 from .decontaminate import find_leaks
 from .license_scan import license_scan
+from .oracles import ORACLES
 from .pii import KINDS, base_digest, count_kind, pii_spans
 from .near_duplicates import near_duplicates
 from .perplexity import perplexity_quality
@@ -76,5 +77,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def base_op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii(spark, sf_dir).drop("spans")
+
+
+def base_op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_perplexity(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_secrets(spark, sf_dir).drop("spans")
+
+
 QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {}
+#: The operators' queries without the columns that SQL cannot express.
+QUERIES |= {"base_op1_license": base_op1_license, "base_op3_pii": base_op3_pii, "base_op8_rules": base_op8_rules, "base_op9_secrets": base_op9_secrets}
+
+__all__ = ["QUERIES", "ORACLES"]
