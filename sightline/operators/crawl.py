@@ -30,7 +30,9 @@ def bot_field(key: Column, place: int) -> Column:
 
 
 def operator_of(key: Column) -> Column:
-    return first_hit(key, OPERATORS)
+    """Company of a registry key, from one literal map; null for keys of none."""
+    owned = [(b[0], next((name for part, name in OPERATORS if part in b[0]), None)) for b in BOTS]
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in dict(owned).items() if pair[1] for x in pair]), key)
 
 
 def is_asset(path: Column) -> Column:
@@ -83,6 +85,15 @@ def budget(hits: DataFrame) -> DataFrame:
     )
 
 
+def counters(hits: DataFrame, depth: int = 1) -> DataFrame:
+    """(key, kind, item, n): each crawler's hits by status, silo, day, agent (120 characters) and, for errors, '<status> <path>'; one pass."""
+    path = F.substring_index("uri", "?", 1)
+    status = F.col("status").cast("string")
+    items = {"status": status, "silo": silo(F.col("uri"), depth), "day": F.date_format("ts", "yyyy-MM-dd"), "agent": F.left("ua", F.lit(120)), "error": F.when(F.col("status") >= 400, F.concat_ws(" ", status, path))}
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), item.alias("item")) for kind, item in items.items()])).alias("x")
+    return hits.select("key", each).select("key", "x.*").where("item is not null").groupBy("key", "kind", "item").agg(F.count("*").alias("n"))
+
+
 def by_category(hits: DataFrame) -> DataFrame:
     """Hits and share of crawler traffic by category, with the fixed order of categories."""
     order = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in (*CATEGORIES, "unknown")]), F.col("category")), F.lit(99))
@@ -98,14 +109,23 @@ def top_k(df: DataFrame, group: list[str], item: Column, k: int, name: str = "it
 
 
 def spoofed(hits: DataFrame, least: int = 2) -> DataFrame:
-    """Addresses that claim crawlers of several companies: operators, hits; one row an address."""
-    claims = hits.withColumn("operator", operator_of(F.col("key"))).where(F.col("operator").isNotNull() & (F.col("ip") != ""))
-    # counted by (address, operator) first, so that a busy address is a few rows
-    each = claims.groupBy("ip", "operator").agg(F.count("*").alias("n"))
-    out = each.groupBy("ip").agg(F.count("*").alias("operator_count"), F.array_join(F.array_sort(F.collect_set("operator")), ",").alias("operators"), F.sum("n").alias("hits"))
+    """Addresses that claim crawlers of several companies: operators, crawlers, hits; one row an address."""
+    claims = hits.withColumns({"operator": operator_of(F.col("key")), "bot": bot_field(F.col("key"), 1)}).where(F.col("operator").isNotNull() & (F.col("ip") != ""))
+    # counted by (address, operator, crawler) first, so that a busy address is a few rows
+    each = claims.groupBy("ip", "operator", "bot").agg(F.count("*").alias("n"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    out = each.groupBy("ip").agg(F.countDistinct("operator").alias("operator_count"), listed("operator").alias("operators"), listed("bot").alias("crawlers"), F.sum("n").alias("hits"))
     return out.where(F.col("operator_count") >= least)
 
 
+def spoof_report(flagged: DataFrame, k: int = 25) -> DataFrame:
+    """The k worst of spoofed() in order, by operators, hits and address, each with the number of all flagged addresses and of their hits."""
+    total = flagged.agg(F.count("*").alias("flagged"), F.sum("hits").alias("spoofed_hits"))
+    order = [F.desc("operator_count"), F.desc("hits"), F.asc("ip")]
+    worst = flagged.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))  # k rows
+    return worst.crossJoin(F.broadcast(total))  # one row
+
+
 def totals(records: DataFrame) -> DataFrame:
     """Lines, unread share, people, crawlers and the crawlers' share. No line read means no verdict: shares are null."""
     key = bot_key(F.col("ua"))

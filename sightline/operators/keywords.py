@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.graph import components
 from ..functions.text import normal_keyword
@@ -71,9 +70,8 @@ def clusters(keywords: DataFrame, edges: DataFrame) -> DataFrame:
 def cluster_stats(members: DataFrame) -> DataFrame:
     """One row a cluster: size, head (highest degree, then shortest, then first), and its bridges (degree 1 in a cluster of over two)."""
     text = F.col("keyword").cast("string")
-    head = F.max_by(text, F.struct("degree", -F.length(text), -F.col("rn")))
-    ranked = members.withColumn("rn", F.row_number().over(W.partitionBy("cluster").orderBy(text)))
-    out = ranked.groupBy("cluster").agg(F.count("*").alias("size"), head.alias("head"), F.count_if(F.col("degree") == 1).alias("ones"))
+    head = F.min_by(text, F.struct(-F.col("degree"), F.length(text), text))
+    out = members.groupBy("cluster").agg(F.count("*").alias("size"), head.alias("head"), F.count_if(F.col("degree") == 1).alias("ones"))
     return out.select("cluster", "size", "head", F.when(F.col("size") > 2, F.col("ones")).otherwise(0).alias("bridges"))
 
 
@@ -84,7 +82,11 @@ def shared_by_all(members: DataFrame, results: DataFrame) -> DataFrame:
     return own.join(members, "keyword").groupBy("cluster", "url").agg(F.count("*").alias("n")).join(sizes, "cluster").where("n = size").select("cluster", "url")
 
 
-def ordered(rows: DataFrame, by: str = "proxy") -> DataFrame:
-    """Candidates by demand, words, name or agreement; ties by keyword."""
+def order_of(by: str = "proxy") -> list:
+    """The columns to order candidates by: demand, words, name or agreement; ties by keyword."""
     orders = {"proxy": ["-demand_proxy"], "words": ["words", "-demand_proxy"], "alpha": [], "agreement": ["-agreement", "-demand_proxy"]}
-    return rows.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in orders[by]], F.asc("keyword"))
+    return [*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in orders[by]], F.asc("keyword")]
+
+
+def ordered(rows: DataFrame, by: str = "proxy") -> DataFrame:
+    return rows.orderBy(*order_of(by))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import html as H
 from ..functions.text import word_count
@@ -13,9 +14,20 @@ HEADING_STOP = """a an the and or of for to in on with without your you how what
 FORM_FIELD = r"(?i)<(?:input|select|textarea)\b[^>]*>"
 
 
-def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with what one reading of the markup gives (see the columns)."""
+def social_meta(html: Column) -> Column:
+    """Map of the og: and twitter: properties; of repeated ones the last counts."""
+    name = lambda t: F.lower(F.coalesce(F.nullif(H.value(t, "property"), F.lit("")), H.value(t, "name")))
+    found = F.filter(F.transform(H.tags(html, "meta"), lambda t: F.struct(name(t).alias("key"), H.value(t, "content").alias("value"))), lambda m: m["key"].startswith("og:") | m["key"].startswith("twitter:"))
+    # a lambda over a single element names the list once
+    last = lambda ms: F.filter(ms, lambda m, i: ~F.exists(F.slice(ms, i + 2, F.greatest(F.size(ms), F.lit(1))), lambda n: n["key"] == m["key"]))
+    return F.map_from_entries(F.element_at(F.transform(F.array(found), last), 1))
+
+
+def page_features(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """pages with what one reading of the markup gives (see the columns); links with a bare host count as internal where pages have their url."""
     doc = F.col(html)
+    site = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1) if url in pages.columns else F.lit("")
+    targets = F.regexp_extract_all(doc, F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']*)"""), F.lit(1))
     head, after = H.head(doc), H.body(doc)
     text = H.without(F.when(after != "", after).otherwise(doc), H.SCRIPT_STYLE)
     return pages.withColumns(
@@ -24,7 +36,7 @@ def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
             "canonical": F.nullif(F.trim(H.value(F.try_element_at(H.links(head, "canonical"), F.lit(-1)), "href")), F.lit("")), "html_lang": F.nullif(H.value(F.try_element_at(H.tags(doc, "html"), F.lit(1)), "lang"), F.lit("")),
             "robots": H.named_meta(head, "robots"), "description": H.named_meta(head, "description"), "title": F.try_element_at(H.inner(head, "title"), F.lit(1)), "h1": H.inner(doc, "h1"),
             "h2_count": H.count(doc, r"(?i)<h2\b"), "h3_count": H.count(doc, r"(?i)<h3\b"), "img_count": H.count(doc, r"(?i)<img\b"), "schema_types": F.array_sort(F.array_distinct(F.regexp_extract_all(doc, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1)))),
-            "words": word_count(H.decode_once(F.regexp_replace(text, H.TAG, " "))), "internal_links": H.count(doc, r"""(?i)<a\b[^>]*\bhref\s*=\s*["']/"""), "body_hash": F.substring(F.sha2(H.plain(H.without(doc, H.SCRIPT_STYLE)), 256), 1, 16),
+            "words": word_count(H.decode_once(F.regexp_replace(text, H.TAG, " "))), "internal_links": F.size(F.filter(targets, lambda t: t.startswith("/") | ((site != "") & t.startswith(site)))), "social": social_meta(doc), "body_hash": F.substring(F.sha2(H.plain(H.without(doc, H.SCRIPT_STYLE)), 256), 1, 16),
         }
     )
 
@@ -55,8 +67,17 @@ def subtopics(profiles: DataFrame) -> DataFrame:
 
 def depth_stats(profiles: DataFrame) -> DataFrame:
     """Upper medians and counts over the pages that could be read; the failed ones are counted, not averaged in."""
-    upper = lambda c: F.get(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col(c)))), F.floor(F.count_if("ok") / 2).cast("int"))
-    return profiles.agg(F.count_if("ok").alias("read"), F.count_if(~F.col("ok")).alias("failed"), upper("words").alias("median_words"), upper("heading_count").alias("median_headings"), F.max(F.when(F.col("ok"), F.col("words"))).alias("most_words"), F.count_if(F.col("ok") & F.col("has_table")).alias("with_table"))
+    total = profiles.agg(F.count_if("ok").alias("read"), F.count_if(~F.col("ok")).alias("failed"), F.max(F.when(F.col("ok"), F.col("words"))).alias("most_words"), F.count_if(F.col("ok") & F.col("has_table")).alias("with_table"))
+
+    def upper(value: str, name: str) -> DataFrame:
+        """One row. Values are counted first: the running sum is over different values, not over pages."""
+        counted = profiles.where("ok").groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+        running = counted.withColumn("upto", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+        n = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+        return running.crossJoin(F.broadcast(n)).agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias(name))
+
+    out = total.crossJoin(F.broadcast(upper("words", "median_words"))).crossJoin(F.broadcast(upper("heading_count", "median_headings")))  # one row each
+    return out.select("read", "failed", "median_words", "median_headings", "most_words", "with_table")
 
 
 def weak_results(profiles: DataFrame) -> DataFrame:
@@ -72,6 +93,7 @@ def contract_note(n: Column, shared: Column) -> Column:
     return F.when(n == 0, "only user pages: no structure to share").when(n < 3, "fewer than three pages: a weak contract").when(shared == 0, "no subtopic is shared by half of the pages").otherwise("ok")
 
 
+#: The patterns below are those that pages are told by.
 def agent_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with what an agent finds: text share, fake buttons, dead anchors, unlabelled fields, landmarks, images."""
     doc = F.col(html)

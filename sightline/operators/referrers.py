@@ -41,6 +41,13 @@ def classified(visits: DataFrame, own: str) -> DataFrame:
     return visits.withColumn("host", host).withColumn("class", kind)
 
 
+def referrals(visits: DataFrame) -> DataFrame:
+    """(class, host, visits): visits of each class, those from search engines and assistants by host; ``all`` counts every visit."""
+    of_host = F.when(F.col("class").isin("search", "ai"), F.col("host")).otherwise("")
+    each = F.explode(F.filter(F.array(F.struct(F.lit("all").alias("c"), F.lit("").alias("h")), F.struct(F.col("class").alias("c"), of_host.alias("h"))), lambda x: x["c"].isNotNull())).alias("x")
+    return visits.select(each).groupBy(F.col("x.c").alias("class"), F.col("x.h").alias("host")).agg(F.count("*").alias("visits"))
+
+
 def backlinks(visits: DataFrame, when: str) -> DataFrame:
     """One row a referring host: visits, distinct sources, the first source and three landing pages by visits, first and last time."""
     links = visits.where(F.col("class") == "backlink").withColumn("source", F.left("referer", F.lit(180))).withColumn("landing", F.substring_index("uri", "?", 1))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, shingles, tokenize
-from ..sources.shared import spread
+from ..sources.shared import materialize, spread
 
 PHRASE, OPENING = 5, 6
+#: Rows of two numbers up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def phrases(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE) -> DataFrame:
@@ -18,21 +20,40 @@ def phrases(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE) -> DataF
     return texts.select("id", F.explode(shingles(tokenize("text"), n)).alias("phrase"))
 
 
+def hashed(own: DataFrame) -> DataFrame:
+    """Phrases by a hash of 128 bits, so that no text is shuffled."""
+    return own.withColumns({"a": F.xxhash64("phrase"), "b": F.xxhash64(F.lit(1), "phrase")})
+
+
+def frequent(own: DataFrame, limit: DataFrame) -> DataFrame:
+    """(a, b) of the phrases in more documents than the limit (one row).
+
+    Where the limit is a share of the documents, there are at most the mean
+    number of phrases of a document over that share, however many documents.
+    """
+    counts = own.groupBy("a", "b").agg(F.count("*").alias("df"))
+    return counts.crossJoin(F.broadcast(limit)).where("df > limit").select("a", "b")
+
+
 def document_frequency(of: DataFrame) -> DataFrame:
     return of.groupBy("phrase").agg(F.count("*").alias("df"))
 
 
+def bounded(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def unique_ratio(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, rare_share: float = 0.05) -> DataFrame:
     """(id, n_phrases, n_rare, unique_ratio) of texts with n words or more.
 
     A phrase is rare that stands in at most max(1, floor(documents * share)) of
     them. Phrases meet by a hash of 128 bits, so that no text is shuffled.
     """
-    own = phrases(df, id_col, text_col, n).select("id", F.xxhash64("phrase").alias("a"), F.xxhash64(F.lit(1), "phrase").alias("b"))
-    documents = df.where(F.size(tokenize(text_col)) >= n).agg(F.greatest(F.lit(1), F.floor(F.count("*") * rare_share)).alias("limit"))
-    counts = own.groupBy("a", "b").agg(F.count("*").alias("df"))
-    joined = own.join(counts, ["a", "b"]).crossJoin(F.broadcast(documents))  # one row
-    out = joined.groupBy("id").agg(F.count("*").alias("n_phrases"), F.count_if(F.col("df") <= F.col("limit")).alias("n_rare"))
+    own = hashed(phrases(df, id_col, text_col, n)).select("id", "a", "b")
+    limit = df.where(F.size(tokenize(text_col)) >= n).agg(F.greatest(F.lit(1), F.floor(F.count("*") * rare_share)).alias("limit"))
+    often = bounded(materialize(frequent(own, limit), "frequent").withColumn("often", F.lit(True)))
+    out = own.join(often, ["a", "b"], "left").groupBy("id").agg(F.count("*").alias("n_phrases"), F.count_if(F.col("often").isNull()).alias("n_rare"))
     return out.withColumn("unique_ratio", F.round(F.col("n_rare") / F.col("n_phrases"), 4))
 
 
@@ -61,15 +82,17 @@ def bloat_verdict(median):
 
 def template_groups(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, size: int = 8, rare_share: float = 0.05) -> DataFrame:
     """(signature, documents): groups of documents whose first ``size`` rare phrases are the same; those without rare phrases are a group."""
-    own = phrases(df, id_col, text_col, n)
+    own = hashed(phrases(df, id_col, text_col, n))
     documents = df.where(F.size(tokenize(text_col)) >= n)
     limit = documents.agg(F.greatest(F.lit(1), F.floor(F.count("*") * rare_share)).alias("limit"))
-    rare = own.join(document_frequency(own), "phrase").crossJoin(F.broadcast(limit)).where("df <= limit")
-    # the least phrases of each document: a bounded buffer a task, never all of them in one list
-    ranked = rare.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("phrase"))).where(F.col("rn") <= size)
-    first = ranked.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("phrase")), "|").alias("signature"))
-    all_docs = documents.select(F.col(id_col).alias("id")).join(first, "id", "left").select("id", F.coalesce("signature", F.lit("")).alias("signature"))
-    return all_docs.groupBy("signature").agg(F.count("*").alias("documents")).where("documents > 1")
+    often = bounded(materialize(frequent(own, limit), "frequent"))
+    # the phrases of one document are a list as long as its text
+    least = F.slice(F.array_sort(F.collect_list("phrase")), 1, size)
+    first = own.join(often, ["a", "b"], "left_anti").groupBy("id").agg(F.array_join(least, "|").alias("signature"))
+    groups = first.groupBy("signature").agg(F.count("*").alias("documents"))
+    # documents without rare phrases are those that are left
+    rest = documents.agg(F.count("*").alias("n")).crossJoin(first.agg(F.count("*").alias("m"))).select(F.lit("").alias("signature"), (F.col("n") - F.col("m")).alias("documents"))
+    return groups.unionAll(rest).where("documents > 1")
 
 
 def stock_phrases(draft: DataFrame, corpus: DataFrame, id_col: str, text_col: str, n: int = PHRASE, share: float = 0.5) -> DataFrame:
@@ -134,8 +157,9 @@ def even_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
 
 def number_rows(df: DataFrame, order: str) -> DataFrame:
     """df with ``__i``, its place from 0 in the order: places within range partitions plus the sizes of those before."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    # written once: the bounds of the ranges are sampled, and a second sampling could give others
+    parts = materialize(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "numbered")
     local = parts.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1)
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
-    return local.join(F.broadcast(before), "__p").withColumn("__i", F.col("__k") + F.col("__before")).drop("__p", "__m", "__k", "__before")
+    return local.join(F.broadcast(before), "__p").withColumn("__i", F.col("__k") + F.col("__before")).drop("__p", "__k", "__before")

@@ -44,9 +44,13 @@ def nulls_last(df: DataFrame, column: str, *more: str) -> DataFrame:
     return df.orderBy(F.asc_nulls_last(column), *more)
 
 
+#: Positioned rows first, by position, then by age.
+def queue_keys() -> list[Column]:
+    return [F.asc_nulls_last("queue_position"), F.asc("created_at"), F.asc("id")]
+
+
 def queue_order(df: DataFrame) -> DataFrame:
-    """Positioned rows first, by position, then by age."""
-    return df.orderBy(F.asc_nulls_last("queue_position"), "created_at", "id")
+    return df.orderBy(*queue_keys())
 
 
 def to_front(df: DataFrame, ids: list[str]) -> DataFrame:
@@ -197,8 +201,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(n, key, "full_outer").select(key, *[F.coalesce(f"__{c}", c).alias(c) for c in columns])
 
 
-def next_actions(queue: DataFrame, pages: DataFrame, mode: str, rated: bool) -> DataFrame:
-    """(priority, action) of the rules that hold over the state tables, by priority then name."""
+def next_actions(queue: DataFrame, pages: DataFrame, mode: str, rated: bool, set_up: bool = True) -> DataFrame:
+    """(priority, action) of the rules that hold over the state tables, by priority then name; ``set_up`` tells whether the programme's conventions are written down."""
     n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     kind, status = F.col("type"), F.col("status")
     q = queue.agg(
@@ -207,7 +211,7 @@ def next_actions(queue: DataFrame, pages: DataFrame, mode: str, rated: bool) ->
     p = pages.agg(F.count("*").alias("pages"), n(F.col("url").isNotNull() & F.col("pinged").isNull()).alias("unpinged"), n(F.col("url").isNotNull() & F.col("requested").isNull()).alias("unrequested"))
     c = F.col
     rules = [
-        (1, "reset stuck builds", c("stuck") > 0), (2, "research guides", c("guides") < 7), (2, "research tools", c("tools") < 1), (3, "review pending guides", F.lit(mode == "semi") & (c("guides_pending") > 0)), (3, "build the next guide", c("guides") > 0), (4, "build the next tool", c("tools_ready") > 0),
+        (1, "run the setup", F.lit(not set_up)), (1, "reset stuck builds", c("stuck") > 0), (2, "research guides", c("guides") < 7), (2, "research tools", c("tools") < 1), (3, "review pending guides", F.lit(mode == "semi") & (c("guides_pending") > 0)), (3, "build the next guide", c("guides") > 0), (4, "build the next tool", c("tools_ready") > 0),
         (4, "ping search engines", c("unpinged") > 0), (5, "first publication", c("pages") == 0), (5, "request indexing", c("unrequested") > 0), (5, "refresh authority", F.lit(not rated)),
     ]
     found = F.filter(F.array(*[F.when(cond, F.struct(F.lit(k).alias("priority"), F.lit(a).alias("action"))) for k, a, cond in rules]), lambda x: x.isNotNull())

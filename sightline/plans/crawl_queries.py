@@ -70,13 +70,16 @@ COMBINED = [
 LINES = Rows("id bigint, line string", list(enumerate([*STRUCTURED, *COMBINED])))
 
 
-@query("S3_S4_S6_parse_lines", rf"""WITH {LINES.sql('t')}, j AS (SELECT id, line, TRY_CAST(line AS JSON) AS d FROM t WHERE ltrim(line) LIKE '{{%'), jr AS (SELECT id, d, d->'request' AS r FROM j),
+PARSED_SQL = rf"""WITH {LINES.sql('t')}, j AS (SELECT id, line, TRY_CAST(line AS JSON) AS d FROM t WHERE ltrim(line) LIKE '{{%'), jr AS (SELECT id, d, d->'request' AS r FROM j),
 h AS (SELECT id, d, r, r->>'$.headers."User-Agent"[0]' AS ua, coalesce(r->>'$.headers."Cf-Connecting-Ip"[0]', r->>'$.headers."cf-connecting-ip"[0]') AS cf, r->>'$.headers."X-Forwarded-For"[0]' AS xff, r->>'$.headers."Referer"[0]' AS ref FROM jr),
 s AS (SELECT id, r IS NOT NULL AS read, coalesce(CAST(TRY_CAST(d->>'ts' AS DOUBLE) * 1000000 AS BIGINT), epoch_us(TRY_CAST(d->>'ts' AS TIMESTAMPTZ))) AS us, coalesce(CASE WHEN cf <> '' AND cf NOT LIKE '{{%}}' THEN cf END, trim(split_part(xff, ',', 1)), r->>'client_ip', r->>'remote_ip', '') AS ip, coalesce(r->>'method', '') AS method, coalesce(r->>'uri', '') AS uri, coalesce(CAST(d->>'status' AS INTEGER), 0) AS status, coalesce(CAST(d->>'size' AS BIGINT), 0) AS size, coalesce(ua, '') AS ua, coalesce(ref, '') AS referer FROM h),
 c AS (SELECT id, regexp_matches(line, '{L.COMBINED}') AS read, regexp_extract(line, '{L.COMBINED}', ['host', 'user', 'time', 'method', 'uri', 'proto', 'status', 'size', 'referer', 'ua']) AS g FROM t WHERE ltrim(line) NOT LIKE '{{%'),
 cc AS (SELECT id, read, epoch_us(strptime(CASE WHEN read THEN g.time END, '%d/%b/%Y:%H:%M:%S %z')) AS us, g.host AS ip, g.method AS method, g.uri AS uri, CAST(CASE WHEN g.status <> '' THEN g.status ELSE '0' END AS INTEGER) AS status, CAST(CASE WHEN regexp_matches(g.size, '^\d+$') THEN g.size ELSE '0' END AS BIGINT) AS size, g.ua AS ua, CASE WHEN g.referer = '-' THEN '' ELSE g.referer END AS referer FROM c),
 u AS (SELECT * FROM s UNION ALL SELECT * FROM cc)
-SELECT id, read, CASE WHEN read THEN us END AS us, CASE WHEN read THEN ip END AS ip, CASE WHEN read THEN method END AS method, CASE WHEN read THEN uri END AS uri, CASE WHEN read THEN status END AS status, CASE WHEN read THEN size END AS size, CASE WHEN read THEN ua END AS ua, CASE WHEN read THEN referer END AS referer FROM u""")
+SELECT id, read, CASE WHEN read THEN us END AS us, CASE WHEN read THEN ip END AS ip, CASE WHEN read THEN method END AS method, CASE WHEN read THEN uri END AS uri, CASE WHEN read THEN status END AS status, CASE WHEN read THEN size END AS size, CASE WHEN read THEN ua END AS ua, CASE WHEN read THEN referer END AS referer FROM u"""
+
+
+@query("S3_S4_S6_parse_lines", PARSED_SQL)
 def s3(spark, sf_dir):
     r = LINES.df(spark).withColumn("r", L.parse_any(F.col("line"))).select("id", F.col("r").isNotNull().alias("read"), "r.*")
     return r.select("id", "read", F.unix_micros("ts").alias("us"), "ip", "method", "uri", "status", "size", "ua", "referer")
@@ -93,9 +96,9 @@ def s5(spark, sf_dir):
     return r.select("id", F.unix_micros("r.ts").alias("us"), "r.ip", "r.uri", "r.status", "r.size", "r.ua")
 
 
-@query("S1_S2_read_logs")
+@query("S1_S2_read_logs", f"SELECT read, ip, uri, status FROM ({PARSED_SQL})")
 def s1(spark, sf_dir):
-    """Lines of a plain and a gzipped log, by list and by pattern; written here first (rows only)."""
+    """Lines of a plain and a gzipped log, by list and by pattern; written here first."""
     root = shared_root(spark)
     spark.createDataFrame([(x,) for x in COMBINED], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/logs/plain")
     spark.createDataFrame([(x,) for x in STRUCTURED], "value string").coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{root}/logs/packed")
@@ -137,9 +140,13 @@ def a4(spark, sf_dir):
     return C.totals(records(spark, sf_dir))
 
 
-@query("A4_nothing_read", "SELECT CAST(2 AS BIGINT) AS lines, CAST(2 AS BIGINT) AS unread, CAST(0 AS BIGINT) AS human, CAST(0 AS BIGINT) AS bots, CAST(1.0 AS DOUBLE) AS unread_share, CAST(NULL AS DOUBLE) AS bot_share")
+UNREAD = Rows("line string", [("garbage",), ("{x",)])
+
+
+@query("A4_nothing_read", rf"""WITH {UNREAD.sql('t')}, r AS (SELECT (TRY_CAST(line AS JSON)->'request') IS NOT NULL OR regexp_matches(line, '{L.COMBINED}') AS read FROM t), c AS (SELECT count(*) AS lines, count(*) FILTER (NOT read) AS unread, count(*) FILTER (read) AS human, CAST(0 AS BIGINT) AS bots FROM r)
+SELECT *, round(unread / lines, 4) AS unread_share, CASE WHEN bots + human > 0 THEN round(bots / (bots + human), 3) END AS bot_share FROM c""")
 def a4_nothing(spark, sf_dir):
-    return C.totals(L.parsed(spark.createDataFrame([("garbage",), ("{x",)], "line string")))
+    return C.totals(L.parsed(UNREAD.df(spark)))
 
 
 @query("A5_top_silos", f"WITH {EVENTS}, c AS (SELECT key, {_silo('uri', 1)} AS item, count(*) AS n FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, item) AS rank FROM c) SELECT * FROM r WHERE rank <= 3")
@@ -153,20 +160,37 @@ def a46(spark, sf_dir):
     return C.top_k(C.bot_hits(records(spark, sf_dir)), ["key"], F.col("ip"), 5)
 
 
-@query("A6_J19_spoofed_agents", f"WITH {EVENTS} SELECT ip, count(DISTINCT operator) AS operator_count, string_agg(DISTINCT operator, ',' ORDER BY operator) AS operators, count(*) AS hits FROM b WHERE operator IS NOT NULL GROUP BY 1 HAVING count(DISTINCT operator) >= 2")
+_SPOOFED = "f AS (SELECT ip, count(DISTINCT operator) AS operator_count, string_agg(DISTINCT operator, ',' ORDER BY operator) AS operators, string_agg(DISTINCT bot, ',' ORDER BY bot) AS crawlers, count(*) AS hits FROM (SELECT *, " + LABEL + " AS bot FROM b) WHERE operator IS NOT NULL GROUP BY 1 HAVING count(DISTINCT operator) >= 2)"
+
+
+@query("A6_J19_spoofed_agents", f"WITH {EVENTS}, {_SPOOFED} SELECT * FROM f")
 def a6(spark, sf_dir):
     return C.spoofed(C.bot_hits(records(spark, sf_dir)))
 
 
+@query("A6_spoof_report", f"WITH {EVENTS}, {_SPOOFED}, r AS (SELECT *, row_number() OVER (ORDER BY operator_count DESC, hits DESC, ip) AS rank, count(*) OVER () AS flagged, CAST(sum(hits) OVER () AS BIGINT) AS spoofed_hits FROM f) SELECT * FROM r WHERE rank <= 25")
+def a6_report(spark, sf_dir):
+    """The 25 worst addresses (a top-k report), with the totals of all."""
+    return C.spoof_report(C.spoofed(C.bot_hits(records(spark, sf_dir))))
+
+
+@query("A1_counters", f"""WITH {EVENTS}, c AS (SELECT key, 'status' AS kind, CAST(status AS VARCHAR) AS item FROM b UNION ALL SELECT key, 'silo', {_silo('uri', 1)} FROM b UNION ALL SELECT key, 'day', strftime(ts, '%Y-%m-%d') FROM b UNION ALL SELECT key, 'agent', left(ua, 120) FROM b UNION ALL SELECT key, 'error', CAST(status AS VARCHAR) || ' ' || split_part(uri, '?', 1) FROM b WHERE status >= 400)
+SELECT key, kind, item, count(*) AS n FROM c GROUP BY 1, 2, 3""")
+def a1_counters(spark, sf_dir):
+    return C.counters(C.bot_hits(records(spark, sf_dir)))
+
+
 @query("F1_ST3_recent", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY GROUP BY 1")
 def f1(spark, sf_dir):
     return C.recent(table(spark, sf_dir, "events"), "ts", "2024-01-31", 7).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("F1_keeps_undated", "SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (3)) AS t(id)")
+DATED = Rows("id bigint, d string", [(1, None), (2, "2024-01-01"), (3, "2024-02-01")])
+
+
+@query("F1_keeps_undated", f"WITH {DATED.sql('t')} SELECT id FROM t WHERE d IS NULL OR CAST(d AS TIMESTAMP) >= TIMESTAMP '2024-02-02' - INTERVAL 7 DAY")
 def f1_undated(spark, sf_dir):
-    rows = spark.createDataFrame([(1, None), (2, "2024-01-01"), (3, "2024-02-01")], "id long, d string").withColumn("ts", F.to_timestamp("d"))
-    return C.recent(rows, "ts", "2024-02-02", 7).select("id")
+    return C.recent(DATED.df(spark).withColumn("ts", F.to_timestamp("d")), "ts", "2024-02-02", 7).select("id")
 
 
 STATUSES = Rows("status int", [(200,), (204,), (301,), (404,), (410,), (500,), (503,)])
@@ -235,6 +259,11 @@ def a7(spark, sf_dir):
     return R.backlinks(R.classified(REFERRERS.df(spark), "example.com"), "day")
 
 
+@query("A7_referrals", f"WITH {_REF} SELECT 'all' AS class, '' AS host, count(*) AS visits FROM c UNION ALL SELECT class, CASE WHEN class IN ('search', 'ai') THEN h ELSE '' END, count(*) FROM c WHERE class IS NOT NULL GROUP BY 1, 2")
+def a7_referrals(spark, sf_dir):
+    return R.referrals(R.classified(REFERRERS.df(spark), "example.com"))
+
+
 CAPTURES = Rows("host string, state string, url string, status string, mime string", [("a.com", "present", "http://a.com/#x", "200", "text/html"), ("a.com", "present", "http://a.com/", "200", "text/html"), ("a.com", "absent", None, None, None), ("b.com", "absent", None, None, None), ("b.com", "error", None, None, None), ("c.com", "error", None, None, None)])
 
 

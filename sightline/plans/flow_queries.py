@@ -45,11 +45,14 @@ def s8(spark, sf_dir):
     return T.read_appended(spark, path).groupBy("keyword").agg(F.count("*").alias("rows"))
 
 
-@query("S12_document_folder")
+SITE = Rows("place bigint, name string, value string", [(1, "a", "# A"), (2, "b", "<p>B</p>"), (3, "c", "x")])
+
+
+@query("S12_document_folder", f"WITH {SITE.sql('t')} SELECT value || chr(10) AS text FROM t ORDER BY place DESC LIMIT 2")
 def s12(spark, sf_dir):
-    """Three files of a folder, the two that are documents (rows only: times of change differ)."""
+    """Three files of a folder, written one after the other; the two newest (the reader's limit)."""
     path = _folder(spark, "site")
-    for name, text in (("a", "# A"), ("b", "<p>B</p>"), ("c", "x")):
+    for _, name, text in SITE.rows:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
     found = T.documents(spark, path, ("txt",), newest=2)
     return found.select(F.trim("text").alias("text"))

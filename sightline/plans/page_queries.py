@@ -57,10 +57,34 @@ def h6(spark, sf_dir):
     return M.profile(table(spark, sf_dir, "pages")).select("page_id", F.col("words").cast("long").alias("words"), F.col("heading_count").cast("long").alias("heading_count"), "has_table", "has_code", "newest_year")
 
 
+_FAKE = "CAST(len(list_filter(regexp_extract_all(markup, '(?i)<(?:div|span)\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\bon(?:click|mousedown)\\s*=') AND NOT regexp_matches(t, '(?i)\\b(?:role|tabindex)='))) AS INTEGER)"
+_FIELDS = "list_filter(regexp_extract_all(markup, '(?i)<(?:input|select|textarea)\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\btype\\s*=\\s*\"(?:hidden|submit|button|image)\"') AND NOT regexp_matches(t, '(?i)\\baria-label(?:ledby)?\\s*='))"
+_UNLABELLED = f"CAST(len(list_filter({_FIELDS}, lambda t: NOT list_contains(regexp_extract_all(markup, '(?i)<label\\b[^>]*\\bfor\\s*=\\s*\"([^\"]+)\"', 1), coalesce(nullif(regexp_extract(t, '(?i)\\bid\\s*=\\s*\"([^\"]+)\"', 1), ''), chr(0))))) AS INTEGER)"
+
+
 @query("H7_H8_H9_H10_agent_counts", f"""WITH m AS (SELECT page_id, html, {_drop("regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')", ['script', 'style'])} AS markup, {_PLAIN(_drop('html', ['script', 'style', 'noscript']))} AS text, {_PLAIN(_drop("regexp_replace(html, '(?is)^.*?<body[^>]*>', '')", ['script', 'style', 'noscript']))} AS static FROM pages)
-SELECT page_id, round(octet_length(encode(text)) / octet_length(encode(html)), 4) AS text_ratio, CAST(round(length(text) / 4) AS BIGINT) AS tokens, CAST(length(static) AS INTEGER) AS static_chars, CAST(len(list_filter(regexp_extract_all(markup, '(?i)<a\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\bhref='))) AS INTEGER) AS dead_anchors, regexp_matches(markup, '(?i)<main\\b') AS has_main, CAST(len(list_filter(regexp_extract_all(markup, '(?i)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\balt\\s*='))) AS INTEGER) AS no_alt FROM m""")
+SELECT page_id, round(octet_length(encode(text)) / octet_length(encode(html)), 4) AS text_ratio, CAST(round(length(text) / 4) AS BIGINT) AS tokens, CAST(length(static) AS INTEGER) AS static_chars, {_FAKE} AS fake_buttons, {_UNLABELLED} AS unlabelled, regexp_matches(html, '(?i)<form\\b[^>]*\\btool(?:name|description)\\s*=') AS tool_form, regexp_matches(html, 'navigator\\.modelContext|provideContext\\s*\\(') AS tool_script, regexp_matches(html, '(?i)<link\\b[^>]*rel="alternate"[^>]*type="text/(?:markdown|plain)"[^>]*>') AS markdown_link, CAST(len(list_filter(regexp_extract_all(markup, '(?i)<a\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\bhref='))) AS INTEGER) AS dead_anchors, regexp_matches(markup, '(?i)<main\\b') AS has_main, CAST(len(list_filter(regexp_extract_all(markup, '(?i)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\balt\\s*='))) AS INTEGER) AS no_alt FROM m""")
 def h7(spark, sf_dir):
-    return M.agent_counts(table(spark, sf_dir, "pages")).select("page_id", "text_ratio", "tokens", "static_chars", "dead_anchors", "has_main", "no_alt")
+    return M.agent_counts(table(spark, sf_dir, "pages")).select("page_id", "text_ratio", "tokens", "static_chars", "fake_buttons", "unlabelled", "tool_form", "tool_script", "markdown_link", "dead_anchors", "has_main", "no_alt")
+
+
+SOCIAL = Rows(
+    "url string, html string",
+    [
+        ("https://a.b/en", '<head><meta property="og:title" content="One"><meta name="twitter:card" content="summary"><meta property="og:title" content="Two &amp; more"><meta name="robots" content="noindex"></head><a href="/x">x</a><a href="a.b/y">y</a><a href="https://a.b/z">z</a><a href="other.c">o</a>'),
+        ("https://c.d/", "<p><a href='c.d'>home</a></p>"),
+    ],
+)
+
+
+@query("H5_social_and_links", f"""WITH {SOCIAL.sql('t')}, m AS (SELECT url, unnest(regexp_extract_all(html, '<meta [^>]*>')) AS tag, generate_subscripts(regexp_extract_all(html, '<meta [^>]*>'), 1) AS i FROM t),
+k AS (SELECT url, i, regexp_extract(tag, '(?:property|name)="([^"]*)"', 1) AS key, replace(regexp_extract(tag, 'content="([^"]*)"', 1), '&amp;', '&') AS content FROM m), o AS (SELECT url, key, arg_max(content, i) AS content FROM k WHERE starts_with(key, 'og:') OR starts_with(key, 'twitter:') GROUP BY 1, 2),
+s AS (SELECT url, string_agg(key || '=' || content, ' ' ORDER BY key) AS social FROM o GROUP BY 1)
+SELECT url, coalesce(social, '') AS social, CAST(len(list_filter(regexp_extract_all(html, '<a [^>]*href=["'']([^"'']*)', 1), lambda h: starts_with(h, '/') OR starts_with(h, regexp_extract(url, '://([^/]*)', 1)))) AS INTEGER) AS internal_links FROM t LEFT JOIN s USING (url)""")
+def h5(spark, sf_dir):
+    p = M.page_features(SOCIAL.df(spark))
+    pairs = F.transform(F.array_sort(F.map_entries("social")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return p.select("url", F.array_join(pairs, " ").alias("social"), "internal_links")
 
 
 AGENT_PAGES = Rows(
@@ -72,7 +96,9 @@ AGENT_PAGES = Rows(
 )
 
 
-@query("R10_agent_findings", """SELECT * FROM (VALUES ('shell', 'critical', 'requires_javascript'), ('shell', 'medium', 'no_main_landmark'), ('buttons', 'high', 'div_onclick_without_role'), ('form', 'high', 'unlabelled_input'), ('form', 'medium', 'anchor_without_href'), ('form', 'low', 'img_without_alt')) AS t(url, severity, rule)""")
+@query("R10_agent_findings", f"""WITH {AGENT_PAGES.sql('t')}, m AS (SELECT url, html, {_drop("regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')", ['script', 'style'])} AS markup, {_PLAIN(_drop("regexp_replace(html, '(?is)^.*?<body[^>]*>', '')", ['script', 'style', 'noscript']))} AS static FROM t)
+SELECT url, 'critical' AS severity, 'requires_javascript' AS rule FROM m WHERE length(static) < 200 AND length(html) > 5000 UNION ALL SELECT url, 'medium', 'no_main_landmark' FROM m WHERE NOT regexp_matches(markup, '(?i)<main\\b') UNION ALL SELECT url, 'high', 'div_onclick_without_role' FROM m WHERE {_FAKE} > 0 UNION ALL SELECT url, 'high', 'unlabelled_input' FROM m WHERE {_UNLABELLED} > 0
+UNION ALL SELECT url, 'medium', 'anchor_without_href' FROM m WHERE len(list_filter(regexp_extract_all(markup, '(?i)<a\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\bhref='))) > 2 UNION ALL SELECT url, 'low', 'img_without_alt' FROM m WHERE len(list_filter(regexp_extract_all(markup, '(?i)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\balt\\s*='))) > 0""")
 def r10(spark, sf_dir):
     return M.agent_findings(M.agent_counts(AGENT_PAGES.df(spark)), "url")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import locales as L
 from ..operators import serp as R
@@ -265,9 +266,9 @@ def f21(spark, sf_dir):
     return out.select("o_orderkey", F.when(F.col("day").isNotNull(), F.col("age")).alias("age"), "settled", "stale")
 
 
-@query("O1_O11_queue_order", "SELECT * FROM (VALUES ('zz99', CAST(1 AS BIGINT)), ('ab12cd', 2), ('ab12xx', 3), ('yy88', 4)) AS t(id, place)")
+@query("O1_O11_queue_order", f"WITH {QUEUE.sql('q')} SELECT id, row_number() OVER (ORDER BY queue_position NULLS LAST, created_at, id) AS place FROM q")
 def o1(spark, sf_dir):
-    return spark.createDataFrame([(r.id, i + 1) for i, r in enumerate(S.queue_order(QUEUE.df(spark)).collect())], "id string, place long")  # a literal handful
+    return QUEUE.df(spark).select("id", F.row_number().over(W.orderBy(*S.queue_keys())).cast("long").alias("place"))  # a literal handful
 
 
 @query("O11_to_front", f"WITH {QUEUE.sql('q')} SELECT id, CAST(CASE id WHEN 'yy88' THEN 1 WHEN 'ab12xx' THEN 2 END AS INTEGER) AS queue_position FROM q")
@@ -275,10 +276,30 @@ def o11(spark, sf_dir):
     return S.to_front(QUEUE.df(spark), ["yy88", "ab12xx"]).select("id", "queue_position")
 
 
-@query("R19_O10_next_actions", "SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'reset stuck builds'), (2, 'research guides'), (3, 'review pending guides'), (3, 'build the next guide'), (4, 'ping search engines'), (5, 'request indexing'), (5, 'refresh authority')) AS t(priority, action)")
+PUBLISHED = Rows("url string, pinged string, requested string", [("https://a.b/1", None, None), ("https://a.b/2", "2025", "2025")])
+
+
+def _actions(pages: str, semi: bool, rated: bool, set_up: bool) -> str:
+    n = lambda cond: f"(SELECT count(*) FILTER ({cond}) FROM q)"
+    p = lambda cond: f"(SELECT count(*) FILTER ({cond}) FROM ({pages}))"
+    approved = "type = 'guide' AND status = 'approved'"
+    rules = [
+        (1, "run the setup", str(not set_up)), (1, "reset stuck builds", n("status = 'in_progress' AND idle_days > 1") + " > 0"), (2, "research guides", n(approved) + " < 7"), (2, "research tools", n("type = 'tool' AND status IN ('approved', 'pending')") + " < 1"),
+        (3, "review pending guides", f"{semi} AND " + n("type = 'guide' AND status = 'pending'") + " > 0"), (3, "build the next guide", n(approved) + " > 0"), (4, "build the next tool", n("type = 'tool' AND status = 'approved'") + " > 0"), (4, "ping search engines", p("url IS NOT NULL AND pinged IS NULL") + " > 0"),
+        (5, "first publication", p("true") + " = 0"), (5, "request indexing", p("url IS NOT NULL AND requested IS NULL") + " > 0"), (5, "refresh authority", str(not rated)),
+    ]
+    return f"WITH {QUEUE.sql('q')}, {PUBLISHED.sql('p')} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS priority, '{name}' AS action WHERE {cond}" for k, name, cond in rules)
+
+
+@query("R19_O10_next_actions", _actions("SELECT * FROM p", True, False, True))
 def r19(spark, sf_dir):
-    pages = spark.createDataFrame([("https://a.b/1", None, None), ("https://a.b/2", "2025", "2025")], "url string, pinged string, requested string")
-    return S.next_actions(QUEUE.df(spark), pages, "semi", rated=False)
+    return S.next_actions(QUEUE.df(spark), PUBLISHED.df(spark), "semi", rated=False)
+
+
+@query("R19_before_setup", _actions("SELECT * FROM p WHERE false", False, True, False))
+def r19_start(spark, sf_dir):
+    """A programme that is not set up and has published nothing."""
+    return S.next_actions(QUEUE.df(spark), PUBLISHED.df(spark).where("false"), "auto", rated=True, set_up=False)
 
 
 @query("R20_propose", f"WITH {QUEUE.sql('q')} SELECT 'new one' AS keyword")
@@ -287,11 +308,21 @@ def r20(spark, sf_dir):
     return S.proposals(new, QUEUE.df(spark))
 
 
-@query("R21_upsert", "SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT), 'x2'), ('b', 2, 'y'), ('c', 3, 'z')) AS t(keyword, volume, note)")
+STORED = Rows("keyword string, volume bigint, note string", [("a", 1, "x"), ("b", 2, "y")])
+FRESH = Rows("keyword string, volume bigint, note string", [("a", None, "x2"), ("c", 3, "z")])
+
+
+@query("R21_upsert", f"WITH {STORED.sql('o')}, {FRESH.sql('n')} SELECT keyword, coalesce(n.volume, o.volume) AS volume, coalesce(n.note, o.note) AS note FROM o FULL JOIN n USING (keyword)")
 def r21(spark, sf_dir):
-    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "keyword string, volume long, note string")
-    new = spark.createDataFrame([("a", None, "x2"), ("c", 3, "z")], "keyword string, volume long, note string")
-    return S.upsert(old, new, "keyword")
+    return S.upsert(STORED.df(spark), FRESH.df(spark), "keyword")
+
+
+@query("R21_upsert_customers", "SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN -c_acctbal END AS c_acctbal, lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0) n USING (c_custkey)")
+def r21_customers(spark, sf_dir):
+    """Rows of a table as stored ones, others of it as fresh ones, some of them with unknown values."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    fresh = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, -F.col("c_acctbal")).alias("c_acctbal"), F.lower("c_mktsegment").alias("c_mktsegment"))
+    return S.upsert(c.where("c_custkey % 2 = 0"), fresh, "c_custkey")
 
 
 #: events as a rank log: user as keyword, value as position (null for errors), ts as time.

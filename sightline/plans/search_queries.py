@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import keywords as K
 from ..operators import search_metrics as M
@@ -169,8 +170,7 @@ def a19(spark, sf_dir):
 @query("O4_F15_sorted_candidates", f"WITH {_CANDIDATES} SELECT keyword, row_number() OVER (ORDER BY agreement DESC, demand_proxy DESC, keyword) AS place FROM k WHERE contains(keyword, 'rank') AND contains(keyword, 'track')")
 def o4(spark, sf_dir):
     kept = K.candidates(SUGGESTIONS.df(spark)).where(K.holds_all(F.col("keyword"), ["rank", "track"]))
-    places = [(r.keyword, i + 1) for i, r in enumerate(K.ordered(kept, "agreement").select("keyword").collect())]  # a literal handful
-    return spark.createDataFrame(places, "keyword string, place long")
+    return kept.select("keyword", F.row_number().over(W.orderBy(*K.order_of("agreement"))).cast("long").alias("place"))  # a literal handful
 
 
 @query("F13_intent_conversations", f"WITH c AS (SELECT conv_id, turn, lower(text) AS keyword FROM conversations) SELECT conv_id, turn, {_INTENT} AS intent, regexp_matches(keyword, '{K.TOOL}') AS tool_shaped FROM c")

@@ -76,6 +76,14 @@ def a18(spark, sf_dir):
     return S.stock_phrases(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), table(spark, sf_dir, "documents"), "doc_id", "text", share=0.0)
 
 
+@query("A18_stock_share", f"""WITH w AS MATERIALIZED (SELECT doc_id, {TOKENS} AS words FROM documents), c AS (SELECT doc_id, unnest({_shingles('words', 5)}) AS phrase FROM w), m AS (SELECT greatest(2, ceil(count(*) * 0.02)) AS majority FROM documents)
+SELECT phrase, count(DISTINCT doc_id) AS n_docs FROM c, m GROUP BY phrase, majority HAVING count(DISTINCT doc_id) >= majority""")
+def a18_share(spark, sf_dir):
+    """Phrases of the documents that a fiftieth of them hold."""
+    docs = table(spark, sf_dir, "documents")
+    return S.stock_phrases(docs, docs, "doc_id", "text", share=0.02)
+
+
 @query("J8_document_pairs", f"""WITH w AS MATERIALIZED (SELECT min(doc_id) AS doc_id, {TOKENS} AS words FROM documents GROUP BY text),
 own AS MATERIALIZED (SELECT doc_id, hash(unnest({_shingles('words', 5)})) AS phrase FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM own GROUP BY 1),
