@@ -23,7 +23,7 @@ LEAST_SECRET, LEAST_ACCESS = 8, 16
 #: Candidates of the entropy rule: runs of these characters with at least WINDOW of them.
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
-#: Character classes: pattern, alphabet, least entropy in bits of the best window. Strings without both digits and letters are never secrets.
+#: Character classes: pattern, alphabet, least entropy in bits of the best window.
 CLASSES = (
     ("^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.0),
     ("^[0-9a-zA-Z]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.6),
@@ -33,11 +33,14 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]?(?:api|key|token|secret|password)|redacted",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)0123456789|1234567890|abcdefgh|qwerty|(.)\1{5}",
-    r"^[0-9/_+-]+$|^[A-Za-z/_+-]+$",
+    # numbers, and words: written small, great, or with a capital, one after the other
+    r"^[0-9/_+-]+$|^(?:[/_+-]*(?:[A-Z][a-z]+|[a-z]{3,}|[A-Z]{3,}))+[/_+-]*$",
     r"(?i)^(?:sha(?:1|256|384|512)|md5)-",
 )
 #: Stands around matches while a text is cut; texts' own ones are exchanged first, which changes no match and no length.
 _CUT, _SAFE = "\u0001", "\u0002"
+#: Parts of a text between and in matches that one list of spans is made of; even.
+_BLOCK = 64
 _SPAN = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
 
 
@@ -50,16 +53,33 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_CUT}$0{_CUT}"), _CUT, -1)
 
 
+def _named(value: Column, fn) -> Column:
+    """fn(value), the value being worked out once: a lambda over a single element names it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _spans(text: Column, pattern: str, kind: str, accept) -> Column:
-    """Spans of the accepted matches of a pattern, in code points."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), _none().alias("out"))
+    """Spans of the accepted matches of a pattern, in code points.
+
+    Parts are gone through in blocks, whose first places come from the sums of
+    the blocks before: a list grows by one block's spans at most, so that time
+    grows with the number of matches.
+    """
 
     def step(state: Column, part: Column) -> Column:
         end = state["at"] + F.length(part)
         span = F.struct(state["at"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_order"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.when(state["inside"] & accept(part), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(_parts(text, pattern), empty, step, lambda s: s["out"])
+    def over(parts: Column) -> Column:
+        block = lambda b: F.slice(parts, b * _BLOCK + 1, F.lit(_BLOCK))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(block(b), F.lit(0), lambda n, part: n + F.length(part)))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sums, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        empty = lambda at: F.struct(at.alias("at"), F.lit(False).alias("inside"), _none().alias("out"))
+        return F.flatten(F.transform(starts, lambda at, b: F.aggregate(block(b), empty(at), step, lambda s: s["out"])))
+
+    return _named(_parts(text, pattern), over)
 
 
 def _term(c: Column) -> Column:
@@ -84,8 +104,7 @@ def best_entropy(text: Column, alphabet: str) -> Column:
 
         return F.aggregate(chars, start, step, lambda s: s["best"])
 
-    # a lambda over a single element names the places once
-    return F.element_at(F.transform(F.array(places), over), 1)
+    return _named(places, over)
 
 
 def looks_random(text: Column) -> Column:
@@ -119,13 +138,13 @@ def secret_spans(df: DataFrame, text_col: str = "text", into: str = "spans", bas
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each stretch that spans cover replaced by a mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
         clear = span["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(clear, F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise(state["out"]).alias("out"))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(clear, F.concat(state["out"], F.array(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark)))).otherwise(state["out"]).alias("out"))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))).otherwise(text)
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, F.length(text)))), ""))).otherwise(text)
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
