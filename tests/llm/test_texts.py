@@ -200,6 +200,18 @@ def test_quality(spark):
     assert right > 0.93 and sum(kept) / len(kept) > 0.97
 
 
+def test_quality_repeated_and_long_rows(spark):
+    """A labelled id in many rows counts once; texts beyond the sample's size are scored and not fitted on."""
+    rows = [(i, ("good words of a sentence " if i % 2 else "b4d |#$ x ") * (5 + i % 7) + str(i), i % 2) for i in range(60)]
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(10**6, 1)], "doc_id long, quality int")
+    many = once.unionAll(once.where("doc_id % 3 = 0")).unionAll(spark.createDataFrame([(10**6, "x" * 10**6)], once.schema)).repartition(4)
+    a, b = train(once, labels), train(many, labels)
+    assert a.good == b.good and a.bad == b.bad and abs(a.slope - b.slope) < 1e-9
+    assert {r.id: r.predicted for r in quality_scores(once, b).collect()} == {i: y for i, _, y in rows}
+    assert quality_scores(many, b).where("id = 1000000").count() == 1
+
+
 def test_quality_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "a b", "y"), (2, "", "z"), (1, None, "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 0), (3, 7)], "doc_id long, quality int")
