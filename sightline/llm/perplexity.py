@@ -198,7 +198,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             own = own.join(few(lower), of)
         else:
             own = own.withColumn("shorter", F.col("history").bitwiseAND(F.lit((1 << (BITS * (size - 2))) - 1))).join(model.withColumnRenamed("history", "shorter"), [*of, "shorter", "last"])
-        model = own.select(*of, "history", "last", ((F.col("c") - F.col("d")) / F.col("total") + F.col("rest") * F.col("p")).alias("p"))
+        # written order by order: the plan of one does not hold those of all lower ones
+        model = materialize(own.select(*of, "history", "last", ((F.col("c") - F.col("d")) / F.col("total") + F.col("rest") * F.col("p")).alias("p")), "order")
     return model.select(F.when(~F.col("none"), F.col("lang")).alias("lang"), "history", "last", "p")
 
 
