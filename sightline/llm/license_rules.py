@@ -67,7 +67,7 @@ apache-2.0 | 70 | apache | apache(?: software)? licen[sc]e {V}2(?: 0)?
 apache-2.0 | 70 | apache | apache {V}2(?: 0)?(?: licen[sc]ed?)?
 apache-1.1 | 70 | apache | apache(?: software)? licen[sc]e {V}1 1
 apache-1.0 | 70 | apache | apache(?: software)? licen[sc]e {V}1 0
-apache-2.0-llvm | 90 | llvm exceptions | apache(?: license)? {V}2 0 with llvm exceptions?
+apache-2.0-llvm | 90 | llvm | apache(?: license)? {V}2 0 with llvm exceptions?
 apache | 50 | apache | apache(?: software)? licen[sc]e
 mit | 90 | free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | 90 | mit | (?:released|licensed|distributed|available) under(?: the)?(?: terms of the)? mit licen[sc]e
@@ -87,12 +87,14 @@ isc | 70 | isc | isc licen[sc]e
 0bsd | 70 | 0bsd | 0bsd
 0bsd | 70 | bsd 0 | bsd 0 clause
 bsd-1-clause | 70 | clause | (?:bsd 1 clause|1 clause bsd)(?: license)?
-bsd-2-clause | 70 | clause | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: license)?
+bsd-2-clause | 70 | clause | (?:bsd 2 clause|2 clause bsd|two clause bsd)(?: license)?
+bsd-2-clause | 50 | simplified bsd | simplified bsd
 bsd-2-clause-patent | 90 | clause | bsd 2 clause(?: plus)? patent(?: license)?
 bsd-2-clause-views | 90 | clause | bsd 2 clause(?: with)? views(?: sentence)?
 bsd-3-clause | 70 | clause | (?:bsd 3 clause|3 clause bsd|three clause bsd)(?: license)?
 bsd-3-clause-clear | 90 | clause | bsd 3 clause clear(?: license)?
-bsd-3-clause-lbnl | 90 | lbnl | (?:bsd 3 clause lbnl|lawrence berkeley national labs bsd variant license)
+bsd-3-clause-lbnl | 90 | lbnl | bsd 3 clause lbnl
+bsd-3-clause-lbnl | 90 | lawrence berkeley | lawrence berkeley national labs bsd variant license
 bsd-4-clause | 70 | clause | (?:bsd 4 clause|4 clause bsd|four clause bsd)(?: license)?
 bsd-2-clause | 70 | simplified bsd | simplified bsd licen[sc]e
 bsd-3-clause | 70 | new bsd | new bsd licen[sc]e
@@ -249,16 +251,17 @@ ngpl | 70 | nethack | nethack general public license
 osl-atom | 70 | open group | open group test suite license
 cdla-permissive-2.0 | 70 | community data | community data license agreement permissive(?: {V}[12] 0)?
 cdla-sharing-1.0 | 70 | community data | community data license agreement sharing(?: {V}1 0)?
-odbl-1.0 | 70 | open database | open(?: data commons)?(?: open)? database license(?: odbl)?(?: {V}1 0)?
+odbl-1.0 | 70 | database | open(?: data commons)?(?: open)? database license(?: odbl)?(?: {V}1 0)?
 odc-by-1.0 | 70 | open data commons | open data commons attribution license(?: {V}1 0)?
 pddl-1.0 | 70 | public domain dedication | (?:open data commons )?public domain dedication and licen[sc]e(?: {V}1 0)?
 ogl-3.0 | 70 | open government | open government licen[sc]e(?: {V}[123](?: 0)?)?
 ogl-canada | 90 | canada | open government licence canada(?: 2 0)?
-etalab-2.0 | 70 | etalab | (?:etalab open license|licence ouverte)(?: {V}[12] 0)?
+etalab-2.0 | 70 | etalab | etalab open license(?: {V}[12] 0)?
 etalab-2.0 | 70 | ouverte | licence ouverte(?: {V}[12] 0)?
 dl-de-by-2.0 | 70 | datenlizenz | datenlizenz deutschland namensnennung(?: {V}2 0)?
 dl-de-zero-2.0 | 70 | datenlizenz | datenlizenz deutschland zero(?: {V}2 0)?
-openrail | 70 | openrail | (?:creativeml |bigscience )?open ?rail(?: m|\+\+)?(?: license)?
+openrail | 50 | openrail | (?:creativeml |bigscience )?openrail(?: m)?(?: license)?
+openrail | 50 | open rail | (?:creativeml |bigscience )?open rail(?: m)?(?: license)?
 openrail-m | 70 | creativeml | creativeml open rail m(?: license)?
 rail-1.0 | 70 | responsible ai | responsible ai license
 public-domain | 90 | public domain | (?:released|dedicated|placed) (?:in|in ?to|to) the public domain

@@ -57,6 +57,38 @@ def test_license_rules():
     assert resolve([(0, 5, "a", 90, 1), (1, 3, "b", 70, 2), (4, 8, "c", 50, 3), (0, 5, "d", 90, 4)]) == [(0, 5, "a", 90, 1), (4, 8, "c", 50, 3)]
 
 
+def strings(parsed):
+    """Strings that a parsed pattern gives: each alternative, each optional part with and without."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + [x * max(arg[0], 1) for x in strings(arg[2])]
+        elif name == "SUBPATTERN":
+            more = strings(arg[-1])
+        elif name == "BRANCH":
+            more = [x for part in arg[1] for x in strings(part)]
+        else:
+            assert name == "IN"
+            more = [chr(a) if str(o) == "LITERAL" else chr(a[0]) if str(o) == "RANGE" else "1" for o, a in arg]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_gates():
+    """Whatever a pattern can match holds its rule's keyword, is written in words of the stream, and is detected."""
+    s = scanner()
+    for label, _, keyword, pattern in rules():
+        for x in strings(re._parser.parse(pattern)):
+            assert f" {keyword} " in f" {x} " and re.fullmatch(r"[^ ]+( [^ ]+)*", x), (label, x)
+        assert s.scan(x)[2], (label, x)
+    labels = lambda t: {x[2] for x in s.scan(t)[2]}
+    assert labels("CreativeML Open RAIL-M license") == {"openrail-m"} and labels("Apache 2.0 with LLVM exception") == {"apache-2.0-llvm"}
+    assert labels("Lawrence Berkeley National Labs BSD variant license") == {"bsd-3-clause-lbnl"} and labels("simplified BSD") == {"bsd-2-clause"}
+
+
 def plain_pii(text):
     found = []
     for n, (kind, pattern) in enumerate((("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))):
