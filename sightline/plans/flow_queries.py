@@ -20,7 +20,11 @@ def _folder(spark, label: str) -> str:
 BODIES = Rows("src bigint, body string", [(1, '{"rows": [{"keys": ["https://a.b/x"], "clicks": 1, "impressions": 10, "position": 2.5}]}'), (2, '[{"keys": ["q"], "page": "https://a.b/y", "clicks": 2, "impressions": 20, "position": 3}]'), (3, '{"results": [{"query": "z", "clicks": 0, "impressions": 5, "position": null}]}'), (4, "broken"), (5, '{"other": 1}')])
 
 
-@query("S7_metric_bodies", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'https://a.b/x', NULL, CAST(10 AS DOUBLE)), (2, NULL, 'https://a.b/y', 20), (3, NULL, NULL, 5)) AS t(src, url, page, impressions)")
+_METRICS = "from_json(coalesce(json_extract(j, '$.rows'), json_extract(j, '$.data'), json_extract(j, '$.results'), CASE WHEN json_type(j) = 'ARRAY' THEN j END), '[\"JSON\"]')"
+
+
+@query("S7_metric_bodies", f"""WITH {BODIES.sql('t')}, p AS (SELECT src, TRY_CAST(body AS JSON) AS j FROM t), r AS (SELECT src, unnest({_METRICS}) AS r FROM p)
+SELECT src, list_filter(CAST(json_extract(r, '$.keys') AS VARCHAR[]), lambda k: starts_with(k, 'http'))[1] AS url, r->>'page' AS page, CAST(r->>'impressions' AS DOUBLE) AS impressions FROM r""")
 def s7(spark, sf_dir):
     r = T.metric_rows(BODIES.df(spark), "body")
     return r.select("src", F.get(F.filter("keys", lambda k: k.startswith("http")), F.lit(0)).alias("url"), "page", "impressions")
@@ -82,6 +86,30 @@ def s9(spark, sf_dir):
     return spark.createDataFrame([(body,)], "body string").withColumn("p", page).select("p.query", F.size("p.results").cast("long").alias("results"))
 
 
+_LIST = '[{"title": "One", "url": "https://a.b/1", "snippet": "first", "content": "first", "description": "first", "position": 1}, {"title": "Two", "url": "https://a.b/2", "content": "%s", "description": null, "position": 4}]' % ("long " * 90)
+_LINKS = '[{"title": "One", "link": "https://a.b/1", "snippet": "first", "position": 1}, {"link": "https://a.b/2", "snippet": "second"}]'
+PAGES_SEEN = Rows(
+    "provider string, body string",
+    [
+        ("serpd", '{"ok": true, "results": ' + _LIST + "}"), ("serpd", '{"ok": false, "error": "x", "results": ' + _LIST + "}"), ("searxng", '{"results": ' + _LIST + "}"), ("brave", '{"web": {"results": ' + _LIST + "}}"), ("serper", '{"organic": ' + _LINKS + "}"), ("serpapi", '{"organic_results": ' + _LINKS + "}"),
+        ("dataforseo", '{"tasks": [{"result": [{"items": [{"type": "ai_overview"}, {"type": "organic", "title": "One", "url": "https://a.b/1", "description": "first", "rank_absolute": 2}]}]}]}'), ("brave", '{"error": 1}'), ("serper", "no json"),
+        ("ddg", '<html><a class="result__a" rel="x" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.b%2F1&amp;rut=z">One <b>&amp; only</b></a> <a class="result__snippet" href="y">the  <b>first</b></a><a class="result__a" href="//c.d/">Two</a></html>'),
+    ],
+)
+_JSON_ROWS = lambda provider, path, url, snippet, position: f"SELECT provider, i AS place, coalesce(r->>'title', '') AS title, coalesce(r->>'{url}', '') AS url, left(coalesce(r->>'{snippet}', ''), 300) AS snippet, CAST({position} AS INTEGER) AS position FROM (SELECT provider, unnest(from_json(json_extract(TRY_CAST(body AS JSON), '{path}'), '[\"JSON\"]')) AS r, generate_subscripts(from_json(json_extract(TRY_CAST(body AS JSON), '{path}'), '[\"JSON\"]'), 1) AS i FROM t WHERE provider = '{provider}' AND coalesce(TRY_CAST(body AS JSON)->>'$.ok', 'true') = 'true')"
+_POSITION = "r->>'position'"
+
+
+@query("S9_result_rows", f"""WITH {PAGES_SEEN.sql('t')}, j AS ({_JSON_ROWS('serpd', '$.results', 'url', 'snippet', _POSITION)} UNION ALL {_JSON_ROWS('searxng', '$.results', 'url', 'content', 'NULL')} UNION ALL {_JSON_ROWS('brave', '$.web.results', 'url', 'description', 'NULL')} UNION ALL {_JSON_ROWS('serper', '$.organic', 'link', 'snippet', _POSITION)} UNION ALL {_JSON_ROWS('serpapi', '$.organic_results', 'link', 'snippet', _POSITION)}),
+d AS (SELECT provider, row_number() OVER () AS place, r->>'title' AS title, r->>'url' AS url, r->>'description' AS snippet, CAST(r->>'rank_absolute' AS INTEGER) AS position FROM (SELECT provider, unnest(from_json(json_extract(TRY_CAST(body AS JSON), '$.tasks[0].result[0].items'), '["JSON"]')) AS r FROM t WHERE provider = 'dataforseo') WHERE r->>'type' = 'organic'),
+h AS (SELECT provider, unnest(string_split(body, 'class="result__a"')[2:]) AS part, generate_subscripts(string_split(body, 'class="result__a"')[2:], 1) AS i FROM t WHERE provider = 'ddg'),
+x AS (SELECT provider, i, replace(regexp_replace(regexp_extract(part, '^[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '&amp;', '&') AS title, replace(regexp_extract(part, '^[^>]*href="([^"]+)"', 1), '&amp;', '&') AS target, regexp_replace(regexp_replace(regexp_extract(part, 'class="result__snippet"[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g') AS snippet FROM h),
+u AS (SELECT *, CASE WHEN contains(target, 'uddg=') THEN url_decode(regexp_extract(target, 'uddg=([^&]+)', 1)) ELSE target END AS url FROM x)
+SELECT provider, CAST(place AS INTEGER) AS place, title, url, snippet, position FROM (SELECT * FROM j UNION ALL SELECT * FROM d UNION ALL SELECT provider, i, title, CASE WHEN starts_with(url, '//') THEN 'https:' || url ELSE url END, snippet, NULL FROM u)""")
+def s9_rows(spark, sf_dir):
+    return T.result_rows(PAGES_SEEN.df(spark))
+
+
 def _stream(spark, sf_dir):
     """events as a stream of files."""
     t = table(spark, sf_dir, "events")
