@@ -103,7 +103,7 @@ _POSITION = "r->>'position'"
 @query("S9_result_rows", f"""WITH {PAGES_SEEN.sql('t')}, j AS ({_JSON_ROWS('serpd', '$.results', 'url', 'snippet', _POSITION)} UNION ALL {_JSON_ROWS('searxng', '$.results', 'url', 'content', 'NULL')} UNION ALL {_JSON_ROWS('brave', '$.web.results', 'url', 'description', 'NULL')} UNION ALL {_JSON_ROWS('serper', '$.organic', 'link', 'snippet', _POSITION)} UNION ALL {_JSON_ROWS('serpapi', '$.organic_results', 'link', 'snippet', _POSITION)}),
 d AS (SELECT provider, row_number() OVER () AS place, r->>'title' AS title, r->>'url' AS url, r->>'description' AS snippet, CAST(r->>'rank_absolute' AS INTEGER) AS position FROM (SELECT provider, unnest(from_json(json_extract(TRY_CAST(body AS JSON), '$.tasks[0].result[0].items'), '["JSON"]')) AS r FROM t WHERE provider = 'dataforseo') WHERE r->>'type' = 'organic'),
 h AS (SELECT provider, unnest(string_split(body, 'class="result__a"')[2:]) AS part, generate_subscripts(string_split(body, 'class="result__a"')[2:], 1) AS i FROM t WHERE provider = 'ddg'),
-x AS (SELECT provider, i, replace(regexp_replace(regexp_extract(part, '^[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '&amp;', '&') AS title, replace(regexp_extract(part, '^[^>]*href="([^"]+)"', 1), '&amp;', '&') AS target, regexp_replace(regexp_replace(regexp_extract(part, 'class="result__snippet"[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g') AS snippet FROM h),
+x AS (SELECT provider, i, replace(regexp_replace(regexp_extract(part, '^[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '&amp;', '&') AS title, replace(regexp_extract(part, '^[^>]*href="([^"]+)"', 1), '&amp;', '&') AS target, regexp_replace(regexp_replace(regexp_extract(part, 'class="result__snippet"[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g') AS snippet FROM h),
 u AS (SELECT *, CASE WHEN contains(target, 'uddg=') THEN url_decode(regexp_extract(target, 'uddg=([^&]+)', 1)) ELSE target END AS url FROM x)
 SELECT provider, CAST(place AS INTEGER) AS place, title, url, snippet, position FROM (SELECT * FROM j UNION ALL SELECT * FROM d UNION ALL SELECT provider, i, title, CASE WHEN starts_with(url, '//') THEN 'https:' || url ELSE url END, snippet, NULL FROM u)""")
 def s9_rows(spark, sf_dir):
