@@ -58,6 +58,7 @@ def pair_score(headings_a, headings_b, body_a, body_b, opening_a, opening_b) ->
 def strip_markdown(text: Column | str) -> Column:
     """Prose of a Markdown text: front matter, code, images, links with their words, tags and marks become blanks."""
     out = col(text)
+    # fixed values: the patterns, in this order
     for pattern in (r"(?s)\A---\n.*?\n---", r"(?s)```.*?```", r"`[^`]*`", r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)", r"<[^>]+>", r"[#*_>|]"):
         out = F.regexp_replace(out, pattern, " ")
     return out
@@ -126,6 +127,7 @@ def token_estimate(text: Column | str) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Six families of character references; what is left of others becomes a blank."""
+    # fixed values: the references and what they stand for, in this order
     for pattern, mark in ((r"(?i)&(?:#0*39|#x0*27|apos|lsquo|rsquo);", "'"), (r"(?i)&(?:#0*34|#x0*22|quot|ldquo|rdquo);", '"'), (r"(?i)&(?:#0*160|nbsp);", " "), (r"(?i)&(?:#0*38|#x0*26|amp);", "&"), (r"(?i)&(?:#0*60|#x0*3c|lt);", "<"), (r"(?i)&(?:#0*62|#x0*3e|gt);", ">")):
         text = F.regexp_replace(text, pattern, mark)
     return F.regexp_replace(text, r"(?i)&[a-z]+;|&#x?[0-9a-f]+;", " ")

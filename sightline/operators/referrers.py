@@ -14,6 +14,7 @@ from ..functions.urls import site
 SEARCH = ("google.", "bing.com", "duckduckgo.com", "yandex.", "baidu.com", "ecosia.org", "search.brave.com", "startpage.com", "qwant.com", "search.marginalia.nu", "searx", "lite.duckduckgo.com", "html.duckduckgo.com", "seznam.cz", "naver.com", "search.yahoo.com", "yahoo.co", "so.com", "sogou.com", "360.cn", "mail.ru", "ask.com", "aol.com", "petalsearch.com", "onesearch.com", "lycos.com")
 LOCAL = ("localhost", "127.0.0.1", "0.0.0.0", "::1", "host.docker.internal", "tauri.localhost", "host.containers.internal")
 ASSISTANTS = ("chatgpt.com", "chat.openai.com", "perplexity.ai", "claude.ai", "gemini.google.com", "copilot.microsoft.com", "you.com", "phind.com", "poe.com", "mistral.ai")
+#: Fixed value: addresses of private networks.
 PRIVATE = r"^(192\.168\.|10\.|172\.16\.|172\.17\.|172\.18\.|169\.254\.)"
 
 
