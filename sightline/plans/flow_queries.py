@@ -33,7 +33,10 @@ def s7(spark, sf_dir):
 ANSWERS = Rows("engine string, body string", [("google", '["q", ["a b", "c"]]'), ("guarded", ")]}'\n[\"q\", [[\"d\", 0], [\"e\", 1]]]"), ("amazon", '{"suggestions": [{"value": "f"}, {"value": "g"}]}'), ("ddg", '[{"phrase": "h"}, {"phrase": "i"}]'), ("silent", "[]")])
 
 
-@query("S10_suggestion_shapes", "SELECT * FROM (VALUES ('google', 'a b|c'), ('guarded', 'd|e'), ('amazon', 'f|g'), ('ddg', 'h|i'), ('silent', '')) AS t(engine, texts)")
+_TEXTS = "CASE WHEN json_extract_string(j, '$[1][0][0]') IS NOT NULL THEN json_extract_string(j, '$[1][*][0]') WHEN json_type(j, '$[1]') = 'ARRAY' THEN json_extract_string(j, '$[1][*]') WHEN json_type(j) = 'OBJECT' THEN json_extract_string(j, '$.suggestions[*].value') ELSE json_extract_string(j, '$[*].phrase') END"
+
+
+@query("S10_suggestion_shapes", rf"""WITH {ANSWERS.sql('t')}, p AS (SELECT engine, CAST(regexp_replace(body, '^\)\]\}}''\s*', '') AS JSON) AS j FROM t) SELECT engine, coalesce(array_to_string({_TEXTS}, '|'), '') AS texts FROM p""")
 def s10(spark, sf_dir):
     return ANSWERS.df(spark).select("engine", F.array_join(T.suggestions(F.col("body")), "|").alias("texts"))
 
@@ -65,7 +68,10 @@ def s12(spark, sf_dir):
 FEED = Rows("feed string, body string", [("news", "<rss><item><title>One</title><link>http://x/1</link><source url='u'>Paper</source></item><item><title><![CDATA[Two & more]]></title><link>http://x/2</link></item></rss>")])
 
 
-@query("S18_feed_items", "SELECT * FROM (VALUES ('news', 'One', 'http://x/1', 'Paper'), ('news', 'Two & more', 'http://x/2', '')) AS t(feed, title, link, source)")
+_INNER = lambda name: f"regexp_replace(regexp_extract(i, '(?s)<{name}[^>]*>(.*?)</{name}>', 1), '^<!\\[CDATA\\[|\\]\\]>$', '', 'g')"
+
+
+@query("S18_feed_items", f"WITH {FEED.sql('t')}, e AS (SELECT feed, unnest(regexp_extract_all(body, '(?s)<item[^>]*>(.*?)</item>', 1)) AS i FROM t) SELECT feed, {_INNER('title')} AS title, {_INNER('link')} AS link, {_INNER('source')} AS source FROM e")
 def s18(spark, sf_dir):
     return T.feed_items(FEED.df(spark), "body")
 

@@ -199,10 +199,12 @@ def r3(spark, sf_dir):
     return C.outage(OLD.df(spark), NEW.df(spark))
 
 
-@query("R3_outage_refused", "SELECT CAST(10 AS BIGINT) AS were_ok, CAST(10 AS BIGINT) AS failing, true AS refused")
+@query("R3_outage_refused", "WITH p AS (SELECT url, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS was, CASE WHEN page_id % 5 < 3 THEN 503 ELSE 200 END AS now FROM pages), c AS (SELECT count(*) AS were_ok, count(*) FILTER (now <> 200) AS failing FROM p WHERE was = 200) SELECT were_ok, failing, failing / were_ok > 0.34 AS refused FROM c")
 def r3_refused(spark, sf_dir):
-    was = spark.createDataFrame([(f"u{i}", 200) for i in range(10)], "url string, status int")
-    return C.outage(was, was.withColumn("status", F.lit(503)))
+    """All pages, three of five of them failing now."""
+    p = table(spark, sf_dir, "pages")
+    was = p.select("url", F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).alias("status"))
+    return C.outage(was, p.select("url", F.when(F.col("page_id") % 5 < 3, 503).otherwise(200).alias("status")))
 
 
 FINDING = "path string, rule string, severity string, state string, first_seen string, last_seen string, seen_count bigint, resolved_at string"

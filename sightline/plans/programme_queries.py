@@ -243,11 +243,15 @@ QUEUE = Rows(
 )
 
 
-@query("F19_row_lookup", "SELECT * FROM (VALUES ('ab12cd', 'ab12cd'), ('ab12', 'ab12cd'), ('FAQ', 'ab12xx'), ('b.com', 'zz99'), ('ab1', NULL)) AS t(ident, id)")
+IDENTS = Rows("ident string", [("ab12cd",), ("ab12",), ("FAQ",), ("b.com",), ("ab1",)])
+
+
+@query("F19_row_lookup", f"""WITH {QUEUE.sql('q')}, {IDENTS.sql('i')}, m AS (SELECT ident, id, ord, CASE WHEN id = ident THEN 0 WHEN starts_with(id, ident) AND length(ident) >= 4 THEN 1 WHEN slug = lower(ident) OR lower(title) = lower(ident) THEN 2 WHEN lower(keyword) = lower(ident) OR lower(domain) = lower(ident) THEN 3 END AS step FROM i, q)
+SELECT ident, arg_min(id, step * 1000 + ord) FILTER (step IS NOT NULL) AS id FROM m GROUP BY 1""")
 def f19(spark, sf_dir):
     q = QUEUE.df(spark)
     out = None
-    for ident in ("ab12cd", "ab12", "FAQ", "b.com", "ab1"):
+    for (ident,) in IDENTS.rows:
         one = spark.createDataFrame([(ident,)], "ident string").join(S.lookup(q, ident).select("id"), F.lit(True), "left")
         out = one if out is None else out.unionAll(one)
     return out
@@ -399,11 +403,14 @@ def a32(spark, sf_dir):
     return S.popularity(ranks(spark, sf_dir).select(F.col("keyword").alias("key"), "at", F.col("position").alias("rank")))
 
 
-@query("J16_reconcile", "SELECT * FROM (VALUES ('httpbin.org', NULL, NULL, true), ('search.marginalia.nu', 'marginalia.nu', CAST(7 AS INTEGER), false), ('Example.com', 'example.com', 1, false), ('a.b.example.com', 'b.example.com', 2, false), ('x.org', NULL, NULL, true)) AS t(domain, answered_for, rank, no_data)")
+ASKED = Rows("domain string", [("httpbin.org",), ("search.marginalia.nu",), ("Example.com",), ("a.b.example.com",), ("x.org",)])
+ANSWERED = Rows("domain string, rank int, ord int", [("marginalia.nu", 7, 1), ("example.com", 1, 2), ("b.example.com", 2, 3), ("org", 5, 4)])
+
+
+@query("J16_reconcile", f"""WITH {ASKED.sql('a')}, {ANSWERED.sql('g')}, m AS (SELECT a.domain, arg_max(g.domain, length(g.domain)) AS answered_for, arg_max(rank, length(g.domain)) AS rank FROM a JOIN g ON contains(g.domain, '.') AND ('.' || lower(a.domain)) LIKE ('%.' || g.domain) GROUP BY 1)
+SELECT a.domain, answered_for, rank, answered_for IS NULL AS no_data FROM a LEFT JOIN m USING (domain)""")
 def j16(spark, sf_dir):
-    asked = spark.createDataFrame([(x,) for x in ("httpbin.org", "search.marginalia.nu", "Example.com", "a.b.example.com", "x.org")], "domain string")
-    got = spark.createDataFrame([("marginalia.nu", 7, 1), ("example.com", 1, 2), ("b.example.com", 2, 3), ("org", 5, 4)], "domain string, rank int, ord int")
-    return S.reconcile(asked, got)
+    return S.reconcile(ASKED.df(spark), ANSWERED.df(spark))
 
 
 RATINGS = Rows("domain string, first double, second double, third double", [("a", None, 3.0, 4.0), ("b", 1.0, 2.0, None), ("c", None, None, None)])
@@ -423,11 +430,21 @@ def j22(spark, sf_dir):
     return S.merge_sources(w.where("src = 0"), w.where("src = 1"))
 
 
-@query("A41_concept_coverage", "SELECT * FROM (VALUES ('Rank tracking software', CAST(3 AS BIGINT), CAST(2 AS BIGINT)), ('Search engine with index', 3, 0)) AS t(concept, tokens, matched)")
+CONCEPTS = Rows("concept string", [("Rank tracking software",), ("Search engine with index",), ("It is a",)])
+DRAFT_WORDS = Rows("word string", [("rank",), ("software",), ("other",)])
+_CONCEPT_WORDS = "list_filter(regexp_extract_all(lower(concept), '[a-z0-9'']+'), lambda w: length(w) > 3 AND w NOT IN ('with', 'from', 'that'))"
+
+
+@query("A41_concept_coverage", f"WITH {CONCEPTS.sql('c')}, {DRAFT_WORDS.sql('d')}, e AS (SELECT concept, unnest({_CONCEPT_WORDS}) AS w FROM c) SELECT concept, count(*) AS tokens, count(*) FILTER (w IN (SELECT word FROM d)) AS matched FROM e GROUP BY 1")
 def a41(spark, sf_dir):
-    concepts = spark.createDataFrame([("Rank tracking software",), ("Search engine with index",), ("It is a",)], "concept string")
-    words = spark.createDataFrame([("rank",), ("software",), ("other",)], "word string")
-    return S.coverage(concepts, words, ("with", "from", "that"))
+    return S.coverage(CONCEPTS.df(spark), DRAFT_WORDS.df(spark), ("with", "from", "that"))
+
+
+@query("A41_benchmark_coverage", f"WITH c AS (SELECT text AS concept FROM benchmark), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM documents), e AS (SELECT concept, unnest({_CONCEPT_WORDS}) AS w FROM c) SELECT concept, count(*) AS tokens, count(d.word) AS matched FROM e LEFT JOIN d ON d.word = w GROUP BY 1")
+def a41_benchmark(spark, sf_dir):
+    """Items as concepts, the words of all documents as the draft's."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0))).alias("word"))
+    return S.coverage(table(spark, sf_dir, "benchmark").select(F.col("text").alias("concept")), words, ("with", "from", "that"))
 
 
 CAPTURE = Rows("url string, ts string", [("a", "20240101"), ("a", "20250101"), ("a", "20250301"), ("b", "20250201"), ("b", "20250301")])
@@ -471,7 +488,10 @@ def f33(spark, sf_dir):
 TYPES = Rows("type string", [("http://schema.org/FAQPage",), ("HowTo",), ("Article",), ("schema#Dataset",)])
 
 
-@query("F24_retired_types", "SELECT * FROM (VALUES ('FAQPage', '2026-05-07'), ('HowTo', '2023-09'), ('Dataset', NULL)) AS t(type, retired)")
+_RETIRED = "CASE b " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.RETIRED.items()) + " END"
+
+
+@query("F24_retired_types", f"WITH {TYPES.sql('t')}, b AS (SELECT regexp_replace(type, '^.*[/#]', '') AS b FROM t) SELECT b AS type, {_RETIRED} AS retired FROM b WHERE {_RETIRED} IS NOT NULL OR b = 'Dataset'")
 def f24(spark, sf_dir):
     return S.retired_types(TYPES.df(spark))
 
@@ -495,7 +515,7 @@ def a49(spark, sf_dir):
 ENVELOPES = Rows("id bigint, body string", [(1, '{"d": [{"Query": "a", "Clicks": 3}]}'), (2, '{"ErrorCode": 7, "Message": "no"}'), (3, "not json")])
 
 
-@query("F30_error_envelope", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), true, NULL), (2, false, CAST(7 AS INTEGER)), (3, false, NULL)) AS t(id, ok, code)")
+@query("F30_error_envelope", f"WITH {ENVELOPES.sql('t')}, j AS (SELECT id, TRY_CAST(body AS JSON) AS j FROM t) SELECT id, coalesce((j->'d') IS NOT NULL AND (j->'ErrorCode') IS NULL, false) AS ok, CAST(j->>'ErrorCode' AS INTEGER) AS code FROM j")
 def f30(spark, sf_dir):
     """A body that carries an error is an error, whatever the status says."""
     d = F.from_json("body", "ErrorCode int, d array<struct<Query:string,Clicks:long>>")
@@ -529,10 +549,13 @@ def set_ops(spark, sf_dir):
     return r.intersect(a).withColumn("side", F.lit("both")).unionAll(r.subtract(a).withColumn("side", F.lit("only")))
 
 
-@query("J18_slug_match", "SELECT * FROM (VALUES ('guides/rank-tracker', 'rank tracker'), ('faq', 'faq page'), ('none', NULL)) AS t(stem, keyword)")
+SLUGS = Rows("ord int, slug string, keyword string", [(1, "rank-tracker", "rank tracker"), (2, "tracker", "tracker"), (3, "x/faq", "faq page")])
+STEMS = Rows("stem string", [("guides/rank-tracker",), ("faq",), ("none",)])
+
+
+@query("J18_slug_match", f"WITH {SLUGS.sql('p')}, {STEMS.sql('s')} SELECT stem, arg_min(keyword, ord) AS keyword FROM s LEFT JOIN p ON slug = stem OR ends_with(slug, '/' || stem) OR ends_with(stem, slug) GROUP BY 1")
 def j18(spark, sf_dir):
     """The first page, in order of the map, whose slug is the name, or ends it, or is its end."""
-    pages = spark.createDataFrame([(1, "rank-tracker", "rank tracker"), (2, "tracker", "tracker"), (3, "x/faq", "faq page")], "ord int, slug string, keyword string")
-    stems = spark.createDataFrame([("guides/rank-tracker",), ("faq",), ("none",)], "stem string")
+    pages, stems = SLUGS.df(spark), STEMS.df(spark)
     fits = (F.col("slug") == F.col("stem")) | F.col("slug").endswith(F.concat(F.lit("/"), F.col("stem"))) | F.col("stem").endswith(F.col("slug"))
     return stems.join(F.broadcast(pages), fits, "left").groupBy("stem").agg(F.min_by("keyword", "ord").alias("keyword"))
