@@ -222,18 +222,19 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
 
 
 def _near_star(placed: DataFrame, threshold: float) -> DataFrame:
-    """(row, group, grams, linked) of rows (row, group, grams, star, star_grams): whether each is as similar to the star."""
+    """(row, group, star, n, linked) of rows (row, group, grams, star, star_grams): shingles of each, and whether it is as similar to the star."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            linked, sizes = [], []
             for mine, other in zip(batch.column("grams"), batch.column("star_grams"), strict=True):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, other))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "group", "star", "grams")] + [pa.array(linked, pa.bool_())], names=["row", "group", "star", "grams", "linked"])
+                sizes.append(len(a))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "group", "star")] + [pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_())], names=["row", "group", "star", "n", "linked"])
 
-    return placed.select("row", "group", "star", "grams", "star_grams").mapInArrow(run, "row long, group long, star long, grams binary, linked boolean")
+    return placed.select("row", "group", "star", "grams", "star_grams").mapInArrow(run, "row long, group long, star long, n long, linked boolean")
 
 
 def _paired(placed: DataFrame) -> DataFrame:
@@ -260,12 +261,14 @@ def _pairs_with_open(member: DataFrame, of_row: DataFrame, sets: DataFrame, n_bl
         return small, None
     rows = materialize(hot_join(member.select("row", "group"), large.select("group"), ["group"], large, "row"), "large-groups")
     stars = rows.groupBy("group").agg(F.min("row").alias("star")).join(sets.select(F.col("row").alias("star"), F.col("grams").alias("star_grams")), "star")
-    held = materialize(_near_star(hot_join(rows.join(sets.hint("merge"), "row"), stars, ["group"], large, "row"), threshold), "near-star")
-    count = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.length("grams") / 8)), F.lit(0)) / BLOCK_GRAMS)).cast("int")
+    of_large = flag_possible(sets, rows, "row").where("__maybe").drop("__maybe")
+    held = materialize(_near_star(hot_join(rows.join(of_large.hint("merge"), "row"), stars, ["group"], large, "row"), threshold), "near-star")
+    count = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_GRAMS)).cast("int")
     sizes = materialize(held.groupBy("group").agg(count(~F.col("linked")).alias("n_open"), count(F.col("linked")).alias("n_linked")).where("n_open > 0").withColumn("n_blocks", F.col("n_open") + F.col("n_linked")), "open")
     placed = hot_join(held, sizes, ["group"], sizes, "row")
     block = F.when(F.col("linked"), F.col("n_open") + F.pmod(F.xxhash64("row"), F.greatest("n_linked", F.lit(1)))).otherwise(F.pmod(F.xxhash64("row"), F.col("n_open")))
-    again = _paired(placed.withColumn("block", block.cast("int"))).join(of_row, "row")
+    # sets are read again only for groups with rows that are not linked
+    again = _paired(placed.withColumn("block", block.cast("int"))).join(of_row, "row").join(of_large.hint("merge"), "row")
     columns = ["row", "group", "block", "low", "high", "groups", "grams"]
     return small.select(*columns).unionAll(again.select(*columns)), held.where("linked and row <> star").select(F.col("row").alias("a"), F.col("star").alias("b"), F.lit(0).cast("long").alias("n"))
 
