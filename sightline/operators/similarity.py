@@ -50,7 +50,8 @@ def unique_ratio(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, rar
     A phrase is rare that stands in at most max(1, floor(documents * share)) of
     them. Phrases meet by a hash of 128 bits, so that no text is shuffled.
     """
-    own = hashed(phrases(df, id_col, text_col, n)).select("id", "a", "b")
+    # written once: cutting texts into phrases costs more than reading two numbers a phrase again
+    own = materialize(hashed(phrases(df, id_col, text_col, n)).select("id", "a", "b"), "phrases")
     limit = df.where(F.size(tokenize(text_col)) >= n).agg(F.greatest(F.lit(1), F.floor(F.count("*") * rare_share)).alias("limit"))
     often = bounded(materialize(frequent(own, limit), "frequent").withColumn("often", F.lit(True)))
     out = own.join(often, ["a", "b"], "left").groupBy("id").agg(F.count("*").alias("n_phrases"), F.count_if(F.col("often").isNull()).alias("n_rare"))
