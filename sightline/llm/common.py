@@ -119,8 +119,11 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, s
 
     Rows of left whose key is in hot (which has the column ``on[0]``, written
     before) are dealt out over SALTS tasks by ``salt_by``, and right's row of the key
-    goes to each of them. Both sides tell hot keys by the same bitmap.
+    goes to each of them. Both sides tell hot keys by the same bitmap. Without
+    hot keys it is a plain join.
     """
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), on)
     l, r = flag_possible(left, hot, on[0], "__hot"), flag_possible(right, hot, on[0], "__hot")
     l = l.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
     r = r.withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
