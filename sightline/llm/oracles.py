@@ -107,4 +107,27 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
   sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM raw LEFT JOIN cut USING (r)"""
 
-ORACLES = {"op2_near_duplicates": NEAR, "op4_repeats": REPEATS, "base_op1_license": LICENSE, "base_op3_pii": PII, "base_op8_rules": RULES, "base_op9_secrets": SECRETS}
+def crc32(text: str) -> str:
+    """crc32 of a short ASCII string, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, v: CASE WHEN xor(c, v) & 1 = 1 THEN xor(xor(c, v) >> 1, 3988292384) ELSE xor(c, v) >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), {step}), 4294967295)"
+
+
+SNAPSHOTS = f"""
+WITH old AS (SELECT doc_id, text, lang, source, {crc32("doc_id::VARCHAR")} % 10 AS m FROM documents),
+moved AS (SELECT unnest(CASE WHEN m IN (3, 4) THEN [-1 - doc_id] WHEN m = 5 THEN [doc_id, -1 - doc_id] ELSE [doc_id] END) AS doc_id, text, lang, source, m FROM old WHERE m <> 0),
+new AS (SELECT doc_id, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text, CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source FROM moved),
+gone AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_id) AS i FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.doc_id = o.doc_id)),
+come AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_id) AS i FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.doc_id = n.doc_id)),
+paired AS (
+  SELECT n.doc_id AS key, o.doc_id AS old_key, concat_ws(',', CASE WHEN o.text IS DISTINCT FROM n.text THEN 'text' END, CASE WHEN o.lang IS DISTINCT FROM n.lang THEN 'lang' END, CASE WHEN o.source IS DISTINCT FROM n.source THEN 'source' END) AS changed, NULL AS op, n.text, n.lang, n.source
+  FROM old o JOIN new n ON o.doc_id = n.doc_id
+  UNION ALL
+  SELECT coalesce(n.doc_id, o.doc_id), o.doc_id, '', CASE WHEN n.doc_id IS NULL THEN 'delete' WHEN o.doc_id IS NULL THEN 'insert' ELSE 'rekey' END, n.text, n.lang, n.source
+  FROM gone o FULL JOIN come n ON o.text IS NOT DISTINCT FROM n.text AND o.lang IS NOT DISTINCT FROM n.lang AND o.source IS NOT DISTINCT FROM n.source AND o.i = n.i)
+SELECT key, old_key, coalesce(op, CASE WHEN changed = '' THEN 'same' ELSE 'update' END) AS op, changed,
+  CASE WHEN op IS DISTINCT FROM 'delete' THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256
+FROM paired"""
+
+ORACLES = {"op2_near_duplicates": NEAR, "op4_repeats": REPEATS, "base_op1_license": LICENSE, "base_op3_pii": PII, "base_op8_rules": RULES, "base_op9_secrets": SECRETS, "op13_snapshot_diff": SNAPSHOTS}

@@ -20,6 +20,7 @@ from .perplexity import perplexity_quality
 from .repeats import repeated_spans
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import joined, secret_spans
+from .snapshot_diff import snapshot_diff
 from .token_counts import token_counts
 
 
@@ -77,6 +78,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """The later snapshot that op13 compares with: crc32 of the decimal doc_id modulo 10 says what happened to a row."""
+    docs = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(9)).alias("m"))
+    keys = F.when(F.col("m").isin(3, 4), F.array(-1 - F.col("doc_id"))).when(F.col("m") == 5, F.array("doc_id", -1 - F.col("doc_id"))).otherwise(F.array("doc_id"))
+    return docs.where("m <> 0").select(
+        F.explode(keys).alias("doc_id"),
+        F.when(F.col("m") == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("m") == 2, F.col("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(F.col("m") == 2, F.col("lang")).when(F.col("m") != 4, F.col("source")).alias("source"),
+    )
+
+
+def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return snapshot_diff(docs, later_snapshot(docs), "doc_id", ["text", "lang", "source"])
+
+
 def base_op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
@@ -93,7 +111,7 @@ def base_op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_secrets(spark, sf_dir).drop("spans")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate, "op13_snapshot_diff": op13_snapshot_diff}
 #: The operators' queries without the columns that SQL cannot express.
 QUERIES |= {"base_op1_license": base_op1_license, "base_op3_pii": base_op3_pii, "base_op8_rules": base_op8_rules, "base_op9_secrets": base_op9_secrets}
 
