@@ -130,4 +130,50 @@ SELECT key, old_key, coalesce(op, CASE WHEN changed = '' THEN 'same' ELSE 'updat
   CASE WHEN op IS DISTINCT FROM 'delete' THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256
 FROM paired"""
 
-ORACLES = {"op2_near_duplicates": NEAR, "op4_repeats": REPEATS, "base_op1_license": LICENSE, "base_op3_pii": PII, "base_op8_rules": RULES, "base_op9_secrets": SECRETS, "op13_snapshot_diff": SNAPSHOTS}
+def _least(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+
+def _way(state: str, cost: str, letter: str, line: str, allowed: str = "true") -> str:
+    """A step of the walk from a state: struct of cost, audit and text (each line after a line feed)."""
+    return f"CASE WHEN {state} IS NOT NULL AND ({allowed}) THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+
+def _repair() -> str:
+    line = "chr(10) || '{}:' || text"
+    keep = lambda state, initial: _way(state, "p", "K", "chr(10) || role || ':' || text", f"f AND i0 = '{initial}'")
+    role = lambda state, name: _way(state, "p + 3", "R", line.format(name), "f")
+    more = lambda state, name: _way(state, "3", "I", f"chr(10) || '{name}:'")
+    drop = lambda state: _way(state, "4", "D", "''")
+    first = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+    return rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS m FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE WHEN m = 1 THEN '' WHEN m = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw WHERE m <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{_BLANK}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN regexp_extract(text, '({_BLANK})[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS i0, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS i1
+  FROM placed),
+turns AS (SELECT conv_id, i, role, text, i0, fault IN ('', 'truncated') AS f, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS p FROM marked),
+counted AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i1 IS NOT NULL AND i0 || i1 NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {first} AS s0, CASE WHEN false THEN {first} END AS s1, {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}} AS s2, {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, s0, s1, z2, {_least("n3", more("z2", "assistant"))} FROM (
+    SELECT *, {_least("n2", more("s0", "user"), more("s1", "user"), more("n3", "user"))} AS z2 FROM (
+      SELECT t.conv_id, t.i, {drop("w.s0")} AS s0, {_least(drop("w.s1"), keep("w.s0", "s"))} AS s1,
+        {_least(drop("w.s2"), *[keep(x, "u") for x in ("w.s0", "w.s1", "w.s3")], *[role(x, "user") for x in ("w.s0", "w.s1", "w.s3")])} AS n2,
+        {_least(drop("w.s3"), keep("w.s2", "a"), role("w.s2", "assistant"))} AS n3
+      FROM walk w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = w.i + 1))),
+ended AS (SELECT c.*, {_least("s0", "s3")} AS best FROM counted c JOIN walk w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.n)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+ORACLES = {"op2_near_duplicates": NEAR, "op4_repeats": REPEATS, "base_op1_license": LICENSE, "base_op3_pii": PII, "base_op8_rules": RULES, "base_op9_secrets": SECRETS, "op11_conversation_repair": _repair(), "op13_snapshot_diff": SNAPSHOTS}

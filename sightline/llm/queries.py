@@ -11,6 +11,7 @@ from ..sources.shared import spread
 from .bpe import bpe_encode
 from .common import table
 from .compression_quality import fold, quality_scores, train
+from .conversations import conversation_digests, repair_conversations
 from .decontaminate import find_leaks
 from .license_scan import license_scan
 from .oracles import ORACLES
@@ -78,6 +79,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def damaged(talks: DataFrame) -> DataFrame:
+    """The conversations that op11 repairs: crc32 of `conv_id:turn` modulo 20 says what happened to a row; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    m = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = talks.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), m.alias("m"))
+    return rows.where("m <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("m") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("m") == 1, "").when(F.col("m") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("m") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    reports, edits = repair_conversations(damaged(talks))
+    digests = conversation_digests(edits)
+    every = talks.select("conv_id").distinct()
+    found = every.join(reports, every["conv_id"].eqNullSafe(reports["conv"]), "left").drop("conv").join(digests, every["conv_id"].eqNullSafe(digests["conv"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def later_snapshot(docs: DataFrame) -> DataFrame:
     """The later snapshot that op13 compares with: crc32 of the decimal doc_id modulo 10 says what happened to a row."""
     docs = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(9)).alias("m"))
@@ -111,7 +136,7 @@ def base_op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_secrets(spark, sf_dir).drop("spans")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate, "op13_snapshot_diff": op13_snapshot_diff}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate, "op11_conversation_repair": op11_conversation_repair, "op13_snapshot_diff": op13_snapshot_diff}
 #: The operators' queries without the columns that SQL cannot express.
 QUERIES |= {"base_op1_license": base_op1_license, "base_op3_pii": base_op3_pii, "base_op8_rules": base_op8_rules, "base_op9_secrets": base_op9_secrets}
 
