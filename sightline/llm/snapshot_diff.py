@@ -1,12 +1,14 @@
 """Difference of two snapshots of a keyed table, with rows that only changed their key.
 
-Each snapshot has a Merkle tree: rows fall into leaves by a hash of their key,
-a leaf's digest is the exclusive or of the digests of (key, row) in it and
-their number, and a node's digest is made of its children's in the same way.
-The trees are compared from the root down, and only children of differing nodes
-are looked at. Leaves that seem equal are verified on the rows themselves, and
-their rows are emitted as the same. The rows of all other leaves are compared
-one by one: equal keys pair, then what is left pairs by content.
+Each row becomes its key and the SHA-256 of each compared column, once for each
+snapshot; long columns do not move after that. Each snapshot has a Merkle tree:
+rows fall into leaves by a hash of their key, a leaf's digest is the exclusive or
+of short digests of (key, row) and their number, and a node's digest is made
+of its children's in the same way. The trees are compared from the root down, and only
+children of differing nodes are looked at. Leaves of equal digests are verified
+exactly, on the keys and SHA-256 of all their rows, which are then emitted as the same.
+The rows of all other leaves are compared one by one: equal keys pair, then what
+is left pairs by content.
 
 Nothing is gathered: nodes, rows and pairs are joined by shuffle, and rows of a
 repeated key or content are numbered by sorted ranges, so that a key or content
@@ -23,12 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import flag_possible, materialize
+from .common import materialize
 
-#: Mean rows of a leaf, and bits by which a level of the tree is wider than the one above.
+#: Mean rows of a leaf, and bits of a child's place under its node.
 LEAF_ROWS, FANOUT_BITS = 2, 4
-#: The deepest tree: 2 ** 44 leaves.
-MOST_LEVELS = 11
 
 
 def _row_digests(df: DataFrame, key: str, columns: list[str], side: int, leaf: Column) -> DataFrame:
@@ -57,18 +57,17 @@ def differing(levels: list[DataFrame]) -> DataFrame:
     for level in levels:
         seen = level
         if found is not None:
-            seen = level.withColumn("up", F.shiftright("node", FANOUT_BITS)).join(found.select(F.col("node").alias("up")), "up", "left_semi")
+            seen = level.withColumn("up", F.shiftright("node", FANOUT_BITS)).join(found.select(F.col("node").alias("up")).hint("merge"), "up", "left_semi")
         of = lambda side: F.max(F.when(F.col("side") == side, F.struct("h", "g", "n")))
         # cut here: each level's plan would else hold those of all levels above
         found = materialize(seen.groupBy("node").agg(of(0).alias("a"), of(1).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "differing")
     return found
 
 
-def unequal_leaves(old: DataFrame, new: DataFrame, key: str, columns: list[str], leaf, equal: DataFrame) -> DataFrame:
-    """(leaf): leaves of ``equal`` whose rows, compared as they are and with their repetitions, are not the same in both snapshots."""
-    sides = [df.select(leaf(df).alias("leaf"), df[key].alias("key"), *[df[c].alias(f"c{i}") for i, c in enumerate(columns)], F.lit(step).alias("step")) for df, step in ((old, 1), (new, -1))]
-    likely = flag_possible(sides[0].unionAll(sides[1]), equal.withColumnRenamed("node", "leaf"), "leaf").where("__maybe")
-    return likely.groupBy("leaf", "key", *[f"c{i}" for i in range(len(columns))]).agg(F.sum("step").alias("excess")).where("excess <> 0").select("leaf").distinct()
+def unequal_leaves(rows: DataFrame, equal: DataFrame, digests: list[str]) -> DataFrame:
+    """(node): those of the leaves ``equal`` whose rows, with their repetitions, are not the same in both snapshots."""
+    own = rows.join(equal.hint("merge"), rows["leaf"] == equal["node"], "left_semi")
+    return own.groupBy("leaf", "key", *digests).agg(F.sum(F.lit(1) - 2 * F.col("side")).alias("excess")).where("excess <> 0").select(F.col("leaf").alias("node")).distinct()
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -78,10 +77,13 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) ->
     within their range; a range's places then go up by what the ranges before
     it hold of the same group. Only groups that cross ranges have such a part, at
     most one a range, so these parts are broadcast. The order must be total
-    for a group to be cut: a further column of unique values comes last.
+    for a group to be cut: a further column of unique values comes last. Ranges are
+    cut by a hash of the group, as the driver gets a sample of what they are cut by.
     """
-    first = [F.col(c).asc_nulls_first() for c in (*group, *order)]
-    dealt = rows.repartitionByRange(*first).sortWithinPartitions(*first).withColumns({"__range": F.spark_partition_id(), "__place": F.lit(0).cast("long")})
+    nulls = [F.col(c).isNull() for c in group]
+    low = lambda names: [F.col(c).asc_nulls_first() for c in names]
+    dealt = rows.withColumn("__hash", F.xxhash64(*group, *nulls)).repartitionByRange("__hash", *low(order)).sortWithinPartitions("__hash", *low(group), *low(order))
+    dealt = dealt.drop("__hash").withColumns({"__range": F.spark_partition_id(), "__place": F.lit(0).cast("long")})
     place, at = dealt.columns.index("__place"), [dealt.columns.index(c) for c in group]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def _slots(rows: DataFrame, digests: list[str]) -> DataFrame:
     if repeated.isEmpty():
         return plain
     same = rows["key"].eqNullSafe(repeated["key"])
-    many = numbered(rows.join(repeated, same, "left_semi"), ["side", "key", *digests], ["rid"], "copy")
+    many = numbered(rows.join(repeated.hint("merge"), same, "left_semi"), ["side", "key", *digests], ["rid"], "copy")
     content = F.sha2(F.to_json(F.struct(*digests)), 256)
     least = many.groupBy("key", content.alias("content")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")).select(F.col("key").alias("k"), "content", F.least("a", "b").alias("both"))
     keyed = many.withColumn("content", content)
@@ -131,7 +133,7 @@ def _slots(rows: DataFrame, digests: list[str]) -> DataFrame:
     joined = materialize(joined, "copies")
     exact = joined.where("copy <= both").select(*rows.columns, F.col("content").alias("exact"), F.col("copy").alias("slot"))
     rest = numbered(joined.where("copy > both").select(*rows.columns), ["side", "key"], [*digests, "rid"], "slot")
-    return plain.join(repeated, same, "left_anti").unionByName(exact).unionByName(rest.withColumn("exact", F.lit(None).cast("string")))
+    return plain.join(repeated.hint("merge"), same, "left_anti").unionByName(exact).unionByName(rest.withColumn("exact", F.lit(None).cast("string")))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -146,20 +148,17 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str],
     not read. An empty snapshot gives inserts or deletes only, two empty ones an
     empty table. ``row_sha256`` is of the later row's columns, one a line, null as ``~``.
     """
-    sizes = [df.count() for df in (old, new)]
-    levels = 0
-    while levels < MOST_LEVELS and leaf_rows << (FANOUT_BITS * levels) < max(sizes):
-        levels += 1
-    leaf = lambda df: F.shiftright(F.xxhash64(df[key], df[key].isNull()).bitwiseAND(F.lit((1 << 62) - 1)), 62 - FANOUT_BITS * levels)
+    leaves = max(1, -(-max(df.count() for df in (old, new)) // leaf_rows))
+    levels = -(-(leaves - 1).bit_length() // FANOUT_BITS)
+    leaf = lambda df: F.pmod(F.xxhash64(df[key], df[key].isNull()), F.lit(leaves))
     digests = [f"d{i}" for i in range(len(columns))]
     sides = [_row_digests(df, key, columns, side, leaf(df)) for side, df in enumerate((old, new))]
     rows = materialize(sides[0].unionAll(sides[1]).withColumn("rid", F.monotonically_increasing_id()), "digests")
 
     tree = tree_levels(rows, levels)
     apart = differing(tree)
-    alike = tree[-1].where("side = 1").select("node").join(apart, "node", "left_anti")
-    alike = materialize(alike, "alike")
-    verified = materialize(alike.join(unequal_leaves(old, new, key, columns, leaf, alike).withColumnRenamed("leaf", "node"), "node", "left_anti"), "verified")
+    alike = materialize(tree[-1].where("side = 1").select("node").join(apart.hint("merge"), "node", "left_anti"), "alike")
+    verified = materialize(alike.join(unequal_leaves(rows, alike, digests).hint("merge"), "node", "left_anti"), "verified").hint("merge")
 
     of_leaf = rows["leaf"] == verified["node"]
     kept = rows.where("side = 1").join(verified, of_leaf, "left_semi").select("key", F.col("key").alias("old_key"), F.lit("same").alias("op"), F.lit("").alias("changed"), "row_sha256")
@@ -167,7 +166,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str],
     rest = materialize(_slots(rows.join(verified, of_leaf, "left_anti").drop("h", "g", "leaf"), digests), "rest")
     a = rest.where("side = 0").select(*[F.col(c).alias(f"old_{c}") for c in ("key", "exact", "slot", "rid", *digests)])
     b = rest.where("side = 1").drop("side")
-    paired = a.join(b, a["old_key"].eqNullSafe(b["key"]) & a["old_exact"].eqNullSafe(b["exact"]) & (a["old_slot"] == b["slot"]), "full")
+    paired = a.join(b.hint("merge"), a["old_key"].eqNullSafe(b["key"]) & a["old_exact"].eqNullSafe(b["exact"]) & (a["old_slot"] == b["slot"]), "full")
     paired = materialize(paired, "paired")
     changed = F.array_join(F.filter(F.array(*[F.when(~F.col(d).eqNullSafe(F.col(f"old_{d}")), F.lit(c)) for d, c in zip(digests, columns, strict=True)]), lambda x: x.isNotNull()), ",")
     both = paired.where("rid IS NOT NULL AND old_rid IS NOT NULL").withColumn("changed", changed)
@@ -181,7 +180,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str],
     same = x["old_place"] == y["place"]
     for d in digests:
         same &= x[f"old_{d}"].eqNullSafe(y[d])
-    moved = x.join(y, same, "full")
+    moved = x.join(y.hint("merge"), same, "full")
     op = F.when(F.col("rid").isNull(), "delete").when(F.col("old_rid").isNull(), "insert").otherwise("rekey")
     by_content = moved.select(F.when(F.col("rid").isNull(), F.col("old_key")).otherwise(F.col("key")).alias("key"), "old_key", op.alias("op"), F.lit("").alias("changed"), "row_sha256")
     return kept.unionByName(by_key).unionByName(by_content)
