@@ -65,13 +65,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = end
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType, limit: int = SLICE_BYTES) -> DataFrame:
-    """Applies fn (slice of rows -> columns by name) to df's batches, slice by slice, so that memory stays bounded."""
+def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType, limit: int = SLICE_BYTES, column: str = "text") -> DataFrame:
+    """Applies fn (slice of rows -> columns by name) to df's batches, slice by slice (by the bytes of a column), so that memory stays bounded."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=limit):
+            for part in slices(batch, column, limit):
                 out = fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in arrow)], schema=arrow)

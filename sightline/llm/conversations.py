@@ -256,7 +256,8 @@ def repair_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     cost, audit. edits has a row for each edit: conv, at and sub (their order),
     edit (K, R, D or I), role and text (as repaired; null for deleted turns).
     Turns of one number go by role and digest of the text; null turns come first;
-    null roles and texts are one space; null conversations are one conversation;
+    null roles and texts are one space; a role without an initial is not kept;
+    null conversations are one conversation;
     repeated rows are turns that repeat; an empty table gives empty tables; other columns
     are not read.
     """

@@ -176,4 +176,13 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
 
-ORACLES = {"op2_near_duplicates": NEAR, "op4_repeats": REPEATS, "base_op1_license": LICENSE, "base_op3_pii": PII, "base_op8_rules": RULES, "base_op9_secrets": SECRETS, "op11_conversation_repair": _repair(), "op13_snapshot_diff": SNAPSHOTS}
+LM = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({crc32("doc_id::VARCHAR")} % 7 = 2, false) AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x20\\x09-\\x0D]+'), '') AS w FROM documents),
+tokens AS (SELECT r, held_out, unnest(w) AS word FROM docs),
+known AS (SELECT word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY word),
+total AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM known),
+found AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score FROM tokens LEFT JOIN known USING (word), total GROUP BY r)
+SELECT doc_id, held_out, n_tokens::BIGINT AS n_tokens, n_known::BIGINT AS n_known, n AS train_tokens, base_score FROM docs JOIN found USING (r), total"""
+
+
+ORACLES = {"op2_near_duplicates": NEAR, "op4_repeats": REPEATS, "base_op1_license": LICENSE, "base_op3_pii": PII, "base_op8_rules": RULES, "base_op9_secrets": SECRETS, "op11_conversation_repair": _repair(), "base_op12_lm": LM, "op13_snapshot_diff": SNAPSHOTS}

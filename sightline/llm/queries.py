@@ -16,6 +16,7 @@ from .decontaminate import find_leaks
 from .license_scan import license_scan
 from .oracles import ORACLES
 from .pii import KINDS, base_digest, count_kind, pii_spans
+from .log_bilinear import held_out, lm_scores
 from .near_duplicates import near_duplicates
 from .perplexity import perplexity_quality
 from .repeats import repeated_spans
@@ -103,6 +104,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scores(docs, held_out(docs["doc_id"])).withColumnsRenamed({"id": "doc_id", "held": "held_out"})
+
+
 def later_snapshot(docs: DataFrame) -> DataFrame:
     """The later snapshot that op13 compares with: crc32 of the decimal doc_id modulo 10 says what happened to a row."""
     docs = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(9)).alias("m"))
@@ -132,12 +138,16 @@ def base_op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_perplexity(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def base_op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_lm_scores(spark, sf_dir).drop("score")
+
+
 def base_op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_secrets(spark, sf_dir).drop("spans")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate, "op11_conversation_repair": op11_conversation_repair, "op13_snapshot_diff": op13_snapshot_diff}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_near_duplicates": op2_near_duplicates, "op3_pii": op3_pii, "op4_repeats": op4_repeats, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_token_counts": op7_token_counts, "op8_perplexity": op8_perplexity, "op9_secrets": op9_secrets, "op10_decontaminate": op10_decontaminate, "op11_conversation_repair": op11_conversation_repair, "op12_lm_scores": op12_lm_scores, "op13_snapshot_diff": op13_snapshot_diff}
 #: The operators' queries without the columns that SQL cannot express.
-QUERIES |= {"base_op1_license": base_op1_license, "base_op3_pii": base_op3_pii, "base_op8_rules": base_op8_rules, "base_op9_secrets": base_op9_secrets}
+QUERIES |= {"base_op1_license": base_op1_license, "base_op3_pii": base_op3_pii, "base_op8_rules": base_op8_rules, "base_op9_secrets": base_op9_secrets, "base_op12_lm": base_op12_lm}
 
 __all__ = ["QUERIES", "ORACLES"]
