@@ -41,6 +41,16 @@ def shingles(words: Column | str, n: int) -> Column:
     return once(words, runs)
 
 
+def shingle_hashes(words: Column | str, n: int) -> Column:
+    """Distinct 64-bit hashes of the runs of n words, without making their strings; shorter lists have none."""
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(w, i + k - 1) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+    return once(words, runs)
+
+
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """Share of common elements of two lists as sets; 0 if either is empty."""
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import jaccard, shingles, tokenize
+from ..functions.text import jaccard, shingle_hashes, shingles, tokenize
 from ..sources.shared import materialize, spread
+from .set_join import alike_by_share
 
 PHRASE, OPENING = 5, 6
 #: Rows of two numbers up to which a table is broadcast.
@@ -111,22 +112,21 @@ def shared_phrases(left: DataFrame, right: DataFrame, id_col: str, other_id: str
     return a.join(b, "phrase").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
 
 
-def pair_overlaps(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, least: int = 1) -> DataFrame:
-    """(a, b, shared, similarity) of pairs of documents a < b that share ``least`` phrases or more.
+def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, copy_id, n_copies): the least id among the rows of the same text, and their number; null texts are empty ones."""
+    keyed = df.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("t"))
+    groups = keyed.groupBy("t").agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies"))
+    return keyed.join(groups.hint("merge"), "t").select("id", "copy_id", "n_copies")
 
-    Phrases of a single document never reach the join; copies of a text are
-    one document to it (the least id) and share its pairs.
+
+def pair_overlaps(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, threshold: float = 0.5) -> DataFrame:
+    """(a, b, shared, similarity) of pairs a < b of different texts whose phrases have a Jaccard similarity of ``threshold`` or more.
+
+    A text stands for all its copies by their least id; copies() tells which rows
+    these are. A phrase that many texts share is no key of the join.
     """
-    keyed = df.withColumn("__text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    reps = keyed.groupBy("__text").agg(F.min(id_col).alias("id"), F.first(text_col).alias("text"))
-    own = phrases(reps, "id", "text", n).select("id", F.xxhash64("phrase").alias("p"), F.xxhash64(F.lit(1), "phrase").alias("q"))
-    sizes = own.groupBy("id").agg(F.count("*").alias("n"))
-    common = own.groupBy("p", "q").agg(F.count("*").alias("df")).where("df > 1").select("p", "q")
-    listed = own.join(common, ["p", "q"])
-    a, b = listed.withColumnRenamed("id", "a"), listed.withColumnRenamed("id", "b")
-    pairs = a.join(b, ["p", "q"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    both = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4).alias("similarity"))
+    reps = df.groupBy(F.coalesce(text_col, F.lit("")).alias("text")).agg(F.min(id_col).alias("id"))
+    return alike_by_share(spread(reps).select("id", F.explode(shingle_hashes(tokenize("text"), n)).alias("item")), threshold)
 
 
 def sameness_flags(draft: DataFrame, corpus: DataFrame, heading_limit: float = 0.6) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import similarity as S
+from ..operators.set_join import weighted_pairs
+from ..sources.shared import materialize, spread
 from .registry import Rows, query, table
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
@@ -87,10 +89,35 @@ def a18_share(spark, sf_dir):
 @query("J8_document_pairs", f"""WITH w AS MATERIALIZED (SELECT min(doc_id) AS doc_id, {TOKENS} AS words FROM documents GROUP BY text),
 own AS MATERIALIZED (SELECT doc_id, hash(unnest({_shingles('words', 5)})) AS phrase FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM own GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM own a JOIN own b USING (phrase) WHERE a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 20)
-SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 4) AS similarity FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b""")
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM own a JOIN own b USING (phrase) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 4) AS similarity FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 2 * shared >= na.n + nb.n - shared""")
 def j8(spark, sf_dir):
-    return S.pair_overlaps(table(spark, sf_dir, "documents"), "doc_id", "text", least=20)
+    """Different texts that are alike by half; J8_copies has the rows of each text."""
+    return S.pair_overlaps(table(spark, sf_dir, "documents"), "doc_id", "text", threshold=0.5)
+
+
+@query("J8_copies", "SELECT doc_id AS id, min(doc_id) OVER w AS copy_id, count(*) OVER w AS n_copies FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))")
+def j8_copies(spark, sf_dir):
+    return S.copies(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_PARTS = r"""p AS MATERIALIZED (SELECT page_id, list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]', 1), lambda t: trim(regexp_replace(t, '<[^>]+>', '', 'g'))), lambda t: t <> '')) AS heads,
+  regexp_extract_all(lower(regexp_replace(html, '<[^>]+>', ' ', 'g')), '[a-z0-9'']+') AS words FROM pages),
+f AS MATERIALIZED (SELECT page_id, heads, """ + f"{_shingles('words', 5)} AS body, {_shingles('words[1:50]', 6)} AS opening FROM p)"
+
+
+def _jaccard(k: str) -> str:
+    return f"CASE WHEN len(a.{k}) = 0 OR len(b.{k}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.{k}, b.{k})) / (len(a.{k}) + len(b.{k}) - len(list_intersect(a.{k}, b.{k}))) END"
+
+
+@query("T4_page_scores", f"""WITH {_PARTS}, x AS (SELECT a.page_id AS a, b.page_id AS b, round(0.5 * {_jaccard('heads')} + 0.3 * {_jaccard('body')} + 0.2 * {_jaccard('opening')}, 4) AS score FROM f a JOIN f b ON a.page_id < b.page_id)
+SELECT * FROM x WHERE score >= 0.3""")
+def t4_pages(spark, sf_dir):
+    """Pages whose headings, phrases and openings are alike, weighted as drafts are."""
+    words = X.tokenize(F.regexp_replace("html", "<[^>]+>", " "))
+    heads = F.filter(F.transform(X.found("html", r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]", 1), lambda t: F.trim(F.regexp_replace(t, "<[^>]+>", ""))), lambda t: t != "")
+    parts = spread(table(spark, sf_dir, "pages")).select("page_id", F.array_distinct(heads).alias("heads"), X.shingles(words, 5).alias("body"), X.shingles(F.slice(words, 1, 50), 6).alias("opening"))
+    return weighted_pairs(materialize(parts, "parts"), "page_id", {"heads": 0.5, "body": 0.3, "opening": 0.2}, 0.3)
 
 
 @query("J9_draft_overlap", f"""WITH b AS MATERIALIZED (SELECT item_id, {TOKENS} AS words FROM benchmark), w AS MATERIALIZED (SELECT doc_id, {TOKENS} AS words FROM documents),
