@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import html as H
 from ..functions.text import word_count
+from .order_stats import order_statistics
 
 #: Heading words that tell no subtopic.
 HEADING_STOP = """a an the and or of for to in on with without your you how what why is are be can do does not it its this that then than from at as by best top guide tutorial vs cs counter strike 1 6 16 2024 2025 2026 free online play navigation nav menu footer header sidebar search subscribe newsletter comments comment related share cookies cookie privacy policy terms login signin signup account filter filters results projects categories category tags tag archive home page site links link more read about contact follow us social advertisement recommended popular latest trending posts post reply replies thread quote""".split()
@@ -69,13 +69,7 @@ def depth_stats(profiles: DataFrame) -> DataFrame:
     """Upper medians and counts over the pages that could be read; the failed ones are counted, not averaged in."""
     total = profiles.agg(F.count_if("ok").alias("read"), F.count_if(~F.col("ok")).alias("failed"), F.max(F.when(F.col("ok"), F.col("words"))).alias("most_words"), F.count_if(F.col("ok") & F.col("has_table")).alias("with_table"))
 
-    def upper(value: str, name: str) -> DataFrame:
-        """One row. Values are counted first: the running sum is over different values, not over pages."""
-        counted = profiles.where("ok").groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-        running = counted.withColumn("upto", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-        n = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-        return running.crossJoin(F.broadcast(n)).agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias(name))
-
+    upper = lambda value, name: order_statistics(profiles.where("ok"), value, {name: 0.5}).agg(F.max(name).alias(name))
     out = total.crossJoin(F.broadcast(upper("words", "median_words"))).crossJoin(F.broadcast(upper("heading_count", "median_headings")))  # one row each
     return out.select("read", "failed", "median_words", "median_headings", "most_words", "with_table")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, shingle_hashes, shingles, tokenize
 from ..sources.shared import materialize, spread
+from .order_stats import order_statistics
 from .set_join import alike_by_share
 
 PHRASE, OPENING = 5, 6
@@ -62,14 +63,11 @@ def unique_ratio(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, rar
 def distribution(ratios: DataFrame, value: str) -> DataFrame:
     """Count, mean, upper median, p10 and p90 of a column: order statistics at floor(n * q).
 
-    Values are counted first: the running sum is over distinct values, which
-    rounding bounds, and not over rows.
+    The mean is of the values to four digits.
     """
-    counted = ratios.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counted.agg(F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 4).alias("mean"))
-    running = counted.withColumn("upto", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("v")))
-    return running.crossJoin(F.broadcast(total)).groupBy("n", "mean").agg(at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"))
+    places = order_statistics(ratios, value, {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    mean = ratios.agg(F.round(F.avg(value), 4).alias("mean"))
+    return places.crossJoin(F.broadcast(mean)).select("n", "mean", "median", "p10", "p90")  # one row each
 
 
 def histogram(ratios: DataFrame, value: str, buckets: int = 20) -> DataFrame:

@@ -240,43 +240,6 @@ def retired_types(types: DataFrame) -> DataFrame:
 RETIRED = {"FAQPage": "2026-05-07", "HowTo": "2023-09", "ClaimReview": "2025-06-12", "VehicleListing": "2025-06-12", "EstimatedSalary": "2025-06-12", "OccupationalAggregateRating": "2025-06-12", "SpecialAnnouncement": "2025-07-31", "LearningVideo": "2025-06-12", "PracticeProblem": "2026-01"}
 
 
-def count_types(trees: DataFrame, key: str, tree: str) -> DataFrame:
-    """(key, type, n) over recursive validator trees (JSON): every type of every node, nested ones too.
-
-    A tree has no fixed depth, so a table function walks it; one row at a time.
-    """
-    walk = _type_walker()
-    name = "sightline_walk_types"
-    trees.sparkSession.udtf.register(name, walk)
-    trees.createOrReplaceTempView("__sightline_trees")
-    each = trees.sparkSession.sql(f"SELECT t.`{key}`, w.type FROM __sightline_trees t, LATERAL {name}(t.`{tree}`) w")
-    return each.groupBy(key, "type").agg(F.count("*").alias("n"))
-
-
-def _type_walker():
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="type: string")
-    class Walk:
-        def eval(self, text):
-            import json
-
-            todo = [json.loads(text)] if text else []
-            while todo:
-                node = todo.pop()
-                if isinstance(node, list):
-                    todo += node
-                elif isinstance(node, dict):
-                    for t in node.get("types") or []:
-                        name = t.get("value") or node.get("typeGroup")
-                        if name:
-                            yield (name,)
-                    for p in node.get("nodeProperties") or []:
-                        todo += [c for c in p.get("value") or [] if isinstance(c, dict)]
-
-    return Walk
-
-
 def facet_score(rows: DataFrame) -> DataFrame:
     """Per facet: candidates within band and ceiling, and their upper median volume; without volumes, those with two authorities or fewer."""
     paid = (F.col("volume") >= F.col("floor")) & (F.col("ceiling").isNull() | (F.col("volume") <= F.col("ceiling"))) & (F.col("kd") <= F.col("most_kd"))

@@ -258,11 +258,6 @@ def _agent_oracle(site: str, bot: str) -> str | None:
 _EXPECTED = Rows("site string, bot string, path string, allowed boolean, agent string", [(s, b, p, _allowed_oracle(s, b, p), _agent_oracle(s, b)) for s, b, p in ASKS.rows])
 
 
-@query("R6_R7_W10_robots", f"WITH {_EXPECTED.sql('t')} SELECT * FROM t")
-def r7(spark, sf_dir):
-    return A.resolve(A.robots_rules(ROBOTS.df(spark), "site"), ASKS.df(spark), "site")
-
-
 def _policy(spark):
     bots = spark.createDataFrame([(b[1], b[2]) for b in BOTS if b[2].startswith("ai_")], "bot string, category string")
     bodies = ROBOTS.df(spark)
@@ -275,11 +270,6 @@ _N = {c: sum(b[2] == c for b in BOTS) for c in ("ai_search", "ai_user", "ai_trai
 _SUMMARY = Rows("site string, category string, allowed bigint, total bigint", [(s, c, n - (2 if s == "shared" and c == "ai_training" else 0) if s != "closed" else (1 if c == "ai_training" else 0), n) for s in ("shared", "closed", "tie", "html", "empty") for c, n in _N.items()])
 
 
-@query("A37_J20_crawler_classes", f"WITH {_SUMMARY.sql('t')} SELECT * FROM t")
-def a37(spark, sf_dir):
-    return _policy(spark)[1]
-
-
 @query("R8_policy_findings", f"""WITH {_SUMMARY.sql('m')}, {ROBOTS.sql('r')}, w AS (SELECT site, sum(allowed) FILTER (category = 'ai_search') AS so, sum(total) FILTER (category = 'ai_search') AS st, sum(allowed) FILTER (category = 'ai_user') AS uo, sum(total) FILTER (category = 'ai_user') AS ut, sum(allowed) FILTER (category = 'ai_training') AS tr FROM m GROUP BY 1), j AS (SELECT * FROM r JOIN w USING (site) WHERE status = 200)
 SELECT site, 'critical' AS severity, 'robots_is_html' AS rule FROM j WHERE ltrim(body) LIKE '<%' UNION ALL SELECT site, 'critical', 'ai_search_fully_blocked' FROM j WHERE so = 0 UNION ALL SELECT site, 'high', 'ai_search_partially_blocked' FROM j WHERE so > 0 AND so < st UNION ALL SELECT site, 'critical', 'farmed_not_read' FROM j WHERE so = 0 AND tr > 0 UNION ALL SELECT site, 'high', 'ai_user_blocked' FROM j WHERE uo < ut UNION ALL SELECT site, 'medium', 'no_sitemap_directive' FROM j WHERE NOT regexp_matches(body, '(?im)^\\s*sitemap:\\s*\\S+') UNION ALL SELECT site, 'medium', 'unsupported_directive' FROM j WHERE regexp_matches(body, '(?im)^\\s*(noindex|nofollow)\\s*:')""")
 def r8(spark, sf_dir):

@@ -51,19 +51,9 @@ def r4(spark, sf_dir):
 _EDGES = f"{PAGES.sql('p')}, e AS (SELECT url AS src, regexp_replace(regexp_replace(unnest(declared), '^[^=]*=', ''), '(.)/$', '\\1') AS dst FROM p WHERE NOT unread)"
 
 
-@query("J11_D9_missing_return", f"WITH {_EDGES}, d AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst) SELECT src, dst FROM d WHERE dst IN (SELECT url FROM p WHERE NOT unread) AND NOT EXISTS (SELECT 1 FROM d b WHERE b.src = d.dst AND b.dst = d.src)")
-def j11(spark, sf_dir):
-    return L.missing_return(_pages(spark))
-
-
 STATUSES = Rows("url string, status int", [("https://a.b/en", 200), ("https://a.b/de", 301), ("https://a.b/fr", 404), ("https://c.d/y", None)])
 
 
-@query("J12_alternate_status", f"WITH {_EDGES}, {STATUSES.sql('s')}, b AS (SELECT dst AS url, count(DISTINCT src) AS advertised_by FROM e GROUP BY 1) SELECT b.url, CASE WHEN status IS NULL THEN 'medium' WHEN status BETWEEN 300 AND 399 THEN 'high' ELSE 'critical' END AS severity, CASE WHEN status IS NULL THEN 'alternate_unreachable' WHEN status BETWEEN 300 AND 399 THEN 'alternate_redirects' ELSE 'alternate_dead' END AS rule, advertised_by FROM b LEFT JOIN s USING (url) WHERE coalesce(status, 0) <> 200")
-def j12(spark, sf_dir):
-    return L.status_findings(_pages(spark), STATUSES.df(spark))
-
-
 LOCALES = Rows(
     "code string, url string, read boolean, title string, description string, h1 string, h2_count int, h3_count int, img_count int, schema_types array<string>, words int, html_lang string",
     [("en", "/en", True, "T", "D", "H", 6, 0, 3, ["Article", "FAQPage"], 500, "en"), ("de", "/de", True, "T", "E", "I", 6, 0, 3, ["Article"], 520, "de-DE"), ("fr", "/fr", True, "U", "D", "H", 2, 0, 3, ["Article", "FAQPage"], 600, "en"), ("ja", "/ja", True, "V", None, "", 6, 0, 3, ["Article", "FAQPage"], 990, ""), ("xx", "/xx", False, None, None, None, None, None, None, None, None, None)],
@@ -499,11 +489,6 @@ def f24(spark, sf_dir):
 TREE = json.dumps([{"typeGroup": "Article", "types": [{"value": "Article"}], "nodeProperties": [{"pred": "author", "value": [{"typeGroup": "Person", "types": [{"value": None}], "nodeProperties": [{"value": [{"typeGroup": "X", "types": [{"value": "Place"}, {"value": "Place"}]}]}]}]}]}])
 
 
-@query("A43_D18_type_tree", "SELECT * FROM (VALUES ('u', 'Article', CAST(1 AS BIGINT)), ('u', 'Person', 1), ('u', 'Place', 2)) AS t(url, type, n)")
-def a43(spark, sf_dir):
-    return S.count_types(spark.createDataFrame([("u", TREE), ("v", "[]"), ("w", None)], "url string, tree string"), "url", "tree")
-
-
 FACETS = Rows("facet string, volume bigint, kd double, authorities bigint, floor bigint, ceiling bigint, most_kd double", [("a", 200, 5.0, None, 100, 800, 20.0), ("a", 300, 5.0, None, 100, 800, 20.0), ("a", 900, 5.0, None, 100, 800, 20.0), ("a", 400, 50.0, None, 100, 800, 20.0), ("b", None, None, 2, 100, 800, 20.0), ("b", None, None, 5, 100, 800, 20.0)])
 
 

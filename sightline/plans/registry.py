@@ -62,3 +62,18 @@ class Rows:
         else:
             text = repr(value)
         return f"CAST({text} AS {self._type(kind)})"
+
+
+class Derived:
+    """A table made of a given one by expressions that both engines understand; ARR(...) is an array."""
+
+    def __init__(self, source: str, *columns: str, where: str = "true"):
+        self.source, self.columns, self.where = source, columns, where
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, self.source).where(self.where).selectExpr(*[c.replace("ARR(", "array(") for c in self.columns])
+
+    def sql(self, name: str) -> str:
+        """A common table expression: name AS (SELECT ...)."""
+        columns = ", ".join(c.replace("ARR(", "list_value(") for c in self.columns)
+        return f"{name} AS (SELECT {columns} FROM {self.source} WHERE {self.where})"
