@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.graph import components
 from ..functions.text import normal_keyword
-from ..sources.shared import materialize
-from .set_join import KEY_ROWS
+from .set_join import alike_by_count
 
 #: Wordings of intents, first match counts.
 TRANSACTIONAL = r"(?i)\b(buy|download|install|sign ?up|trial|demo|coupon|discount)\b"
@@ -54,19 +53,13 @@ def affordable(rows: DataFrame, most_kd: float, least_volume: int) -> DataFrame:
 
 
 def shared_results(results: DataFrame, overlap: int = 3) -> DataFrame:
-    """(a, b, shared): pairs of keywords a < b with at least ``overlap`` common URLs, through the URLs.
+    """(a, b, shared): pairs of keywords a < b with at least ``overlap`` common URLs.
 
-    Keywords with fewer URLs than that are in no pair, and a URL of one keyword makes none. The
-    keywords of a frequent URL are dealt out over as many tasks as its own frequency asks for.
+    Keywords with fewer URLs than that are in no pair. Only a keyword's rarest URLs bring it together with others:
+    two that share enough share one of these, and a URL that nearly all show is none of them.
     """
-    own = materialize(results.select("keyword", F.regexp_replace(F.substring_index("url", "#", 1), "/+$", "").alias("url")).distinct(), "shown")
-    enough = own.groupBy("keyword").agg(F.count("*").alias("n")).where(F.col("n") >= overlap).select("keyword")
-    common = own.groupBy("url").agg(F.count("*").alias("df")).where("df > 1").select("url", F.ceil(F.col("df") / KEY_ROWS).cast("int").alias("parts"))
-    listed = own.join(enough, "keyword", "left_semi").join(common.hint("merge"), "url").select("keyword", F.xxhash64("url").alias("u"), F.xxhash64(F.lit(1), "url").alias("v"), "parts")
-    listed = materialize(listed, "listed")
-    a = listed.select(F.col("keyword").alias("a"), "u", "v", F.pmod(F.xxhash64("keyword"), F.col("parts")).cast("int").alias("part"))
-    b = listed.select(F.col("keyword").alias("b"), "u", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b.hint("merge"), ["u", "v", "part"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= overlap)
+    own = results.select(F.col("keyword").alias("id"), F.xxhash64(F.regexp_replace(F.substring_index("url", "#", 1), "/+$", "")).alias("item")).where("item IS NOT NULL AND id IS NOT NULL").distinct()
+    return alike_by_count(own, overlap)
 
 
 def clusters(keywords: DataFrame, edges: DataFrame) -> DataFrame:

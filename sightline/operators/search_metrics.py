@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.urls import page_path
+from .intervals import overlap_join
 
 
 def split_dimensions(rows: DataFrame) -> DataFrame:
@@ -105,9 +106,11 @@ def overlapping(events: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def in_intervals(days: DataFrame, calendar: DataFrame) -> DataFrame:
-    """days joined with the calendar rows (date, ended, name) they fall in. The calendar is a table of dates a year, checked before it is broadcast."""
-    small = F.broadcast(calendar) if calendar.limit(10_001).count() <= 10_000 else calendar
-    return days.join(small, (days["day"] >= small["date"]) & (days["day"] <= F.coalesce(small["ended"], small["date"])))
+    """days joined with the calendar rows (date, ended, name) they fall in, by buckets of time; a null end is the start."""
+    number = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    points = days.withColumns({"start": number("day"), "end": number("day")})
+    spans = calendar.withColumns({"start": number("date"), "end": number(F.coalesce("ended", "date"))})
+    return overlap_join(points, spans, []).drop("start", "end", "other_start", "other_end")
 
 
 def band(position: Column) -> Column:

@@ -26,31 +26,38 @@ def by_frequency(own: DataFrame) -> DataFrame:
 
     Elements of one set only are the rarest of all and can be no key; they are counted, but not carried.
     """
+    own = materialize(own, "members")  # read three times
     counted = own.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     common = own.join(counted.hint("merge"), "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"))
     return own.groupBy("id").agg(F.count("*").cast("int").alias("n")).join(common, "id")
 
 
-def alike(sets: DataFrame, prefix: Callable[[Column], Column], least: Callable[[Column, Column], Column], ratio: float | None = None) -> DataFrame:
+def alike(sets: DataFrame, prefix: Callable[[Column], Column], least: Callable[[Column, Column], Column], ratio: float | None = None, small: bool = False) -> DataFrame:
     """(a, b, shared, na, nb) of pairs a < b of sets that share at least ``least`` (of both sizes) elements.
 
     sets is what by_frequency gives, written before; ``prefix`` tells how many of a set's rarest
     elements are keys. With ``ratio`` the smaller of two sets has at least that share
-    of the larger one's size, and sets of sizes too far apart do not meet.
+    of the larger one's size, and sets of sizes too far apart do not meet. Sets that are ``small``
+    go with their keys, and a pair is told where its rarest common element meets; others are fetched for the pairs that are left.
     """
     own = F.col("n") - F.size("items")  # elements of this set only come first
     keys = F.posexplode(F.slice("items", F.lit(1), F.greatest(prefix(F.col("n")) - own, F.lit(0)))).alias("at", "x")
-    rows = sets.select("id", "n", own.alias("own"), keys).select("id", "n", (F.col("own") + F.col("at") + 1).alias("at"), F.col("x.item").alias("item"), F.ceil(F.col("x.df") / KEY_ROWS).cast("int").alias("parts"))
+    whole = F.transform("items", lambda i: i["item"]) if small else F.lit(None)
+    rows = sets.select("id", "n", own.alias("own"), whole.alias("of"), keys).select("id", "n", "of", (F.col("own") + F.col("at") + 1).alias("at"), F.col("x.item").alias("item"), F.ceil(F.col("x.df") / KEY_ROWS).cast("int").alias("parts"))
     size = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(ratio)) + 1e-9).cast("int") if ratio else F.lit(0)
     # the smaller set goes to its own class of sizes and to the next one, the larger to its own
-    low = rows.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), "item", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.array(size, size + 1) if ratio else F.array(size)).alias("size"))
-    high = rows.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), size.alias("size"))
+    low = rows.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("of").alias("of_x"), F.col("at").alias("ax"), "item", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.array(size, size + 1) if ratio else F.array(size)).alias("size"))
+    high = rows.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("of").alias("of_y"), F.col("at").alias("ay"), "item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), size.alias("size"))
     both = low.join(high.hint("merge"), ["item", "part", "size"]).where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
     room = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) + 1
-    likely = both.where(room >= least(F.col("nx"), F.col("ny"))).select("x", "y").distinct()
-    of = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.transform("items", lambda i: i["item"]).alias(f"of_{name}"))
-    shared = F.size(F.array_intersect("of_x", "of_y"))
-    found = likely.join(of("x"), "x").join(of("y"), "y").select("x", "y", "nx", "ny", shared.alias("shared")).where(F.col("shared") >= least(F.col("nx"), F.col("ny")))
+    likely = both.where(room >= least(F.col("nx"), F.col("ny")))
+    if small:
+        found = likely.withColumn("common", F.array_intersect("of_x", "of_y")).where((F.size("common") >= least(F.col("nx"), F.col("ny"))) & (F.get("common", F.lit(0)) == F.col("item")))
+        found = found.select("x", "y", "nx", "ny", F.size("common").alias("shared"))
+    else:
+        of = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.transform("items", lambda i: i["item"]).alias(f"of_{name}"))
+        shared = F.size(F.array_intersect("of_x", "of_y"))
+        found = likely.select("x", "y").distinct().join(of("x"), "x").join(of("y"), "y").select("x", "y", "nx", "ny", shared.alias("shared")).where(F.col("shared") >= least(F.col("nx"), F.col("ny")))
     swap = F.col("x") > F.col("y")
     pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
     return found.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), F.col("shared").cast("long").alias("shared"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb"))
@@ -71,7 +78,7 @@ def alike_by_share(own: DataFrame, threshold: float) -> DataFrame:
 def alike_by_count(own: DataFrame, overlap: int) -> DataFrame:
     """(a, b, shared) of sets that share ``overlap`` elements or more, from distinct rows (id, item)."""
     sets = materialize(by_frequency(own).where(F.col("n") >= overlap), "sets")
-    return alike(sets, lambda n: n - overlap + 1, lambda a, b: F.lit(overlap)).select("a", "b", "shared")
+    return alike(sets, lambda n: n - overlap + 1, lambda a, b: F.lit(overlap), small=True).select("a", "b", "shared")
 
 
 def weighted_pairs(df: DataFrame, id_col: str, weights: dict[str, float], threshold: float) -> DataFrame:

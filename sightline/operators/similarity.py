@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -154,11 +154,11 @@ def even_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
     return numbered.crossJoin(F.broadcast(total)).where(chosen).drop("__i", "__n")
 
 
-def number_rows(df: DataFrame, order: str) -> DataFrame:
+def number_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with ``__i``, its place from 0 in the order: places within range partitions plus the sizes of those before."""
     # written once: the bounds of the ranges are sampled, and a second sampling could give others
-    parts = materialize(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "numbered")
-    local = parts.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1)
+    parts = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "numbered")
+    local = parts.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1)
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     return local.join(F.broadcast(before), "__p").withColumn("__i", F.col("__k") + F.col("__before")).drop("__p", "__k", "__before")

@@ -59,11 +59,33 @@ def to_front(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.withColumn("queue_position", F.try_element_at(places, F.col("id")))
 
 
-def lookup(df: DataFrame, ident: str) -> DataFrame:
-    """The row an identifier means: id, else the start of one (4 characters or more), else slug or title, else keyword or domain."""
-    low = ident.strip().lower()
-    step = F.when(F.col("id") == ident, 0).when(F.col("id").startswith(ident) & F.lit(len(ident) >= 4), 1).when((F.col("slug") == low) | (F.lower("title") == low), 2).when((F.lower("keyword") == low) | (F.lower("domain") == low), 3)
-    return df.withColumn("__s", step).where(F.col("__s").isNotNull()).orderBy("__s", "ord").limit(1).drop("__s")
+def looked_up(df: DataFrame, idents: DataFrame) -> DataFrame:
+    """(ident, id): the row that each identifier means: id, else the start of one (4 characters or more), else slug or title, else keyword or domain; of equals the first by ``ord``.
+
+    A row is put under all that it may be called by, with the step of the ladder, so that identifiers meet rows by equality.
+    """
+    starts = F.transform(F.sequence(F.lit(4), F.greatest(F.length("id"), F.lit(4))), lambda n: F.left(F.col("id"), n))
+    low = lambda *names: F.array(*[F.lower(n) for n in names])
+    called = F.array(F.struct(F.lit(0).alias("step"), F.array("id").alias("names")), F.struct(F.lit(1).alias("step"), F.when(F.length("id") >= 4, starts).otherwise(F.array().cast("array<string>")).alias("names")), F.struct(F.lit(2).alias("step"), F.array("slug", F.lower("title")).alias("names")), F.struct(F.lit(3).alias("step"), low("keyword", "domain").alias("names")))
+    names = df.select("id", "ord", F.inline(called)).select("id", "ord", "step", F.explode("names").alias("name")).where("name IS NOT NULL")
+    asked = idents.select("ident", F.inline(F.array(*[F.struct(F.lit(k).alias("step"), (F.col("ident") if k < 2 else F.lower(F.trim("ident"))).alias("name")) for k in range(4)])))
+    hit = asked.join(names, ["step", "name"]).groupBy("ident").agg(F.min_by("id", F.struct("step", "ord")).alias("id"))
+    return idents.join(hit, "ident", "left")
+
+
+def slug_matches(pages: DataFrame, stems: DataFrame) -> DataFrame:
+    """(stem, keyword): of the first page, by ``ord``, whose slug is the stem, or ends with it after a slash, or is its end; null without one.
+
+    Ends are written out, so that both sides meet by equality.
+    """
+    asked = stems.select("stem").distinct()
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.length(c)))
+    of_stem = asked.select("stem", F.explode(ends(F.col("stem"))).alias("slug")).join(pages, "slug").select("stem", "ord", "keyword")
+    parts = F.split("slug", "/")
+    after = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    of_slug = pages.where(F.size(parts) > 1).select("ord", "keyword", F.explode(after).alias("stem")).join(asked, "stem").select("stem", "ord", "keyword")
+    first = of_stem.unionByName(of_slug).groupBy("stem").agg(F.min_by("keyword", "ord").alias("keyword"))
+    return asked.join(first, "stem", "left")
 
 
 def coerced_status(requested: Column, kind: Column, source: Column, mode: str, auto_tools: bool) -> Column:

@@ -11,7 +11,8 @@ from ..operators import locales as L
 from ..operators import serp as R
 from ..operators import slop as P
 from ..operators import state as S
-from .registry import Rows, query, table
+from ..operators.similarity import number_rows
+from .registry import Derived, Rows, query, table
 
 CODES = Rows("code string, valid boolean, severity string", [("en", True, "info"), ("en-GB", True, "info"), ("en-gb", True, "low"), ("gb", False, "high"), ("en-uk", False, "high"), ("es-419", True, "info"), ("zh-Hans", True, "info"), ("zh-hans-us", True, "low"), ("zh-Hans-US", True, "info"), ("x-default", True, "info"), ("be", True, "info"), ("uk-UA", True, "info"), ("eng", False, "high"), ("xx", False, "high"), ("de-XX", False, "high"), ("en-US-x", False, "medium"), ("", False, "high"), (None, False, "high"), ("fr-Abcd", True, "info"), ("us", False, "high")])
 
@@ -67,17 +68,17 @@ def r5(spark, sf_dir):
     return L.parity_findings(LOCALES.df(spark), "/en")
 
 
-MANY = Rows("rule string, url string", [("length_ratio_outlier", f"/{i}") for i in range(8)] + [("h1_not_localised", "/1"), ("h1_not_localised", "/2")])
+MANY = Derived("pages", "CASE WHEN page_id % 10 < 7 THEN 'length_ratio_outlier' WHEN page_id % 10 = 7 THEN 'title_not_localised' ELSE 'h1_not_localised' END AS rule", "url")
 
 
-@query("A36_collapse_systematic", f"WITH {MANY.sql('t')}, c AS (SELECT rule, count(*) AS affected FROM t GROUP BY 1) SELECT rule, url, CAST(1 AS BIGINT) AS affected, false AS systematic FROM t JOIN c USING (rule) WHERE NOT (affected >= 4 AND affected / 10 >= 0.6) UNION ALL SELECT rule, NULL, affected, true FROM c WHERE affected >= 4 AND affected / 10 >= 0.6")
+@query("A36_collapse_systematic", f"WITH {MANY.sql('t')}, c AS (SELECT rule, count(*) AS affected FROM t GROUP BY 1) SELECT rule, url, CAST(1 AS BIGINT) AS affected, false AS systematic FROM t JOIN c USING (rule) WHERE NOT (affected >= 4 AND affected / (SELECT count(*) FROM pages) >= 0.6) UNION ALL SELECT rule, NULL, affected, true FROM c WHERE affected >= 4 AND affected / (SELECT count(*) FROM pages) >= 0.6")
 def a36(spark, sf_dir):
-    return L.collapse(MANY.df(spark), 10)
+    return L.collapse(MANY.df(spark, sf_dir), table(spark, sf_dir, "pages").count())
 
 
 @query("A36_small_population", f"WITH {MANY.sql('t')} SELECT rule, url, CAST(1 AS BIGINT) AS affected, false AS systematic FROM t")
 def a36_small(spark, sf_dir):
-    return L.collapse(MANY.df(spark), 3)
+    return L.collapse(MANY.df(spark, sf_dir), 3)
 
 
 PROSE = Rows(
@@ -137,13 +138,14 @@ def t13(spark, sf_dir):
     return P.places(PROSE.df(spark).where("id in (1, 4)"), "id", "text")
 
 
-SERPS = Rows(
-    "query string, position int, title string, url string, snippet string",
-    [
-        ("self hosted rank tracker", 1, "Best self hosted rank tracker 2025", "https://www.tools.io/rank-tracker", "self hosted"), ("self hosted rank tracker", 2, "10 best rank trackers", "https://blog.example.co.uk/rank-trackers", None), ("self hosted rank tracker", 3, "Rank tracker", "https://github.com/x/rank", "hosted"), ("self hosted rank tracker", 4, "Self hosted tracker thread", "https://old.reddit.com/r/x", ""),
-        ("mesh networking routers", 1, "Self furniture", "https://shop.self.com/", "chairs"), ("mesh networking routers", 2, "Selfhood", "https://en.wikipedia.org/wiki/Self", "mesh"), ("grafana for beginners", 1, "Other", "https://x.org/", ""), ("alpha beta gamma", 1, "alpha", "https://a.org/", ""), ("alpha beta gamma", 2, "beta", "https://b.org/", ""), ("alpha beta gamma", 3, "gamma", "https://c.org/", ""), ("of the", 1, "x", "ftp://y", ""),
-    ],
-)
+SERPS = Derived(
+    "pages",
+    """CASE page_id % 5 WHEN 0 THEN 'self hosted rank tracker ' || CAST(page_id % 11 AS STRING) WHEN 1 THEN 'mesh networking routers ' || CAST(page_id % 7 AS STRING) WHEN 2 THEN 'grafana for beginners ' || CAST(page_id % 4 AS STRING) WHEN 3 THEN 'alpha beta gamma ' || CAST(page_id % 6 AS STRING) ELSE 'of the' END AS query""",
+    "CAST(page_id % 14 + 1 AS INT) AS position",
+    """CASE page_id % 7 WHEN 0 THEN 'Best self hosted rank tracker 2025' WHEN 1 THEN '10 best rank trackers' WHEN 2 THEN 'Rank tracker alpha' WHEN 3 THEN 'Self hosted tracker thread' WHEN 4 THEN 'mesh networking 2023' WHEN 5 THEN NULL ELSE 'beta ' || split_part(url, '/', 4) END AS title""",
+    """CASE page_id % 9 WHEN 0 THEN 'https://www.tools.io/rank-tracker' WHEN 1 THEN 'https://blog.example.co.uk/rank-trackers' WHEN 2 THEN 'https://github.com/x/rank' WHEN 3 THEN 'https://old.reddit.com/r/x' WHEN 4 THEN 'https://en.wikipedia.org/wiki/Self' WHEN 5 THEN 'ftp://y' ELSE url END AS url""",
+    "CASE page_id % 4 WHEN 0 THEN 'self hosted' WHEN 1 THEN NULL WHEN 2 THEN 'mesh gamma' ELSE '' END AS snippet",
+)
 _RSTOP = "[" + ", ".join(f"'{w}'" for w in ("the", "a", "an", "and", "or", "of", "to", "for", "in", "on", "with", "how", "what", "why", "is", "are", "was", "were", "best", "vs", "versus", "my", "your", "you", "can", "does", "do", "from", "that", "this", "it")) + "]"
 
 
@@ -153,12 +155,12 @@ c AS (SELECT h.query, t, len(t) AS n, round(count(*) FILTER (hit) / count(*), 3)
 g AS (SELECT query, n, CASE WHEN n > 0 THEN cov END AS coverage, CASE WHEN n > 0 THEN hr END AS hit_rate FROM c), f AS (SELECT *, CASE WHEN n > 0 AND NOT (coverage >= 0.6 AND hit_rate >= 0.3) THEN CASE WHEN n = 1 AND coverage < 0.6 THEN 'qualifier_ignored' WHEN coverage >= 1.0 THEN 'low_concentration' END END AS caveat FROM g)
 SELECT query, CAST(n AS INTEGER) AS tokens, coverage, hit_rate, n = 0 OR (coverage >= 0.6 AND hit_rate >= 0.3) OR caveat IS NOT NULL AS pass, caveat FROM f""")
 def a33(spark, sf_dir):
-    return R.relevance(SERPS.df(spark))
+    return R.relevance(SERPS.df(spark, sf_dir))
 
 
 @query("F23_shape_guard", f"WITH {SERPS.sql('s')} SELECT query, bool_or(url LIKE 'http%') AS ok FROM s GROUP BY 1")
 def f23(spark, sf_dir):
-    return R.shape_ok(SERPS.df(spark))
+    return R.shape_ok(SERPS.df(spark, sf_dir))
 
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')"
@@ -168,49 +170,49 @@ _TAGGED = f"{SERPS.sql('s')}, d AS (SELECT *, {_DOMAIN} AS domain, regexp_matche
 
 @query("F22_serp_tags", f"WITH {_TAGGED} SELECT query, position, domain, listicle, code_host, weak, TRY_CAST(nullif(regexp_extract(coalesce(title, ''), '{R.YEAR}', 1), '') AS INTEGER) AS title_year FROM w")
 def f22(spark, sf_dir):
-    return R.tagged(SERPS.df(spark)).select("query", "position", "domain", "listicle", "code_host", "weak", "title_year")
+    return R.tagged(SERPS.df(spark, sf_dir)).select("query", "position", "domain", "listicle", "code_host", "weak", "title_year")
 
 
-@query("A34_serp_scores", f"WITH {_TAGGED} SELECT query, count(*) AS results, count(*) FILTER (weak) AS weakness, count(*) FILTER (NOT weak AND NOT code_host) AS authority_candidates, count(DISTINCT domain) AS domains, min(position) FILTER (domain = 'example.co.uk') AS target_position FROM w GROUP BY 1")
+@query("A34_serp_scores", f"WITH {_TAGGED} SELECT query, count(*) AS results, count(*) FILTER (weak AND position <= 10) AS weakness, count(*) FILTER (NOT weak AND NOT code_host AND position <= 10) AS authority_candidates, count(DISTINCT domain) FILTER (position <= 10) AS domains, min(position) FILTER (domain = 'example.co.uk') AS target_position FROM w GROUP BY 1")
 def a34(spark, sf_dir):
-    return R.scored(SERPS.df(spark), "www.example.co.uk")
+    return R.scored(SERPS.df(spark, sf_dir), "www.example.co.uk")
 
 
-GATE = Rows("id bigint, authorities bigint, volume bigint, ceiling bigint, weakness bigint", [(1, 0, 9000, 800, 3), (2, 2, 100, 800, 0), (3, 3, 900, 800, 5), (4, 3, 100, 800, 0), (5, 3, 100, None, 0), (6, 5, 100, None, 9), (7, None, 1, 1, 1)])
+GATE = Derived("sales", "sale_id AS id", "CASE WHEN sale_id % 11 = 0 THEN NULL ELSE sale_id % 6 END AS authorities", "CAST(floor(coalesce(total, 0)) AS BIGINT) * 10 AS volume", "CASE WHEN sale_id % 7 <> 0 THEN 800 END AS ceiling", "sale_id % 5 AS weakness")
 
 
 @query("R24_authority_gate", f"WITH {GATE.sql('g')} SELECT id, CASE WHEN authorities IS NULL THEN NULL WHEN authorities <= 2 THEN CASE WHEN weakness >= 2 THEN 'approve-strong' ELSE 'approve' END WHEN authorities = 3 THEN CASE WHEN volume > ceiling THEN 'reject' ELSE 'soft-edge' END ELSE 'reject' END AS decision FROM g")
 def r24(spark, sf_dir):
-    return GATE.df(spark).select("id", R.authority_gate(F.col("authorities"), F.col("volume"), F.col("ceiling"), F.col("weakness")).alias("decision"))
+    return GATE.df(spark, sf_dir).select("id", R.authority_gate(F.col("authorities"), F.col("volume"), F.col("ceiling"), F.col("weakness")).alias("decision"))
 
 
 @query("J23_first_match", f"WITH {SERPS.sql('s')}, h AS (SELECT *, {_HOST} AS host FROM s) SELECT query, min(position) FILTER (host = 'reddit.com' OR ends_with(host, '.reddit.com')) AS position, min_by(url, position) FILTER (host = 'reddit.com' OR ends_with(host, '.reddit.com')) AS url FROM h GROUP BY 1")
 def j23(spark, sf_dir):
-    return R.first_match(SERPS.df(spark), "reddit.com")
+    return R.first_match(SERPS.df(spark, sf_dir), "reddit.com")
 
 
-ATTEMPTS = Rows("query string, ord int, provider string, shape boolean, relevant boolean", [("a", 1, "ddg", True, False), ("a", 2, "brave", True, True), ("a", 3, "api", True, True), ("b", 1, "ddg", False, True), ("c", 1, "ddg", True, True)])
+ATTEMPTS = Derived("events", "CAST(user_id AS STRING) AS query", "CAST(event_id AS INT) AS ord", "event_type AS provider", "event_id % 3 <> 0 AS shape", "value > 60 AS relevant")
 
 
 @query("R22_provider_fallback", f"WITH {ATTEMPTS.sql('t')} SELECT query, min_by(provider, ord) FILTER (shape AND relevant) AS provider FROM t GROUP BY 1")
 def r22(spark, sf_dir):
-    return R.fallback(ATTEMPTS.df(spark))
+    return R.fallback(ATTEMPTS.df(spark, sf_dir))
 
 
-TRIALS = Rows("requested string, observed string", [("de", "DE"), ("de", "DE"), ("fr", "US"), ("fr", "FR"), ("us", "US"), ("us", "ERR")])
+TRIALS = Derived("events", "CASE user_id % 5 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' WHEN 2 THEN 'us' WHEN 3 THEN 'at' ELSE 'ch' END AS requested", "CASE user_id % 5 WHEN 0 THEN 'DE' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'FR' ELSE 'US' END WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'ERR' ELSE 'US' END WHEN 3 THEN 'ERR' ELSE 'CH' END AS observed")
 
 
 @query("A47_exit_countries", f"WITH {TRIALS.sql('t')}, a AS (SELECT requested, bool_and(observed = upper(requested)) AS honoured, coalesce(string_agg(DISTINCT observed, ',') FILTER (observed <> upper(requested) AND observed <> 'ERR'), '') AS wrong FROM t GROUP BY 1) SELECT *, CASE WHEN honoured THEN 'honoured' WHEN wrong <> '' THEN 'lies' ELSE 'unreliable' END AS verdict FROM a")
 def a47(spark, sf_dir):
-    return R.exits(TRIALS.df(spark))
+    return R.exits(TRIALS.df(spark, sf_dir))
 
 
-PROBES = Rows("id bigint, ok boolean, control boolean", [(1, None, True), (2, True, False), (3, True, True), (4, False, True)])
+PROBES = Derived("events", "event_id AS id", "CASE WHEN event_id % 3 > 0 THEN event_id % 3 = 1 END AS ok", "user_id % 4 > 0 AS control")
 
 
 @query("F25_probe_state", f"WITH {PROBES.sql('t')} SELECT id, CASE WHEN ok IS NULL THEN 'unconfigured' WHEN NOT control THEN 'control_failed' WHEN ok THEN 'usable' ELSE 'failing' END AS state FROM t")
 def f25(spark, sf_dir):
-    return PROBES.df(spark).select("id", R.probe_state(F.col("ok"), F.col("control")).alias("state"))
+    return PROBES.df(spark, sf_dir).select("id", R.probe_state(F.col("ok"), F.col("control")).alias("state"))
 
 
 _ZONE = lambda i: "CASE WHEN r >= 35 THEN {} WHEN r >= 20 THEN {} WHEN r >= 10 THEN {} ELSE {} END".format(*["NULL" if z[i] is None else z[i] for z in S.ZONES])
@@ -227,30 +229,36 @@ def f18(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "P") & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey")
 
 
-QUEUE = Rows(
-    "id string, slug string, title string, keyword string, domain string, type string, status string, source string, queue_position int, created_at string, idle_days int, ord int",
-    [("ab12cd", "rank-tracker", "Rank Tracker", "rank tracker", None, "guide", "approved", "research", 2, "2025-01-02", 0, 1), ("ab12xx", "faq", "FAQ", "faq page", "a.com", "tool", "pending", "research", None, "2025-01-01", 0, 2), ("zz99", "ab12", "Other", "ab12cd", "b.com", "guide", "pending", "trend-scan", 1, "2025-01-03", 0, 3), ("yy88", "last", "Last", None, None, "guide", "in_progress", "manual", None, "2025-01-04", 3, 4)],
+QUEUE = Derived(
+    "sales",
+    "'id' || CAST(sale_id AS STRING) AS id",
+    "CASE WHEN sale_id % 50 = 1 THEN 'faq' ELSE 'page-' || CAST(sale_id % 997 AS STRING) END AS slug",
+    "CASE WHEN sale_id % 90 = 2 THEN 'FAQ' ELSE 'Page ' || CAST(sale_id % 997 AS STRING) END AS title",
+    "CASE WHEN sale_id % 6 > 0 THEN 'keyword ' || CAST(sale_id % 313 AS STRING) END AS keyword",
+    "CASE WHEN client_id % 3 = 0 THEN 'c' || CAST(client_id AS STRING) || '.com' END AS domain",
+    "CASE WHEN sale_id % 3 = 0 THEN 'tool' ELSE 'guide' END AS type",
+    "CASE WHEN sale_id % 5 = 0 THEN 'rejected' WHEN status = 'open' THEN 'pending' WHEN status = 'done' THEN 'approved' ELSE 'in_progress' END AS status",
+    "CASE sale_id % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'trend-scan' WHEN 2 THEN 'manual' ELSE 'geo-scan' END AS source",
+    "CASE WHEN sale_id % 8 = 0 THEN CAST(sale_id % 41 AS INT) END AS queue_position",
+    "substr(CAST(sold_at AS STRING), 1, 10) AS created_at",
+    "CAST(sale_id % 5 AS INT) AS idle_days",
+    "CAST(sale_id AS INT) AS ord",
 )
 
 
-IDENTS = Rows("ident string", [("ab12cd",), ("ab12",), ("FAQ",), ("b.com",), ("ab1",)])
+IDENTS = Derived("clients", "CASE client_id % 7 WHEN 0 THEN 'id' || CAST(client_id AS STRING) WHEN 1 THEN 'id' || CAST(client_id % 40 AS STRING) WHEN 2 THEN 'FAQ' WHEN 3 THEN 'c' || CAST(client_id AS STRING) || '.com' WHEN 4 THEN 'Keyword ' || CAST(client_id AS STRING) WHEN 5 THEN 'Page ' || CAST(client_id AS STRING) ELSE 'page-' || CAST(client_id % 1100 AS STRING) END AS ident")
 
 
 @query("F19_row_lookup", f"""WITH {QUEUE.sql('q')}, {IDENTS.sql('i')}, m AS (SELECT ident, id, ord, CASE WHEN id = ident THEN 0 WHEN starts_with(id, ident) AND length(ident) >= 4 THEN 1 WHEN slug = lower(ident) OR lower(title) = lower(ident) THEN 2 WHEN lower(keyword) = lower(ident) OR lower(domain) = lower(ident) THEN 3 END AS step FROM i, q)
 SELECT ident, arg_min(id, step * 1000 + ord) FILTER (step IS NOT NULL) AS id FROM m GROUP BY 1""")
 def f19(spark, sf_dir):
-    q = QUEUE.df(spark)
-    out = None
-    for (ident,) in IDENTS.rows:
-        one = spark.createDataFrame([(ident,)], "ident string").join(S.lookup(q, ident).select("id"), F.lit(True), "left")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return S.looked_up(QUEUE.df(spark, sf_dir), IDENTS.df(spark, sf_dir).distinct())
 
 
 @query("F20_coerced_approvals", f"WITH {QUEUE.sql('q')} SELECT id, CASE WHEN (type = 'tool' AND source <> 'manual') OR source IN ('research', 'trend-scan', 'geo-scan', 'backstop') THEN 'pending' ELSE 'approved' END AS semi, CASE WHEN source = 'trend-scan' THEN 'pending' ELSE 'approved' END AS auto FROM q")
 def f20(spark, sf_dir):
     go, t, s = F.lit("approved"), F.col("type"), F.col("source")
-    return QUEUE.df(spark).select("id", S.coerced_status(go, t, s, "semi", False).alias("semi"), S.coerced_status(go, t, s, "auto", True).alias("auto"))
+    return QUEUE.df(spark, sf_dir).select("id", S.coerced_status(go, t, s, "semi", False).alias("semi"), S.coerced_status(go, t, s, "auto", True).alias("auto"))
 
 
 @query("F21_age_flags", "WITH d AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders), a AS (SELECT o_orderkey, day, CAST(greatest(date_diff('day', CAST(day AS DATE), DATE '1998-08-02'), 0) AS INTEGER) AS x FROM d) SELECT o_orderkey, CASE WHEN day IS NOT NULL THEN x END AS age, day IS NOT NULL AND x >= 21 AS settled, day IS NOT NULL AND x > 14 AS stale FROM a")
@@ -260,17 +268,17 @@ def f21(spark, sf_dir):
     return out.select("o_orderkey", F.when(F.col("day").isNotNull(), F.col("age")).alias("age"), "settled", "stale")
 
 
-@query("O1_O11_queue_order", f"WITH {QUEUE.sql('q')} SELECT id, row_number() OVER (ORDER BY queue_position NULLS LAST, created_at, id) AS place FROM q")
+@query("O1_O11_queue_order", f"WITH {QUEUE.sql('q')} SELECT id, row_number() OVER (ORDER BY queue_position NULLS LAST, created_at NULLS FIRST, id) AS place FROM q")
 def o1(spark, sf_dir):
-    return QUEUE.df(spark).select("id", F.row_number().over(W.orderBy(*S.queue_keys())).cast("long").alias("place"))  # a literal handful
+    return number_rows(QUEUE.df(spark, sf_dir), *S.queue_keys()).select("id", (F.col("__i") + 1).alias("place"))
 
 
-@query("O11_to_front", f"WITH {QUEUE.sql('q')} SELECT id, CAST(CASE id WHEN 'yy88' THEN 1 WHEN 'ab12xx' THEN 2 END AS INTEGER) AS queue_position FROM q")
+@query("O11_to_front", f"WITH {QUEUE.sql('q')} SELECT id, CAST(CASE id WHEN 'id10' THEN 1 WHEN 'id25' THEN 2 END AS INTEGER) AS queue_position FROM q")
 def o11(spark, sf_dir):
-    return S.to_front(QUEUE.df(spark), ["yy88", "ab12xx"]).select("id", "queue_position")
+    return S.to_front(QUEUE.df(spark, sf_dir), ["id10", "id25"]).select("id", "queue_position")
 
 
-PUBLISHED = Rows("url string, pinged string, requested string", [("https://a.b/1", None, None), ("https://a.b/2", "2025", "2025")])
+PUBLISHED = Derived("pages", "url", "CASE WHEN page_id % 3 = 0 THEN '2025' END AS pinged", "CASE WHEN page_id % 4 > 0 THEN '2025' END AS requested")
 
 
 def _actions(pages: str, semi: bool, rated: bool, set_up: bool) -> str:
@@ -287,28 +295,30 @@ def _actions(pages: str, semi: bool, rated: bool, set_up: bool) -> str:
 
 @query("R19_O10_next_actions", _actions("SELECT * FROM p", True, False, True))
 def r19(spark, sf_dir):
-    return S.next_actions(QUEUE.df(spark), PUBLISHED.df(spark), "semi", rated=False)
+    return S.next_actions(QUEUE.df(spark, sf_dir), PUBLISHED.df(spark, sf_dir), "semi", rated=False)
 
 
 @query("R19_before_setup", _actions("SELECT * FROM p WHERE false", False, True, False))
 def r19_start(spark, sf_dir):
     """A programme that is not set up and has published nothing."""
-    return S.next_actions(QUEUE.df(spark), PUBLISHED.df(spark).where("false"), "auto", rated=True, set_up=False)
+    return S.next_actions(QUEUE.df(spark, sf_dir), PUBLISHED.df(spark, sf_dir).where("false"), "auto", rated=True, set_up=False)
 
 
-@query("R20_propose", f"WITH {QUEUE.sql('q')} SELECT 'new one' AS keyword")
+PROPOSED = Derived("clients", "'Keyword ' || CAST(client_id AS STRING) AS keyword")
+
+
+@query("R20_propose", f"WITH {QUEUE.sql('q')}, {PROPOSED.sql('n')} SELECT keyword FROM n WHERE lower(keyword) NOT IN (SELECT lower(keyword) FROM q WHERE status <> 'rejected' AND keyword IS NOT NULL)")
 def r20(spark, sf_dir):
-    new = spark.createDataFrame([("Rank Tracker",), ("new one",)], "keyword string")
-    return S.proposals(new, QUEUE.df(spark))
+    return S.proposals(PROPOSED.df(spark, sf_dir), QUEUE.df(spark, sf_dir))
 
 
-STORED = Rows("keyword string, volume bigint, note string", [("a", 1, "x"), ("b", 2, "y")])
-FRESH = Rows("keyword string, volume bigint, note string", [("a", None, "x2"), ("c", 3, "z")])
+STORED = Derived("clients", "'client ' || CAST(client_id AS STRING) AS keyword", "CAST(floor(coalesce(balance, 0)) AS BIGINT) AS volume", "city AS note", where="client_id % 3 < 2")
+FRESH = Derived("clients", "'client ' || CAST(client_id AS STRING) AS keyword", "CASE WHEN client_id % 4 > 0 THEN -client_id END AS volume", "CASE WHEN client_id % 5 > 0 THEN segment END AS note", where="client_id % 3 > 0")
 
 
 @query("R21_upsert", f"WITH {STORED.sql('o')}, {FRESH.sql('n')} SELECT keyword, coalesce(n.volume, o.volume) AS volume, coalesce(n.note, o.note) AS note FROM o FULL JOIN n USING (keyword)")
 def r21(spark, sf_dir):
-    return S.upsert(STORED.df(spark), FRESH.df(spark), "keyword")
+    return S.upsert(STORED.df(spark, sf_dir), FRESH.df(spark, sf_dir), "keyword")
 
 
 @query("R21_upsert_customers", "SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN -c_acctbal END AS c_acctbal, lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0) n USING (c_custkey)")
@@ -343,12 +353,12 @@ def a24(spark, sf_dir):
     return S.visibility(e)
 
 
-AI = Rows("answered boolean, cited boolean, citations array<string>", [(True, False, ["a.com", "b.com"]), (True, True, ["us.com"]), (False, False, []), (True, False, ["a.com"])])
+AI = Derived("clicks", "click_id % 4 > 0 AS answered", "click_id % 3 = 0 AS cited", "CASE WHEN client_id % 2 = 0 THEN ARR('c' || CAST(client_id % 30 AS STRING) || '.com', 'b.com') ELSE ARR('c' || CAST(client_id % 30 AS STRING) || '.com') END AS citations")
 
 
 @query("A24_gap_domains", f"WITH {AI.sql('t')}, c AS (SELECT unnest(citations) AS domain FROM t WHERE answered AND NOT cited) SELECT domain, count(*) AS n FROM c GROUP BY 1")
 def a24_gaps(spark, sf_dir):
-    return S.gap_domains(AI.df(spark))
+    return S.gap_domains(AI.df(spark, sf_dir))
 
 
 @query("A26_overview", "SELECT o_orderpriority AS kind, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
@@ -374,12 +384,12 @@ def a29(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
 
-SITES = Rows("id bigint, days double, pages double, impressions double, clicks double", [(1, 400.0, 50.0, 9000.0, 300.0), (2, None, 900.0, None, None), (3, 9000.0, 9000.0, 1e6, 1e5), (4, None, None, None, None)])
+SITES = Derived("clients", "client_id AS id", "CASE WHEN client_id % 3 > 0 THEN CAST(client_id % 5000 AS DOUBLE) END AS days", "CASE WHEN client_id % 4 > 0 THEN CAST(client_id AS DOUBLE) END AS pages", "CASE WHEN client_id % 5 > 0 THEN CAST(client_id * 7 AS DOUBLE) END AS impressions", "CASE WHEN client_id % 7 > 0 THEN CAST(client_id % 900 AS DOUBLE) END AS clicks")
 
 
 @query("A30_composite", f"WITH {SITES.sql('t')} SELECT id, least(25.0, round(coalesce(least(10.0, days / 365.25 * 2), 0) + coalesce(least(8.0, sqrt(pages) / 2), 0) + coalesce(least(9.0, sqrt(impressions / 1000) * 2), 0) + coalesce(least(6.0, sqrt(clicks / 100) * 2), 0), 0)) AS rating FROM t")
 def a30(spark, sf_dir):
-    return SITES.df(spark).select("id", S.composite(F.col("days"), F.col("pages"), F.col("impressions"), F.col("clicks")).alias("rating"))
+    return SITES.df(spark, sf_dir).select("id", S.composite(F.col("days"), F.col("pages"), F.col("impressions"), F.col("clicks")).alias("rating"))
 
 
 @query("A31_W4_year_trend", "WITH d AS (SELECT user_id AS key, CAST(ts AS DATE) AS \"at\", CASE WHEN count(*) FILTER (event_type = 'click') > 0 THEN count(*) / 4 END AS value FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY \"at\" DESC) AS rn FROM d WHERE value IS NOT NULL), j AS (SELECT DISTINCT d.key, round(a.value - b.value, 2) AS delta FROM d LEFT JOIN k a ON a.key = d.key AND a.rn = 1 LEFT JOIN k b ON b.key = d.key AND b.rn = 13) SELECT key, delta, CASE WHEN delta > 0.05 THEN 'rising' WHEN delta < -0.05 THEN 'falling' WHEN delta IS NOT NULL THEN 'flat' END AS direction FROM j")
@@ -393,41 +403,48 @@ def a32(spark, sf_dir):
     return S.popularity(ranks(spark, sf_dir).select(F.col("keyword").alias("key"), "at", F.col("position").alias("rank")))
 
 
-ASKED = Rows("domain string", [("httpbin.org",), ("search.marginalia.nu",), ("Example.com",), ("a.b.example.com",), ("x.org",)])
-ANSWERED = Rows("domain string, rank int, ord int", [("marginalia.nu", 7, 1), ("example.com", 1, 2), ("b.example.com", 2, 3), ("org", 5, 4)])
+ASKED = Derived("pages", "CASE page_id % 3 WHEN 0 THEN upper(split_part(url, '/', 3)) ELSE split_part(url, '/', 3) END || CASE WHEN page_id % 7 = 0 THEN '.x' || CAST(page_id AS STRING) ELSE '' END AS domain")
+ANSWERED = Derived("pages", "CASE page_id % 4 WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.net' WHEN 2 THEN split_part(url, '/', 3) ELSE 'org' END AS domain", "CAST(page_id AS INT) AS rank", "CAST(page_id AS INT) AS ord")
 
 
-@query("J16_reconcile", f"""WITH {ASKED.sql('a')}, {ANSWERED.sql('g')}, m AS (SELECT a.domain, arg_max(g.domain, length(g.domain)) AS answered_for, arg_max(rank, length(g.domain)) AS rank FROM a JOIN g ON contains(g.domain, '.') AND ('.' || lower(a.domain)) LIKE ('%.' || g.domain) GROUP BY 1)
+@query("J16_reconcile", f"""WITH {ASKED.sql('a')}, {ANSWERED.sql('k')}, g AS (SELECT lower(domain) AS domain, arg_max(rank, ord) AS rank FROM k GROUP BY 1), m AS (SELECT a.domain, arg_max(g.domain, length(g.domain)) AS answered_for, arg_max(rank, length(g.domain)) AS rank FROM a JOIN g ON contains(g.domain, '.') AND ('.' || lower(a.domain)) LIKE ('%.' || g.domain) GROUP BY 1)
 SELECT a.domain, answered_for, rank, answered_for IS NULL AS no_data FROM a LEFT JOIN m USING (domain)""")
 def j16(spark, sf_dir):
-    return S.reconcile(ASKED.df(spark), ANSWERED.df(spark))
+    return S.reconcile(ASKED.df(spark, sf_dir), ANSWERED.df(spark, sf_dir))
 
 
-RATINGS = Rows("domain string, first double, second double, third double", [("a", None, 3.0, 4.0), ("b", 1.0, 2.0, None), ("c", None, None, None)])
+RATINGS = Derived("clients", "'c' || CAST(client_id AS STRING) AS domain", "CASE WHEN client_id % 3 = 0 THEN CAST(client_id % 90 AS DOUBLE) END AS first", "CASE WHEN client_id % 4 < 2 THEN balance END AS second", "CASE WHEN client_id % 5 > 0 THEN 4.5e0 END AS third")
 
 
 @query("R23_authority_ladder", f"WITH {RATINGS.sql('t')} SELECT *, CASE WHEN first IS NOT NULL THEN 'first' WHEN second IS NOT NULL THEN 'second' WHEN third IS NOT NULL THEN 'third' END AS source, coalesce(first, second, third) AS rating FROM t")
 def r23(spark, sf_dir):
-    return S.ladder(RATINGS.df(spark), ["first", "second", "third"])
+    return S.ladder(RATINGS.df(spark, sf_dir), ["first", "second", "third"])
 
 
-WORKS = Rows("src int, place int, doi string, title string", [(0, 1, "https://doi.org/10.1/A", "One"), (1, 1, "10.1/a", "One again"), (1, 2, None, "Two"), (0, 2, "", "two"), (1, 3, "doi:10.2/b", "Three")])
+WORKS = Derived(
+    "sale_lines",
+    "CAST(line_no % 2 AS INT) AS src",
+    "CAST(sale_id * 100 + line_no AS INT) AS place",
+    "CASE item_id % 5 WHEN 0 THEN 'https://doi.org/10.1/A' || CAST(item_id AS STRING) WHEN 1 THEN '10.1/a' || CAST(item_id - 1 AS STRING) WHEN 2 THEN NULL WHEN 3 THEN '' ELSE 'doi:10.2/b' || CAST(item_id AS STRING) END AS doi",
+    "'Work ' || CAST(item_id AS STRING) AS title",
+    where="item_id IS NOT NULL AND line_no IS NOT NULL AND sale_id IS NOT NULL",
+)
 
 
 @query("J22_merge_sources", f"WITH {WORKS.sql('t')}, k AS (SELECT *, coalesce(nullif(regexp_replace(lower(trim(doi)), '^(?:https?://(?:dx\\.)?doi\\.org/|doi:)', ''), ''), left(lower(title), 80)) AS key FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY src, place) AS rn FROM k) SELECT key, src, place, doi, title FROM r WHERE rn = 1")
 def j22(spark, sf_dir):
-    w = WORKS.df(spark)
+    w = WORKS.df(spark, sf_dir)
     return S.merge_sources(w.where("src = 0"), w.where("src = 1"))
 
 
-CONCEPTS = Rows("concept string", [("Rank tracking software",), ("Search engine with index",), ("It is a",)])
-DRAFT_WORDS = Rows("word string", [("rank",), ("software",), ("other",)])
+CONCEPTS = Derived("conversations", "substr(coalesce(text, ''), 1, 60) AS concept")
+DRAFT_WORDS = Derived("benchmark", "lower(split_part(text, ' ', 2)) AS word")
 _CONCEPT_WORDS = "list_filter(regexp_extract_all(lower(concept), '[a-z0-9'']+'), lambda w: length(w) > 3 AND w NOT IN ('with', 'from', 'that'))"
 
 
 @query("A41_concept_coverage", f"WITH {CONCEPTS.sql('c')}, {DRAFT_WORDS.sql('d')}, e AS (SELECT concept, unnest({_CONCEPT_WORDS}) AS w FROM c) SELECT concept, count(*) AS tokens, count(*) FILTER (w IN (SELECT word FROM d)) AS matched FROM e GROUP BY 1")
 def a41(spark, sf_dir):
-    return S.coverage(CONCEPTS.df(spark), DRAFT_WORDS.df(spark), ("with", "from", "that"))
+    return S.coverage(CONCEPTS.df(spark, sf_dir), DRAFT_WORDS.df(spark, sf_dir), ("with", "from", "that"))
 
 
 @query("A41_benchmark_coverage", f"WITH c AS (SELECT text AS concept FROM benchmark), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM documents), e AS (SELECT concept, unnest({_CONCEPT_WORDS}) AS w FROM c) SELECT concept, count(*) AS tokens, count(d.word) AS matched FROM e LEFT JOIN d ON d.word = w GROUP BY 1")
@@ -437,15 +454,15 @@ def a41_benchmark(spark, sf_dir):
     return S.coverage(table(spark, sf_dir, "benchmark").select(F.col("text").alias("concept")), words, ("with", "from", "that"))
 
 
-CAPTURE = Rows("url string, ts string", [("a", "20240101"), ("a", "20250101"), ("a", "20250301"), ("b", "20250201"), ("b", "20250301")])
+CAPTURE = Derived("clicks", "'u' || CAST(client_id AS STRING) AS url", "replace(substr(CAST(ts AS STRING), 1, 10), '-', '') AS ts", where="client_id IS NOT NULL AND ts IS NOT NULL")
 
 
-@query("A40_S19_archive_windows", f"WITH {CAPTURE.sql('t')}, a AS (SELECT url, count(*) AS versions, count(*) FILTER (ts >= '20250115') AS since, min(ts) AS first, max(ts) AS last FROM t GROUP BY 1) SELECT *, versions >= 2 AS truncated, versions < 2 OR first <= '20250115' AS reliable FROM a")
+@query("A40_S19_archive_windows", f"WITH {CAPTURE.sql('t')}, a AS (SELECT url, count(*) AS versions, count(*) FILTER (ts >= '20240301') AS since, min(ts) AS first, max(ts) AS last FROM t GROUP BY 1) SELECT *, versions >= 20 AS truncated, versions < 20 OR first <= '20240301' AS reliable FROM a")
 def a40(spark, sf_dir):
     """The index answers with a header row and rows of values; they become columns by name."""
-    raw = spark.createDataFrame([(["ts", "url"], [r[1], r[0]]) for r in CAPTURE.rows], "header array<string>, row array<string>")
+    raw = CAPTURE.df(spark, sf_dir).select(F.array(F.lit("ts"), F.lit("url")).alias("header"), F.array("ts", "url").alias("row"))
     named = raw.select(F.map_from_arrays("header", "row").alias("m")).select(F.col("m")["url"].alias("url"), F.col("m")["ts"].alias("ts"))
-    return S.archive_windows(named, "2025-01-15", 2)
+    return S.archive_windows(named, "2024-03-01", 20)
 
 
 @query("A45_last_reading", "WITH l AS (SELECT date_trunc('hour', ts) AS hour, user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2) SELECT hour, count(*) AS entities, round(sum(value), 4) AS total FROM l GROUP BY 1")
@@ -459,23 +476,23 @@ def f28(spark, sf_dir):
     return S.pending_batches(p, 50)
 
 
-TEXTS = Rows("id bigint, tagline string, short string, long string", [(1, "x" * 60, "x" * 160, "x" * 300), (2, "x" * 61, "x" * 161, "x" * 601)])
+TEXTS = Derived("documents", "doc_id AS id", "substr(coalesce(text, ''), 1, 55 + CAST(doc_id % 11 AS INT)) AS tagline", "substr(coalesce(text, ''), 1, 155 + CAST(doc_id % 13 AS INT)) AS short", "text AS long")
 
 
 @query("F29_length_contract", f"WITH {TEXTS.sql('t')} SELECT id, length(tagline) <= 60 AS tagline_ok, length(short) <= 160 AS short_ok, length(long) BETWEEN 300 AND 600 AS long_ok FROM t")
 def f29(spark, sf_dir):
-    return S.length_contract(TEXTS.df(spark))
+    return S.length_contract(TEXTS.df(spark, sf_dir))
 
 
-SETTINGS = Rows("raw string", [("true",), ("FALSE",), ("12",), ("-1.5",), ("hello",), ('{"a": 1}',), ("null",)])
+SETTINGS = Derived("sales", "sale_id", "CASE sale_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' WHEN 2 THEN CAST(sale_id AS STRING) WHEN 3 THEN '-' || CAST(sale_id % 97 AS STRING) || '.5' WHEN 4 THEN coalesce(status, 'none') WHEN 5 THEN '{\"a\": ' || CAST(sale_id AS STRING) || '}' WHEN 6 THEN 'null' ELSE '[1]' END AS raw")
 
 
 @query("F33_settings", f"WITH {SETTINGS.sql('t')} SELECT raw, CASE WHEN lower(raw) IN ('true', 'false', 'null') THEN lower(raw) WHEN regexp_matches(raw, '^-?\\d+(\\.\\d+)?$') OR regexp_matches(raw, '^[\\[{{]') THEN raw ELSE '\"' || raw || '\"' END AS value FROM t")
 def f33(spark, sf_dir):
-    return SETTINGS.df(spark).select("raw", S.setting(F.col("raw")).alias("value"))
+    return SETTINGS.df(spark, sf_dir).select("raw", S.setting(F.col("raw")).alias("value"))
 
 
-TYPES = Rows("type string", [("http://schema.org/FAQPage",), ("HowTo",), ("Article",), ("schema#Dataset",)])
+TYPES = Derived("events", "CASE event_id % 6 WHEN 0 THEN 'http://schema.org/FAQPage' WHEN 1 THEN 'HowTo' WHEN 2 THEN 'Article' WHEN 3 THEN 'schema#Dataset' WHEN 4 THEN event_type ELSE 'schema.org/' || event_type || '/ClaimReview' END AS type")
 
 
 _RETIRED = "CASE b " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.RETIRED.items()) + " END"
@@ -483,28 +500,28 @@ _RETIRED = "CASE b " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.RETIRED.i
 
 @query("F24_retired_types", f"WITH {TYPES.sql('t')}, b AS (SELECT regexp_replace(type, '^.*[/#]', '') AS b FROM t) SELECT b AS type, {_RETIRED} AS retired FROM b WHERE {_RETIRED} IS NOT NULL OR b = 'Dataset'")
 def f24(spark, sf_dir):
-    return S.retired_types(TYPES.df(spark))
+    return S.retired_types(TYPES.df(spark, sf_dir))
 
 
 TREE = json.dumps([{"typeGroup": "Article", "types": [{"value": "Article"}], "nodeProperties": [{"pred": "author", "value": [{"typeGroup": "Person", "types": [{"value": None}], "nodeProperties": [{"value": [{"typeGroup": "X", "types": [{"value": "Place"}, {"value": "Place"}]}]}]}]}]}])
 
 
-FACETS = Rows("facet string, volume bigint, kd double, authorities bigint, floor bigint, ceiling bigint, most_kd double", [("a", 200, 5.0, None, 100, 800, 20.0), ("a", 300, 5.0, None, 100, 800, 20.0), ("a", 900, 5.0, None, 100, 800, 20.0), ("a", 400, 50.0, None, 100, 800, 20.0), ("b", None, None, 2, 100, 800, 20.0), ("b", None, None, 5, 100, 800, 20.0)])
+FACETS = Derived("sales", "'f' || CAST(client_id % 20 AS STRING) AS facet", "CASE WHEN sale_id % 6 > 0 THEN CAST(floor(coalesce(total, 0)) AS BIGINT) * 3 + sale_id % 10 END AS volume", "CASE WHEN sale_id % 5 > 0 THEN CAST(sale_id % 40 AS DOUBLE) END AS kd", "sale_id % 6 AS authorities", "CAST(100 AS BIGINT) AS floor", "CASE WHEN sale_id % 4 > 0 THEN CAST(800 AS BIGINT) END AS ceiling", "20.0e0 AS most_kd", where="client_id IS NOT NULL")
 
 
-@query("A49_facet_score", f"WITH {FACETS.sql('t')}, k AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY volume) AS rn, count(*) OVER (PARTITION BY facet) AS n FROM t WHERE CASE WHEN volume IS NULL THEN authorities <= 2 ELSE volume >= floor AND volume <= ceiling AND kd <= most_kd END) SELECT facet, count(*) AS candidates, max(volume) FILTER (rn = n // 2 + 1) AS median_volume FROM k GROUP BY 1")
+@query("A49_facet_score", f"WITH {FACETS.sql('t')}, k AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY volume NULLS FIRST) AS rn, count(*) OVER (PARTITION BY facet) AS n FROM t WHERE CASE WHEN volume IS NULL THEN authorities <= 2 ELSE volume >= floor AND (ceiling IS NULL OR volume <= ceiling) AND kd <= most_kd END) SELECT facet, count(*) AS candidates, max(volume) FILTER (rn = n // 2 + 1) AS median_volume FROM k GROUP BY 1")
 def a49(spark, sf_dir):
-    return S.facet_score(FACETS.df(spark))
+    return S.facet_score(FACETS.df(spark, sf_dir))
 
 
-ENVELOPES = Rows("id bigint, body string", [(1, '{"d": [{"Query": "a", "Clicks": 3}]}'), (2, '{"ErrorCode": 7, "Message": "no"}'), (3, "not json")])
+ENVELOPES = Derived("sales", "sale_id AS id", "CASE sale_id % 4 WHEN 0 THEN '{\"d\": [{\"Query\": \"a\", \"Clicks\": ' || CAST(sale_id AS STRING) || '}]}' WHEN 1 THEN '{\"ErrorCode\": ' || CAST(sale_id % 50 AS STRING) || ', \"Message\": \"no\"}' WHEN 2 THEN 'not json' ELSE '{\"other\": 1}' END AS body")
 
 
 @query("F30_error_envelope", f"WITH {ENVELOPES.sql('t')}, j AS (SELECT id, TRY_CAST(body AS JSON) AS j FROM t) SELECT id, coalesce((j->'d') IS NOT NULL AND (j->'ErrorCode') IS NULL, false) AS ok, CAST(j->>'ErrorCode' AS INTEGER) AS code FROM j")
 def f30(spark, sf_dir):
     """A body that carries an error is an error, whatever the status says."""
     d = F.from_json("body", "ErrorCode int, d array<struct<Query:string,Clicks:long>>")
-    return ENVELOPES.df(spark).withColumn("j", d).select("id", (F.col("j.ErrorCode").isNull() & F.col("j.d").isNotNull()).alias("ok"), F.col("j.ErrorCode").alias("code"))
+    return ENVELOPES.df(spark, sf_dir).withColumn("j", d).select("id", (F.col("j.ErrorCode").isNull() & F.col("j.d").isNotNull()).alias("ok"), F.col("j.ErrorCode").alias("code"))
 
 
 @query("O12_run_tail", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -534,13 +551,11 @@ def set_ops(spark, sf_dir):
     return r.intersect(a).withColumn("side", F.lit("both")).unionAll(r.subtract(a).withColumn("side", F.lit("only")))
 
 
-SLUGS = Rows("ord int, slug string, keyword string", [(1, "rank-tracker", "rank tracker"), (2, "tracker", "tracker"), (3, "x/faq", "faq page")])
-STEMS = Rows("stem string", [("guides/rank-tracker",), ("faq",), ("none",)])
+SLUGS = Derived("items", "CAST(item_id AS INT) AS ord", "CASE item_id % 3 WHEN 0 THEN 'rank-tracker-' || CAST(item_id % 40 AS STRING) WHEN 1 THEN 'tracker-' || CAST(item_id % 40 AS STRING) ELSE 'x/faq-' || CAST(item_id % 40 AS STRING) END AS slug", "coalesce(name, 'none') AS keyword")
+STEMS = Derived("clients", "CASE client_id % 3 WHEN 0 THEN 'guides/rank-tracker-' || CAST(client_id % 60 AS STRING) WHEN 1 THEN 'faq-' || CAST(client_id % 60 AS STRING) ELSE 'none-' || CAST(client_id % 60 AS STRING) END AS stem")
 
 
 @query("J18_slug_match", f"WITH {SLUGS.sql('p')}, {STEMS.sql('s')} SELECT stem, arg_min(keyword, ord) AS keyword FROM s LEFT JOIN p ON slug = stem OR ends_with(slug, '/' || stem) OR ends_with(stem, slug) GROUP BY 1")
 def j18(spark, sf_dir):
     """The first page, in order of the map, whose slug is the name, or ends it, or is its end."""
-    pages, stems = SLUGS.df(spark), STEMS.df(spark)
-    fits = (F.col("slug") == F.col("stem")) | F.col("slug").endswith(F.concat(F.lit("/"), F.col("stem"))) | F.col("stem").endswith(F.col("slug"))
-    return stems.join(F.broadcast(pages), fits, "left").groupBy("stem").agg(F.min_by("keyword", "ord").alias("keyword"))
+    return S.slug_matches(SLUGS.df(spark, sf_dir), STEMS.df(spark, sf_dir))

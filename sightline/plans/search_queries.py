@@ -7,19 +7,19 @@ from pyspark.sql import Window as W
 
 from ..operators import keywords as K
 from ..operators import search_metrics as M
-from .registry import Rows, query, table
-
-METRICS = Rows(
-    "period string, keys array<string>, page string, query string, clicks double, impressions double, position double",
-    [
-        ("prev", ["https://a.b/slip/", "rank tracker"], None, None, 10.0, 100.0, 6.0), ("cur", ["rank tracker", "https://a.b/slip"], None, None, 2.0, 40.0, 18.0),
-        ("prev", ["2025-01-01", "https://a.b/held"], None, None, 10.0, 100.0, 6.0), ("cur", ["https://a.b/held"], None, "q", 2.0, 50.0, 5.5),
-        ("prev", ["x"], "https://a.b/grow", None, 1.0, 50.0, 9.0), ("cur", ["x"], "https://a.b/grow", None, 9.0, 90.0, None),
-        ("prev", ["https://a.b/gone"], None, None, 5.0, 30.0, 4.0), ("cur", ["https://a.b/fresh"], None, None, 5.0, 30.0, 4.0),
-        ("prev", ["https://a.b/few"], None, None, 0.0, 3.0, 4.0), ("prev", ["https://a.b/young"], None, None, 1.0, 70.0, 4.0), ("cur", ["https://a.b/young"], None, None, 1.0, 7.0, 44.0),
-        ("prev", ["no page"], None, None, 1.0, 70.0, 4.0), ("prev", ["https://a.b/slip", "other"], None, None, 1.0, 20.0, 60.0), ("cur", ["https://a.b/zero"], None, None, 0.0, 0.0, 3.0), ("prev", ["https://a.b/zero"], None, None, 0.0, 90.0, 3.0),
-    ],
-)
+from .registry import Derived, query, table
+
+METRICS = Derived(
+    "clicks",
+    "CASE WHEN click_id % 2 = 0 THEN 'prev' ELSE 'cur' END AS period",
+    """CASE click_id % 5 WHEN 0 THEN ARR('https://a.b/p' || CAST(client_id % 300 AS STRING) || '/', 'rank tracker') WHEN 1 THEN ARR('rank tracker', 'https://a.b/p' || CAST(client_id % 300 AS STRING)) WHEN 2 THEN ARR('2025-01-01', 'https://a.b/p' || CAST(client_id % 300 AS STRING)) WHEN 3 THEN ARR('x') ELSE ARR('no page') END AS keys""",
+    "CASE WHEN click_id % 5 = 3 THEN 'https://a.b/q' || CAST(client_id % 300 AS STRING) END AS page",
+    "CASE WHEN click_id % 5 = 2 THEN 'q' END AS query",
+    "CAST(click_id % 10 AS DOUBLE) AS clicks",
+    "CAST(client_id % 40 AS DOUBLE) AS impressions",
+    "CASE WHEN click_id % 7 > 0 THEN CAST(click_id % 50 AS DOUBLE) END AS position",
+    where="client_id IS NOT NULL",
+)
 _DIMS = """d AS (SELECT period, coalesce(list_filter(keys, lambda k: regexp_matches(k, '^https?://'))[-1], page) AS page, coalesce(list_filter(keys, lambda k: NOT regexp_matches(k, '^https?://') AND NOT regexp_full_match(k, '\\d{4}-\\d{2}-\\d{2}'))[1], query) AS query, list_filter(keys, lambda k: regexp_full_match(k, '\\d{4}-\\d{2}-\\d{2}'))[-1] AS day, clicks, impressions, position FROM t)"""
 _PATH = "CASE WHEN rtrim(regexp_extract(page, '^https?://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(page, '^https?://[^/?#]*([^?#]*)', 1), '/') END"
 _FOLD = "CAST(sum(coalesce(clicks, 0)) AS BIGINT) AS clicks, CAST(sum(coalesce(impressions, 0)) AS BIGINT) AS impressions, round(sum(coalesce(position, 0) * coalesce(impressions, 0)) / nullif(sum(coalesce(impressions, 0)), 0), 2) AS position"
@@ -34,18 +34,18 @@ v AS (SELECT * EXCLUDE (fresh), CASE WHEN fresh THEN 'new' WHEN impressions_befo
 
 @query("F8_split_dimensions", f"WITH {METRICS.sql('t')}, {_DIMS} SELECT page, query, day, clicks, impressions, position FROM d")
 def f8(spark, sf_dir):
-    return M.split_dimensions(METRICS.df(spark).drop("period"))
+    return M.split_dimensions(METRICS.df(spark, sf_dir).drop("period"))
 
 
 @query("A8_weighted_position", f"WITH {_FOLDED} SELECT * FROM f")
 def a8(spark, sf_dir):
-    rows = METRICS.df(spark)
+    rows = METRICS.df(spark, sf_dir)
     return M.fold_pages(rows.where("period = 'prev'")).withColumn("period", F.lit("prev")).unionByName(M.fold_pages(rows.where("period = 'cur'")).withColumn("period", F.lit("cur")))
 
 
 @query("J1_J2_R14_compare_rules", f"WITH {_FOLDED}, pp AS (SELECT * FROM f WHERE period = 'prev'), cc AS (SELECT * FROM f WHERE period = 'cur'), {_compare_sql('pp', 'cc', 'page', chr(39) + '/young' + chr(39) + ' = page', 10)} SELECT *, CASE WHEN page = '/young' THEN '2024-12-20' END AS published FROM v")
 def r14_rules(spark, sf_dir):
-    rows = METRICS.df(spark)
+    rows = METRICS.df(spark, sf_dir)
     published = spark.createDataFrame([("/young", "2024-12-20")], "page string, published string")
     return M.compare(M.fold_pages(rows.where("period = 'prev'")), M.fold_pages(rows.where("period = 'cur'")), published=published, previous_start="2025-01-01")
 
@@ -86,18 +86,18 @@ def a9(spark, sf_dir):
     return M.cannibals(M.fold(l, ["query", "page"]), least=2, worst=30.0)
 
 
-CALENDAR = Rows("date string, ended string, name string", [("2024-01-05", None, "core"), ("2024-01-10", "2024-01-12", "spam"), ("2023-12-01", "2024-01-02", "reviews"), ("2024-02-01", None, "later")])
+CALENDAR = Derived("sales", "substr(CAST(sold_at AS STRING), 1, 10) AS date", "CASE WHEN sale_id % 2 = 0 THEN substr(CAST(arrived_at AS STRING), 1, 10) END AS ended", "'update ' || CAST(sale_id AS STRING) AS name", where="priority = 5 AND sold_at IS NOT NULL")
 
 
 @query("J3_calendar_overlap", f"WITH {CALENDAR.sql('c')} SELECT * FROM c WHERE NOT (coalesce(ended, date) < '2024-01-02' OR date > '2024-01-11')")
 def j3(spark, sf_dir):
-    return M.overlapping(CALENDAR.df(spark), "2024-01-02", "2024-01-11")
+    return M.overlapping(CALENDAR.df(spark, sf_dir), "2024-01-02", "2024-01-11")
 
 
 @query("J3_events_in_updates", f"WITH {CALENDAR.sql('c')}, d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, name FROM d JOIN c ON day >= date AND day <= coalesce(ended, date)")
 def j3_events(spark, sf_dir):
     days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    return M.in_intervals(days, CALENDAR.df(spark)).select("day", "n", "name")
+    return M.in_intervals(days, CALENDAR.df(spark, sf_dir)).select("day", "n", "name")
 
 
 @query("F11_F12_O3_bands", "WITH t AS (SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'signup') = 0 THEN NULL ELSE round(avg(value) / 3, 1) END AS position, count(*) AS impressions, count(*) FILTER (event_type = 'click') / count(*) AS ctr FROM events GROUP BY 1), b AS (SELECT *, CASE WHEN position IS NULL THEN 'unknown' WHEN position <= 3 THEN 'top3' WHEN position <= 10 THEN 'page1' WHEN position <= 20 THEN 'striking-distance' WHEN position <= 50 THEN 'page3-5' ELSE 'deep' END AS band FROM t) SELECT user_id, position, band, CAST(list_position(['striking-distance', 'page3-5', 'page1', 'top3', 'deep', 'unknown'], band) - 1 AS INTEGER) AS ordinal, coalesce(position <= 10 AND position <> 0 AND impressions >= 100 AND ctr < 0.02, false) AS low_ctr FROM b")
@@ -140,20 +140,24 @@ def r15(spark, sf_dir):
     return M.drift_verdict(M.churn(M.page_one_moves(*snapshots(spark, sf_dir))))
 
 
-SNAPS = Rows("snapshot string, keyword string, domain string, position int, ok boolean", [("old", "a", "x.com", 1, True), ("old", "b", "x.com", 1, True), ("new", "b", "y.com", 1, True), ("new", "c", "y.com", 1, True), ("new", "a", None, None, False)])
+SNAPS = Derived("events", "CASE WHEN event_id % 2 = 0 THEN 'old' ELSE 'new' END AS snapshot", "CAST(user_id AS STRING) AS keyword", "event_type || '.com' AS domain", "CASE WHEN value > 5 THEN CAST(floor(value / 8) AS INT) + 1 END AS position", "value > 5 AS ok")
 
 
 @query("J4_one_sided_and_unread", f"WITH {SNAPS.sql('s')}, r AS (SELECT * FROM s WHERE ok), o AS (SELECT DISTINCT keyword FROM r WHERE snapshot = 'old'), n AS (SELECT DISTINCT keyword FROM r WHERE snapshot = 'new') SELECT keyword, 'before' AS side FROM o WHERE keyword NOT IN (SELECT keyword FROM n) UNION ALL SELECT keyword, 'after' FROM n WHERE keyword NOT IN (SELECT keyword FROM o) UNION ALL SELECT keyword, 'unread' FROM s WHERE NOT ok")
 def j4_sides(spark, sf_dir):
     """A refused reading is listed as unread, never as an empty page."""
-    s = SNAPS.df(spark)
+    s = SNAPS.df(spark, sf_dir)
     read = s.where("ok")
     return M.one_sided(read.where("snapshot = 'old'"), read.where("snapshot = 'new'")).unionAll(s.where("not ok").select("keyword", F.lit("unread")))
 
 
-SUGGESTIONS = Rows(
-    "suggestion string, depth bigint, rank bigint, via string, engine string",
-    [("best rank tracker", 0, 1, "seed", "google"), ("Best  Rank Tracker", 1, 3, "commercial", "bing"), ("how to check rankings", 1, 2, "question", "google"), ("rank tracker vs spreadsheet", 1, 5, "comparison", "google"), ("ab", 1, 1, "seed", "google"), (None, 0, None, "seed", "yandex"), ("download rank tracker trial", 2, 9, "alphabet", "ddg"), ("rank", 2, 40, "alphabet", "ddg")],
+SUGGESTIONS = Derived(
+    "events",
+    """CASE event_id % 7 WHEN 0 THEN '  Best Rank tracker ' || CAST(user_id % 9 AS STRING) WHEN 1 THEN 'rank tracker pricing ' || CAST(user_id % 9 AS STRING) WHEN 2 THEN 'how to track ' || event_type WHEN 3 THEN 'buy rank tracker' WHEN 4 THEN 'check rank vs ' || event_type WHEN 5 THEN 'x' ELSE 'keyword calculator ' || CAST(user_id AS STRING) END AS suggestion""",
+    "user_id % 4 AS depth",
+    "event_id % 10 + 1 AS rank",
+    "CASE WHEN user_id % 3 = 0 THEN 'seed' ELSE 'a' || CAST(user_id % 3 AS STRING) END AS via",
+    "event_type AS engine",
 )
 _INTENT = f"CASE WHEN regexp_matches(keyword, '{K.TRANSACTIONAL}') THEN 'transactional' WHEN regexp_matches(keyword, '{K.COMPARISON}') THEN 'comparison' WHEN regexp_matches(keyword, '{K.COMMERCIAL}') THEN 'commercial' ELSE 'informational' END"
 _WORDS = "len(list_filter(string_split_regex(keyword, '\\s+'), lambda w: w <> ''))"
@@ -164,12 +168,12 @@ k AS (SELECT *, greatest(0, 100 - 22 * min_depth - 4 * (best_rank - 1) + 3 * lea
 
 @query("A19_A20_A21_F13_F14_W7_candidates", f"WITH {_CANDIDATES} SELECT * EXCLUDE (live) FROM k")
 def a19(spark, sf_dir):
-    return K.candidates(SUGGESTIONS.df(spark))
+    return K.candidates(SUGGESTIONS.df(spark, sf_dir))
 
 
 @query("O4_F15_sorted_candidates", f"WITH {_CANDIDATES} SELECT keyword, row_number() OVER (ORDER BY agreement DESC, demand_proxy DESC, keyword) AS place FROM k WHERE contains(keyword, 'rank') AND contains(keyword, 'track')")
 def o4(spark, sf_dir):
-    kept = K.candidates(SUGGESTIONS.df(spark)).where(K.holds_all(F.col("keyword"), ["rank", "track"]))
+    kept = K.candidates(SUGGESTIONS.df(spark, sf_dir)).where(K.holds_all(F.col("keyword"), ["rank", "track"]))
     return kept.select("keyword", F.row_number().over(W.orderBy(*K.order_of("agreement"))).cast("long").alias("place"))  # a literal handful
 
 
@@ -179,27 +183,27 @@ def f13(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", K.intent(t).alias("intent"), t.rlike(K.TOOL).alias("tool_shaped"))
 
 
-VOLUMES = Rows("keyword string, volume bigint, kd double", [("a", 100, 5.0), ("b", 100, None), ("c", 100, 60.0), ("d", None, 5.0), ("e", 5, 5.0)])
+VOLUMES = Derived("items", "'k' || CAST(item_id AS STRING) AS keyword", "CASE WHEN item_id % 6 > 0 THEN item_id * 3 % 300 END AS volume", "CASE WHEN item_id % 5 > 0 THEN CAST(item_id % 90 AS DOUBLE) END AS kd")
 
 
 @query("F16_affordable", f"WITH {VOLUMES.sql('v')} SELECT * FROM v WHERE coalesce(volume, 0) >= 10 AND (kd IS NULL OR kd <= 30)")
 def f16(spark, sf_dir):
-    return K.affordable(VOLUMES.df(spark), 30.0, 10)
+    return K.affordable(VOLUMES.df(spark, sf_dir), 30.0, 10)
 
 
-RESULTS = Rows("keyword string, url string", [(k, f"https://s.com/{u}") for k, us in (("rank tracker", "abcde"), ("rank tracking", "abcxy"), ("keyword tool", "xyzpq"), ("seo tool", "abxyz"), ("alone", "mno")) for u in us] + [("alone", "https://s.com/m/#f")])
+RESULTS = Derived("sale_lines", "'keyword ' || CAST(sale_id AS STRING) AS keyword", "'https://s.com/' || CAST(item_id AS STRING) || CASE line_no % 3 WHEN 0 THEN '/#f' WHEN 1 THEN '/' ELSE '' END AS url", where="item_id IS NOT NULL AND sale_id IS NOT NULL")
 _EDGES = "u AS (SELECT DISTINCT keyword, regexp_replace(split_part(url, '#', 1), '/+$', '') AS url FROM r), e AS (SELECT a.keyword AS a, b.keyword AS b, count(*) AS shared FROM u a JOIN u b USING (url) WHERE a.keyword < b.keyword GROUP BY 1, 2 HAVING count(*) >= 3)"
 _REACH = "bth AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT DISTINCT keyword AS node, keyword AS other FROM u UNION SELECT reach.node, bth.b FROM reach JOIN bth ON bth.a = reach.other), lab AS (SELECT node AS keyword, min(other) AS cluster FROM reach GROUP BY 1), deg AS (SELECT a AS keyword, count(*) AS degree FROM bth GROUP BY 1), mem AS (SELECT keyword, cluster, coalesce(degree, 0) AS degree FROM lab LEFT JOIN deg USING (keyword))"
 
 
-def _clustered(spark):
-    r = RESULTS.df(spark)
+def _clustered(spark, sf_dir):
+    r = RESULTS.df(spark, sf_dir)
     return r, K.clusters(r.select("keyword").distinct(), K.shared_results(r))
 
 
 @query("J10_shared_results", f"WITH {RESULTS.sql('r')}, {_EDGES} SELECT * FROM e")
 def j10(spark, sf_dir):
-    return K.shared_results(RESULTS.df(spark))
+    return K.shared_results(RESULTS.df(spark, sf_dir))
 
 
 @query("J10_shared_parts", "WITH u AS (SELECT DISTINCT l_orderkey AS keyword, l_partkey AS url FROM lineitem) SELECT a.keyword AS a, b.keyword AS b, count(*) AS shared FROM u a JOIN u b USING (url) WHERE a.keyword < b.keyword GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -209,17 +213,17 @@ def j10_parts(spark, sf_dir):
 
 @query("A44_clusters", f"WITH RECURSIVE {RESULTS.sql('r')}, {_EDGES}, {_REACH} SELECT * FROM mem")
 def a44(spark, sf_dir):
-    return _clustered(spark)[1]
+    return _clustered(spark, sf_dir)[1]
 
 
 @query("A44_cluster_stats", f"WITH RECURSIVE {RESULTS.sql('r')}, {_EDGES}, {_REACH}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY degree DESC, length(keyword), keyword) AS rn FROM mem) SELECT cluster, count(*) AS size, max(keyword) FILTER (rn = 1) AS head, CASE WHEN count(*) > 2 THEN count(*) FILTER (degree = 1) ELSE 0 END AS bridges FROM k GROUP BY 1")
 def a44_stats(spark, sf_dir):
-    return K.cluster_stats(_clustered(spark)[1])
+    return K.cluster_stats(_clustered(spark, sf_dir)[1])
 
 
 @query("A44_shared_by_all", f"WITH RECURSIVE {RESULTS.sql('r')}, {_EDGES}, {_REACH}, z AS (SELECT cluster, count(*) AS size FROM mem GROUP BY 1) SELECT cluster, url FROM u JOIN mem USING (keyword) JOIN z USING (cluster) GROUP BY cluster, url, size HAVING count(*) = size")
 def a44_all(spark, sf_dir):
-    r, m = _clustered(spark)
+    r, m = _clustered(spark, sf_dir)
     return K.shared_by_all(m, r)
 
 

@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..operators import similarity as S
 from ..operators.set_join import weighted_pairs
 from ..sources.shared import materialize, spread
-from .registry import Rows, query, table
+from .registry import Derived, query, table
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
 
@@ -127,15 +127,11 @@ def j9(spark, sf_dir):
     return S.shared_phrases(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", "text")
 
 
-PAGES = Rows(
-    "label string, opening array<string>, headings array<string>",
-    [
-        ("draft", "rank tracking tells you where your pages stand in the results today".split(), ["what is", "how it works", "pricing", "faq"]),
-        ("same opening", "here rank tracking tells you where your site is".split(), ["history", "market"]),
-        ("same skeleton", "an other start of a page".split(), ["what is", "how it works", "pricing", "faq", "more"]),
-        ("own piece", "we measured forty servers for a week".split(), ["method", "faq"]),
-        ("empty", [], []),
-    ],
+PAGES = Derived(
+    "items",
+    "CASE WHEN item_id = 0 THEN 'draft' ELSE 'page ' || CAST(item_id AS STRING) END AS label",
+    "CASE item_id % 4 WHEN 0 THEN ARR('rank', 'tracking', 'tells', 'you', 'where', 'your', 'pages', coalesce(kind, 'x')) WHEN 1 THEN ARR('here', 'rank', 'tracking', 'tells', 'you', 'where', 'your', 'site', coalesce(brand, 'x')) WHEN 2 THEN ARR('an', 'other', 'start', coalesce(name, 'x')) ELSE ARR() END AS opening",
+    "CASE item_id % 5 WHEN 0 THEN ARR('what is', 'how it works', 'pricing', 'faq') WHEN 1 THEN ARR('what is', 'how it works', 'pricing', 'faq', coalesce(kind, 'x')) WHEN 2 THEN ARR('method', 'faq') WHEN 3 THEN ARR() ELSE ARR(coalesce(kind, 'x'), 'market') END AS headings",
 )
 
 
@@ -143,17 +139,18 @@ PAGES = Rows(
 SELECT label, 'opening' AS kind FROM c, d WHERE len(list_intersect({_shingles('o', 6)}, {_shingles('opening', 6)})) > 0
 UNION ALL SELECT label, 'headings' FROM c, d WHERE len(h) > 0 AND len(headings) > 0 AND len(list_intersect(h, headings)) / len(list_distinct(list_concat(h, headings))) > 0.6""")
 def r12(spark, sf_dir):
-    pages = PAGES.df(spark)
+    pages = PAGES.df(spark, sf_dir)
     return S.sameness_flags(pages.where("label = 'draft'"), pages.where("label <> 'draft'"))
 
 
-@query("T3_T4_pair_score", f"""WITH {PAGES.sql('p')}, x AS (SELECT a.label AS a, b.label AS b, a.headings AS ha, b.headings AS hb, {_shingles('a.opening', 5)} AS ba, {_shingles('b.opening', 5)} AS bb, {_shingles('a.opening', 6)} AS oa, {_shingles('b.opening', 6)} AS ob FROM p a JOIN p b ON a.label < b.label),
+@query("T3_T4_pair_score", f"""WITH {PAGES.sql('p')}, x AS (SELECT a.label AS a, b.label AS b, a.headings AS ha, b.headings AS hb, {_shingles('a.opening', 5)} AS ba, {_shingles('b.opening', 5)} AS bb, {_shingles('a.opening', 6)} AS oa, {_shingles('b.opening', 6)} AS ob FROM p a JOIN p b ON a.label = 'draft' AND b.label <> 'draft'),
 j AS (SELECT a, b, CASE WHEN len(ha) = 0 OR len(hb) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(ha, hb)) / len(list_distinct(list_concat(ha, hb))) END AS h, CASE WHEN len(ba) = 0 OR len(bb) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(ba, bb)) / len(list_distinct(list_concat(ba, bb))) END AS bo, CASE WHEN len(oa) = 0 OR len(ob) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(oa, ob)) / len(list_distinct(list_concat(oa, ob))) END AS o FROM x)
 SELECT a, b, round(h, 4) AS headings, round(0.5 * h + 0.3 * bo + 0.2 * o, 4) AS score FROM j""")
 def t3_t4(spark, sf_dir):
-    pages = PAGES.df(spark)
+    """A draft (the first item) against all others."""
+    pages = PAGES.df(spark, sf_dir)
     a, b = (pages.select(*[F.col(c).alias(f"{c}_{s}") for c in pages.columns]) for s in "ab")
-    pairs = a.join(b, F.col("label_a") < F.col("label_b"))
+    pairs = b.where("label_b <> 'draft'").crossJoin(F.broadcast(a.where("label_a = 'draft'")))  # one draft
     body = lambda s: X.shingles(f"opening_{s}", 5)
     first = lambda s: X.shingles(f"opening_{s}", 6)
     return pairs.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"), F.round(X.jaccard("headings_a", "headings_b"), 4).alias("headings"), X.pair_score("headings_a", "headings_b", body("a"), body("b"), first("a"), first("b")).alias("score"))
@@ -169,14 +166,13 @@ def t2(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.shingles(X.tokenize("text"), 6)).alias("run"))
 
 
-MARKDOWN = Rows(
-    "slug string, mapped string, title string, md string",
-    [
-        ("rank-tracking", None, None, "---\ntitle: x\n---\n# Rank tracking\n\nShort.\n\nThis first paragraph is long enough to count as an *opening* of the page.\n\n## What is rank tracking?\n\ntext `code` [link words](http://a.b) ![img](x.png)\n\n```\n## not a heading\n```\n\n## How to use it\n"),
-        ("keyword-research", "keyword research", "Other", "## What is keyword research?\n\n## The best guide\n\n<Box>tag</Box> | a | b |\n"),
-        ("a_b", None, "How to pick a_b", "no headings here, yet this paragraph has more than forty characters in it"),
-        ("empty", None, None, ""),
-    ],
+MARKDOWN = Derived(
+    "documents",
+    "CASE doc_id % 4 WHEN 0 THEN 'rank-tracking' WHEN 1 THEN 'keyword-research' WHEN 2 THEN 'a_b' ELSE 'doc-' || CAST(doc_id AS STRING) END AS slug",
+    "CASE WHEN doc_id % 4 = 1 THEN 'keyword research' END AS mapped",
+    "CASE doc_id % 4 WHEN 1 THEN 'Other' WHEN 2 THEN 'How to pick a_b' END AS title",
+    """CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || '# Rank tracking' || chr(10) || chr(10) || 'Short.' || chr(10) || chr(10) || 'This first paragraph is long enough to count as an *opening* of the page.' || chr(10) || chr(10) || '## What is rank tracking?' || chr(10) || chr(10) || 'text `code` [link words](http://a.b) ![img](x.png)' || chr(10) || chr(10) || '```' || chr(10) || '## not a heading' || chr(10) || '```' || chr(10) || chr(10) || '## How to use it' || chr(10)
+    WHEN 1 THEN '## What is keyword research?' || chr(10) || chr(10) || '## The best guide' || chr(10) || chr(10) || '<Box>tag</Box> | a | b |' || chr(10) || chr(10) WHEN 2 THEN 'no headings here, yet this paragraph has more than forty characters in it' || chr(10) || chr(10) ELSE '' END || substr(coalesce(text, ''), 1, 500) AS md""",
 )
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.TITLE_STOPWORDS) + "]"
 _KEYWORD = f"list_filter(regexp_extract_all(lower(coalesce(mapped, title, translate(slug, '-_', '  '))), '[a-z0-9'']+'), lambda w: NOT list_contains({_STOP}, w))"
@@ -185,7 +181,7 @@ _PROSE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
 
 @query("T5_strip_markdown", f"WITH {MARKDOWN.sql('m')} SELECT slug, {_PROSE} AS prose FROM m")
 def t5(spark, sf_dir):
-    return MARKDOWN.df(spark).select("slug", X.strip_markdown("md").alias("prose"))
+    return MARKDOWN.df(spark, sf_dir).select("slug", X.strip_markdown("md").alias("prose"))
 
 
 @query("T6_T7_T8_markdown_features", rf"""WITH {MARKDOWN.sql('m')}, k AS (SELECT slug, md, {_KEYWORD} AS keyword, {_PROSE} AS prose FROM m),
@@ -194,15 +190,15 @@ coalesce(list_filter(list_transform(string_split_regex(prose, '\n\s*\n'), lambda
 SELECT slug, array_to_string(keyword, ' ') AS keyword, array_to_string(headings, '|') AS headings, array_to_string(regexp_extract_all(lower(para), '[a-z0-9'']+')[1:12], ' ') AS opening FROM f""")
 def t6(spark, sf_dir):
     keyword = X.keyword_tokens(F.col("mapped"), F.col("title"), F.col("slug"))
-    return MARKDOWN.df(spark).select("slug", F.array_join(keyword, " ").alias("keyword"), F.array_join(X.markdown_headings("md", keyword), "|").alias("headings"), F.array_join(X.opening(X.strip_markdown("md")), " ").alias("opening"))
+    return MARKDOWN.df(spark, sf_dir).select("slug", F.array_join(keyword, " ").alias("keyword"), F.array_join(X.markdown_headings("md", keyword), "|").alias("headings"), F.array_join(X.opening(X.strip_markdown("md")), " ").alias("opening"))
 
 
-ENTITIES = Rows("id bigint, text string", [(1, "Tom &amp; Jerry&#39;s &quot;show&quot;"), (2, "a&nbsp;b &lt;p&gt; &copy; &#x41; &#0038;"), (3, "plain"), (4, "")])
+ENTITIES = Derived("documents", "doc_id AS id", "CASE doc_id % 4 WHEN 0 THEN 'Tom &amp; Jerry&#39;s &quot;show&quot; ' WHEN 1 THEN 'a&nbsp;b &lt;p&gt; &copy; &#x41; &#0038;' WHEN 2 THEN '&LT;&#60 &rsquo;' ELSE '' END || substr(coalesce(text, ''), 1, 400) AS text")
 
 
 @query("T10_decode_entities", rf"""WITH {ENTITIES.sql('t')} SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '&(?:#0*39|#x0*27|apos|lsquo|rsquo);', '''', 'gi'), '&(?:#0*34|#x0*22|quot|ldquo|rdquo);', '"', 'gi'), '&(?:#0*160|nbsp);', ' ', 'gi'), '&(?:#0*38|#x0*26|amp);', '&', 'gi'), '&(?:#0*60|#x0*3c|lt);', '<', 'gi'), '&(?:#0*62|#x0*3e|gt);', '>', 'gi'), '&[a-z]+;|&#x?[0-9a-f]+;', ' ', 'gi') AS plain FROM t""")
 def t10(spark, sf_dir):
-    return ENTITIES.df(spark).select("id", X.decode_entities(F.col("text")).alias("plain"))
+    return ENTITIES.df(spark, sf_dir).select("id", X.decode_entities(F.col("text")).alias("plain"))
 
 
 @query("T15_word_count", r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words FROM documents")
@@ -210,13 +206,13 @@ def t15(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.word_count("text").cast("long").alias("words"))
 
 
-TITLES = Rows("title string", [("How to Track Ranks, Fast!",), ("--- ??? ---",), ("A" * 120,), ("Déjà vu 2024",), ("  many   Spaces ",), ("ab",), ("x",)])
+TITLES = Derived("documents", "CASE doc_id % 6 WHEN 0 THEN '--- ??? ---' WHEN 1 THEN '  many   Spaces ' || coalesce(source, '') WHEN 2 THEN substr('ab', 1, CAST(1 + doc_id % 2 AS INT)) ELSE split_part(substr(coalesce(text, ''), 1, 120), '.', 1) END AS title")
 
 
 @query("T16_T18_slug_and_keyword", rf"""WITH {TITLES.sql('t')}, s AS (SELECT title, left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) AS kw FROM t)
 SELECT title, coalesce(nullif(slug, ''), 'untitled') AS slug, CASE WHEN length(kw) >= 3 THEN kw END AS keyword FROM s""")
 def t16(spark, sf_dir):
-    return TITLES.df(spark).select("title", X.slugify("title").alias("slug"), X.normal_keyword("title").alias("keyword"))
+    return TITLES.df(spark, sf_dir).select("title", X.slugify("title").alias("slug"), X.normal_keyword("title").alias("keyword"))
 
 
 _RSTOP = "[" + ", ".join(f"'{w}'" for w in X.RELEVANCE_STOPWORDS) + "]"
@@ -233,7 +229,12 @@ def t20(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.content_hash("html").alias("hash"), X.token_estimate("html").cast("long").alias("tokens"), F.round(ratio, 4).alias("text_ratio"), F.left("html", F.lit(90)).alias("start"))
 
 
-URLS = Rows("id bigint, url string", [(1, "HTTPS://Example.COM:443/a/b/?q=1#frag"), (2, "http://example.com:8080/x/"), (3, "/relative/path/"), (4, "https://example.com"), (5, "//cdn.example.org/a//"), (6, ""), (7, "https://user:pw@www.Site.co.uk/a|b c?x=y z"), (8, None), (9, "http://example.com:80/"), (10, "mailto:a@b.c")])
+URLS = Derived(
+    "pages",
+    "page_id AS id",
+    """CASE page_id % 11 WHEN 0 THEN 'HTTPS://Example.COM:443/a/' || CAST(page_id AS STRING) || '/?q=1#frag' WHEN 1 THEN replace(url, '.com/', '.com:8080/') WHEN 2 THEN '/relative/path/' || CAST(page_id AS STRING) || '/' WHEN 3 THEN 'https://' || split_part(url, '/', 3) WHEN 4 THEN '//cdn.example.org/a//' WHEN 5 THEN ''
+    WHEN 6 THEN 'https://user:pw@www.Site.co.uk/a|b c?x=y z' WHEN 7 THEN NULL WHEN 8 THEN 'http://' || split_part(url, '/', 3) || ':80/' WHEN 9 THEN 'mailto:a@b.c' ELSE url END AS url""",
+)
 _PARTS = "'" + U.PARTS + "'"
 
 
@@ -247,7 +248,7 @@ _URL_CTE = f"p AS (SELECT id, url, lower({_part(1)}) AS scheme, lower(regexp_ext
 @query("U1_normal_url", f"""WITH {URLS.sql('t')}, {_URL_CTE}, q AS (SELECT *, CASE WHEN path = '' THEN '/' WHEN length(path) > 1 AND path LIKE '%/' THEN left(path, length(path) - 1) ELSE path END AS np FROM p)
 SELECT id, CASE WHEN coalesce(trim(url), '') = '' THEN '' ELSE CASE WHEN scheme <> '' THEN scheme || ':' ELSE '' END || CASE WHEN host <> '' THEN '//' || host || CASE WHEN port = '' OR (scheme = 'https' AND port = '443') OR (scheme = 'http' AND port = '80') THEN '' ELSE ':' || port END ELSE '' END || np || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS normal FROM q""")
 def u1(spark, sf_dir):
-    return URLS.df(spark).select("id", U.normal_url("url").alias("normal"))
+    return URLS.df(spark, sf_dir).select("id", U.normal_url("url").alias("normal"))
 
 
 @query("U1_U2_pages", f"""WITH t AS (SELECT page_id AS id, url FROM pages), {_URL_CTE}, q AS (SELECT *, CASE WHEN path = '' THEN '/' WHEN length(path) > 1 AND path LIKE '%/' THEN left(path, length(path) - 1) ELSE path END AS np FROM p)
@@ -258,28 +259,28 @@ def u1_pages(spark, sf_dir):
 
 @query("U2_U3_U8_url_parts", f"""WITH {URLS.sql('t')}, {_URL_CTE} SELECT id, CASE WHEN coalesce(url, '') = '' THEN '' WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END AS path, regexp_replace(lower(auth), '^www\\.', '') AS site, scheme, coalesce(url, '') <> '' AND auth = '' AS relative FROM p""")
 def u2(spark, sf_dir):
-    return URLS.df(spark).select("id", U.page_path("url").alias("path"), U.site("url").alias("site"), F.lower(U.part("url", 1)).alias("scheme"), U.is_relative("url").alias("relative"))
+    return URLS.df(spark, sf_dir).select("id", U.page_path("url").alias("path"), U.site("url").alias("site"), F.lower(U.part("url", 1)).alias("scheme"), U.is_relative("url").alias("relative"))
 
 
-HOSTS = Rows("host string", [("www.example.co.uk",), ("a.b.example.com",), ("localhost",), (".Example.org",), ("co.uk",), ("x.gov.uk",), ("",), (None,), ("deep.sub.com.br",)])
+HOSTS = Derived("pages", "CASE page_id % 7 WHEN 0 THEN 'www.' || split_part(url, '/', 3) || '.co.uk' WHEN 1 THEN 'localhost' WHEN 2 THEN '.Example.org' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'deep.sub' || CAST(page_id AS STRING) || '.com.br' ELSE split_part(url, '/', 3) END AS host")
 _SECOND = "(" + ", ".join(f"'{x}'" for x in U.SECOND_LEVEL) + ")"
 
 
 @query("U4_registrable", f"""WITH {HOSTS.sql('t')}, l AS (SELECT host, regexp_replace(regexp_replace(lower(coalesce(host, '')), '^\\.+', ''), '^www\\.', '') AS h FROM t), s AS (SELECT host, h, string_split(h, '.') AS p FROM l)
 SELECT host, CASE WHEN len(p) >= 3 AND array_to_string(p[-2:], '.') IN {_SECOND} THEN array_to_string(p[-3:], '.') WHEN len(p) >= 2 THEN array_to_string(p[-2:], '.') ELSE h END AS domain FROM s""")
 def u4(spark, sf_dir):
-    return HOSTS.df(spark).select("host", U.registrable("host").alias("domain"))
+    return HOSTS.df(spark, sf_dir).select("host", U.registrable("host").alias("domain"))
 
 
-TYPED = Rows("typed string", [("https://www.Example.com/path?x",), ("example.com.",), (" WWW.a.b ",), ("http://x.y#z",)])
+TYPED = Derived("pages", "CASE page_id % 5 WHEN 0 THEN 'https://www.' || upper(split_part(url, '/', 3)) || '/path?x' WHEN 1 THEN split_part(url, '/', 3) || '.' WHEN 2 THEN ' WWW.a' || CAST(page_id AS STRING) || '.b ' WHEN 3 THEN 'http://x.y#z' ELSE url END AS typed")
 
 
 @query("U5_clean_domain", r"WITH " + TYPED.sql("t") + r" SELECT typed, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(typed)), '^[a-z]+://', ''), '^www\.', ''), '[/?#].*$', ''), '\.$', '') AS domain FROM t")
 def u5(spark, sf_dir):
-    return TYPED.df(spark).select("typed", U.clean_domain("typed").alias("domain"))
+    return TYPED.df(spark, sf_dir).select("typed", U.clean_domain("typed").alias("domain"))
 
 
-IPS = Rows("ip string", [("66.249.66.1",), ("2001:db8::1",), ("::1",), ("2001:0db8:85a3:0:0:8a2e:370:7334",)])
+IPS = Derived("events", "CASE event_id % 4 WHEN 0 THEN '66.249.' || CAST(user_id % 250 AS STRING) || '.' || CAST(event_id % 250 AS STRING) WHEN 1 THEN '2001:db8::' || CAST(user_id % 1000 AS STRING) WHEN 2 THEN '::1' ELSE '2001:0db8:85a3:0:0:8a2e:' || CAST(user_id AS STRING) || ':7334' END AS ip")
 
 
 @query("U6_ptr_name", """WITH """ + IPS.sql("t") + """, h AS (SELECT ip, split_part(ip, '::', 1) AS a, CASE WHEN contains(ip, '::') THEN split_part(ip, '::', 2) ELSE '' END AS b FROM t),
@@ -287,7 +288,7 @@ g AS (SELECT ip, list_filter(string_split(a, ':'), lambda x: x <> '') AS a, list
 f AS (SELECT ip, array_to_string(list_transform(list_concat(a, CASE WHEN contains(ip, '::') THEN list_transform(range(8 - len(a) - len(b)), lambda i: '0') ELSE [] END, b), lambda x: lpad(lower(x), 4, '0')), '') AS nib FROM g)
 SELECT ip, CASE WHEN contains(ip, ':') THEN array_to_string(list_reverse(string_split(nib, '')), '.') || '.ip6.arpa' ELSE array_to_string(list_reverse(string_split(ip, '.')), '.') || '.in-addr.arpa' END AS ptr FROM f""")
 def u6(spark, sf_dir):
-    return IPS.df(spark).select("ip", U.ptr_name("ip").alias("ptr"))
+    return IPS.df(spark, sf_dir).select("ip", U.ptr_name("ip").alias("ptr"))
 
 
 @query("U7_slug_words", "SELECT page_id, translate(url, '-_/', '   ') AS words FROM pages")
@@ -302,9 +303,9 @@ def s13(spark, sf_dir):
     return S.even_sample(docs, "doc_id", 40).select("doc_id")
 
 
-GATES = Rows("section string, unique_ratio double, words bigint, pages bigint", [("a", 0.2, 900, 20), ("b", 0.35, 900, 20), ("c", 0.6, 200, 20), ("d", 0.6, 900, 120), ("e", 0.6, 900, 900), ("f", 0.6, 900, 20)])
+GATES = Derived("clients", "CAST(client_id AS STRING) AS section", "CAST(client_id % 100 AS DOUBLE) / 100 AS unique_ratio", "client_id * 7 % 1000 AS words", "client_id * 3 % 1100 AS pages")
 
 
 @query("R25_new_section_gate", f"WITH {GATES.sql('g')} SELECT section, CASE WHEN unique_ratio < 0.3 THEN 'stop' WHEN pages > 500 THEN 'approval' WHEN unique_ratio < 0.4 THEN 'warn' WHEN words < 300 THEN 'flag' WHEN pages > 100 THEN 'sample' ELSE 'ship' END AS gate FROM g")
 def r25(spark, sf_dir):
-    return GATES.df(spark).select("section", S.new_section_gate(F.col("unique_ratio"), F.col("words"), F.col("pages")).alias("gate"))
+    return GATES.df(spark, sf_dir).select("section", S.new_section_gate(F.col("unique_ratio"), F.col("words"), F.col("pages")).alias("gate"))
