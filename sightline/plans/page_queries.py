@@ -68,12 +68,10 @@ def h7(spark, sf_dir):
     return M.agent_counts(table(spark, sf_dir, "pages")).select("page_id", "text_ratio", "tokens", "static_chars", "fake_buttons", "unlabelled", "tool_form", "tool_script", "markdown_link", "dead_anchors", "has_main", "no_alt")
 
 
-SOCIAL = Rows(
-    "url string, html string",
-    [
-        ("https://a.b/en", '<head><meta property="og:title" content="One"><meta name="twitter:card" content="summary"><meta property="og:title" content="Two &amp; more"><meta name="robots" content="noindex"></head><a href="/x">x</a><a href="a.b/y">y</a><a href="https://a.b/z">z</a><a href="other.c">o</a>'),
-        ("https://c.d/", "<p><a href='c.d'>home</a></p>"),
-    ],
+SOCIAL = Derived(
+    "pages",
+    "url",
+    """CASE WHEN page_id % 3 = 0 THEN '<head><meta property="og:title" content="One"><meta name="twitter:card" content="summary"><meta property="og:title" content="Two &amp; ' || split_part(url, '/', 4) || '"><meta name="robots" content="noindex"></head><a href="/x">x</a><a href="other.c">o</a><a href="' || split_part(url, '/', 3) || '/y">y</a>' || html ELSE html END AS html""",
 )
 
 
@@ -82,7 +80,7 @@ k AS (SELECT url, i, regexp_extract(tag, '(?:property|name)="([^"]*)"', 1) AS ke
 s AS (SELECT url, string_agg(key || '=' || content, ' ' ORDER BY key) AS social FROM o GROUP BY 1)
 SELECT url, coalesce(social, '') AS social, CAST(len(list_filter(regexp_extract_all(html, '<a [^>]*href=["'']([^"'']*)', 1), lambda h: starts_with(h, '/') OR starts_with(h, regexp_extract(url, '://([^/]*)', 1)))) AS INTEGER) AS internal_links FROM t LEFT JOIN s USING (url)""")
 def h5(spark, sf_dir):
-    p = M.page_features(SOCIAL.df(spark))
+    p = M.page_features(SOCIAL.df(spark, sf_dir))
     pairs = F.transform(F.array_sort(F.map_entries("social")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return p.select("url", F.array_join(pairs, " ").alias("social"), "internal_links")
 
@@ -155,27 +153,20 @@ def r16(spark, sf_dir):
     return M.weak_results(PROFILES.df(spark, sf_dir))
 
 
-SNAPSHOT = "url string, status int, canonical string, meta_robots string, header_robots string, title string, description string, h1 array<string>, h1_count int, words int, schema_types array<string>, hreflang_count int, og array<string>, internal_links int, body_hash string"
-_BASE = ("https://a.b/p", 200, "https://a.b/p", "index", None, "T", "D", ["H"], 1, 400, ["Article"], 8, ["og:title"], 20, "h1")
-_NAMES = [c.split(" ")[0] for c in SNAPSHOT.split(", ")]
-
-
-def _case(n: int, **changes) -> tuple:
-    row = dict(zip(_NAMES, _BASE, strict=True)) | changes
-    row["url"] = f"https://a.b/p{n}"
-    if row["canonical"] == "https://a.b/p":
-        row["canonical"] = row["url"]
-    return tuple(row[c] for c in _NAMES)
-
-
-CHANGES = [
-    ({}, {}), ({}, {"status": 301}), ({}, {"status": 500}), ({"status": 404}, {}), ({"status": 404}, {"status": 404, "title": None}), ({}, {"meta_robots": "noindex"}), ({"header_robots": "none"}, {}), ({}, {"canonical": None}), ({}, {"canonical": "https://a.b/other"}), ({}, {"title": None}),
-    ({}, {"title": "U"}), ({}, {"description": ""}), ({}, {"description": "E"}), ({}, {"h1": [], "h1_count": 0}), ({}, {"h1": ["I"]}), ({}, {"schema_types": []}), ({}, {"schema_types": ["Article", "FAQPage"]}), ({}, {"hreflang_count": 0}), ({}, {"hreflang_count": 5}), ({}, {"words": 200, "body_hash": "h2"}),
-    ({}, {"words": 390, "body_hash": "h2"}), ({}, {"og": []}), ({}, {"internal_links": 5}), ({}, {"hreflang_count": 7}), ({"title": None}, {"title": "New"}),
-]
-OLD = Rows(SNAPSHOT, [_case(i, **o) for i, (o, _) in enumerate(CHANGES)] + [_case(900)])
-NEW = Rows(SNAPSHOT, [_case(i, **(o | n if o.get("status") != 404 or n else n)) for i, (o, n) in enumerate(CHANGES)] + [_case(901)])
-#: Hand-written outcome of each case, for the snapshots above.
+OLD = Derived(
+    "pages",
+    "url", "CAST(CASE WHEN page_id % 23 = 5 THEN 404 ELSE 200 END AS INT) AS status", "url AS canonical", "'index' AS meta_robots", "CASE WHEN page_id % 19 = 3 THEN 'none' END AS header_robots", "CASE WHEN page_id % 17 > 0 THEN 'T' || CAST(page_id AS STRING) END AS title", "'D' AS description", "ARR('H') AS h1", "CAST(1 AS INT) AS h1_count",
+    "CAST(400 AS INT) AS words", "ARR('Article') AS schema_types", "CAST(8 AS INT) AS hreflang_count", "ARR('og:title') AS og", "CAST(20 AS INT) AS internal_links", "'h1' AS body_hash",
+    where="page_id <> 7",
+)
+NEW = Derived(
+    "pages",
+    "url", "CAST(CASE page_id % 29 WHEN 1 THEN 301 WHEN 2 THEN 500 WHEN 3 THEN 404 ELSE 200 END AS INT) AS status", "CASE page_id % 13 WHEN 1 THEN NULL WHEN 2 THEN 'https://a.b/other' ELSE url END AS canonical", "CASE WHEN page_id % 11 = 4 THEN 'noindex' ELSE 'index' END AS meta_robots", "CASE WHEN page_id % 38 = 3 THEN 'none' END AS header_robots",
+    "CASE WHEN page_id % 10 = 1 THEN NULL WHEN page_id % 10 = 2 THEN 'U' WHEN page_id % 17 > 0 THEN 'T' || CAST(page_id AS STRING) END AS title", "CASE page_id % 9 WHEN 1 THEN '' WHEN 2 THEN 'E' ELSE 'D' END AS description", "CASE page_id % 8 WHEN 1 THEN ARR() WHEN 2 THEN ARR('I') ELSE ARR('H') END AS h1", "CAST(CASE page_id % 8 WHEN 1 THEN 0 ELSE 1 END AS INT) AS h1_count",
+    "CAST(CASE page_id % 7 WHEN 1 THEN 200 WHEN 2 THEN 390 ELSE 400 END AS INT) AS words", "CASE page_id % 6 WHEN 1 THEN ARR() WHEN 2 THEN ARR('Article', 'FAQPage') ELSE ARR('Article') END AS schema_types", "CAST(CASE page_id % 5 WHEN 1 THEN 0 WHEN 2 THEN 5 WHEN 3 THEN 7 ELSE 8 END AS INT) AS hreflang_count", "CASE WHEN page_id % 6 = 3 THEN ARR() ELSE ARR('og:title') END AS og",
+    "CAST(CASE WHEN page_id % 4 = 1 THEN 5 ELSE 20 END AS INT) AS internal_links", "CASE WHEN page_id % 7 IN (1, 2) THEN 'h2' ELSE 'h1' END AS body_hash",
+    where="page_id <> 9",
+)
 _INDEX = lambda p: f"NOT regexp_matches(lower(concat_ws(' ', {p}.meta_robots, {p}.header_robots)), 'noindex|none')"
 _RULES = [
     ("critical", "noindex_added", f"{_INDEX('o')} AND NOT {_INDEX('n')}"), ("info", "noindex_removed", f"NOT {_INDEX('o')} AND {_INDEX('n')}"), ("critical", "canonical_removed", "coalesce(o.canonical, '') <> '' AND coalesce(n.canonical, '') = ''"),
@@ -191,17 +182,17 @@ _DIFF = f"{OLD.sql('oo')}, {NEW.sql('nn')}, j AS (SELECT o, n FROM oo o JOIN nn
 
 @query("R1_J13_J21_contract_rules", f"WITH {_DIFF} SELECT * FROM d")
 def r1(spark, sf_dir):
-    return C.differences(OLD.df(spark), NEW.df(spark))
+    return C.differences(OLD.df(spark, sf_dir), NEW.df(spark, sf_dir))
 
 
 @query("A35_O6_severity_counts", f"WITH {_DIFF}, c AS (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, count(*) AS total FROM d) SELECT *, CASE WHEN critical > 0 THEN 'fail' WHEN total > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM c")
 def a35(spark, sf_dir):
-    return C.severity_counts(C.differences(OLD.df(spark), NEW.df(spark)))
+    return C.severity_counts(C.differences(OLD.df(spark, sf_dir), NEW.df(spark, sf_dir)))
 
 
 @query("R3_outage_gate", f"WITH {OLD.sql('oo')}, {NEW.sql('nn')}, j AS (SELECT n.status AS now FROM oo o JOIN nn n ON o.url = n.url WHERE o.status = 200), c AS (SELECT count(*) AS were_ok, count(*) FILTER (now IS DISTINCT FROM 200) AS failing FROM j) SELECT *, coalesce(failing / were_ok > 0.34, false) AS refused FROM c")
 def r3(spark, sf_dir):
-    return C.outage(OLD.df(spark), NEW.df(spark))
+    return C.outage(OLD.df(spark, sf_dir), NEW.df(spark, sf_dir))
 
 
 @query("R3_outage_refused", "WITH p AS (SELECT url, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS was, CASE WHEN page_id % 5 < 3 THEN 503 ELSE 200 END AS now FROM pages), c AS (SELECT count(*) AS were_ok, count(*) FILTER (now <> 200) AS failing FROM p WHERE was = 200) SELECT were_ok, failing, failing / were_ok > 0.34 AS refused FROM c")

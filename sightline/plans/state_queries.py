@@ -92,7 +92,7 @@ def _slices(spark, sf_dir, columns, n):
 QUIET = 3 * 86400
 
 
-@query("ST4_finding_episodes", f"""WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events), e AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER k <= INTERVAL {QUIET} SECOND THEN 0 ELSE 1 END AS opens FROM events WHERE value > 100 WINDOW k AS (PARTITION BY user_id, event_type ORDER BY ts)),
+@query("ST4_finding_stream", f"""WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events), e AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER k <= INTERVAL {QUIET} SECOND THEN 0 ELSE 1 END AS opens FROM events WHERE value > 100 WINDOW k AS (PARTITION BY user_id, event_type ORDER BY ts)),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY ts, opens DESC ROWS UNBOUNDED PRECEDING) AS n FROM e),
 f AS (SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen_count FROM g GROUP BY user_id, event_type, n)
 SELECT user_id, event_type, first_seen, last_seen, seen_count, last_seen + INTERVAL {QUIET} SECOND AS resolved_at FROM f, w WHERE last_seen + INTERVAL {QUIET} SECOND < now""")
@@ -106,7 +106,7 @@ def finding_episodes(spark, sf_dir):
     return spark.read.parquet(out).select("user_id", "event_type", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")], "seen_count", F.col("resolved_at").cast("timestamp_ntz").alias("resolved_at"))
 
 
-@query("ST5_event_snapshots", """WITH b AS (SELECT min(ts) AS a, (epoch_us(max(ts)) - epoch_us(min(ts))) / 4 AS step FROM events), p AS (SELECT DISTINCT event_type, user_id, least(3, floor((epoch_us(ts) - epoch_us(a)) / step))::INT AS part FROM events, b WHERE value > 60),
+@query("ST5_snapshot_changes", """WITH b AS (SELECT min(ts) AS a, (epoch_us(max(ts)) - epoch_us(min(ts))) / 4 AS step FROM events), p AS (SELECT DISTINCT event_type, user_id, least(3, floor((epoch_us(ts) - epoch_us(a)) / step))::INT AS part FROM events, b WHERE value > 60),
 j AS (SELECT coalesce(n.event_type, o.event_type) AS event_type, coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.part, o.part + 1) AS part, CASE WHEN o.part IS NULL THEN 'entrant' WHEN n.part IS NULL THEN 'exit' ELSE 'held' END AS state FROM p n FULL JOIN p o ON n.event_type = o.event_type AND n.user_id = o.user_id AND n.part = o.part + 1)
 SELECT * FROM j WHERE part < 4""")
 def event_snapshots(spark, sf_dir):
