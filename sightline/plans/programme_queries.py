@@ -55,17 +55,18 @@ _EDGES = f"{PAGES.sql('p')}, e AS (SELECT url AS src, regexp_replace(regexp_repl
 STATUSES = Rows("url string, status int", [("https://a.b/en", 200), ("https://a.b/de", 301), ("https://a.b/fr", 404), ("https://c.d/y", None)])
 
 
-LOCALES = Rows(
-    "code string, url string, read boolean, title string, description string, h1 string, h2_count int, h3_count int, img_count int, schema_types array<string>, words int, html_lang string",
-    [("en", "/en", True, "T", "D", "H", 6, 0, 3, ["Article", "FAQPage"], 500, "en"), ("de", "/de", True, "T", "E", "I", 6, 0, 3, ["Article"], 520, "de-DE"), ("fr", "/fr", True, "U", "D", "H", 2, 0, 3, ["Article", "FAQPage"], 600, "en"), ("ja", "/ja", True, "V", None, "", 6, 0, 3, ["Article", "FAQPage"], 990, ""), ("xx", "/xx", False, None, None, None, None, None, None, None, None, None)],
-)
+LOCALES = Derived(
+    "pages",
+    "CASE page_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'fr-CA' ELSE 'ja' END AS code", "'/' || CAST(page_id AS STRING) AS url", "page_id % 9 <> 1 AS read", "CASE WHEN page_id % 4 = 1 THEN 'T' || CAST(page_id AS STRING) ELSE 'T' END AS title", "CASE page_id % 5 WHEN 1 THEN NULL WHEN 2 THEN 'E' ELSE 'D' END AS description", "CASE page_id % 7 WHEN 1 THEN '' WHEN 2 THEN 'I' ELSE 'H' END AS h1",
+    "CAST(CASE WHEN page_id % 6 = 1 THEN 2 ELSE 6 END AS INT) AS h2_count", "CAST(0 AS INT) AS h3_count", "CAST(3 AS INT) AS img_count", "CASE WHEN page_id % 8 = 1 THEN ARR('Article') ELSE ARR('Article', 'FAQPage') END AS schema_types", "CAST(500 + page_id * 37 % 500 AS INT) AS words", "CASE page_id % 10 WHEN 1 THEN 'en' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 'de-DE' ELSE CASE page_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'ja-JP' END END AS html_lang",
+)
 
 
-@query("R5_J17_parity", f"""WITH {LOCALES.sql('t')}, r AS (SELECT * FROM t WHERE url = '/en'), j AS (SELECT t.*, r.title AS rt, r.description AS rd, r.h1 AS rh, r.h2_count AS r2, r.schema_types AS rs, r.words AS rw, split_part(lower(t.code), '-', 1) AS lang FROM t, r WHERE t.read AND t.url <> '/en')
+@query("R5_J17_parity", f"""WITH {LOCALES.sql('t')}, r AS (SELECT * FROM t WHERE url = '/0'), j AS (SELECT t.*, r.title AS rt, r.description AS rd, r.h1 AS rh, r.h2_count AS r2, r.schema_types AS rs, r.words AS rw, split_part(lower(t.code), '-', 1) AS lang FROM t, r WHERE t.read AND t.url <> '/0')
 SELECT url, 'medium' AS severity, 'locale_unread' AS rule FROM t WHERE NOT read UNION ALL SELECT url, 'high', 'title_not_localised' FROM j WHERE title = rt UNION ALL SELECT url, 'medium', 'description_not_localised' FROM j WHERE description = rd UNION ALL SELECT url, 'medium', 'h1_not_localised' FROM j WHERE h1 = rh AND h1 <> '' UNION ALL SELECT url, 'low', 'structure_drift' FROM j WHERE abs(h2_count - r2) > greatest(1, round(r2 * 0.34)) UNION ALL SELECT url, 'medium', 'schema_missing_on_locale' FROM j WHERE len(list_filter(rs, lambda x: NOT list_contains(schema_types, x))) > 0
 UNION ALL SELECT url, 'low', 'length_ratio_outlier' FROM j WHERE NOT words / rw BETWEEN CASE lang WHEN 'de' THEN 1.1 WHEN 'fr' THEN 1.0 ELSE 0.55 END AND CASE lang WHEN 'de' THEN 1.5 WHEN 'fr' THEN 1.4 ELSE 1.0 END UNION ALL SELECT url, 'medium', 'html_lang_mismatch' FROM j WHERE coalesce(html_lang, '') <> '' AND split_part(lower(html_lang), '-', 1) <> lang""")
 def r5(spark, sf_dir):
-    return L.parity_findings(LOCALES.df(spark), "/en")
+    return L.parity_findings(LOCALES.df(spark, sf_dir), "/0")
 
 
 MANY = Derived("pages", "CASE WHEN page_id % 10 < 7 THEN 'length_ratio_outlier' WHEN page_id % 10 = 7 THEN 'title_not_localised' ELSE 'h1_not_localised' END AS rule", "url")
@@ -81,13 +82,12 @@ def a36_small(spark, sf_dir):
     return L.collapse(MANY.df(spark, sf_dir), 3)
 
 
-PROSE = Rows(
-    "id bigint, text string",
-    [
-        (1, "Here's the thing: it works.\nLet that sink in. We delve into it."), (2, "It is not about speed, it's about trust. This is not slow, it's careful. The server is not old, it is tired."), (3, "A plain note about servers and ports."), (4, "---\ntitle: delve\n---\nUse `delve` or\n```\nleverage it\n```\n    robust code\nThe leverage ratio is fine, but we leverage tools."),
-        (5, "a — b — c — d — e → f"), (6, "Experts say so. In conclusion it serves as a reminder."), (7, ""), (8, None), (9, "- **One**: x\n- **Two**: y\n- **Three**: z\nred, green, and blue. one, two, and three. a, b, and c. "),
-    ],
-)
+PROSE = Derived(
+    "documents",
+    "doc_id AS id",
+    """CASE doc_id % 10 WHEN 0 THEN 'Here''s the thing: it works.' || chr(10) || 'Let that sink in. We delve into it. ' WHEN 1 THEN 'It is not about speed, it''s about trust. This is not slow, it''s careful. The server is not old, it is tired. ' WHEN 2 THEN 'A plain note about servers and ports. ' WHEN 3 THEN '---' || chr(10) || 'title: delve' || chr(10) || '---' || chr(10) || 'Use `delve` or' || chr(10) || '```' || chr(10) || 'leverage it' || chr(10) || '```' || chr(10) || '    robust code' || chr(10) || 'The leverage ratio is fine, but we leverage tools. '
+    WHEN 4 THEN 'a — b — c — d — e → f ' WHEN 5 THEN 'Experts say so. In conclusion it serves as a reminder. ' WHEN 6 THEN '- **One**: x' || chr(10) || '- **Two**: y' || chr(10) || '- **Three**: z' || chr(10) || 'red, green, and blue. one, two, and three. a, b, and c. ' WHEN 7 THEN NULL ELSE '' END || substr(coalesce(text, ''), 1, 300) AS text""",
+)
 _MASK = "coalesce(text, '')"
 _MASK = f"regexp_replace({_MASK}, '{P.FRONT_MATTER}', '')"
 for _p in P.NOT_PROSE:
@@ -102,10 +102,10 @@ def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(m, '{quoted}'))"
 
 
-def _scan(source: str, key: str) -> str:
+def _scan(source: str, key: str, more: str = "") -> str:
     """The masked texts are made once, then each rule counts over them."""
-    each = " UNION ALL ".join(f"SELECT {key}, '{r}' AS rule, '{s}' AS severity, CAST({_count(p)} AS BIGINT) AS count, CAST({t} AS INTEGER) AS tolerance FROM k" for r, s, t, p in P.RULES)
-    return f"k AS MATERIALIZED (SELECT {key}, {_MASK} AS m FROM {source}), a AS ({each}), h AS (SELECT *, count > tolerance AS over FROM a WHERE count > 0)"
+    each = " UNION ALL ".join(f"SELECT {key}, '{r}' AS rule, '{s}' AS severity, CAST({_count(p)} AS BIGINT) AS count, CAST({t} AS INTEGER) AS tolerance FROM k{more}" for r, s, t, p in P.RULES)
+    return f"k{more} AS MATERIALIZED (SELECT {key}, {_MASK} AS m FROM {source}), a{more} AS ({each}), h{more} AS (SELECT *, count > tolerance AS over FROM a{more} WHERE count > 0)"
 
 
 _VERDICT = "v AS (SELECT {key}, sum(count) AS total_hits, count(*) FILTER (over) AS rules_over, count(*) FILTER (over AND severity = 'high') AS high FROM h GROUP BY 1) SELECT {key}, CAST(coalesce(total_hits, 0) AS BIGINT) AS total_hits, coalesce(rules_over, 0) AS rules_over, CASE WHEN high > 0 THEN 'fail' WHEN rules_over > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM k LEFT JOIN v USING ({key})"
@@ -113,12 +113,12 @@ _VERDICT = "v AS (SELECT {key}, sum(count) AS total_hits, count(*) FILTER (over)
 
 @query("A38_T11_T12_T14_rule_counts", f"WITH {PROSE.sql('d')}, {_scan('d', 'id')} SELECT * FROM h")
 def a38(spark, sf_dir):
-    return P.rule_counts(PROSE.df(spark), "id", "text")
+    return P.rule_counts(PROSE.df(spark, sf_dir), "id", "text")
 
 
 @query("R11_verdicts", f"WITH {PROSE.sql('d')}, {_scan('d', 'id')}, {_VERDICT.format(key='id')}")
 def r11(spark, sf_dir):
-    return P.verdicts(PROSE.df(spark), "id", "text")
+    return P.verdicts(PROSE.df(spark, sf_dir), "id", "text")
 
 
 @query("R11_verdict_documents", f"WITH {_scan('documents', 'doc_id')}, {_VERDICT.format(key='doc_id')}")
@@ -126,16 +126,24 @@ def r11_documents(spark, sf_dir):
     return P.verdicts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("A39_slop_difference", "SELECT * FROM (VALUES ('throat_clearing', 'removed'), ('emphasis_crutch', 'removed'), ('ai_vocabulary', 'still_present'), ('em_dash', 'introduced')) AS t(rule, state)")
+EDITED = Derived("documents", "doc_id AS id", "CASE WHEN doc_id % 3 = 0 THEN 'We delve into it — again. ' ELSE '' END || substr(coalesce(text, ''), 1, 300) AS text")
+
+
+@query("A39_slop_difference", f"WITH {PROSE.sql('d')}, {_scan('d', 'id')}, {EDITED.sql('e')}, {_scan('e', 'id', 'n')}, o AS (SELECT DISTINCT id, rule FROM h), w AS (SELECT DISTINCT id, rule FROM hn) SELECT coalesce(o.id, w.id) AS key, coalesce(o.rule, w.rule) AS rule, CASE WHEN w.rule IS NULL THEN 'removed' WHEN o.rule IS NULL THEN 'introduced' ELSE 'still_present' END AS state FROM o FULL JOIN w ON o.id = w.id AND o.rule = w.rule")
 def a39(spark, sf_dir):
-    old = PROSE.df(spark).where("id = 1").withColumnRenamed("id", "key")
-    new = spark.createDataFrame([(1, "We delve into it — again.")], "key long, text string")
-    return P.difference(old, new)
+    """Each document's note against its edited form."""
+    return P.difference(PROSE.df(spark, sf_dir).withColumnRenamed("id", "key"), EDITED.df(spark, sf_dir).withColumnRenamed("id", "key"))
 
 
-@query("T11_T13_located_hits", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'throat_clearing', CAST(1 AS INTEGER), 'Here''s the thing'), (1, 'emphasis_crutch', 2, 'Let that sink in'), (1, 'ai_vocabulary', 2, 'delve'), (4, 'ai_vocabulary', 6, 'leverage')) AS t(id, rule, line, match)")
+_PLACED = [(r, p) for r, _, _, p in P.RULES if r in ("throat_clearing", "emphasis_crutch")]
+
+
+@query("T11_T13_located_hits", f"WITH {PROSE.sql('d')}, x AS (SELECT id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM d WHERE coalesce(text, '') NOT LIKE '---%' AND text NOT LIKE '%`%') " + " UNION ALL ".join("SELECT id, '{}' AS rule, CAST(line AS INTEGER) AS line, unnest(regexp_extract_all(l, '{}')) AS match FROM x".format(r, p.replace("'", "''")) for r, p in _PLACED))
 def t13(spark, sf_dir):
-    return P.places(PROSE.df(spark).where("id in (1, 4)"), "id", "text")
+    """Where two of the rules hit in the notes without front matter and code."""
+    notes = PROSE.df(spark, sf_dir).where("coalesce(text, '') NOT LIKE '---%' AND text NOT LIKE '%`%'")
+    return P.places(notes, "id", "text", [r for r in P.RULES if r[0] in dict(_PLACED)])
+
 
 
 SERPS = Derived(
