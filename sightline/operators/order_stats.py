@@ -10,7 +10,7 @@ from ..sources.shared import materialize
 
 
 def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
-    """(by, n, one column for each name of shares): the value at place floor(n * share), from 0, in each group's order; nulls are left out.
+    """(by, n, one column for each name of shares): the value at place floor(n * share), from 0, in each group's order; nulls are left out. Without groups there is always one row.
 
     Values are counted, and their counts dealt out in sorted ranges. The sums of
     the ranges tell which range holds a place, and only the values of such ranges are summed up one by one. A
@@ -31,4 +31,4 @@ def order_statistics(df: DataFrame, value: str, shares: dict[str, float], by: li
         same &= F.col(c).eqNullSafe(F.col(f"__g_{c}"))
     running = W.partitionBy(*by, "__r", "__name").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     near = dealt.join(wanted.hint("merge"), same).withColumn("__upto", F.sum("__c").over(running)).where(F.col("__upto") > F.col("__at"))
-    return near.groupBy(*by).agg(F.first("__n").alias("n"), *[F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in shares])
+    return near.groupBy(*by).agg(F.coalesce(F.first("__n"), F.lit(0)).alias("n"), *[F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in shares])

@@ -10,6 +10,7 @@ over several tasks, as many as its own frequency asks for.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +45,8 @@ def alike(sets: DataFrame, prefix: Callable[[Column], Column], least: Callable[[
     keys = F.posexplode(F.slice("items", F.lit(1), F.greatest(prefix(F.col("n")) - own, F.lit(0)))).alias("at", "x")
     whole = F.transform("items", lambda i: i["item"]) if small else F.lit(None)
     rows = sets.select("id", "n", own.alias("own"), whole.alias("of"), keys).select("id", "n", "of", (F.col("own") + F.col("at") + 1).alias("at"), F.col("x.item").alias("item"), F.ceil(F.col("x.df") / KEY_ROWS).cast("int").alias("parts"))
-    size = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(ratio)) + 1e-9).cast("int") if ratio else F.lit(0)
+    # classes of sizes a little wider than the ratio, so that rounding never puts a pair two classes apart
+    size = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - math.log(ratio) * (1 + 1e-6))).cast("long") if ratio else F.lit(0).cast("long")
     # the smaller set goes to its own class of sizes and to the next one, the larger to its own
     low = rows.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("of").alias("of_x"), F.col("at").alias("ax"), "item", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.array(size, size + 1) if ratio else F.array(size)).alias("size"))
     high = rows.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("of").alias("of_y"), F.col("at").alias("ay"), "item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), size.alias("size"))

@@ -63,11 +63,11 @@ def unique_ratio(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE, rar
 def distribution(ratios: DataFrame, value: str) -> DataFrame:
     """Count, mean, upper median, p10 and p90 of a column: order statistics at floor(n * q).
 
-    The mean is of the values to four digits.
+    The mean has four digits; without values there is no row.
     """
     places = order_statistics(ratios, value, {"median": 0.5, "p10": 0.1, "p90": 0.9})
     mean = ratios.agg(F.round(F.avg(value), 4).alias("mean"))
-    return places.crossJoin(F.broadcast(mean)).select("n", "mean", "median", "p10", "p90")  # one row each
+    return places.crossJoin(F.broadcast(mean)).where("n > 0").select("n", "mean", "median", "p10", "p90")  # one row each
 
 
 def histogram(ratios: DataFrame, value: str, buckets: int = 20) -> DataFrame:

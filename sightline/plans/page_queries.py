@@ -85,20 +85,19 @@ def h5(spark, sf_dir):
     return p.select("url", F.array_join(pairs, " ").alias("social"), "internal_links")
 
 
-AGENT_PAGES = Rows(
-    "url string, html string",
-    [
-        ("shell", "<html><body><div id=app></div><script>" + "x=1;" * 2000 + "</script></body></html>"), ("buttons", "<main><div onclick=\"go()\">x</div><span role=\"button\" onclick=\"a()\">y</span><!-- <div onclick='z'> --></main>"),
-        ("form", '<main><label for="q">Q</label><input id="q" type="text"><input type="hidden"><input id="z"><select aria-label="s"></select></main><a>1</a><a>2</a><a name="x">3</a><img src="i"><img alt="" src="j">'), ("clean", "<main><p>fine</p><a href='/x'>x</a></main>"),
-    ],
-)
+AGENT_PAGES = Derived(
+    "pages",
+    "url",
+    """CASE page_id % 4 WHEN 0 THEN '<html><body><div id=app></div><script>' || repeat('x=1;', 2000) || '</script></body></html>' WHEN 1 THEN '<main><div onclick="go(' || CAST(page_id AS STRING) || ')">x</div><span role="button" onclick="a()">y</span><!-- <div onclick=''z''> --></main>'
+    WHEN 2 THEN '<main><label for="q">Q</label><input id="q" type="text"><input type="hidden"><input id="z' || CAST(page_id AS STRING) || '"><select aria-label="s"></select></main><a>1</a><a>2</a><a name="x">3</a><img src="i"><img alt="" src="j">' ELSE '<main><p>' || split_part(url, '/', 4) || '</p><a href=''/x''>x</a></main>' END AS html""",
+)
 
 
 @query("R10_agent_findings", f"""WITH {AGENT_PAGES.sql('t')}, m AS (SELECT url, html, {_drop("regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')", ['script', 'style'])} AS markup, {_PLAIN(_drop("regexp_replace(html, '(?is)^.*?<body[^>]*>', '')", ['script', 'style', 'noscript']))} AS static FROM t)
 SELECT url, 'critical' AS severity, 'requires_javascript' AS rule FROM m WHERE length(static) < 200 AND length(html) > 5000 UNION ALL SELECT url, 'medium', 'no_main_landmark' FROM m WHERE NOT regexp_matches(markup, '(?i)<main\\b') UNION ALL SELECT url, 'high', 'div_onclick_without_role' FROM m WHERE {_FAKE} > 0 UNION ALL SELECT url, 'high', 'unlabelled_input' FROM m WHERE {_UNLABELLED} > 0
 UNION ALL SELECT url, 'medium', 'anchor_without_href' FROM m WHERE len(list_filter(regexp_extract_all(markup, '(?i)<a\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\bhref='))) > 2 UNION ALL SELECT url, 'low', 'img_without_alt' FROM m WHERE len(list_filter(regexp_extract_all(markup, '(?i)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?i)\\balt\\s*='))) > 0""")
 def r10(spark, sf_dir):
-    return M.agent_findings(M.agent_counts(AGENT_PAGES.df(spark)), "url")
+    return M.agent_findings(M.agent_counts(AGENT_PAGES.df(spark, sf_dir)), "url")
 
 
 @query("R10_agent_findings_pages", f"""WITH m AS (SELECT page_id, html, {_drop("regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')", ['script', 'style'])} AS markup FROM pages)
@@ -236,51 +235,31 @@ def r2_manual(spark, sf_dir):
     return C.resolve(PRIOR.df(spark, sf_dir), "/1", "r1", "d3")
 
 
-ROBOTS = Rows(
-    "site string, status int, body string",
-    [
-        ("shared", 200, "Disallow: /orphan\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: *\nDisallow: /private # note\nAllow: /private/ok\nDisallow: /*.pdf$\nDisallow:\nSitemap: https://a.b/s.xml\n"),
-        ("closed", 200, "User-agent: *\nDisallow: /\nUser-agent: GPTBot\nAllow: /\n"), ("tie", 200, "User-agent: *\nAllow: /page\nDisallow: /page\nNoindex: /x\n"), ("html", 200, "<html>User-agent: *</html>"), ("down", 503, "error"), ("empty", 200, ""),
-    ],
-)
-ASKS = Rows("site string, bot string, path string", [(s, b, p) for s in ("shared", "closed", "tie", "html", "empty") for b, p in (("GPTBot", "/x"), ("ccbot", "/"), ("Googlebot", "/private/no"), ("Googlebot", "/private/ok/1"), ("bingbot", "/a/b.pdf"), ("bingbot", "/a/b.pdf?x"), ("bingbot", "/page"))])
-
-
-def _allowed_oracle(site: str, bot: str, path: str) -> bool:
-    """Hand rules of the five bodies above."""
-    if site == "shared":
-        if bot.lower() in ("gptbot", "ccbot"):
-            return False
-        return path.startswith("/private/ok") or not (path.startswith("/private") or path.endswith(".pdf"))
-    if site == "closed":
-        return bot == "GPTBot"
-    return True
-
-
-def _agent_oracle(site: str, bot: str) -> str | None:
-    own = {"shared": ("gptbot", "ccbot"), "closed": ("gptbot",), "tie": (), "html": None, "empty": None}[site]
-    return None if own is None else bot.lower() if bot.lower() in own else "*"
-
-
-_EXPECTED = Rows("site string, bot string, path string, allowed boolean, agent string", [(s, b, p, _allowed_oracle(s, b, p), _agent_oracle(s, b)) for s, b, p in ASKS.rows])
-
-
-def _policy(spark):
+ROBOTS = Derived(
+    "pages",
+    "url AS site",
+    "CAST(CASE WHEN page_id % 7 = 3 THEN 503 ELSE 200 END AS INT) AS status",
+    """CASE page_id % 5 WHEN 0 THEN 'Disallow: /orphan' || chr(10) || 'User-agent: GPTBot' || chr(10) || 'User-agent: CCBot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /' || split_part(url, '/', 4) || '/ # note' || chr(10) || 'Sitemap: ' || url || chr(10) WHEN 1 THEN 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'User-agent: GPTBot' || chr(10) || 'Allow: /' || chr(10)
+    WHEN 2 THEN 'User-agent: *' || chr(10) || 'Allow: /page' || chr(10) || 'Disallow: /page' || chr(10) || 'Noindex: /x' || chr(10) WHEN 3 THEN '<html>User-agent: *</html>' ELSE '' END AS body""",
+)
+def _policy(spark, sf_dir):
     bots = spark.createDataFrame([(b[1], b[2]) for b in BOTS if b[2].startswith("ai_")], "bot string, category string")
-    bodies = ROBOTS.df(spark)
+    bodies = ROBOTS.df(spark, sf_dir).dropDuplicates(["site"])
     asks = bodies.where("status = 200").select("site").crossJoin(F.broadcast(bots)).withColumn("path", F.lit("/"))  # some twenty crawlers
     done = A.resolve(A.robots_rules(bodies, "site"), asks.select("site", "bot", "path"), "site").join(bots, "bot")
     return bodies, A.class_summary(done, "site")
 
 
 _N = {c: sum(b[2] == c for b in BOTS) for c in ("ai_search", "ai_user", "ai_training")}
-_SUMMARY = Rows("site string, category string, allowed bigint, total bigint", [(s, c, n - (2 if s == "shared" and c == "ai_training" else 0) if s != "closed" else (1 if c == "ai_training" else 0), n) for s in ("shared", "closed", "tie", "html", "empty") for c, n in _N.items()])
+#: What each kind of body says about '/': two of the training crawlers are shut out, all but one, or none.
+_SUMMARY = f"""r AS (SELECT site, any_value(status) AS status, any_value(body) AS body FROM r0 GROUP BY 1), n(category, total) AS (VALUES {', '.join(f"('{c}', {n})" for c, n in _N.items())}),
+m AS (SELECT site, category, total, CASE WHEN body LIKE 'Disallow: /orphan%' THEN total - CASE WHEN category = 'ai_training' THEN 2 ELSE 0 END WHEN body LIKE 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || '%' THEN CASE WHEN category = 'ai_training' THEN 1 ELSE 0 END ELSE total END AS allowed FROM r, n WHERE status = 200)"""
 
 
-@query("R8_policy_findings", f"""WITH {_SUMMARY.sql('m')}, {ROBOTS.sql('r')}, w AS (SELECT site, sum(allowed) FILTER (category = 'ai_search') AS so, sum(total) FILTER (category = 'ai_search') AS st, sum(allowed) FILTER (category = 'ai_user') AS uo, sum(total) FILTER (category = 'ai_user') AS ut, sum(allowed) FILTER (category = 'ai_training') AS tr FROM m GROUP BY 1), j AS (SELECT * FROM r JOIN w USING (site) WHERE status = 200)
+@query("R8_policy_findings", f"""WITH {ROBOTS.sql('r0')}, {_SUMMARY}, w AS (SELECT site, sum(allowed) FILTER (category = 'ai_search') AS so, sum(total) FILTER (category = 'ai_search') AS st, sum(allowed) FILTER (category = 'ai_user') AS uo, sum(total) FILTER (category = 'ai_user') AS ut, sum(allowed) FILTER (category = 'ai_training') AS tr FROM m GROUP BY 1), j AS (SELECT * FROM r JOIN w USING (site) WHERE status = 200)
 SELECT site, 'critical' AS severity, 'robots_is_html' AS rule FROM j WHERE ltrim(body) LIKE '<%' UNION ALL SELECT site, 'critical', 'ai_search_fully_blocked' FROM j WHERE so = 0 UNION ALL SELECT site, 'high', 'ai_search_partially_blocked' FROM j WHERE so > 0 AND so < st UNION ALL SELECT site, 'critical', 'farmed_not_read' FROM j WHERE so = 0 AND tr > 0 UNION ALL SELECT site, 'high', 'ai_user_blocked' FROM j WHERE uo < ut UNION ALL SELECT site, 'medium', 'no_sitemap_directive' FROM j WHERE NOT regexp_matches(body, '(?im)^\\s*sitemap:\\s*\\S+') UNION ALL SELECT site, 'medium', 'unsupported_directive' FROM j WHERE regexp_matches(body, '(?im)^\\s*(noindex|nofollow)\\s*:')""")
 def r8(spark, sf_dir):
-    bodies, summary = _policy(spark)
+    bodies, summary = _policy(spark, sf_dir)
     return A.policy_findings(bodies, summary, "site")
 
 

@@ -24,35 +24,48 @@ def f26(spark, sf_dir):
     return CODES.df(spark).select("code").withColumn("v", L.validate(F.col("code"), languages, regions)).select("code", "v.valid", "v.severity")
 
 
-#: pages of three sets: what each declares, as code=address; the rules they trip stand in TRIPPED.
-PAGES = Rows(
-    "url string, unread boolean, declared array<string>, n_in_body int, canonical string, html_lang string",
-    [
-        ("https://a.b/en", False, ["en=https://a.b/en", "de=https://a.b/de", "fr=https://a.b/fr", "x-default=https://a.b/en"], 0, "https://a.b/en", "en"), ("https://a.b/de", False, ["de=https://a.b/de/", "en=https://a.b/en"], 0, None, "de-AT"), ("https://a.b/fr", False, ["fr=https://a.b/fr"], 2, "https://a.b/other", "es"),
-        ("https://c.d/x", False, ["en=/x", "en=https://c.d/y", "en-gb=http://c.d/x2", "qq=https://c.d/x", "x-default=https://c.d/1", "x-default=https://c.d/2"], 0, None, None), ("https://e.f/un", True, ["en=https://e.f/un"], 3, None, None), ("https://e.f/src", False, ["en=https://e.f/src", "de=https://e.f/un"], 0, None, None), ("https://g.h/none", False, [], 0, None, None),
-    ],
-)
-TRIPPED = Rows(
-    "url string, severity string, rule string",
-    [("https://a.b/en", "critical", "missing_return_tag"), ("https://a.b/fr", "high", "hreflang_outside_head"), ("https://a.b/fr", "high", "hreflang_on_non_canonical"), ("https://a.b/fr", "medium", "html_lang_mismatch"), ("https://c.d/x", "high", "relative_alternate_href"), ("https://c.d/x", "high", "duplicate_code_conflict"), ("https://c.d/x", "high", "duplicate_code_conflict"), ("https://c.d/x", "high", "invalid_code"), ("https://c.d/x", "low", "code_convention"), ("https://c.d/x", "medium", "multiple_x_default"), ("https://c.d/x", "medium", "mixed_protocol")],
+#: Pages as an annotated set: each declares itself, its neighbours by number, and some odd alternates, as code=address.
+MESH = Derived(
+    "pages",
+    "'https://m.example/' || CAST(page_id AS STRING) AS url",
+    "page_id % 23 = 6 AS unread",
+    """split(trim(CASE WHEN page_id % 7 > 0 THEN split_part(url, '/', 4) || '=https://m.example/' || CAST(page_id AS STRING) || ' ' ELSE '' END || 'de=https://m.example/' || CAST(page_id + 1 AS STRING) || ' ' || CASE WHEN page_id % 3 > 0 THEN 'fr=https://m.example/' || CAST(page_id - 1 AS STRING) || ' ' ELSE '' END
+    || CASE WHEN page_id % 11 = 1 THEN 'en-gb=https://m.example/' || CAST(page_id AS STRING) || ' ' ELSE '' END || CASE WHEN page_id % 13 = 2 THEN 'qq=https://m.example/' || CAST(page_id AS STRING) || ' ' ELSE '' END || CASE WHEN page_id % 10 = 3 THEN 'x-default=https://m.example/1 x-default=https://m.example/2 ' ELSE '' END
+    || CASE WHEN page_id % 17 = 4 THEN 'en=/x ' ELSE '' END || CASE WHEN page_id % 19 = 5 THEN 'es=http://m.example/' || CAST(page_id + 1 AS STRING) || ' ' ELSE '' END), ' ') AS declared""",
+    "CAST(CASE WHEN page_id % 12 = 11 THEN 1 ELSE 0 END AS INT) AS n_in_body",
+    "CASE page_id % 9 WHEN 1 THEN 'https://m.example/other' WHEN 2 THEN NULL ELSE 'https://m.example/' || CAST(page_id AS STRING) END AS canonical",
+    "CASE page_id % 8 WHEN 1 THEN 'ja' WHEN 2 THEN NULL ELSE split_part(url, '/', 4) || '-XX' END AS html_lang",
 )
 
 
-def _pages(spark):
+def _mesh(spark, sf_dir):
     pair = lambda x: F.struct(F.substring_index(x, "=", 1).alias("code"), F.regexp_replace(x, "^[^=]*=", "").alias("href"))
-    return PAGES.df(spark).withColumn("alternates", F.transform("declared", pair))
+    return MESH.df(spark, sf_dir).withColumn("alternates", F.transform("declared", pair))
+
 
+_EDGES = f"""{MESH.sql('p')}, x AS (SELECT url AS src, unnest(declared) AS d, canonical, html_lang FROM p WHERE NOT unread), e AS (SELECT src, split_part(d, '=', 1) AS code, regexp_replace(d, '^[^=]*=', '') AS dst, canonical, html_lang FROM x),
+back AS (SELECT DISTINCT src, dst FROM e a WHERE src <> dst AND dst IN (SELECT url FROM p WHERE NOT unread) AND NOT EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst AND b.dst = a.src))"""
 
-@query("R4_mesh_audit", f"WITH {TRIPPED.sql('t')} SELECT * FROM t")
+
+@query("R4_mesh_audit", f"""WITH {_EDGES}, g AS (SELECT src, any_value(canonical) AS canonical, any_value(html_lang) AS html_lang, bool_or(dst = src) AS self, count(*) FILTER (code = 'x-default') AS defaults, count(DISTINCT regexp_extract(dst, '^([a-z]+):', 1)) FILTER (dst LIKE '%:%') AS schemes, count(*) FILTER (dst LIKE '/%') AS relative, min(code) FILTER (dst = src AND code <> 'x-default') AS self_code FROM e GROUP BY 1)
+SELECT url, 'high' AS severity, 'hreflang_outside_head' AS rule FROM p WHERE NOT unread AND n_in_body > 0 UNION ALL SELECT src, 'high', 'invalid_code' FROM e WHERE code = 'qq' UNION ALL SELECT src, 'low', 'code_convention' FROM e WHERE code = 'en-gb' UNION ALL SELECT src, 'high', 'duplicate_code_conflict' FROM e GROUP BY src, code HAVING count(DISTINCT dst) > 1
+UNION ALL SELECT src, 'critical', 'missing_self_reference' FROM g WHERE NOT self UNION ALL SELECT src, 'medium', 'multiple_x_default' FROM g WHERE defaults > 1 UNION ALL SELECT src, 'high', 'hreflang_on_non_canonical' FROM g WHERE canonical <> src UNION ALL SELECT src, 'medium', 'html_lang_mismatch' FROM g WHERE self_code IS NOT NULL AND split_part(self_code, '-', 1) <> lower(split_part(html_lang, '-', 1))
+UNION ALL SELECT src, 'medium', 'mixed_protocol' FROM g WHERE schemes > 1 UNION ALL SELECT src, 'high', 'relative_alternate_href' FROM g WHERE relative > 0 UNION ALL SELECT src, 'critical', 'missing_return_tag' FROM back""")
 def r4(spark, sf_dir):
-    """The outcome is written out; the returns are checked by J11 in SQL too."""
-    return L.mesh_findings(_pages(spark), *L.iso_codes(spark))
+    return L.mesh_findings(_mesh(spark, sf_dir), *L.iso_codes(spark))
+
+
+@query("J11_mesh_returns", f"WITH {_EDGES} SELECT src, dst FROM back")
+def j11(spark, sf_dir):
+    return L.missing_return(_mesh(spark, sf_dir))
 
 
-_EDGES = f"{PAGES.sql('p')}, e AS (SELECT url AS src, regexp_replace(regexp_replace(unnest(declared), '^[^=]*=', ''), '(.)/$', '\\1') AS dst FROM p WHERE NOT unread)"
+STATUSES = Derived("pages", "'https://m.example/' || CAST(page_id AS STRING) AS url", "CAST(CASE page_id % 6 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 200 END AS INT) AS status", where="page_id % 15 < 14")
 
 
-STATUSES = Rows("url string, status int", [("https://a.b/en", 200), ("https://a.b/de", 301), ("https://a.b/fr", 404), ("https://c.d/y", None)])
+@query("J12_mesh_status", f"WITH {_EDGES}, {STATUSES.sql('s')}, b AS (SELECT dst AS url, count(DISTINCT src) AS advertised_by FROM e GROUP BY 1) SELECT b.url, CASE WHEN status IS NULL THEN 'medium' WHEN status BETWEEN 300 AND 399 THEN 'high' ELSE 'critical' END AS severity, CASE WHEN status IS NULL THEN 'alternate_unreachable' WHEN status BETWEEN 300 AND 399 THEN 'alternate_redirects' ELSE 'alternate_dead' END AS rule, advertised_by FROM b LEFT JOIN s ON s.url = b.url WHERE coalesce(status, 0) <> 200")
+def j12(spark, sf_dir):
+    return L.status_findings(_mesh(spark, sf_dir), STATUSES.df(spark, sf_dir))
 
 
 LOCALES = Derived(

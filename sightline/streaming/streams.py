@@ -124,8 +124,8 @@ def finding_episodes(checks: DataFrame, ts: str, keys: list[str], quiet: int, se
     needs the RocksDB state store.
     """
     key = F.to_json(F.struct(*keys))
-    # the watermark stands on all checks
-    rows = checks.withWatermark(ts, late).where(F.col(ts).isNotNull() & F.col(seen)).select(key.alias("key"), F.unix_micros(ts).alias("at"), ts)
+    # the watermark stands on all checks: a condition that names the time is not moved before it
+    rows = checks.withWatermark(ts, late).where(F.when(F.col(ts).isNotNull(), F.col(seen)).otherwise(False)).select(key.alias("key"), F.unix_micros(ts).alias("at"), ts)
     kinds = checks.select(*keys).schema
     found = rows.groupBy("key").transformWithStateInPandas(Episodes(quiet), "key string, first long, last long, seen long", "Append", "EventTime")
     when = lambda c: F.timestamp_micros(c)
