@@ -86,9 +86,10 @@ def template_groups(df: DataFrame, id_col: str, text_col: str, n: int = PHRASE,
     documents = df.where(F.size(tokenize(text_col)) >= n)
     limit = documents.agg(F.greatest(F.lit(1), F.floor(F.count("*") * rare_share)).alias("limit"))
     often = bounded(materialize(frequent(own, limit), "frequent"))
-    # the phrases of one document are a list as long as its text
-    least = F.slice(F.array_sort(F.collect_list("phrase")), 1, size)
-    first = own.join(often, ["a", "b"], "left_anti").groupBy("id").agg(F.array_join(least, "|").alias("signature"))
+    # the first few are kept while a document's phrases are sorted, not gathered
+    place = F.row_number().over(W.partitionBy("id").orderBy("phrase"))
+    few = own.join(often, ["a", "b"], "left_anti").select("id", "phrase").withColumn("place", place).where(F.col("place") <= size)
+    first = few.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("phrase")), "|").alias("signature"))
     groups = first.groupBy("signature").agg(F.count("*").alias("documents"))
     # documents without rare phrases are those that are left
     rest = documents.agg(F.count("*").alias("n")).crossJoin(first.agg(F.count("*").alias("m"))).select(F.lit("").alias("signature"), (F.col("n") - F.col("m")).alias("documents"))

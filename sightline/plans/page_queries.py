@@ -34,19 +34,26 @@ def h1(spark, sf_dir):
     return p.select("page_id", "title", "html_lang", F.array_join("h1", "|").alias("h1"), "h2_count", "img_count", F.col("words").cast("long").alias("words"))
 
 
-MARKUP = Rows(
-    "url string, html string",
-    [
-        ("https://a.b/en", """<html lang="en"><head><title>One &amp; two</title><link rel="alternate" hreflang="en" href="https://a.b/en"><link rel='alternate' hreflang='de' href='https://a.b/de'/><link rel=canonical href=https://a.b/en><meta name="robots" content="index, follow"><meta name="description" content="A page"></head><body><a hreflang="fr" href="/fr">fr</a><link rel="alternate" hreflang="es" href="/es"><h1>Hi</h1><h2>A</h2><h3>B</h3><img src=x><a href="/x">x</a><script>"@type": "Ignored"</script><script type="application/ld+json">{"@type": "Article", "author": {"@type":"Person"}}</script></body></html>"""),
-        ("https://a.b/none", "<p>no head at all</p>"),
-    ],
+MARKUP = Derived(
+    "pages",
+    "url",
+    """CASE WHEN page_id % 4 = 3 THEN html ELSE '<html lang="' || split_part(url, '/', 4) || '"><head><title>One &amp; two</title>' || CASE WHEN page_id % 3 > 0 THEN '<link rel="alternate" hreflang="en" href="https://a.b/en/' || CAST(page_id AS STRING) || '"><link rel="alternate" hreflang="de" href="https://a.b/de?x=1&amp;y=2">' ELSE '' END || CASE WHEN page_id % 5 > 0 THEN '<link rel="canonical" href="' || url || '">' ELSE '' END
+    || CASE page_id % 2 WHEN 0 THEN '<meta name="robots" content="noindex"><meta name="robots" content="index, follow">' ELSE '' END || '<meta name="description" content="A page &quot;' || CAST(page_id AS STRING) || '&quot;"></head><body><a hreflang="fr" href="/fr">fr</a>' || CASE WHEN page_id % 6 = 0 THEN '<link rel="alternate" hreflang="es" href="/es"><a hreflang="el" href="/el">el</a>' ELSE '' END
+    || '<h1>Hi</h1><a href="/x">x</a><script type="application/ld+json">{"@type": "Article", "author": {"@type":"Person"}, "about": {"@type" : "T' || CAST(page_id % 3 AS STRING) || '"}}</script></body></html>' END AS html""",
 )
 
 
-@query("H3_H4_H5_annotated_pages", f"""WITH {MARKUP.sql('t')} SELECT url, CASE WHEN url LIKE '%/en' THEN 'en=https://a.b/en de=https://a.b/de' ELSE '' END AS alternates, CASE WHEN url LIKE '%/en' THEN 'es' ELSE '' END AS in_body, CASE WHEN url LIKE '%/en' THEN 'fr' ELSE '' END AS switcher, CASE WHEN url LIKE '%/en' THEN 'https://a.b/en' END AS canonical, CASE WHEN url LIKE '%/en' THEN 'index, follow' END AS robots, CASE WHEN url LIKE '%/en' THEN 'A page' END AS description, CASE WHEN url LIKE '%/en' THEN 'Article,Ignored,Person' ELSE '' END AS schema_types, CAST(CASE WHEN url LIKE '%/en' THEN 2 ELSE 0 END AS INTEGER) AS internal_links FROM t""")
+_LANGS = lambda where: f"list_transform(regexp_extract_all({where}, '<link rel=\"alternate\" hreflang=\"[^\"]*\" href=\"[^\"]*\"'), lambda t: regexp_extract(t, 'hreflang=\"([^\"]*)\"', 1) || '=' || {_DEC('regexp_extract(t, $$href=\"([^\"]*)\"$$, 1)')})"
+_LAST = lambda pattern: f"list_reverse(regexp_extract_all(head, '{pattern}', 1))[1]"
+
+
+@query("H3_H4_H5_annotated_pages", f"""WITH {MARKUP.sql('t')}, s AS (SELECT url, html, regexp_extract(html, '(?s)^(.*?)</head>', 1) AS head, regexp_extract(html, '(?s)</head>(.*)$', 1) AS body, regexp_extract(url, '://([^/?#]*)', 1) AS site FROM t)
+SELECT url, array_to_string({_LANGS('head')}, ' ') AS alternates, array_to_string(list_transform({_LANGS('body')}, lambda a: split_part(a, '=', 1)), ',') AS in_body, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a hreflang="([^"]*)"', 1))), ',') AS switcher,
+  {_LAST('<link rel="canonical" href="([^"]*)"')} AS canonical, {_LAST('<meta name="robots" content="([^"]*)"')} AS robots, {_DEC(_LAST('<meta name="description" content="([^"]*)"'))} AS description, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '"@type"\\s*:\\s*"([^"]+)"', 1))), ',') AS schema_types,
+  len(list_filter(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)', 1), lambda h: starts_with(h, '/') OR starts_with(h, site)))::INTEGER AS internal_links FROM s""")
 def h3(spark, sf_dir):
-    """The expected row is written out: RE2 cannot follow attributes in any order."""
-    p = M.page_features(MARKUP.df(spark))
+    """Pages with annotations at their head, in their body, and none."""
+    p = M.page_features(MARKUP.df(spark, sf_dir))
     pairs = F.array_join(F.transform("alternates", lambda a: F.concat_ws("=", a["code"], a["href"])), " ")
     return p.select("url", pairs.alias("alternates"), F.array_join(F.transform("alternates_in_body", lambda a: a["code"]), ",").alias("in_body"), F.array_join("switcher_links", ",").alias("switcher"), "canonical", "robots", "description", F.array_join("schema_types", ",").alias("schema_types"), "internal_links")
 

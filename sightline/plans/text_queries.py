@@ -86,6 +86,14 @@ def a18_share(spark, sf_dir):
     return S.stock_phrases(docs, docs, "doc_id", "text", share=0.02)
 
 
+@query("A18_stock_half", f"""WITH w AS MATERIALIZED (SELECT item_id, {TOKENS} AS words FROM benchmark), c AS (SELECT item_id, unnest(list_distinct(words)) AS phrase FROM w), m AS (SELECT greatest(2, ceil(count(*) * 0.5)) AS majority FROM benchmark)
+SELECT phrase, count(*) AS n_docs FROM c, m GROUP BY phrase, majority HAVING count(*) >= majority""")
+def a18_half(spark, sf_dir):
+    """Words (runs of one) that half of the benchmark's items hold: the rule's own share."""
+    items = table(spark, sf_dir, "benchmark")
+    return S.stock_phrases(items, items, "item_id", "text", n=1)
+
+
 @query("J8_document_pairs", f"""WITH w AS MATERIALIZED (SELECT min(doc_id) AS doc_id, {TOKENS} AS words FROM documents GROUP BY text),
 own AS MATERIALIZED (SELECT doc_id, hash(unnest({_shingles('words', 5)})) AS phrase FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM own GROUP BY 1),
