@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,6 +242,18 @@ def base_rules(texts: list[str]) -> dict[str, list[int]]:
 _LONGS = [T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
 
 
+def _failed() -> Column:
+    """Fewer than 10 words, or more than a fifth of them in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def rule_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The base counts of each row and base_failed, without a model. Null texts are empty ones; rows stay as they are."""
+    docs = pick(df, id_col, text_col)
+    counted = map_text(docs, lambda rows: {"id": rows.column("id"), **base_rules(rows.column("text").to_pylist())}, T.StructType([id_field(df, id_col), *_LONGS]))
+    return counted.withColumn("base_failed", _failed())
+
+
 _NONE = np.zeros(1, np.uint64), np.zeros(1, np.float32)
 
 
@@ -325,6 +337,6 @@ def perplexity_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = scored.join(bands, (F.coalesce(scored["lang"], F.lit("")) == bands["__lang"]) & (scored["lang"].isNull() == bands["__none"]), "left")
     drawn = (F.col("bits") + F.col("__q")[1] * PRIOR_CHARS) / (F.col("chars") + PRIOR_CHARS)
     reach = BAND * F.greatest(F.col("__q")[2] - F.col("__q")[0], F.lit(LEAST_SPREAD))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = _failed()
     inside = F.coalesce(drawn.between(F.col("__q")[0] - reach, F.col("__q")[2] + reach), F.lit(True))
     return joined.select("id", scored["lang"], *[f.name for f in _LONGS], F.when(F.col("chars") > 0, F.pow(F.lit(2.0), rate)).otherwise(1.0).alias("perplexity"), failed.alias("base_failed"), (~failed & inside).alias("kept"))

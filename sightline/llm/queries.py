@@ -18,7 +18,7 @@ from .oracles import ORACLES
 from .pii import KINDS, base_digest, count_kind, pii_spans
 from .log_bilinear import held_out, lm_scores
 from .near_duplicates import near_duplicates
-from .perplexity import perplexity_quality
+from .perplexity import perplexity_quality, rule_counts
 from .repeats import repeated_spans
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import joined, secret_spans
@@ -135,7 +135,7 @@ def base_op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_perplexity(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return rule_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def base_op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
