@@ -82,6 +82,28 @@ def _spans(text: Column, pattern: str, kind: str, accept) -> Column:
     return _named(_parts(text, pattern), over)
 
 
+def _blocks(spans: Column) -> Column:
+    """Spans in blocks of _BLOCK: spans, low (least start), high (greatest end)."""
+
+    def block(b: Column) -> Column:
+        own = F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK))
+        return _named(own, lambda s: F.struct(s.alias("spans"), F.array_min(F.transform(s, lambda x: x["start"])).alias("low"), F.array_max(F.transform(s, lambda x: x["end"])).alias("high")))
+
+    return F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int")), block)).otherwise(F.array().cast(f"array<struct<spans:{_SPAN},low:int,high:int>>"))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others; both by start. A block is held against the blocks that it reaches into."""
+    meets = lambda x, y: (x["low"] < y["high"]) & (y["low"] < x["high"])
+    clear = lambda s, near: ~F.exists(near, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    def over(blocks: Column) -> Column:
+        near = lambda mine: F.flatten(F.transform(F.filter(blocks, lambda b: meets(b, mine)), lambda b: b["spans"]))
+        return F.flatten(F.transform(_blocks(spans), lambda mine: _named(near(mine), lambda others: F.filter(mine["spans"], lambda s: clear(s, others)))))
+
+    return _named(_blocks(others), over)
+
+
 def _term(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
@@ -131,20 +153,36 @@ def secret_spans(df: DataFrame, text_col: str = "text", into: str = "spans", bas
     hexes = F.when(text.rlike(HEX), _spans(text, HEX, "hex", lambda m: F.lit(True))).otherwise(_none())
     entropy = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, "entropy", looks_random)).otherwise(_none())
     out = df.withColumn("__base", F.array_sort(F.concat(assign, access, hexes))).withColumn("__more", entropy)
-    more = F.filter("__more", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.when(F.size("__more") > 0, _apart(F.col("__more"), F.col("__base"))).otherwise(F.col("__more"))
     out = out.withColumn("__all", F.when(F.size("__more") > 0, F.array_sort(F.concat("__base", more))).otherwise(F.col("__base")))
     return out.withColumn(base_into, F.col("__base")).withColumn(into, F.col("__all")).drop("__base", "__more", "__all")
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced by a mark."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each stretch that spans (by start) cover replaced by a mark.
+
+    Blocks of spans are gone through, each in the stretch of the text that it reaches over.
+    """
+
+    def step(at: Column, stretch: Column):
+        def one(state: Column, span: Column) -> Column:
+            clear = span["start"] >= state["at"]
+            kept = F.substring(stretch, state["at"] - at + 1, span["start"] - state["at"])
+            return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(clear, F.concat(state["out"], F.array(kept, F.lit(mark)))).otherwise(state["out"]).alias("out"))
 
-    def step(state: Column, span: Column) -> Column:
-        clear = span["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(clear, F.concat(state["out"], F.array(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark)))).otherwise(state["out"]).alias("out"))
+        return one
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, F.length(text)))), ""))).otherwise(text)
+    def over(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        # each block begins where those before it end
+        starts = F.aggregate(blocks, first, lambda s, b: F.struct(F.greatest(s["at"], b["high"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        begun = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+        part = lambda at, b: _named(F.substring(text, at + 1, F.greatest(b["high"] - at, F.lit(0))), lambda stretch: F.aggregate(b["spans"], begun(at), step(at, stretch), lambda s: F.array_join(s["out"], "")))
+        parts = F.zip_with(starts, blocks, part)
+        end = F.array_max(F.transform(blocks, lambda b: b["high"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _named(_blocks(spans), over)).otherwise(text)
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
