@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..sources import tables as T
 from ..sources.shared import shared_root
 from ..streaming import streams as ST
-from .registry import Derived, Rows, query, table
+from .registry import Derived, query, table
 
 
 def _folder(spark, label: str) -> str:
@@ -59,17 +59,13 @@ def s8(spark, sf_dir):
     return T.read_appended(spark, path).groupBy("keyword").agg(F.count("*").alias("rows"))
 
 
-SITE = Rows("place bigint, name string, value string", [(1, "a", "# A"), (2, "b", "<p>B</p>"), (3, "c", "x")])
-
-
-@query("S12_document_folder", f"WITH {SITE.sql('t')} SELECT value || chr(10) AS text FROM t ORDER BY place DESC LIMIT 2")
+@query("S12_document_folder", "SELECT trim(text, chr(10) || ' ') AS text FROM benchmark")
 def s12(spark, sf_dir):
-    """Three files of a folder, written one after the other; the two newest (the reader's limit)."""
+    """A folder with a file for each item, read back as documents."""
     path = _folder(spark, "site")
-    for _, name, text in SITE.rows:
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
-    found = T.documents(spark, path, ("txt",), newest=2)
-    return found.select(F.trim("text").alias("text"))
+    table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(path)
+    found = T.documents(spark, path, ("txt",))
+    return found.select(F.trim("text", F.lit("\n ")).alias("text"))
 
 
 FEED = Derived(
