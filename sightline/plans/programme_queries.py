@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators import locales as L
 from ..operators import serp as R
 from ..operators import slop as P
 from ..operators import state as S
 from ..operators.similarity import number_rows
-from .registry import Derived, Rows, query, table
+from .registry import Derived, query, table
 
-CODES = Rows("code string, valid boolean, severity string", [("en", True, "info"), ("en-GB", True, "info"), ("en-gb", True, "low"), ("gb", False, "high"), ("en-uk", False, "high"), ("es-419", True, "info"), ("zh-Hans", True, "info"), ("zh-hans-us", True, "low"), ("zh-Hans-US", True, "info"), ("x-default", True, "info"), ("be", True, "info"), ("uk-UA", True, "info"), ("eng", False, "high"), ("xx", False, "high"), ("de-XX", False, "high"), ("en-US-x", False, "medium"), ("", False, "high"), (None, False, "high"), ("fr-Abcd", True, "info"), ("us", False, "high")])
+CODES = Derived(
+    "pages",
+    "page_id",
+    """CASE page_id % 19 WHEN 0 THEN split_part(url, '/', 4) || '-GB' WHEN 1 THEN split_part(url, '/', 4) || '-gb' WHEN 2 THEN 'gb' WHEN 3 THEN 'EN-uk' WHEN 4 THEN split_part(url, '/', 4) || '-419' WHEN 5 THEN 'zh-Hans' WHEN 6 THEN 'zh-hans-us' WHEN 7 THEN ' X-Default ' WHEN 8 THEN 'eng' WHEN 9 THEN 'abc' WHEN 10 THEN 'xx' WHEN 11 THEN split_part(url, '/', 4) || '-XX'
+    WHEN 12 THEN split_part(url, '/', 4) || '-US-x' WHEN 13 THEN '' WHEN 14 THEN NULL WHEN 15 THEN 'us' WHEN 16 THEN split_part(url, '/', 4) || '-Abcd' WHEN 17 THEN upper(split_part(url, '/', 4)) ELSE split_part(url, '/', 4) END AS code""",
+)
+_BAD = ", ".join(f"'{k}'" for k in L.KNOWN_BAD)
 
 
-@query("F26_language_codes", f"WITH {CODES.sql('t')} SELECT * FROM t")
+@query("F26_language_codes", f"""WITH {CODES.sql('t')}, p AS (SELECT page_id, code, trim(coalesce(code, '')) AS raw, string_split(trim(coalesce(code, '')), '-') AS p FROM t), s AS (SELECT *, lower(p[1]) AS lang, len(p) > 1 AND regexp_matches(p[2], '^[A-Za-z].{{3}}$') AS has_script FROM p),
+r AS (SELECT *, CASE WHEN has_script THEN upper(p[2][1]) || lower(p[2][2:]) END AS script, CASE WHEN has_script THEN p[3:] ELSE p[2:] END AS rest FROM s),
+k AS (SELECT *, lang IN ('en', 'fr', 'de', 'es', 'zh') AS known, upper(lang) IN ('US', 'GB') AS country, rest[1] IN ('419') OR upper(rest[1]) IN ('US', 'GB') AS place, concat_ws('-', lang, script, upper(rest[1])) AS standard FROM r),
+v AS (SELECT *, CASE WHEN raw = '' THEN 'high' WHEN lower(raw) = 'x-default' THEN 'info' WHEN lower(raw) IN ({_BAD}) THEN 'high' WHEN NOT known THEN 'high' WHEN len(rest) > 0 AND NOT place THEN 'high' WHEN len(rest) > 1 THEN 'medium' WHEN len(rest) > 0 AND raw <> standard THEN 'low' ELSE 'info' END AS severity FROM k)
+SELECT page_id, code, severity IN ('info', 'low') AS valid, severity FROM v""")
 def f26(spark, sf_dir):
-    """The outcome of each code is written out beside it."""
+    """Codes made of the pages' languages; the SQL knows those registers' entries that can stand in them."""
     languages, regions = L.iso_codes(spark)
-    return CODES.df(spark).select("code").withColumn("v", L.validate(F.col("code"), languages, regions)).select("code", "v.valid", "v.severity")
+    return CODES.df(spark, sf_dir).withColumn("v", L.validate(F.col("code"), languages, regions)).select("page_id", "code", "v.valid", "v.severity")
 
 
 #: Pages as an annotated set: each declares itself, its neighbours by number, and some odd alternates, as code=address.
@@ -524,9 +531,6 @@ def f24(spark, sf_dir):
     return S.retired_types(TYPES.df(spark, sf_dir))
 
 
-TREE = json.dumps([{"typeGroup": "Article", "types": [{"value": "Article"}], "nodeProperties": [{"pred": "author", "value": [{"typeGroup": "Person", "types": [{"value": None}], "nodeProperties": [{"value": [{"typeGroup": "X", "types": [{"value": "Place"}, {"value": "Place"}]}]}]}]}]}])
-
-
 FACETS = Derived("sales", "'f' || CAST(client_id % 20 AS STRING) AS facet", "CASE WHEN sale_id % 6 > 0 THEN CAST(floor(coalesce(total, 0)) AS BIGINT) * 3 + sale_id % 10 END AS volume", "CASE WHEN sale_id % 5 > 0 THEN CAST(sale_id % 40 AS DOUBLE) END AS kd", "sale_id % 6 AS authorities", "CAST(100 AS BIGINT) AS floor", "CASE WHEN sale_id % 4 > 0 THEN CAST(800 AS BIGINT) END AS ceiling", "20.0e0 AS most_kd", where="client_id IS NOT NULL")
 
 

@@ -1,4 +1,4 @@
-"""Registration of queries with their SQL, and literal tables that both engines read."""
+"""Registration of queries with their SQL, and tables that both engines derive from the given ones."""
 
 from __future__ import annotations
 
@@ -28,42 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Rows:
-    """A small literal table: a DataFrame here, a VALUES list there."""
-
-    _SQL = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
-
-    def __init__(self, ddl: str, rows: list[tuple]):
-        """ddl: 'name type, ...' with plain types and arrays of them."""
-        self.ddl = ddl
-        self.columns = [tuple(x.split(" ", 1)) for x in ddl.split(", ")]
-        self.rows = rows
-
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.ddl)
-
-    def sql(self, name: str) -> str:
-        """A common table expression: name(columns) AS (VALUES ...)."""
-        body = ", ".join("(" + ", ".join(self._literal(v, kind) for v, (_, kind) in zip(r, self.columns, strict=True)) + ")" for r in self.rows)
-        return f"{name}({', '.join(c for c, _ in self.columns)}) AS (VALUES {body})"
-
-    def _type(self, kind: str) -> str:
-        return self._type(kind[6:-1]) + "[]" if kind.startswith("array<") else self._SQL[kind]
-
-    def _literal(self, value, kind: str) -> str:
-        if value is None:
-            text = "NULL"
-        elif kind.startswith("array<"):
-            text = "[" + ", ".join(self._literal(v, kind[6:-1]) for v in value) + "]"
-        elif isinstance(value, bool):
-            text = str(value).upper()
-        elif isinstance(value, str):
-            text = "'" + value.replace("'", "''") + "'"
-        else:
-            text = repr(value)
-        return f"CAST({text} AS {self._type(kind)})"
-
-
 class Derived:
     """A table made of a given one by expressions that both engines understand; ARR(...) is an array."""
 
