@@ -181,7 +181,7 @@ WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({crc32("doc_id:
 tokens AS (SELECT r, held_out, unnest(w) AS word FROM docs),
 known AS (SELECT word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY word),
 total AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM known),
-found AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score FROM tokens LEFT JOIN known USING (word), total GROUP BY r)
+found AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score FROM tokens LEFT JOIN known USING (word), total GROUP BY r)
 SELECT doc_id, held_out, n_tokens::BIGINT AS n_tokens, n_known::BIGINT AS n_known, n AS train_tokens, base_score FROM docs JOIN found USING (r), total"""
 
 

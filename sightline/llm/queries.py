@@ -139,7 +139,7 @@ def base_op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op12_lm_scores(spark, sf_dir).drop("score")
+    return op12_lm_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
 
 
 def base_op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ the pairs at its ends are.
 from __future__ import annotations
 
 import json
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -44,18 +45,21 @@ def byte_letters() -> list[str]:
 
 
 class PairTable:
-    """Ranks of (left, right) pairs in two open tables; a key is in the first or, where that place is taken, in the second."""
+    """Ranks of (left, right) pairs in two open tables; a key is in the first or, where that place is taken, in the second.
 
-    BITS = 20
+    Of n keys in tables of m places some n^2 / 2m go to the second, where (n^2 / 2m)^2 / 2m
+    meet another: the tables are large enough for less than one.
+    """
 
     def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray, symbols: int):
         self.symbols = np.int64(symbols)
         keys = left.astype(np.int64) * self.symbols + right
+        self.bits = max(20, math.ceil(math.log2(max(len(keys), 1) ** (4 / 3) / 2)))
         for seed in range(1, 200):
             self.factors = [np.uint64((0x9E3779B97F4A7C15 * (2 * seed + k) | 1) & 2**64 - 1) for k in (0, 1)]
             tables, rest = [], np.arange(len(keys))
             for factor in self.factors:
-                table = np.full(1 << self.BITS, -1, np.int32)
+                table = np.full(1 << self.bits, -1, np.int32)
                 at = self._place(keys[rest], factor)
                 table[at[::-1]] = rest[::-1]
                 tables.append(table)
@@ -68,7 +72,7 @@ class PairTable:
         self.keys, self.merged = np.append(keys, -1), np.append(merged, -1).astype(np.int32)
 
     def _place(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
-        return ((keys.view(np.uint64) * factor) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return ((keys.view(np.uint64) * factor) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) * self.symbols + right

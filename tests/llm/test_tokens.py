@@ -2,13 +2,14 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
 
 from sightline.llm.bpe import TreeCodec, bpe_encode, codec
 from sightline.llm.queries import op5_bpe, op7_token_counts
-from sightline.llm.token_counts import merger, token_counts
+from sightline.llm.token_counts import NO_RANK, PairTable, merger, token_counts
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -114,3 +115,15 @@ def test_queries(spark):
     for r in op7_token_counts(spark, sf).collect():
         assert r.n_tokens == len(other.encode(docs[r.doc_id], add_special_tokens=False).ids)
         assert r.n_bytes == len(docs[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 1024)
+
+
+def test_pairs_of_large_vocabularies():
+    """Tables grow with the merges: every pair is found, others are not."""
+    rng = np.random.default_rng(4)
+    for n in (1, 60_000, 300_000):
+        pairs = np.unique(rng.integers(0, 400_000, (n + n // 10 + 2, 2)), axis=0)[:n]
+        rng.shuffle(pairs)
+        table = PairTable(pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), np.arange(n, dtype=np.int32), 400_000)
+        assert table.ranks(pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32)).tolist() == list(range(n))
+        other = np.full(5, 400_001, np.int32)
+        assert (table.ranks(other, other) == NO_RANK).all()
