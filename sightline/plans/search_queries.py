@@ -191,7 +191,7 @@ def f16(spark, sf_dir):
     return K.affordable(VOLUMES.df(spark, sf_dir), 30.0, 10)
 
 
-RESULTS = Derived("sale_lines", "'keyword ' || CAST(sale_id AS STRING) AS keyword", "'https://s.com/' || CAST(item_id AS STRING) || CASE line_no % 3 WHEN 0 THEN '/#f' WHEN 1 THEN '/' ELSE '' END AS url", where="item_id IS NOT NULL AND sale_id IS NOT NULL")
+RESULTS = Derived("sale_lines", "'keyword ' || CAST(sale_id AS STRING) AS keyword", "'https://s.com/' || CAST(item_id AS STRING) || '-' || CAST(vendor_id AS STRING) || CASE line_no % 3 WHEN 0 THEN '/#f' WHEN 1 THEN '/' ELSE '' END AS url", where="item_id IS NOT NULL AND vendor_id IS NOT NULL AND sale_id IS NOT NULL")
 _EDGES = "u AS (SELECT DISTINCT keyword, regexp_replace(split_part(url, '#', 1), '/+$', '') AS url FROM r), e AS (SELECT a.keyword AS a, b.keyword AS b, count(*) AS shared FROM u a JOIN u b USING (url) WHERE a.keyword < b.keyword GROUP BY 1, 2 HAVING count(*) >= 3)"
 _REACH = "bth AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT DISTINCT keyword AS node, keyword AS other FROM u UNION SELECT reach.node, bth.b FROM reach JOIN bth ON bth.a = reach.other), lab AS (SELECT node AS keyword, min(other) AS cluster FROM reach GROUP BY 1), deg AS (SELECT a AS keyword, count(*) AS degree FROM bth GROUP BY 1), mem AS (SELECT keyword, cluster, coalesce(degree, 0) AS degree FROM lab LEFT JOIN deg USING (keyword))"
 
