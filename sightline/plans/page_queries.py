@@ -163,7 +163,7 @@ OLD = Derived(
     "pages",
     "url", "CAST(CASE WHEN page_id % 23 = 5 THEN 404 ELSE 200 END AS INT) AS status", "url AS canonical", "'index' AS meta_robots", "CASE WHEN page_id % 19 = 3 THEN 'none' END AS header_robots", "CASE WHEN page_id % 17 > 0 THEN 'T' || CAST(page_id AS STRING) END AS title", "'D' AS description", "ARR('H') AS h1", "CAST(1 AS INT) AS h1_count",
     "CAST(400 AS INT) AS words", "ARR('Article') AS schema_types", "CAST(8 AS INT) AS hreflang_count", "ARR('og:title') AS og", "CAST(20 AS INT) AS internal_links", "'h1' AS body_hash",
-    where="page_id <> 7",
+    where="url NOT LIKE '%#top'",
 )
 NEW = Derived(
     "pages",
@@ -171,7 +171,7 @@ NEW = Derived(
     "CASE WHEN page_id % 10 = 1 THEN NULL WHEN page_id % 10 = 2 THEN 'U' WHEN page_id % 17 > 0 THEN 'T' || CAST(page_id AS STRING) END AS title", "CASE page_id % 9 WHEN 1 THEN '' WHEN 2 THEN 'E' ELSE 'D' END AS description", "CASE page_id % 8 WHEN 1 THEN ARR() WHEN 2 THEN ARR('I') ELSE ARR('H') END AS h1", "CAST(CASE page_id % 8 WHEN 1 THEN 0 ELSE 1 END AS INT) AS h1_count",
     "CAST(CASE page_id % 7 WHEN 1 THEN 200 WHEN 2 THEN 390 ELSE 400 END AS INT) AS words", "CASE page_id % 6 WHEN 1 THEN ARR() WHEN 2 THEN ARR('Article', 'FAQPage') ELSE ARR('Article') END AS schema_types", "CAST(CASE page_id % 5 WHEN 1 THEN 0 WHEN 2 THEN 5 WHEN 3 THEN 7 ELSE 8 END AS INT) AS hreflang_count", "CASE WHEN page_id % 6 = 3 THEN ARR() ELSE ARR('og:title') END AS og",
     "CAST(CASE WHEN page_id % 4 = 1 THEN 5 ELSE 20 END AS INT) AS internal_links", "CASE WHEN page_id % 7 IN (1, 2) THEN 'h2' ELSE 'h1' END AS body_hash",
-    where="page_id <> 9",
+    where="url NOT LIKE '%ref=x'",
 )
 _INDEX = lambda p: f"NOT regexp_matches(lower(concat_ws(' ', {p}.meta_robots, {p}.header_robots)), 'noindex|none')"
 _RULES = [

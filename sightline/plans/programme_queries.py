@@ -67,7 +67,7 @@ def j11(spark, sf_dir):
     return L.missing_return(_mesh(spark, sf_dir))
 
 
-STATUSES = Derived("pages", "'https://m.example/' || CAST(page_id AS STRING) AS url", "CAST(CASE page_id % 6 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 200 END AS INT) AS status", where="page_id % 15 < 14")
+STATUSES = Derived("pages", "'https://m.example/' || CAST(page_id AS STRING) AS url", "CAST(CASE page_id % 6 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 200 END AS INT) AS status", where="url NOT LIKE '%.html'")
 
 
 @query("J12_mesh_status", f"WITH {_EDGES}, {STATUSES.sql('s')}, b AS (SELECT dst AS url, count(DISTINCT src) AS advertised_by FROM e GROUP BY 1) SELECT b.url, CASE WHEN status IS NULL THEN 'medium' WHEN status BETWEEN 300 AND 399 THEN 'high' ELSE 'critical' END AS severity, CASE WHEN status IS NULL THEN 'alternate_unreachable' WHEN status BETWEEN 300 AND 399 THEN 'alternate_redirects' ELSE 'alternate_dead' END AS rule, advertised_by FROM b LEFT JOIN s ON s.url = b.url WHERE coalesce(status, 0) <> 200")
@@ -340,8 +340,8 @@ def r20(spark, sf_dir):
     return S.proposals(PROPOSED.df(spark, sf_dir), QUEUE.df(spark, sf_dir))
 
 
-STORED = Derived("clients", "'client ' || CAST(client_id AS STRING) AS keyword", "CAST(floor(coalesce(balance, 0)) AS BIGINT) AS volume", "city AS note", where="client_id % 3 < 2")
-FRESH = Derived("clients", "'client ' || CAST(client_id AS STRING) AS keyword", "CASE WHEN client_id % 4 > 0 THEN -client_id END AS volume", "CASE WHEN client_id % 5 > 0 THEN segment END AS note", where="client_id % 3 > 0")
+STORED = Derived("clients", "'client ' || CAST(client_id AS STRING) AS keyword", "CAST(floor(coalesce(balance, 0)) AS BIGINT) AS volume", "city AS note", where="coalesce(balance, 0) < 3500")
+FRESH = Derived("clients", "'client ' || CAST(client_id AS STRING) AS keyword", "CASE WHEN client_id % 4 > 0 THEN -client_id END AS volume", "CASE WHEN client_id % 5 > 0 THEN segment END AS note", where="coalesce(balance, 0) >= 2500")
 
 
 @query("R21_upsert", f"WITH {STORED.sql('o')}, {FRESH.sql('n')} SELECT keyword, coalesce(n.volume, o.volume) AS volume, coalesce(n.note, o.note) AS note FROM o FULL JOIN n USING (keyword)")
