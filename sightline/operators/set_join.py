@@ -20,6 +20,8 @@ from ..sources.shared import materialize
 
 #: Sets of a key that meet in one task.
 KEY_ROWS = 512
+#: Elements that a large set takes along with its keys.
+FEW = 8
 
 
 def by_frequency(own: DataFrame) -> DataFrame:
@@ -39,11 +41,13 @@ def alike(sets: DataFrame, prefix: Callable[[Column], Column], least: Callable[[
     sets is what by_frequency gives, written before; ``prefix`` tells how many of a set's rarest
     elements are keys. With ``ratio`` the smaller of two sets has at least that share
     of the larger one's size, and sets of sizes too far apart do not meet. Sets that are ``small``
-    go with their keys, and a pair is told where its rarest common element meets; others are fetched for the pairs that are left.
+    go with their keys, and a pair is told where its rarest common element meets. Large ones take their FEW rarest
+    elements along: sets that share one of these are told there only, so that near copies do not come up at each of their keys;
+    the whole sets are fetched for the pairs that are left.
     """
     own = F.col("n") - F.size("items")  # elements of this set only come first
     keys = F.posexplode(F.slice("items", F.lit(1), F.greatest(prefix(F.col("n")) - own, F.lit(0)))).alias("at", "x")
-    whole = F.transform("items", lambda i: i["item"]) if small else F.lit(None)
+    whole = F.transform("items" if small else F.slice("items", 1, FEW), lambda i: i["item"])
     rows = sets.select("id", "n", own.alias("own"), whole.alias("of"), keys).select("id", "n", "of", (F.col("own") + F.col("at") + 1).alias("at"), F.col("x.item").alias("item"), F.ceil(F.col("x.df") / KEY_ROWS).cast("int").alias("parts"))
     # classes of sizes a little wider than the ratio, so that rounding never puts a pair two classes apart
     size = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - math.log(ratio) * (1 + 1e-6))).cast("long") if ratio else F.lit(0).cast("long")
@@ -53,8 +57,9 @@ def alike(sets: DataFrame, prefix: Callable[[Column], Column], least: Callable[[
     both = low.join(high.hint("merge"), ["item", "part", "size"]).where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
     room = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) + 1
     likely = both.where(room >= least(F.col("nx"), F.col("ny")))
+    likely = likely.withColumn("common", F.array_intersect("of_x", "of_y")).where(F.coalesce(F.get("common", F.lit(0)), F.col("item")) == F.col("item"))
     if small:
-        found = likely.withColumn("common", F.array_intersect("of_x", "of_y")).where((F.size("common") >= least(F.col("nx"), F.col("ny"))) & (F.get("common", F.lit(0)) == F.col("item")))
+        found = likely.where(F.size("common") >= least(F.col("nx"), F.col("ny")))
         found = found.select("x", "y", "nx", "ny", F.size("common").alias("shared"))
     else:
         of = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.transform("items", lambda i: i["item"]).alias(f"of_{name}"))
