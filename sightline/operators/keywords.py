@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.graph import components
 from ..functions.text import normal_keyword
+from ..sources.shared import materialize
 from .set_join import alike_by_count
 
 #: Wordings of intents, first match counts.
@@ -64,7 +65,8 @@ def shared_results(results: DataFrame, overlap: int = 3) -> DataFrame:
 
 def clusters(keywords: DataFrame, edges: DataFrame) -> DataFrame:
     """(keyword, cluster, degree): connected components by shared results; a keyword without any is a cluster of its own."""
-    found = components(edges.select("a", "b"))
+    edges = materialize(edges.select("a", "b"), "edges")  # read for the components and for the degrees
+    found = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("degree"))
     return keywords.join(found.withColumnRenamed("node", "keyword"), "keyword", "left").join(degree, "keyword", "left").select("keyword", F.coalesce("label", "keyword").alias("cluster"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
