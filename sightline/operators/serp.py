@@ -22,13 +22,13 @@ def shape_ok(results: DataFrame) -> DataFrame:
     return results.groupBy("query").agg(F.coalesce(F.bool_or(F.col("url").startswith("http")), F.lit(False)).alias("ok"))
 
 
-def relevance(results: DataFrame, top: int = 10) -> DataFrame:
-    """(query, tokens, coverage, hit_rate, pass, caveat) over each query's first results. Tokens count as parts of words.
+def relevance(results: DataFrame, top: int | None = 10) -> DataFrame:
+    """(query, tokens, coverage, hit_rate, pass, caveat) over each query's ``top`` first results (None: all). Tokens count as parts of words.
 
     coverage: share of the query's tokens found anywhere; hit_rate: share of results
     with at least half of them, two at least. A query without tokens is not judged.
     """
-    first = results.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy("position"))).where(F.col("rn") <= top)
+    first = results if top is None else results.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy("position"))).where(F.col("rn") <= top)
     blob = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), slug_words("url"), F.coalesce("snippet", F.lit(""))))
     r = first.select("query", relevance_tokens("query").alias("t"), blob.alias("b")).withColumn("got", F.transform("t", lambda t: F.col("b").contains(t).cast("int")))
     need = F.when(F.size("t") >= 2, F.greatest(F.lit(2), F.floor((F.size("t") + 1) / 2))).otherwise(1)
