@@ -10,6 +10,17 @@ from ..functions.urls import page_path
 from .intervals import overlap_join
 
 
+def exact_mean(value: str) -> Column:
+    """The mean by a sum of decimals, which no order of the rows and no split over tasks changes."""
+    return F.sum(F.col(value).cast("decimal(28,10)")).cast("double") / F.count(value)
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Half away from zero, of the scaled double and not of its shortest decimal form."""
+    scale = 10.0**digits
+    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+
+
 def split_dimensions(rows: DataFrame) -> DataFrame:
     """(page, query, day, and the measures) of rows whose keys come in any order: the last URL is the page, a date the day, the first other the query.
 

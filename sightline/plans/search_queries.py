@@ -102,7 +102,7 @@ def j3_events(spark, sf_dir):
 
 @query("F11_F12_O3_bands", "WITH t AS (SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'signup') = 0 THEN NULL ELSE round(avg(value) / 3, 1) END AS position, count(*) AS impressions, count(*) FILTER (event_type = 'click') / count(*) AS ctr FROM events GROUP BY 1), b AS (SELECT *, CASE WHEN position IS NULL THEN 'unknown' WHEN position <= 3 THEN 'top3' WHEN position <= 10 THEN 'page1' WHEN position <= 20 THEN 'striking-distance' WHEN position <= 50 THEN 'page3-5' ELSE 'deep' END AS band FROM t) SELECT user_id, position, band, CAST(list_position(['striking-distance', 'page3-5', 'page1', 'top3', 'deep', 'unknown'], band) - 1 AS INTEGER) AS ordinal, coalesce(position <= 10 AND position <> 0 AND impressions >= 100 AND ctr < 0.02, false) AS low_ctr FROM b")
 def f11(spark, sf_dir):
-    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(F.count_if(F.col("event_type") == "signup") != 0, F.round(F.avg("value") / 3, 1)).alias("position"), F.count("*").alias("impressions"), (F.count_if(F.col("event_type") == "click") / F.count("*")).alias("ctr"))
+    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(F.count_if(F.col("event_type") == "signup") != 0, M.rounded(M.exact_mean("value") / 3, 1)).alias("position"), F.count("*").alias("impressions"), (F.count_if(F.col("event_type") == "click") / F.count("*")).alias("ctr"))
     b = t.withColumn("band", M.band(F.col("position")))
     return b.select("user_id", "position", "band", M.band_rank(F.col("band")).alias("ordinal"), M.low_ctr(F.col("position"), F.col("impressions"), F.col("ctr")).alias("low_ctr"))
 
