@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import components
-from ..functions.text import normal_keyword
+from ..functions.text import ascii_bounds, normal_keyword
 from ..sources.shared import materialize
 from .set_join import alike_by_count
 
@@ -19,7 +19,12 @@ TOOL = r"(?i)\b(generat|calculat|convert|check|test|validat|estimat|build|creat|
 
 
 def intent(keyword: Column) -> Column:
-    return F.when(keyword.rlike(TRANSACTIONAL), "transactional").when(keyword.rlike(COMPARISON), "comparison").when(keyword.rlike(COMMERCIAL), "commercial").otherwise("informational")
+    has = lambda pattern: keyword.rlike(ascii_bounds(pattern))
+    return F.when(has(TRANSACTIONAL), "transactional").when(has(COMPARISON), "comparison").when(has(COMMERCIAL), "commercial").otherwise("informational")
+
+
+def tool_shaped(keyword: Column) -> Column:
+    return keyword.rlike(ascii_bounds(TOOL))
 
 
 def n_words(keyword: Column) -> Column:
@@ -45,7 +50,7 @@ def candidates(suggestions: DataFrame) -> DataFrame:
     proxy = F.greatest(F.lit(0), 100 - 22 * F.col("min_depth") - 4 * (F.col("best_rank") - 1) + 3 * F.least(F.col("times_seen") - 1, F.lit(6)))
     share = F.round(F.try_divide(100 * F.col("agreement"), F.col("live")), 0)
     words = n_words(F.col("keyword"))
-    return out.withColumns({"demand_proxy": proxy, "agreement_pct": share, "intent": intent(F.col("keyword")), "tool_shaped": F.col("keyword").rlike(TOOL), "mid_tail": words.between(2, 5), "words": words.cast("long")}).drop("live")
+    return out.withColumns({"demand_proxy": proxy, "agreement_pct": share, "intent": intent(F.col("keyword")), "tool_shaped": tool_shaped(F.col("keyword")), "mid_tail": words.between(2, 5), "words": words.cast("long")}).drop("live")
 
 
 def affordable(rows: DataFrame, most_kd: float, least_volume: int) -> DataFrame:

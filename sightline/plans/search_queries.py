@@ -180,7 +180,7 @@ def o4(spark, sf_dir):
 @query("F13_intent_conversations", f"WITH c AS (SELECT conv_id, turn, lower(text) AS keyword FROM conversations) SELECT conv_id, turn, {_INTENT} AS intent, regexp_matches(keyword, '{K.TOOL}') AS tool_shaped FROM c")
 def f13(spark, sf_dir):
     t = F.lower("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", K.intent(t).alias("intent"), t.rlike(K.TOOL).alias("tool_shaped"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", K.intent(t).alias("intent"), K.tool_shaped(t).alias("tool_shaped"))
 
 
 VOLUMES = Derived("items", "'k' || CAST(item_id AS STRING) AS keyword", "CASE WHEN item_id % 6 > 0 THEN item_id * 3 % 300 END AS volume", "CASE WHEN item_id % 5 > 0 THEN CAST(item_id % 90 AS DOUBLE) END AS kd")
