@@ -56,7 +56,12 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
 def outage(old: DataFrame, new: DataFrame, limit: float = 0.34) -> DataFrame:
     """One row: pages that were well, those failing now, and whether a verdict is refused because too many fail at once."""
     joined = old.where("status = 200").select("url").join(new.select("url", F.col("status").alias("now")), "url")
-    out = joined.agg(F.count("*").alias("were_ok"), F.count_if(~F.col("now").eqNullSafe(F.lit(200))).alias("failing"))
+    return outage_of(joined, limit)
+
+
+def outage_of(now: DataFrame, limit: float = 0.34) -> DataFrame:
+    """The same from pages that were well, with their status ``now``."""
+    out = now.agg(F.count("*").alias("were_ok"), F.count_if(~F.col("now").eqNullSafe(F.lit(200))).alias("failing"))
     return out.withColumn("refused", F.coalesce(F.try_divide("failing", "were_ok") > limit, F.lit(False)))
 
 
