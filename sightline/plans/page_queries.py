@@ -10,7 +10,7 @@ from ..operators import agents as A
 from ..operators import contract as C
 from ..operators import markup as M
 from ..operators.registry_bots import BOTS
-from .registry import Derived, query, table
+from .registry import Derived, ROW_ORDER, query, table
 
 
 def _drop(doc: str, names: list[str]) -> str:
@@ -250,7 +250,8 @@ ROBOTS = Derived(
 )
 def _policy(spark, sf_dir):
     bots = spark.createDataFrame([(b[1], b[2]) for b in BOTS if b[2].startswith("ai_")], "bot string, category string")
-    bodies = ROBOTS.df(spark, sf_dir).dropDuplicates(["site"])
+    # of the rows of one site the first in the table counts
+    bodies = ROBOTS.df(spark, sf_dir, *ROW_ORDER).groupBy("site").agg(F.min_by(F.struct("status", "body"), F.struct("file", "row")).alias("r")).select("site", "r.*")
     asks = bodies.where("status = 200").select("site").crossJoin(F.broadcast(bots)).withColumn("path", F.lit("/"))  # some twenty crawlers
     done = A.resolve(A.robots_rules(bodies, "site"), asks.select("site", "bot", "path"), "site").join(bots, "bot")
     return bodies, A.class_summary(done, "site")
