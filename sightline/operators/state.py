@@ -173,13 +173,13 @@ def ladder(df: DataFrame, sources: list[str]) -> DataFrame:
     return df.withColumn("source", name).withColumn("rating", F.coalesce(*[F.col(s) for s in sources]))
 
 
-def merge_sources(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Works of two sources, one row a bare DOI, else a title of 80 characters; the first source's row stays."""
+def merge_sources(first: DataFrame, second: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """Works of two sources, one row a bare DOI, else a title of 80 characters; the first source's row stays. Rows of one place go by the columns ``ties``."""
     both = first.withColumn("ord", F.lit(0)).unionByName(second.withColumn("ord", F.lit(1)))
     doi = F.nullif(F.regexp_replace(F.lower(F.trim("doi")), r"^(?:https?://(?:dx\.)?doi\.org/|doi:)", ""), F.lit(""))
     keyed = both.withColumn("key", F.coalesce(doi, F.left(F.lower("title"), F.lit(80))))
     rest = [c for c in first.columns]
-    return keyed.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct("ord", "place")).alias("r")).select("key", "r.*")
+    return keyed.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct("ord", "place", *(ties or []))).alias("r")).select("key", "r.*")
 
 
 def coverage(concepts: DataFrame, words: DataFrame, stop: tuple[str, ...]) -> DataFrame:
