@@ -34,29 +34,38 @@ def epoch(text: Column) -> Column:
     return F.coalesce(text.try_cast("double"), F.unix_micros(F.try_to_timestamp(text)) / 1e6)
 
 
-def parse_structured(line: Column) -> Column:
-    """A struct of COLUMNS from a JSON line with a nested request; null for others."""
-    d = F.from_json(line, REQUEST)
+def _structured(d: Column) -> tuple[Column, list[Column]]:
+    """Whether a parsed JSON line is a record, and its COLUMNS."""
     headers = F.coalesce(d["request"]["headers"], F.create_map().cast("map<string,array<string>>"))
     forwarded = _real(F.split(_header(headers, "X-Forwarded-For"), ",")[0])
     ip = F.coalesce(_header(headers, "Cf-Connecting-Ip", "True-Client-IP"), forwarded, _real(d["request"]["client_ip"]), _real(d["request"]["remote_ip"]), F.lit(""))
     empty = lambda c: F.coalesce(c, F.lit(""))
-    fields = F.struct(
+    return d["request"].isNotNull(), [
         F.timestamp_micros((epoch(d["ts"]) * 1e6).cast("long")).alias("ts"), ip.alias("ip"), empty(d["request"]["method"]).alias("method"), empty(d["request"]["uri"]).alias("uri"), empty(d["request"]["host"]).alias("host"),
         F.coalesce(d["status"], F.lit(0)).alias("status"), F.coalesce(d["size"], F.lit(0)).cast("long").alias("size"), empty(_header(headers, "User-Agent")).alias("ua"), empty(_header(headers, "Referer", "Referrer")).alias("referer"),
-    )
-    return F.when(d["request"].isNotNull(), fields)
+    ]
 
 
-def parse_combined(line: Column) -> Column:
-    """A struct of COLUMNS from a combined or common log line; null for others."""
+def parse_structured(line: Column) -> Column:
+    """A struct of COLUMNS from a JSON line with a nested request; null for others."""
+    read, fields = _structured(F.from_json(line, REQUEST))
+    return F.when(read, F.struct(*fields))
+
+
+def _combined(line: Column) -> tuple[Column, list[Column]]:
+    """Whether a line is a combined or common one, and its COLUMNS."""
     g = lambda n: F.regexp_extract(line, COMBINED, n)
     referer = F.when(g(9) == "-", F.lit("")).otherwise(g(9))
-    fields = F.struct(
+    return line.rlike(COMBINED), [
         F.try_to_timestamp(g(3), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), F.coalesce(_real(g(1)), F.lit("")).alias("ip"), g(4).alias("method"), g(5).alias("uri"), F.lit("").alias("host"),
         F.when(g(7) != "", g(7)).otherwise("0").cast("int").alias("status"), F.when(g(8).rlike(r"^\d+$"), g(8)).otherwise("0").cast("long").alias("size"), g(10).alias("ua"), referer.alias("referer"),
-    )
-    return F.when(line.rlike(COMBINED), fields)
+    ]
+
+
+def parse_combined(line: Column) -> Column:
+    """A struct of COLUMNS from a combined or common log line; null for others."""
+    read, fields = _combined(line)
+    return F.when(read, F.struct(*fields))
 
 
 def parse_custom(line: Column, pattern: str, fields: list[str]) -> Column:
@@ -80,5 +89,15 @@ def parse_any(line: Column) -> Column:
 
 
 def parsed(lines: DataFrame, parse=parse_any) -> DataFrame:
-    """Records with the line and whether it was read; unread lines have null columns."""
-    return lines.withColumn("r", parse(F.col("line"))).select("line", F.col("r").isNotNull().alias("read"), "r.*")
+    """Records with the line and whether it was read; unread lines have null columns.
+
+    Of lines of either kind each column is made by itself, so that those nobody
+    asks for are not.
+    """
+    if parse is not parse_any:
+        return lines.withColumn("r", parse(F.col("line"))).select("line", F.col("r").isNotNull().alias("read"), "r.*")
+    json = F.ltrim("line").startswith("{")
+    (s_read, s_fields), (c_read, c_fields) = _structured(F.col("__d")), _combined(F.col("line"))
+    rows = lines.withColumn("__d", F.when(json, F.from_json("line", REQUEST))).withColumn("read", F.coalesce(F.when(json, s_read).otherwise(c_read), F.lit(False)))
+    each = [F.when(F.col("read"), F.when(json, s).otherwise(c)).alias(name) for name, s, c in zip(COLUMNS, s_fields, c_fields)]
+    return rows.select("line", "read", *each)
