@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.graph import components
 from ..functions.text import ascii_bounds, normal_keyword
-from ..sources.shared import materialize
-from .set_join import alike_by_count
+from .set_join import alike_by_count, linked
 
 #: Wordings of intents, first match counts.
 TRANSACTIONAL = r"(?i)\b(buy|download|install|sign ?up|trial|demo|coupon|discount)\b"
@@ -58,22 +57,34 @@ def affordable(rows: DataFrame, most_kd: float, least_volume: int) -> DataFrame:
     return rows.where((F.coalesce("volume", F.lit(0)) >= least_volume) & (F.col("kd").isNull() | (F.col("kd") <= most_kd)))
 
 
+def _shown(results: DataFrame) -> DataFrame:
+    """Distinct (id, item): keywords and hashes of their URLs."""
+    return results.select(F.col("keyword").alias("id"), F.xxhash64(F.regexp_replace(F.substring_index("url", "#", 1), "/+$", "")).alias("item")).where("item IS NOT NULL AND id IS NOT NULL").distinct()
+
+
 def shared_results(results: DataFrame, overlap: int = 3) -> DataFrame:
     """(a, b, shared): pairs of keywords a < b with at least ``overlap`` common URLs.
 
-    Keywords with fewer URLs than that are in no pair. Only a keyword's rarest URLs bring it together with others:
-    two that share enough share one of these, and a URL that nearly all show is none of them.
+    Keywords with fewer URLs than that are in no pair. Keywords of few URLs come together at those
+    they have to share; a URL that nearly all show brings nobody together.
+    """
+    return alike_by_count(_shown(results), overlap)
+
+
+def clusters(results: DataFrame, overlap: int = 3) -> DataFrame:
+    """(keyword, cluster, degree): connected components by shared results; a keyword without any is a cluster of its own.
+
+    The pairs themselves, whose number grows as the square of the keywords, are not made.
     """
-    own = results.select(F.col("keyword").alias("id"), F.xxhash64(F.regexp_replace(F.substring_index("url", "#", 1), "/+$", "")).alias("item")).where("item IS NOT NULL AND id IS NOT NULL").distinct()
-    return alike_by_count(own, overlap)
+    edges, degree = linked(_shown(results), overlap)
+    found = components(edges).withColumnRenamed("node", "keyword")
+    keywords = results.select("keyword").distinct()
+    return keywords.join(found, "keyword", "left").join(degree.withColumnRenamed("id", "keyword"), "keyword", "left").select("keyword", F.coalesce("label", "keyword").alias("cluster"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def clusters(keywords: DataFrame, edges: DataFrame) -> DataFrame:
-    """(keyword, cluster, degree): connected components by shared results; a keyword without any is a cluster of its own."""
-    edges = materialize(edges.select("a", "b"), "edges")  # read for the components and for the degrees
-    found = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("degree"))
-    return keywords.join(found.withColumnRenamed("node", "keyword"), "keyword", "left").join(degree, "keyword", "left").select("keyword", F.coalesce("label", "keyword").alias("cluster"), F.coalesce("degree", F.lit(0)).alias("degree"))
+def result_components(results: DataFrame, overlap: int = 3) -> DataFrame:
+    """(node, label) of the keywords that share results with others."""
+    return components(linked(_shown(results), overlap)[0])
 
 
 def cluster_stats(members: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ _REACH = "bth AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SE
 
 def _clustered(spark, sf_dir):
     r = RESULTS.df(spark, sf_dir)
-    return r, K.clusters(r.select("keyword").distinct(), K.shared_results(r))
+    return r, K.clusters(r)
 
 
 @query("J10_shared_results", f"WITH {RESULTS.sql('r')}, {_EDGES} SELECT * FROM e")
@@ -231,7 +231,5 @@ def a44_all(spark, sf_dir):
 reach AS (SELECT DISTINCT a AS node, a AS other FROM bth UNION SELECT reach.node, bth.b FROM reach JOIN bth ON bth.a = reach.other) SELECT node, min(other) AS label FROM reach GROUP BY 1""")
 def a44_parts(spark, sf_dir):
     """Components over the orders that share two parts or more."""
-    from ..functions.graph import components
-
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("keyword"), F.col("l_partkey").cast("string").alias("url"))
-    return components(K.shared_results(rows, 2).select("a", "b"))
+    return K.result_components(rows, 2)
